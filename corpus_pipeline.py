@@ -17,7 +17,7 @@ from kohorta.llm.queries import _tokenizer
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the decision list learned from the labelled ones."""
     rules = quality_rules.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality_rules.judge(docs, rules).where("_kept").select(*docs.columns)
+    return quality_rules.kept_documents(docs, rules)
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

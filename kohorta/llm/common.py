@@ -40,6 +40,11 @@ def shingle_hashes(words: Column, k: int = SHINGLE_WORDS) -> Column:
     ).otherwise(F.array().cast("array<bigint>"))
 
 
+def boxed(docs: DataFrame, **columns: Column) -> DataFrame:
+    """All columns of ``docs`` in the struct ``rest``, beside ``columns``, so that names can't clash."""
+    return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("rest"), *[c.alias(n) for n, c in columns.items()])
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: the cluster's own setting, or a new one where it has none."""
     found = spark.conf.get("spark.checkpoint.dir", None)

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SHINGLE_WORDS, let, shared_dir, shingle_hashes, stored, whole_text, words_of
+from .common import boxed, let, shared_dir, shingle_hashes, stored, whole_text, words_of
 
 CONTAINMENT = 0.8
 #: Rows of a sketch or shingle table of the items up to which it is broadcast (16 bytes each).
@@ -72,4 +72,4 @@ def contained_items(docs: DataFrame, items: DataFrame, text: str = "text", key:
 def clean_documents(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
     """``docs`` without those that contain an item."""
     bad = contained_items(docs, items, text, key, **options).select(F.col("doc").alias("_doc")).distinct()
-    return docs.join(bad, docs[key] == bad["_doc"], "left_anti")
+    return boxed(docs, _own=F.col(key)).join(bad, F.col("_own") == F.col("_doc"), "left_anti").select("rest.*")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SHINGLE_WORDS, let, shared_dir, slices, stored, whole_text, words_of
+from .common import SHINGLE_WORDS, boxed, let, shared_dir, slices, stored, whole_text, words_of
 from .components import components
 
 BANDS, ROWS = 25, 5
@@ -187,6 +187,6 @@ def first_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", **op
     """``docs`` with one row of each class: that with the least id (of equal ids, the least text hash)."""
     _, named = _classes(docs, text, key, **options)
     stay = named.groupBy("part").agg(F.min(F.struct("least", "node")).alias("s")).select(F.col("s.least").alias("_least"), F.col("s.node").alias("_node"))
-    keyed = docs.withColumn("_least", F.coalesce(F.col(key).cast("long"), F.lit(-(2**63)))).withColumn("_node_own", _node(whole_text(text)))
-    found = keyed.join(stay, "_least").where(F.col("_node") == F.col("_node_own"))
-    return found.dropDuplicates(["_least", "_node"]).select(*docs.columns)
+    keyed = boxed(docs, _least=F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))), own=_node(whole_text(text)))
+    found = keyed.join(stay, "_least").where(F.col("_node") == F.col("own"))
+    return found.dropDuplicates(["_least", "_node"]).select("rest.*")

@@ -19,7 +19,7 @@ from math import log2
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, let, whole_text, words_of
+from .common import WHITE, boxed, let, whole_text, words_of
 
 #: Labelled rows that the list is learned from, at most: those with the least hashes of their ids.
 MAX_LABELLED = 20_000
@@ -243,6 +243,11 @@ def verdict(rules: list[Rule], statistics: str = "_statistics") -> Column:
     return out.otherwise(F.lit(True))
 
 
+def kept_documents(docs: DataFrame, rules: list[Rule], text: str = "text") -> DataFrame:
+    """The rows that stay, with their own columns."""
+    return judge(boxed(docs, text=F.col(text)), rules).where("_kept").select("rest.*")
+
+
 def judge(docs: DataFrame, rules: list[Rule], text: str = "text", into: str = "_statistics", kept: str = "_kept") -> DataFrame:
     """``docs`` with its statistics and the final verdict: kept unless the base rules or the list reject."""
     return statistics(docs, text, into).withColumn(kept, ~base_failed(into) & verdict(rules, into))
