@@ -141,10 +141,18 @@ def _pieces(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[pa
 
 
 def _runs(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
+    """One row for each document and span; where a document has a span several times (periodic text), ``more`` has the other starts."""
     for batch, data, bounds, before in _pieces(batches, length):
         doc, start, count, anchor, span = runs(hasher(), data, bounds, length, gram)
-        columns = [batch.column("k").take(pa.array(doc)), *map(pa.array, (start + before, count, anchor.view(np.int64), span.view(np.int64)))]
-        yield pa.RecordBatch.from_arrays(columns, ["k", "start", "count", "anchor", "span"])
+        order = np.lexsort((start, span, doc))
+        doc, start, count, anchor, span = (x[order] for x in (doc, start, count, anchor, span))
+        new = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (span[1:] != span[:-1])]) if len(doc) else doc
+        size = np.diff(np.r_[new, len(doc)])
+        rest = np.ones(len(doc), dtype=bool)
+        rest[new] = False
+        more = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size - 1)], pa.int32()), pa.array(start[rest] + before), mask=pa.array(size == 1))
+        columns = [batch.column("k").take(pa.array(doc[new])), *map(pa.array, (start[new] + before, count[new], anchor[new].view(np.int64), span[new].view(np.int64)))]
+        yield pa.RecordBatch.from_arrays([*columns, more], ["k", "start", "count", "anchor", "span", "more"])
 
 
 def _windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -237,23 +245,25 @@ def repeated_spans(docs: DataFrame, text: str, key: str, length: int = LENGTH, g
     """(k, spans): for each document with repeated windows, runs (start, count) of their starts."""
     made = docs.select(_key(text, key).alias("k"), whole_text(text).alias("text"))
     found = made.where(F.octet_length("text") >= length).mapInArrow(
-        lambda it: _runs(it, length, gram), "k bigint, start bigint, count bigint, anchor bigint, span bigint"
+        lambda it: _runs(it, length, gram), "k bigint, start bigint, count bigint, anchor bigint, span bigint, more array<bigint>"
     )
     same = Window.partitionBy("anchor", "span")
     judged = (
         found.repartition("anchor")
-        .withColumn("n", F.count("*").over(same))
+        .withColumn("n", F.sum(F.when(F.col("more").isNull(), 1).otherwise(F.size("more") + 1)).over(same))
         .withColumn("place", F.row_number().over(same.orderBy("k", "start")))
         .withColumn("low", F.min("span").over(Window.partitionBy("anchor")))
         .withColumn("high", F.max("span").over(Window.partitionBy("anchor")))
     )
-    judged = judged.select("k", "start", "count", (F.col("n") > 1).alias("whole"), ((F.col("low") < F.col("high")) & (F.col("place") == 1)).alias("wanted"))
+    judged = judged.select("k", "start", "count", "more", (F.col("n") > 1).alias("whole"), ((F.col("low") < F.col("high")) & (F.col("place") == 1)).alias("wanted"))
     marks = stored(judged.where("whole or wanted"), "marks")
 
     wanted = marks.where("wanted").groupBy("k").agg(F.collect_list(F.struct("start", "count", F.col("whole").cast("int").alias("whole"))).alias("wanted"))
     windows = made.join(wanted, "k").mapInArrow(lambda it: _windows(it, length), "hash bigint, k bigint, start bigint")
     twice = windows.repartition("hash").sortWithinPartitions("hash", "k", "start").mapInArrow(_twice, "k bigint, start bigint")
-    spans = marks.where("whole").select("k", "start", "count").unionByName(twice.select("k", "start", F.lit(1).cast("long").alias("count")))
+    starts = F.concat(F.array("start"), F.coalesce("more", F.array().cast("array<bigint>")))
+    whole = marks.where("whole").select("k", F.explode(starts).alias("start"), "count")
+    spans = whole.unionByName(twice.select("k", "start", F.lit(1).cast("long").alias("count")))
     return spans.groupBy("k").agg(F.collect_list(F.struct("start", "count")).alias("spans"))
 
 
@@ -274,10 +284,8 @@ def removal_report(docs: DataFrame, text: str = "text", key: str = "doc_id", len
 def without_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """``docs`` with the repeated bytes cut out of their texts."""
     spans = repeated_spans(docs, text, key, length, gram)
-    made = docs.withColumn("_k", _key(text, key))
-    joined = made.join(spans.withColumnRenamed("k", "_k"), "_k", "left")
-    rest = [c for c in docs.columns if c != text]
-    ready = joined.select(F.struct(*rest).alias("rest"), whole_text(text).alias("text"), "spans")
+    rest = docs.select(F.struct(*[c for c in docs.columns if c != text]).alias("rest"), whole_text(text).alias("text"), _key(text, key).alias("k"))
+    ready = rest.join(spans, "k", "left").select("rest", "text", "spans")
     kind = ready.schema["rest"].dataType.simpleString()
     done = ready.mapInArrow(lambda it: _cut(it, length, True), f"rest {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_text string")
     return done.select(*[F.col("kept_text").alias(text) if c == text else F.col(f"rest.{c}").alias(c) for c in docs.columns])
