@@ -8,9 +8,12 @@ weighted sets.  Documents whose registers agree in a band are candidates; candid
 exact Jaccard similarity of their shingle sets reaches ``similarity``; classes are the linked components.
 
 Groups are never expanded into all pairs.  Equal texts are one node from the start.  In each bucket all
-nodes are first compared with one node, then (where several components remain) with another one; last,
-nodes of a bucket that are still in different components are compared with each other, whatever their
-number, so that no candidate pair between different components goes unchecked.
+nodes are first compared with the most central one (that with the least share of shingles that no other
+candidate has), then, where several components remain, with another one; last, nodes of a bucket that are
+still in different components are compared with each other, whatever their number.  There, pairs go without a
+comparison only if a bound keeps them below the similarity: outside the central node's set, two sets can
+share no shingle that only one candidate has; inside it, they differ by at least the difference of what either
+lacks.  So no candidate pair between different components goes unchecked.
 
 Defined results: equal texts are in one class, empty and null ones included; a text without words is near
 no other; the class id is the least document id of the class; null ids are kept and count as the least.
@@ -25,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SHINGLE_WORDS, boxed, let, shared_dir, slices, stored, whole_text, words_of
+from .common import SHINGLE_WORDS, boxed, shared_dir, slices, stored, whole_text, words_of
 from .components import components
 
 BANDS, ROWS = 25, 5
@@ -119,12 +122,20 @@ def _node(text: Column) -> Column:
     return F.unhex(F.md5(text.cast("binary")))
 
 
+def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(u, v, a, b, shared) of pairs (u, v): their sets' sizes and how many shingles they share."""
+    a = pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("x")), "u")
+    both = a.join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("y")), "v")
+    return both.select("u", "v", F.size("x").alias("a"), F.size("y").alias("b"), F.size(F.array_intersect("x", "y")).alias("shared"))
+
+
 def _linked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (u, v) whose sets are similar."""
-    a = pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u")
-    both = a.join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
-    shared = let(F.size(F.array_intersect("a", "b")), lambda n: n / (F.size("a") + F.size("b") - n))
-    return both.where(F.size("a") * similarity <= F.size("b")).where(F.size("b") * similarity <= F.size("a")).where(shared >= similarity).select("u", "v")
+    return _overlaps(pairs, sets).where(_similar(similarity)).select("u", "v")
+
+
+def _similar(similarity: float) -> Column:
+    return F.col("shared") >= similarity * (F.col("a") + F.col("b") - F.col("shared"))
 
 
 def _classes(docs: DataFrame, text: str, key: str, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
@@ -137,16 +148,25 @@ def _classes(docs: DataFrame, text: str, key: str, similarity: float = SIMILARIT
     )
     nodes = rows_of.groupBy("node").agg(F.min(F.coalesce("id", F.lit(-(2**63)))).alias("least"), F.min("bands").alias("bands"))
     member = nodes.select("node", F.explode("bands").alias("bucket"))
-    several = member.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high")).where("n > 1")
-    members = stored(member.join(several, "bucket").select("bucket", "node", "low", "high"), "members")
+    several = member.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    shared = stored(member.join(several, "bucket"), "members")
 
-    wanted = members.select("node").distinct().join(nodes.select("node", "least"), "node")
+    wanted = shared.select("node").distinct().join(nodes.select("node", "least"), "node")
     texts = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))).alias("least"), t.alias("text"))
     found = texts.join(wanted, "least").where(_node(F.col("text")) == F.col("node"))
     sets = stored(
         found.select("node", _word_hashes(F.col("text")).alias("words")).mapInArrow(_sets, "node binary, shingles array<bigint>").dropDuplicates(["node"]), "sets"
     )
 
+    of_one = sets.select("node", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n"), F.first("node").alias("node")).where("n = 1")
+    own = of_one.groupBy("node").agg(F.count("*").alias("own"))
+    sizes = stored(
+        sets.select("node", F.size("shingles").alias("size")).join(own, "node", "left").select("node", "size", F.coalesce("own", F.lit(0)).alias("own")), "sizes"
+    )
+    sized = shared.join(sizes, "node")
+    central = sized.groupBy("bucket").agg(F.min(F.struct(F.col("own") / F.col("size"), "node")).alias("low"), F.max("node").alias("high"))
+    members = stored(sized.join(central.select("bucket", "low.node", "high").withColumnRenamed("node", "low"), "bucket"), "members")
+
     def pair(a: str, b: str, of: DataFrame) -> DataFrame:
         return of.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).where("u != v").distinct()
 
@@ -159,17 +179,24 @@ def _classes(docs: DataFrame, text: str, key: str, similarity: float = SIMILARIT
         mixed = named.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p != q").select("bucket")
         return named.join(mixed, "bucket")
 
-    links = stored(_linked(pair("node", "low", members), sets, similarity), "links")
+    star = stored(_overlaps(pair("node", "low", members), sets), "star")
+    links = star.where(_similar(similarity)).select("u", "v")
     part = stored(settled(links), "parts")
     rest = apart(part)
     top = part.select(F.col("node").alias("high"), F.col("part").alias("high_part"))
     again = rest.join(top, "high", "left").where(F.col("part") != F.coalesce("high_part", "high"))
     links = stored(links.unionByName(_linked(pair("node", "high", again), sets, similarity)), "links")
     part = stored(settled(links), "parts")
-    rest = stored(apart(part).select("bucket", "node", "part"), "rest")
-    other = rest.select("bucket", F.col("node").alias("other"), F.col("part").alias("other_part"))
-    cross = rest.join(other, "bucket").where((F.col("node") < F.col("other")) & (F.col("part") != F.col("other_part")))
-    links = links.unionByName(_linked(pair("node", "other", cross), sets, similarity))
+    left = apart(part).where("node != low").select("bucket", "node", "part", "size", "own", "low", F.least("node", "low").alias("u"), F.greatest("node", "low").alias("v"))
+    able = F.col("own") <= F.col("size") * (1 - similarity) + 1e-9
+    lacks = F.when(F.col("u") == F.col("low"), F.col("a")).otherwise(F.col("b")) - F.col("shared")
+    rest = stored(left.where(able).join(star, ["u", "v"]).select("bucket", "node", "part", "size", "own", lacks.alias("lacks"), (F.col("size") - F.col("shared")).alias("extra")), "rest")
+    other = rest.select("bucket", *[F.col(c).alias(f"other_{c}") for c in ("node", "part", "size", "own", "lacks", "extra")])
+    common = F.least(F.col("extra") - F.col("own"), F.col("other_extra") - F.col("other_own"))
+    differ = F.col("extra") + F.col("other_extra") - common * 2 + F.abs(F.col("lacks") - F.col("other_lacks"))
+    near_enough = differ <= (F.col("size") + F.col("other_size")) * ((1 - similarity) / (1 + similarity)) + 1e-9
+    cross = rest.join(other, "bucket").where((F.col("node") < F.col("other_node")) & (F.col("part") != F.col("other_part")) & near_enough)
+    links = links.unionByName(_linked(pair("node", "other_node", cross), sets, similarity))
     part = settled(links)
 
     named = nodes.select("node", "least").join(part, "node", "left").withColumn("part", F.coalesce("part", "node"))
