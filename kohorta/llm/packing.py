@@ -84,7 +84,7 @@ def best_fit(lengths: list[int], window: int = WINDOW) -> list[tuple[int, int]]:
 
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, window: int) -> Iterator[pa.RecordBatch]:
     made = encoder(path)
-    for batch in slices(batches, "text", 1 << 20):
+    for batch in slices(batches, "text", 1 << 22):
         rows: dict[str, list] = {n: [] for n in ("row", "start", "length", "crc", "total")}
         for row, ids in enumerate(made.ids(batch.column("text").to_pylist())):
             total = len(ids) // 4

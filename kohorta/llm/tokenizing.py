@@ -1,20 +1,25 @@
 """Whole texts to token ids with a public tokenizer of the tokenizers library.
 
 White space always parts tokens of the word tokenizers used here, so a text's ids are those of its words one
-after the other; words that were met before are looked up.  Texts with ASCII separators (28 to 31), which
-Python takes for white space and the tokenizer doesn't, are encoded whole.
+after the other; words that were met before are looked up.  A word that is plain letters and a run of marks is
+its letters in lower case and then the marks, which is how the tokenizer parts it; the letters' ids are looked
+up or encoded many words at once, and told apart by the tokens that end a word.  All other words are encoded as
+they are, and texts with ASCII separators (28 to 31), which Python takes for white space and the tokenizer
+doesn't, are encoded whole.
 """
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 
 import numpy as np
 
 END = 1
-#: Words whose ids are kept between batches, at most: those met first.
-MAX_WORDS = 400_000
+#: Words and letter runs whose ids are kept between batches, at most: those met first.
+MAX_WORDS, MAX_STEMS = 300_000, 200_000
+MARKS = ".,!?:;&*%$#|()-"
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 
 
@@ -25,28 +30,65 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.end = b"" if end is None else np.array([end], dtype="<u4").tobytes()
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
+        self.stems: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {"": b""}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _encode_words(self, words: list[str]) -> dict[str, bytes]:
-        """Words of plain letters are encoded many at once, parted by spaces, and told apart by their places."""
-        plain = [w for w in words if "<|" not in w and (w.isascii() or max(w) < "\u0250")]
+    def _encode_stems(self, stems: list[str]) -> dict[str, bytes]:
+        """Words of plain lower-case letters: each is one unit of the tokenizer, and ends with a token that ends words."""
         out: dict[str, bytes] = {}
-        for i in range(0, len(plain), 1000):
-            some = plain[i : i + 1000]
-            made = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
-            ids = np.array(made.ids, dtype="<u4").tobytes()
-            starts = np.cumsum([0, *map(len, some)])[:-1] + np.arange(len(some))
-            bounds = 4 * np.searchsorted(np.array([a for a, _ in made.offsets]), np.r_[starts, starts[-1] + len(some[-1]) + 1])
-            out.update((w, ids[a:b]) for w, a, b in zip(some, bounds.tolist(), bounds[1:].tolist()))
-        other = [w for w in words if w not in out]
+        for i in range(0, len(stems), 2000):
+            some = stems[i : i + 2000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
+            bounds = [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
+            if len(bounds) != len(some) + 1:  # another vocabulary than this way is made for
+                out.update(zip(some, self._encode(some), strict=True))
+                continue
+            data = ids.tobytes()
+            out.update((w, data[a:b]) for w, a, b in zip(some, bounds, bounds[1:]))
+        return out
+
+    def _encode_words(self, words: list[str]) -> dict[str, bytes]:
+        parted, stems, marked, other = [], [], [], []
+        for w in words:
+            letters = w.rstrip(MARKS)
+            if letters.isalpha() and (letters.isascii() or max(letters) < "\u0250"):
+                parted.append(w)
+                stems.append(letters.lower())
+                marked.append(w[len(letters) :])
+            else:
+                other.append(w)
+        missing = list(set(stems).difference(self.stems))
+        new = self._encode_stems(missing)
+        over = len(self.stems) + len(new) > MAX_STEMS
+        self.stems.update(new)
+        marks = list(set(marked).difference(self.marks))
+        if len(self.marks) > 10_000:
+            self.marks = {"": b""}
+            marks = [m for m in set(marked) if m]
+        self.marks.update(zip(marks, self._encode(marks), strict=True))
+        out = {w: self.stems[s] + self.marks[m] for w, s, m in zip(parted, stems, marked, strict=True)}
+        if over:
+            for s in new:
+                del self.stems[s]
         out.update(zip(other, self._encode(other), strict=True))
         return out
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids, with the end id, as little-endian unsigned 32-bit integers; null counts as empty."""
+        gc.disable()  # nothing here makes cycles, and the lookup is large
+        try:
+            return self._ids(texts)
+        finally:
+            gc.enable()
+
+    def _ids(self, texts: list[str | None]) -> list[bytes]:
         split = [None if _SEPARATORS.search(t) else t.split() for t in (x or "" for x in texts)]
         known = self.known
         missing = set().union(*(w for w in split if w)).difference(known)
