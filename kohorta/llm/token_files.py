@@ -32,12 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import file_system, shared_path, slices
+from .common import file_system, shared_path, slices, stored
 from .tokenizing import encoder
 
 MAGIC = b"KTOK1\0\0\0"
 #: Documents that the dictionary is trained on, at most, and bytes of each that count.
-SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES = 2000, 4096, 64 * 1024
+SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES = 1000, 4096, 64 * 1024
 PART_BYTES = 64 << 20
 LEVEL = 3
 INDEX = np.dtype([("doc", "<i8"), ("first", "<u8"), ("start", "<u8"), ("n", "<u8")])
@@ -147,7 +147,7 @@ class _Writer:
 
 def _encode(batches: Iterator[pa.RecordBatch], path: str, dictionary: bytes) -> Iterator[pa.RecordBatch]:
     made, codec = encoder(path), Codec(dictionary)
-    for batch in slices(batches, "text", 1 << 21):
+    for batch in slices(batches, "text", 1 << 22):
         ids = made.ids(batch.column("text").to_pylist())
         frames = [codec.encode(x) for x in ids]
         yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(frames, pa.binary())], ["id", "n", "frame"])
@@ -173,8 +173,9 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, dictionary: bytes) ->
 
 
 def _sample(docs: DataFrame, tokenizer: str) -> list[bytes]:
-    made = docs.orderBy(F.xxhash64("id", "text"), "id").limit(SAMPLE_DOCS).select(F.substring("text", 1, SAMPLE_BYTES).alias("text"))
-    ids = encoder(tokenizer).ids([r["text"] for r in made.collect()])  # bounded by SAMPLE_DOCS
+    chosen = docs.select("id").orderBy(F.xxhash64("id"), "id").limit(SAMPLE_DOCS).distinct()
+    some = docs.select("id", F.substring("text", 1, SAMPLE_BYTES).alias("text")).join(F.broadcast(chosen), "id").limit(SAMPLE_DOCS)
+    ids = encoder(tokenizer).ids(sorted(r["text"] for r in some.collect()))  # both are bounded by SAMPLE_DOCS
     return [serialize(x)[:SAMPLE_BYTES] for x in ids]
 
 
@@ -184,7 +185,7 @@ def write_store(docs: DataFrame, tokenizer: str, folder: str, text: str = "text"
     made = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))).alias("id"), F.coalesce(text, F.lit("")).alias("text"))
     dictionary = train(_sample(made.where(F.length("text") > 0), tokenizer))
     write_bytes(f"{folder}/dictionary.bin", dictionary)
-    frames = made.mapInArrow(lambda it: _encode(it, tokenizer, dictionary), "id bigint, n bigint, frame binary")
+    frames = stored(made.mapInArrow(lambda it: _encode(it, tokenizer, dictionary), "id bigint, n bigint, frame binary"), "frames")
     dealt = frames.repartitionByRange(partitions, "id") if partitions else frames.repartitionByRange("id")
     ordered = dealt.sortWithinPartitions("id", "n", "frame").withColumn("part", F.spark_partition_id())
     files = ordered.mapInArrow(lambda it: _write(it, folder, dictionary), "uri string, low bigint, high bigint, docs bigint, ids bigint, part bigint, place bigint")
