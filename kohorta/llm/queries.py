@@ -89,14 +89,14 @@ FROM p LEFT JOIN f ON p.digest = f.digest AND n >= {archives.MIN_REVISIT}
 
 _OP7 = rf"""
 WITH item_words AS (
-  SELECT item_id, list_filter(string_split_regex(lower(text), '{_WHITE}'), w -> w <> '') AS w FROM benchmark WHERE text IS NOT NULL
+  SELECT item_id, list_filter(string_split_regex(lower(text), '{_WHITE}'), lambda w: w <> '') AS w FROM benchmark WHERE text IS NOT NULL
 ), item_grams AS (
-  SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i+4], ' '))) AS g FROM item_words WHERE len(w) >= 5
+  SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) AS g FROM item_words WHERE len(w) >= 5
 ), items AS (SELECT item_id, count(*) AS n_item FROM item_grams GROUP BY item_id),
 doc_words AS (
-  SELECT doc_id, list_filter(string_split_regex(lower(text), '{_WHITE}'), w -> w <> '') AS w FROM documents WHERE text IS NOT NULL
+  SELECT doc_id, list_filter(string_split_regex(lower(text), '{_WHITE}'), lambda w: w <> '') AS w FROM documents WHERE text IS NOT NULL
 ), doc_grams AS (
-  SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i+4], ' '))) AS g FROM doc_words WHERE len(w) >= 5
+  SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) AS g FROM doc_words WHERE len(w) >= 5
 ), hits AS (SELECT doc_id, item_id, count(*) AS n_shared FROM doc_grams JOIN item_grams USING (g) GROUP BY doc_id, item_id)
 SELECT doc_id, item_id, n_shared, n_item FROM hits JOIN items USING (item_id) WHERE n_shared >= ceil(n_item * 0.8 - 1e-9)
 """

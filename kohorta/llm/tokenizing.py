@@ -18,7 +18,7 @@ import numpy as np
 
 END = 1
 #: Words and letter runs whose ids are kept between batches, at most: those met first.
-MAX_WORDS, MAX_STEMS = 300_000, 200_000
+MAX_WORDS, MAX_STEMS = 500_000, 250_000
 MARKS = ".,!?:;&*%$#|()-"
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 
@@ -90,17 +90,16 @@ class Encoder:
 
     def _ids(self, texts: list[str | None]) -> list[bytes]:
         split = [None if _SEPARATORS.search(t) else t.split() for t in (x or "" for x in texts)]
-        known = self.known
-        missing = set().union(*(w for w in split if w)).difference(known)
-        new = self._encode_words(list(missing)) if missing else {}
-        over = len(known) + len(new) > MAX_WORDS
-        known.update(new)
-        get = known.__getitem__
-        out = [(self._encode([t])[0] if w is None else b"".join(map(get, w))) + self.end for w, t in zip(split, texts, strict=True)]
-        if over:
-            for word in new:
-                del known[word]
-        return out
+        get = self.known.get
+        found = [[] if w is None else list(map(get, w)) for w in split]
+        holes = [[i for i, x in enumerate(v) if x is None] for v in found]
+        new = self._encode_words(list({w[i] for w, h in zip(split, holes, strict=True) for i in h}))
+        for w, v, h in zip(split, found, holes, strict=True):
+            for i in h:
+                v[i] = new[w[i]]
+        if len(self.known) + len(new) <= MAX_WORDS:
+            self.known.update(new)
+        return [(self._encode([t])[0] if w is None else b"".join(v)) + self.end for w, v, t in zip(split, found, texts, strict=True)]
 
 
 _encoders: dict[tuple, Encoder] = {}
