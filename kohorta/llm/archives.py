@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import file_system, shared_path, slices, stored
+from .common import file_system, frugal, shared_path, slices, small_batches, stored
 from .url_rules import host_of
 
 MIN_REVISIT = 100
@@ -88,6 +88,7 @@ def records(data: bytes) -> Iterator[bytes]:
         data = member.unused_data
 
 
+@frugal
 def _write(batches: Iterator[pa.RecordBatch], folder: str, date: str) -> Iterator[pa.RecordBatch]:
     fs = out = None
     uri, at = "", 0
@@ -116,6 +117,7 @@ def _line_key(key: str, page: int) -> bytes:
     return f"{key} {page + 2**63:020d}".encode()
 
 
+@frugal
 def _index(batches: Iterator[pa.RecordBatch], folder: str, lines: int) -> Iterator[pa.RecordBatch]:
     """One index part: blocks, then their directory."""
     out, uri, at, directory, block = None, f"{folder}/index-{uuid.uuid4().hex}", len(_MAGIC), [], []
@@ -208,6 +210,7 @@ class CaptureIndex:
 
 def write_archives(pages: DataFrame, folder: str, url: str = "url", html: str = "html", key: str = "page_id", date: str = DATE, block_lines: int = BLOCK_LINES) -> DataFrame:
     """Writes archives and index; returns the index parts (first, uri)."""
+    small_batches(pages.sparkSession)
     made = pages.select(F.col(key).cast("long").alias("id"), F.coalesce(url, F.lit("")).alias("url"), F.coalesce(html, F.lit("")).alias("html"))
     made = made.withColumn("digest", F.sha2(F.col("html").cast("binary"), 256))
     large = F.octet_length("html") >= MIN_REVISIT
@@ -219,6 +222,7 @@ def write_archives(pages: DataFrame, folder: str, url: str = "url", html: str =
     return stored(ordered.mapInArrow(lambda it: _index(it, folder, block_lines), "first string, uri string"), "index")
 
 
+@frugal
 def _read(batches: Iterator[pa.RecordBatch], parts: list[tuple[str, str]]) -> Iterator[pa.RecordBatch]:
     index = CaptureIndex(parts)
     for batch in batches:

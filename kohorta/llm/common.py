@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -75,6 +77,35 @@ def file_system(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+#: Bytes of an Arrow batch on its way to Python, about; the default knows no bound but a number of rows.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches, so that wide rows don't add up to large ones."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name, None)
+    if not (now or "").isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
+def frugal(made: Callable[..., Iterator[pa.RecordBatch]]) -> Callable[..., Iterator[pa.RecordBatch]]:
+    """Gives memory that a task has freed back to the system at its end: workers outlive their tasks."""
+
+    @wraps(made)
+    def run(*args, **options):
+        try:
+            yield from made(*args, **options)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # not the GNU library
+                pass
+
+    return run
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
     """The rows in batches of about ``limit`` bytes of ``column`` at most, or one row."""
     for batch in batches:

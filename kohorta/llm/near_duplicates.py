@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SHINGLE_WORDS, boxed, shared_dir, slices, stored, whole_text, words_of
+from .common import boxed, frugal, shared_dir, slices, small_batches, stored, whole_text, words_of, SHINGLE_WORDS
 from .components import components
 
 BANDS, ROWS = 25, 5
@@ -87,6 +87,7 @@ def signatures(doc: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n: int,
     return winner.reshape(n, registers)
 
 
+@frugal
 def _bands(batches: Iterator[pa.RecordBatch], bands: int, rows: int) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "words", 250_000):
         words = batch.column("words")
@@ -105,6 +106,7 @@ def _bands(batches: Iterator[pa.RecordBatch], bands: int, rows: int) -> Iterator
         yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("node"), lists], ["id", "node", "bands"])
 
 
+@frugal
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "words", 250_000):
         words = batch.column("words")
@@ -141,6 +143,7 @@ def _similar(similarity: float) -> Column:
 def _classes(docs: DataFrame, text: str, key: str, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
     """(id, node) of every row, and (node, part, least) of every node."""
     shared_dir(docs.sparkSession)
+    small_batches(docs.sparkSession)
     t = whole_text(text)
     made = docs.select(F.col(key).cast("long").alias("id"), _node(t).alias("node"), _word_hashes(t).alias("words"))
     rows_of = stored(

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import frugal, slices, small_batches
 from .tokenizing import encoder
 
 WINDOW = 2048
@@ -82,6 +82,7 @@ def best_fit(lengths: list[int], window: int = WINDOW) -> list[tuple[int, int]]:
     return out
 
 
+@frugal
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, window: int) -> Iterator[pa.RecordBatch]:
     made = encoder(path)
     for batch in slices(batches, "text", 1 << 22):
@@ -110,6 +111,7 @@ def packed(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_
     ``shards``: how many shards pack on their own; by default one for every ``PIECES_PER_SHARD`` rows, but
     eight at least.
     """
+    small_batches(docs.sparkSession)
     if shards is None:
         shards = max(8, -(-docs.count() // PIECES_PER_SHARD))
     kind = docs.schema[key].dataType.simpleString()

@@ -32,12 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import joined_bytes, shared_dir, slices, stored, whole_text
+from .common import frugal, joined_bytes, shared_dir, slices, small_batches, stored, whole_text
 
 LENGTH = 400
 GRAM = 220
 #: Bytes of text handled at once; also the largest piece of one document.
-PIECE = 1 << 21
+PIECE = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
 _POS_BITS = 22
 
@@ -140,6 +140,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[pa
                 yield batch, piece, np.array([0, len(piece)]), at
 
 
+@frugal
 def _runs(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
     """One row for each document and span; where a document has a span several times (periodic text), ``more`` has the other starts."""
     for batch, data, bounds, before in _pieces(batches, length):
@@ -155,6 +156,7 @@ def _runs(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator
         yield pa.RecordBatch.from_arrays([*columns, more], ["k", "start", "count", "anchor", "span", "more"])
 
 
+@frugal
 def _windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """Hashes of the windows of the wanted runs; those of runs that are repeated as a whole count as others' partners only."""
     for batch, data, bounds, before in _pieces(batches, length):
@@ -177,6 +179,7 @@ def _windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
             yield pa.RecordBatch.from_arrays([pa.array(hashed.view(np.int64)), batch.column("k").take(pa.array(doc[r])), pa.array(places)], ["hash", "k", "start"])
 
 
+@frugal
 def _twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by hash, those (k, start) whose hash occurs twice; only the last row is carried over."""
     last: tuple | None = None  # hash, k, start, whether found
@@ -211,6 +214,7 @@ def merged(first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first[new], reach[last]
 
 
+@frugal
 def _cut(batches: Iterator[pa.RecordBatch], length: int, with_text: bool) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "text", PIECE):
         n_bytes, removed, n_spans, digests, texts = [], [], [], [], []
@@ -243,6 +247,7 @@ def _cut(batches: Iterator[pa.RecordBatch], length: int, with_text: bool) -> Ite
 
 def repeated_spans(docs: DataFrame, text: str, key: str, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(k, spans): for each document with repeated windows, runs (start, count) of their starts."""
+    small_batches(docs.sparkSession)
     made = docs.select(_key(text, key).alias("k"), whole_text(text).alias("text"))
     found = made.where(F.octet_length("text") >= length).mapInArrow(
         lambda it: _runs(it, length, gram), "k bigint, start bigint, count bigint, anchor bigint, span bigint, more array<bigint>"

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import file_system, shared_path, slices, stored
+from .common import file_system, frugal, shared_path, slices, small_batches, stored
 from .tokenizing import encoder
 
 MAGIC = b"KTOK1\0\0\0"
@@ -145,6 +145,7 @@ class _Writer:
         return self.uri, self.rows[0][0], self.rows[-1][0], len(self.rows), self.n_ids
 
 
+@frugal
 def _encode(batches: Iterator[pa.RecordBatch], path: str, dictionary: bytes) -> Iterator[pa.RecordBatch]:
     made, codec = encoder(path), Codec(dictionary)
     for batch in slices(batches, "text", 1 << 22):
@@ -153,6 +154,7 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str, dictionary: bytes) ->
         yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(frames, pa.binary())], ["id", "n", "frame"])
 
 
+@frugal
 def _write(batches: Iterator[pa.RecordBatch], folder: str, dictionary: bytes) -> Iterator[pa.RecordBatch]:
     codec, writer, made, part = Codec(dictionary), None, [], ""
     for batch in batches:
@@ -182,6 +184,7 @@ def _sample(docs: DataFrame, tokenizer: str) -> list[bytes]:
 def write_store(docs: DataFrame, tokenizer: str, folder: str, text: str = "text", key: str = "doc_id", partitions: int | None = None) -> DataFrame:
     """Writes the store; returns its manifest: (uri, low, high, docs, ids, part, place, start) of each file."""
     spark = docs.sparkSession
+    small_batches(spark)
     made = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))).alias("id"), F.coalesce(text, F.lit("")).alias("text"))
     dictionary = train(_sample(made.where(F.length("text") > 0), tokenizer))
     write_bytes(f"{folder}/dictionary.bin", dictionary)
@@ -196,6 +199,7 @@ def write_store(docs: DataFrame, tokenizer: str, folder: str, text: str = "text"
     return found.withColumn("start", F.coalesce(before, F.lit(0)))
 
 
+@frugal
 def _read(batches: Iterator[pa.RecordBatch], dictionary_uri: str) -> Iterator[pa.RecordBatch]:
     codec = Codec(read_bytes(dictionary_uri))
     for batch in batches:

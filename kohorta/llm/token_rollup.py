@@ -18,13 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_path, slices, stored
+from .common import frugal, shared_path, slices, small_batches, stored
 from .tokenizing import encoder
 
 KEYS = ("source", "lang", "version")
 SCHEMA = "source string, lang string, version string, documents bigint, tokens bigint"
 
 
+@frugal
 def _count(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     made = encoder(path, None)
     for batch in slices(batches, "_text", 1 << 22):
@@ -35,6 +36,7 @@ def _count(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBa
 
 def token_counts(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(id, source, lang, text_hash, tokens) of every document."""
+    small_batches(docs.sparkSession)
     made = docs.select(F.col(key).cast("long").alias("id"), "source", "lang", F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("text_hash"), F.col(text).alias("_text"))
     return made.mapInArrow(lambda it: _count(it, tokenizer), "id bigint, source string, lang string, text_hash string, tokens bigint")
 

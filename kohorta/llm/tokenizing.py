@@ -18,7 +18,7 @@ import numpy as np
 
 END = 1
 #: Words and letter runs whose ids are kept between batches, at most: those met first.
-MAX_WORDS, MAX_STEMS = 500_000, 250_000
+MAX_WORDS, MAX_STEMS = 250_000, 100_000
 MARKS = ".,!?:;&*%$#|()-"
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import frugal, small_batches
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 STRICT = ("adult", "casino", "phishing", "porn", "spam-farm", "viagra", "warez", "xxx")
 SOFT = (
@@ -93,6 +95,7 @@ def _inside(c: str) -> bool:
     return c.isascii() and c.isalnum()
 
 
+@frugal
 def _judge(batches: Iterator[pa.RecordBatch], strict: tuple[str, ...], soft: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
     made = automaton(strict, soft)
     lower = str.maketrans(UPPER, LOWER)
@@ -106,6 +109,7 @@ def _judge(batches: Iterator[pa.RecordBatch], strict: tuple[str, ...], soft: tup
 
 def judge_urls(pages: DataFrame, url: str = "url", key: str = "page_id", rules: tuple[UrlRule, ...] = RULES, strict: tuple[str, ...] = STRICT, soft: tuple[str, ...] = SOFT, soft_hits: int = SOFT_HITS) -> DataFrame:
     """(``key``, host, path, rule, verdict, strict_hits, soft_hits) of every row."""
+    small_batches(pages.sparkSession)
     made = pages.select(F.col(key).alias("id"), F.col(url).alias("_url"))
     kind = made.schema["id"].dataType.simpleString()
     counted = made.withColumn("url", F.col("_url")).mapInArrow(lambda it: _judge(it, strict, soft), f"id {kind}, url string, strict_hits int, soft_hits int")
