@@ -1,0 +1,118 @@
+"""Writing members: one file a shard in a store, linked into the members' folders."""
+
+from __future__ import annotations
+
+import json
+import os
+import shutil
+from pathlib import Path
+
+from pyspark.sql import DataFrame
+
+
+def write_json(path: Path, value: dict) -> None:
+    path.parent.mkdir(parents=True, exist_ok=True)
+    aside = path.with_name(f".{path.name}.{os.getpid()}.tmp")
+    aside.write_text(json.dumps(value, indent=2, sort_keys=True) + "\n", encoding="utf-8")
+    os.replace(aside, path)
+
+
+def write_one_file(rows: DataFrame, path: Path) -> None:
+    """A small table as one file, put in place by a rename."""
+    path.parent.mkdir(parents=True, exist_ok=True)
+    aside = path.with_name(f".{path.name}.{os.getpid()}.tmp")
+    rows.coalesce(1).write.mode("overwrite").parquet(str(aside))
+    found = sorted(aside.glob("part-*.parquet"))
+    if len(found) != 1:
+        raise RuntimeError(f"{len(found)} files for {path}")
+    os.replace(found[0], path)
+    shutil.rmtree(aside)
+
+
+def place(source: Path, target: Path, mode: str) -> None:
+    """Links or copies; the target appears as a whole."""
+    if target.exists() and source.resolve() == target.resolve() and not target.is_symlink():
+        raise ValueError(f"{target} can't be placed on itself")
+    target.parent.mkdir(parents=True, exist_ok=True)
+    aside = target.with_name(f".{target.name}.{os.getpid()}.tmp")
+    aside.unlink(missing_ok=True)
+    if mode == "symlink":
+        aside.symlink_to(os.path.relpath(source.resolve(), target.parent.resolve()))
+    elif mode == "hardlink":
+        try:
+            os.link(source, aside)
+        except OSError:
+            shutil.copy2(source, aside)
+    else:
+        shutil.copy2(source, aside)
+    os.replace(aside, target)
+
+
+class ShardStore:
+    """Files by key; a file is there as a whole or not at all."""
+
+    def __init__(self, root: Path):
+        self.root = Path(root)
+
+    def path(self, key: str) -> Path:
+        if any(p in ("", ".", "..") for p in key.split("/")):
+            raise ValueError(f"bad key {key!r}")
+        return self.root / f"{key}.parquet"
+
+    def has(self, key: str) -> bool:
+        path = self.path(key)
+        if not path.is_file() or path.stat().st_size < 12:
+            return False
+        with path.open("rb") as f:
+            head = f.read(4)
+            f.seek(-4, os.SEEK_END)
+            return head == b"PAR1" == f.read(4)
+
+    def put_partitioned(self, rows: DataFrame, keys: list[str], column: str = "shard") -> list[str]:
+        """Writes the shards that are missing, all in one job: one file each, sorted rows kept in order."""
+        missing = [k for k in keys if not self.has(k)]
+        if not missing:
+            return []
+        aside = self.root / f".attempt-{os.getpid()}"
+        rows.where(rows[column].isin(missing)).write.mode("overwrite").partitionBy(column).parquet(str(aside))
+        from urllib.parse import unquote
+
+        found = {unquote(p.name.partition("=")[2]): sorted(p.glob("part-*.parquet")) for p in aside.glob(f"{column}=*")}
+        for key in missing:
+            files = found.get(key, [])
+            if len(files) > 1:
+                raise RuntimeError(f"{len(files)} files for shard {key}")
+            path = self.path(key)
+            path.parent.mkdir(parents=True, exist_ok=True)
+            if files:
+                os.replace(files[0], path)
+            else:
+                write_one_file(rows.drop(column).limit(0).repartition(1), path)
+        shutil.rmtree(aside, ignore_errors=True)
+        return missing
+
+
+def prune(folder: Path, keep: set[str]) -> list[str]:
+    """Removes shards below a folder that are not to stay, and folders left empty; names with a leading dot stay."""
+    gone = []
+    for path in sorted(folder.rglob("*.parquet"), reverse=True):
+        name = path.relative_to(folder).with_suffix("").as_posix()
+        if name not in keep and not any(p.startswith(".") for p in name.split("/")):
+            path.unlink()
+            gone.append(name)
+    for path in sorted((p for p in folder.rglob("*") if p.is_dir()), reverse=True):
+        if not path.name.startswith(".") and not any(path.iterdir()):
+            path.rmdir()
+    return gone
+
+
+def folder_bytes(folder: Path) -> tuple[int, int]:
+    """(apparent bytes, bytes of distinct files) below a folder, links followed."""
+    sizes = {}
+    total = 0
+    for path in folder.rglob("*"):
+        if path.is_file():
+            stat = path.stat()
+            total += stat.st_size
+            sizes[stat.st_dev, stat.st_ino] = stat.st_size
+    return total, sum(sizes.values())
