@@ -87,7 +87,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, window: int) -> Iterat
     made = encoder(path)
     for batch in slices(batches, "text", 1 << 22):
         rows: dict[str, list] = {n: [] for n in ("row", "start", "length", "crc", "total")}
-        for row, ids in enumerate(made.ids(batch.column("text").to_pylist())):
+        for row, ids in enumerate(made.ids(batch.column("text"))):
             total = len(ids) // 4
             for start in range(0, total, window):
                 piece = ids[4 * start : 4 * (start + window)]

@@ -149,7 +149,7 @@ class _Writer:
 def _encode(batches: Iterator[pa.RecordBatch], path: str, dictionary: bytes) -> Iterator[pa.RecordBatch]:
     made, codec = encoder(path), Codec(dictionary)
     for batch in slices(batches, "text", 1 << 22):
-        ids = made.ids(batch.column("text").to_pylist())
+        ids = made.ids(batch.column("text"))
         frames = [codec.encode(x) for x in ids]
         yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(frames, pa.binary())], ["id", "n", "frame"])
 

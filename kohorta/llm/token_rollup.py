@@ -29,7 +29,7 @@ SCHEMA = "source string, lang string, version string, documents bigint, tokens b
 def _count(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     made = encoder(path, None)
     for batch in slices(batches, "_text", 1 << 22):
-        n = [len(x) // 4 for x in made.ids(batch.column("_text").to_pylist())]
+        n = [len(x) // 4 for x in made.ids(batch.column("_text"))]
         rest = [i for i, name in enumerate(batch.schema.names) if name != "_text"]
         yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in rest), pa.array(n, pa.int64())], [*(batch.schema.names[i] for i in rest), "tokens"])
 

@@ -42,6 +42,19 @@ def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
 
+def test_encoder_equals_the_tokenizer_on_random_texts():
+    from tokenizers import Tokenizer
+
+    r = random.Random(1)
+    parts = [*"abcXYZéÈßÿĀİıŉǅɏɐµªº .,!?-()&*'’_0123\t\n\x1c\x1f\x85\u00a0\u3000中文\u0301<|>", "<|endoftext|>", "'s", "'ll", " ", " ", " "]
+    texts = ["".join(r.choice(parts) for _ in range(r.randrange(40))) for _ in range(5000)]
+    plain = Tokenizer.from_file(TOKENIZER)
+    want = [np.array(x.ids, dtype="<u4").tobytes() for x in plain.encode_batch(texts, add_special_tokens=False)]
+    e = Encoder(TOKENIZER, None)
+    assert [*e.ids(texts[:2500]), *e.ids(texts[2500:])] == want
+    assert e.ids(texts) == want  # with all of it looked up
+
+
 def test_token_files_round_trip(spark, docs, texts):
     folder = shared_path(spark, "test-tokens")
     files = token_files.write_store(docs, TOKENIZER, folder, partitions=3).cache()
