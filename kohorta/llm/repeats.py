@@ -29,7 +29,7 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import frugal, joined_bytes, shared_dir, slices, small_batches, stored, whole_text
@@ -245,33 +245,40 @@ def _cut(batches: Iterator[pa.RecordBatch], length: int, with_text: bool) -> Ite
         )
 
 
-def repeated_spans(docs: DataFrame, text: str, key: str, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(k, spans): for each document with repeated windows, runs (start, count) of their starts."""
-    small_batches(docs.sparkSession)
-    made = docs.select(_key(text, key).alias("k"), whole_text(text).alias("text"))
-    found = made.where(F.octet_length("text") >= length).mapInArrow(
-        lambda it: _runs(it, length, gram), "k bigint, start bigint, count bigint, anchor bigint, span bigint, more array<bigint>"
-    )
-    same = Window.partitionBy("anchor", "span")
-    judged = (
-        found.repartition("anchor")
-        .withColumn("n", F.sum(F.when(F.col("more").isNull(), 1).otherwise(F.size("more") + 1)).over(same))
-        .withColumn("place", F.row_number().over(same.orderBy("k", "start")))
-        .withColumn("low", F.min("span").over(Window.partitionBy("anchor")))
-        .withColumn("high", F.max("span").over(Window.partitionBy("anchor")))
-    )
-    judged = judged.select("k", "start", "count", "more", (F.col("n") > 1).alias("whole"), ((F.col("low") < F.col("high")) & (F.col("place") == 1)).alias("wanted"))
-    marks = stored(judged.where("whole or wanted"), "marks")
+def repeated_spans(made: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """(k, spans) of rows (k, doc), ``doc`` being a struct with the field text: for each document with repeated windows, runs (start, count) of their starts.
 
-    wanted = marks.where("wanted").groupBy("k").agg(F.collect_list(F.struct("start", "count", F.col("whole").cast("int").alias("whole"))).alias("wanted"))
-    windows = made.join(wanted, "k").mapInArrow(lambda it: _windows(it, length), "hash bigint, k bigint, start bigint")
+    Anchors and spans are counted before anything is joined by them, so that a common passage is one row a task
+    then; the joins that follow give back single runs, and adaptive execution can split their hot keys.
+    """
+    texts = made.select("k", F.col("doc.text").alias("text")).where(F.octet_length("text") >= length)
+    found = stored(
+        texts.mapInArrow(lambda it: _runs(it, length, gram), "k bigint, start bigint, count bigint, anchor bigint, span bigint, more array<bigint>"), "runs"
+    )
+    times = F.when(F.col("more").isNull(), 1).otherwise(F.size("more") + 1)
+    anchors = found.groupBy("anchor").agg(F.sum(times).alias("n"), (F.min("span") < F.max("span")).alias("mixed")).where("n > 1").select("anchor", "mixed")
+    busy = stored(found.join(anchors, "anchor"), "busy")
+    groups = busy.groupBy("anchor", "span", "mixed").agg(F.sum(times).alias("n"), F.min(F.struct("k", "start", "count")).alias("one"))
+
+    wanted = groups.where("mixed").select("one.*", (F.col("n") > 1).cast("int").alias("whole"))
+    wanted = wanted.groupBy("k").agg(F.collect_list(F.struct("start", "count", "whole")).alias("wanted"))
+    windows = made.join(wanted, "k").mapInArrow(lambda it: _windows(_flat(it), length), "hash bigint, k bigint, start bigint")
     twice = windows.repartition("hash").sortWithinPartitions("hash", "k", "start").mapInArrow(_twice, "k bigint, start bigint")
     starts = F.concat(F.array("start"), F.coalesce("more", F.array().cast("array<bigint>")))
-    whole = marks.where("whole").select("k", F.explode(starts).alias("start"), "count")
+    whole = busy.join(groups.where("n > 1").select("anchor", "span"), ["anchor", "span"]).select("k", F.explode(starts).alias("start"), "count")
     spans = whole.unionByName(twice.select("k", "start", F.lit(1).cast("long").alias("count")))
     return spans.groupBy("k").agg(F.collect_list(F.struct("start", "count")).alias("spans"))
 
 
+def _flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The fields of the struct ``doc`` as columns; both joins carry the whole struct, so that they share one shuffle of the texts."""
+    for batch in batches:
+        doc = batch.column("doc")
+        rest = [n for n in batch.schema.names if n != "doc"]
+        fields = [f.name for f in doc.type]
+        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in rest), *(doc.field(i) for i in range(len(fields)))], [*rest, *fields])
+
+
 def _key(text: str, key: str):
     return F.xxhash64(F.col(key), whole_text(text))
 
@@ -279,18 +286,21 @@ def _key(text: str, key: str):
 def removal_report(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(``key``, n_bytes, n_removed, n_spans, kept_sha256) of every row."""
     shared_dir(docs.sparkSession)
-    spans = repeated_spans(docs, text, key, length, gram)
-    made = docs.select(F.col(key).alias("id"), _key(text, key).alias("k"), whole_text(text).alias("text"))
-    kind = made.schema["id"].dataType.simpleString()
-    joined = made.join(spans, "k", "left").select("id", "text", "spans")
-    return joined.mapInArrow(lambda it: _cut(it, length, False), f"id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string").withColumnRenamed("id", key)
+    small_batches(docs.sparkSession)
+    made = docs.select(_key(text, key).alias("k"), F.struct(F.col(key).alias("id"), whole_text(text).alias("text")).alias("doc"))
+    kind = docs.schema[key].dataType.simpleString()
+    joined = made.join(repeated_spans(made, length, gram), "k", "left").select("doc", "spans")
+    cut = joined.mapInArrow(lambda it: _cut(_flat(it), length, False), f"id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    return cut.select(F.col("id").alias(key), "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 def without_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """``docs`` with the repeated bytes cut out of their texts."""
-    spans = repeated_spans(docs, text, key, length, gram)
-    rest = docs.select(F.struct(*[c for c in docs.columns if c != text]).alias("rest"), whole_text(text).alias("text"), _key(text, key).alias("k"))
-    ready = rest.join(spans, "k", "left").select("rest", "text", "spans")
-    kind = ready.schema["rest"].dataType.simpleString()
-    done = ready.mapInArrow(lambda it: _cut(it, length, True), f"rest {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_text string")
+    shared_dir(docs.sparkSession)
+    small_batches(docs.sparkSession)
+    rest = F.struct(*[c for c in docs.columns if c != text]).alias("rest")
+    made = docs.select(_key(text, key).alias("k"), F.struct(rest, whole_text(text).alias("text")).alias("doc"))
+    kind = docs.select(rest).schema["rest"].dataType.simpleString()
+    ready = made.join(repeated_spans(made, length, gram), "k", "left").select("doc", "spans")
+    done = ready.mapInArrow(lambda it: _cut(_flat(it), length, True), f"rest {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_text string")
     return done.select(*[F.col("kept_text").alias(text) if c == text else F.col(f"rest.{c}").alias(c) for c in docs.columns])
