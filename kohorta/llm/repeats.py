@@ -14,7 +14,7 @@ anchors with equal bytes at equal offsets.  Consecutive windows with the same an
    word), one run for each key gives its windows, which are hashed and compared by themselves.
 
 The columns of the anchors' contexts are thus merged as whole spans rather than one symbol a round; the
-README says why the column-wise construction cannot be run to the end of the longest document.
+README says why the column-wise construction, which ``columnwise`` holds, cannot be run over a whole corpus.
 Hashes have 64 bits; runs are compared below an anchor hash of 64 more.
 
 Defined results: null and empty texts have no bytes and lose none; repeated rows are documents of their own, so
