@@ -37,6 +37,9 @@ LONGEST_GROUP = 8
 
 # Elements of HTML.
 DROPPED = {"script", "style", "noscript", "template", "svg", "iframe", "textarea", "select", "button", "object", "canvas", "math", "title"}
+#: Of these, what runs to the closing tag or the end of the page, and what does so only if it is closed before the next of its name.
+RAW, RAW_IF_CLOSED = {"script", "style", "textarea", "title"}, {"iframe", "noscript"}
+FOREIGN = {"svg", "math"}
 BOILERPLATE = {"nav", "header", "footer", "aside", "form", "head", "menu", "dialog"}
 BLOCKS = {
     "address", "article", "aside", "blockquote", "body", "caption", "dd", "details", "dialog", "div", "dl", "dt", "fieldset", "figcaption",
@@ -55,12 +58,15 @@ MARKS = {
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>" + "|".join(sorted(DROPPED)) + r")\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<raw>" + "|".join(sorted(RAW)) + r")(?![\w:-])(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<sure>" + "|".join(sorted(RAW_IF_CLOSED)) + r")(?![\w:-])(?:\"[^\"]*\"|'[^']*'|[^'\">])*(?<!/)>(?:(?!<(?P=sure)(?![\w:-])).)*?</(?P=sure)\s*>"
     r"|<(?P<close>/?)(?P<tag>[a-zA-Z][\w:-]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>"
     r"|<[!?][^>]*>"
     r"|(?P<text>[^<]+|<)",
     re.I | re.S,
 )
+#: A slash that ends a tag and is not the end of an unquoted value.
+_CLOSED = re.compile(r"(?:^|[\s\"'])[^\s\"'=]*/\s*$")
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 _WORD = re.compile(r"[a-z]+")
 
@@ -69,17 +75,40 @@ Token = tuple
 
 
 def tokens(page: str) -> Iterator[tuple[str, str, str]]:
-    """(kind, name, words or text): kinds are open, close and text; comments and dropped elements are out."""
+    """(kind, name, words or text): kinds are open, close and text; comments and dropped elements are out.
+
+    A dropped element ends with its closing tag, with that of an element around it, or at once if it closes itself.
+    """
+    stack: list[str] = []
+    count: Counter[str] = Counter()
+    dropped = -1  # place of the dropped element in the stack
     for m in _TOKEN.finditer(page):
         if m["text"] is not None:
-            yield "text", "", m["text"]
+            if dropped < 0:
+                yield "text", "", m["text"]
         elif m["tag"]:
             tag = m["tag"].lower()
             if m["close"]:
-                yield "close", tag, ""
-            else:
+                if count[tag]:
+                    while True:
+                        count[last := stack.pop()] -= 1
+                        if last == tag:
+                            break
+                    if len(stack) <= dropped:
+                        dropped = -1
+                if dropped < 0 and tag not in DROPPED:
+                    yield "close", tag, ""
+                continue
+            foreign = dropped >= 0 and stack[dropped] in FOREIGN
+            ends = tag in VOID or ((foreign or tag in DROPPED) and _CLOSED.search(m["attrs"]) is not None)
+            if dropped < 0 and tag in DROPPED:
+                dropped = -1 if ends else len(stack)
+            elif dropped < 0:
                 names = " ".join(x.strip("\"'") for x in _NAMES.findall(m["attrs"])).lower() if m["attrs"] else ""
                 yield "open", tag, " ".join(sorted(set(_WORD.findall(names))))
+            if not ends:
+                stack.append(tag)
+                count[tag] += 1
 
 
 def blocks(page: str) -> Iterator[tuple[str, str]]:

@@ -225,6 +225,16 @@ def test_main_texts(spark):
     assert got[50][0] == "alone\ntwo" and got[51] == ("", 0) and got[52] == ("", 0) and got[53][0] == "plain text" and got[54][0] == "A\nB c"
 
 
+def test_dropped_elements_end_with_their_container():
+    rest = "<p>rest</p></article><p>after</p>"
+    for cut in ['<svg class="i"/>', "<svg/>", "<svg width='1'><path d='x'/><g></svg>", "<math />", "<iframe src='x' />", "<svg><p>no</p></svg>", "<noscript></div>no</noscript>", "<script>'</p>'</script>"]:
+        assert wrappers.extract(f"<article><p>a</p>{cut}{rest}") == "a\nrest", cut
+    for name in ["button", "object", "select", "canvas", "iframe", "noscript", "template", "svg", "math"]:
+        assert wrappers.extract(f"<article><p>a<{name} id=x><b>no</p>{rest}") == "a\nrest", name
+        assert wrappers.extract(f"<article><div><p>a</p><{name}>no</div>{rest}<{name}>no</{name}>") == "a\nrest", name
+    assert wrappers.extract("<article><p>a<button>no<button>no</button>no</button> b</p></svg>c<object-fit>d</object-fit></article>") == "a b\ncd"
+
+
 def test_wrapper_has_repeats_and_optionals():
     made = wrappers.infer([page(0, ["a"]), page(1, ["a", "b", "c"]), page(2, []).replace("<footer>", "<aside>x</aside><footer>")])
     kinds = [x[0] for x in made]
