@@ -7,10 +7,10 @@ that the other repeats) or a text slot.  The outcome is a union-free regular exp
 of which has a place: its chain of containers.  The wrapper settles which places hold the article; extraction
 then reads a page's text slots at those places.
 
-At most ``SAMPLE`` pages a host (those with the least hashes) are aligned; every page is extracted.
+Every page's folded stream takes part: equal ones of a host, its shapes, are aligned once.
 
 Defined results: null and empty html give an empty text; a host with one page has a wrapper of that page; a
-page whose containers its host's wrapper does not know is read by its own; unclosed elements end with their
+page with text, but none at its host's places of the article, is read by its own places; unclosed elements end with their
 container; repeated rows give repeated results.
 """
 
@@ -20,19 +20,20 @@ import html as _html
 import json
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from difflib import SequenceMatcher
+from hashlib import blake2b
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import frugal, small_batches
 
 from .url_rules import host_of
 
-SAMPLE = 12
-#: Tokens of a page that take part in the alignment are folded first; longer skeletons keep their ends.
+#: Distinct shapes that a task keeps to send each once.
+KEPT_SHAPES = 20_000
 LONGEST_GROUP = 8
 
 # Elements of HTML.
@@ -213,10 +214,14 @@ def align(wrapper: list[Token], page: list[Token]) -> list[Token]:
 
 
 def infer(pages: list[str]) -> list[Token]:
+    return aligned(fold(skeleton(page)) for page in pages)
+
+
+def aligned(shapes: Iterable[list[Token]]) -> list[Token]:
+    """The wrapper of folded streams."""
     wrapper: list[Token] = []
-    for i, page in enumerate(pages):
-        folded = fold(skeleton(page))
-        wrapper = align(wrapper, folded) if i else folded
+    for i, shape in enumerate(shapes):
+        wrapper = align(wrapper, shape) if i else shape
     return wrapper
 
 
@@ -269,32 +274,45 @@ def main_places(weights: Counter[str]) -> list[str]:
     return sorted(open_to)
 
 
-def wrapper_of(pages: list[str]) -> dict:
-    """The wrapper of a host's pages: its expression, its slots' places and those that hold the article."""
-    expression = infer(pages)
-    weights: Counter[str] = Counter({p: 0 for p in slots(expression)})
-    for page in pages:
-        for place, text in blocks(page):
-            weights[place] += len(text)
-    return {"expression": expression, "places": sorted(weights), "main": main_places(weights)}
+def wrapper_of(shapes: Iterable[list[Token]], places: Iterable[str]) -> dict:
+    """The wrapper of a host's shapes and places of texts: its expression, its slots' places and those that hold the article."""
+    expression = aligned(shapes)
+    known = Counter({p: 0 for p in [*slots(expression), *places]})
+    return {"expression": expression, "places": sorted(known), "main": main_places(known)}
 
 
 def extract(page: str | None, wrapper: dict | None = None) -> str:
     found = list(blocks(page or ""))
-    known = set(wrapper["places"]) if wrapper else set()
-    if not wrapper or any(p not in known for p, _ in found):
+    main = set(wrapper["main"]) if wrapper else set()
+    if not any(p in main for p, _ in found):
         main = set(main_places(Counter({p: 0 for p, _ in found})))
-    else:
-        main = set(wrapper["main"])
-        if any("article" in p for p in known) and not any(p in main for p, _ in found):
-            main = set(main_places(Counter({p: 0 for p, _ in found})))
     return "\n".join(text for place, text in found if place in main)
 
 
+def _tuples(x):
+    return tuple(map(_tuples, x)) if isinstance(x, list) else x
+
+
+@frugal
+def _shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sent: set[bytes] = set()
+    for batch in batches:
+        rows = []
+        for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
+            shape = json.dumps([fold(skeleton(page or "")), sorted({p for p, _ in blocks(page or "")})])
+            key = blake2b(f"{host}\n{shape}".encode("utf-8", "surrogatepass"), digest_size=16).digest()
+            if key not in sent:
+                if len(sent) >= KEPT_SHAPES:
+                    sent.clear()
+                sent.add(key)
+                rows.append((host, shape))
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())], ["host", "shape"])
+
+
 def _infer(key, table: pa.Table) -> pa.Table:
-    table = table.sort_by([("rank", "ascending")])
-    made = wrapper_of([h or "" for h in table["html"].to_pylist()])
-    return pa.table({"host": [key[0].as_py()], "wrapper": [json.dumps(made)]})
+    made = [json.loads(x) for x in sorted(table["shape"].to_pylist())]
+    wrapper = wrapper_of((list(_tuples(shape)) for shape, _ in made), {p for _, places in made for p in places})
+    return pa.table({"host": [key[0].as_py()], "wrapper": [json.dumps(wrapper)]})
 
 
 @frugal
@@ -311,17 +329,17 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["id", "url", "text", "n_chars"])
 
 
-def host_wrappers(pages: DataFrame, url: str = "url", html: str = "html", sample: int = SAMPLE) -> DataFrame:
-    """(host, wrapper): every host's wrapper as JSON, inferred from ``sample`` pages at most."""
-    some = pages.select(host_of(F.col(url)).alias("host"), F.col(html).alias("html")).withColumn("order", F.xxhash64("html"))
-    chosen = some.withColumn("rank", F.row_number().over(Window.partitionBy("host").orderBy("order", "html"))).where(F.col("rank") <= sample)
-    return chosen.select("host", "html", "rank").groupBy("host").applyInArrow(lambda k, t: _infer(k, t), "host string, wrapper string")
+def host_wrappers(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """(host, wrapper): every host's wrapper as JSON, inferred from all shapes of its pages."""
+    some = pages.select(host_of(F.col(url)).alias("host"), F.col(html).alias("html"))
+    shapes = some.mapInArrow(_shapes, "host string, shape string").distinct()
+    return shapes.groupBy("host").applyInArrow(lambda k, t: _infer(k, t), "host string, wrapper string")
 
 
-def main_texts(pages: DataFrame, url: str = "url", html: str = "html", key: str = "page_id", sample: int = SAMPLE) -> DataFrame:
+def main_texts(pages: DataFrame, url: str = "url", html: str = "html", key: str = "page_id") -> DataFrame:
     """(``key``, url, text, n_chars) of every row."""
     small_batches(pages.sparkSession)
-    wrappers = host_wrappers(pages, url, html, sample)
+    wrappers = host_wrappers(pages, url, html)
     made = pages.select(F.col(key).alias("id"), F.col(url).alias("url"), F.col(html).alias("html"), host_of(F.col(url)).alias("host"))
     kind = made.schema["id"].dataType.simpleString()
     joined = made.join(wrappers, "host", "left").select("id", "url", "html", "wrapper")

@@ -1,3 +1,4 @@
+import json
 import random
 import zlib
 from hashlib import sha256
@@ -225,6 +226,18 @@ def test_main_texts(spark):
     assert got[50][0] == "alone\ntwo" and got[51] == ("", 0) and got[52] == ("", 0) and got[53][0] == "plain text" and got[54][0] == "A\nB c"
 
 
+def test_every_layout_of_a_host_is_extracted(spark):
+    a = "<body><nav>n</nav><main><p>main {i}</p></main>"
+    b = "<body><nav>n</nav><div class=content><p>div {i}</p></div>"
+    c = "<body><div class=widget><p>widget {i}</p></div>"
+    html = [[a, b, c][i % 3].replace("{i}", str(i)) for i in range(30)] + ["<body><section><p>rare</p></section>"]
+    pages = spark.createDataFrame([(i, f"http://mixed.com/{i}", h) for i, h in enumerate(html)], "page_id long, url string, html string")
+    want = {i: f"{['main', 'div', 'widget'][i % 3]} {i}" for i in range(30)} | {30: "rare"}
+    assert {r.page_id: r.text for r in wrappers.main_texts(pages).collect()} == want
+    wrapper = json.loads(wrappers.host_wrappers(pages).first().wrapper)
+    assert {"body/main", "body/div content", "body/div widget", "body/section"} <= set(wrapper["places"])
+
+
 def test_dropped_elements_end_with_their_container():
     rest = "<p>rest</p></article><p>after</p>"
     for cut in ['<svg class="i"/>', "<svg/>", "<svg width='1'><path d='x'/><g></svg>", "<math />", "<iframe src='x' />", "<svg><p>no</p></svg>", "<noscript></div>no</noscript>", "<script>'</p>'</script>"]:
