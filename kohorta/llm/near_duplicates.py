@@ -4,7 +4,10 @@ Shingles are runs of five words (a shorter text is one shingle); a shingle's wei
 count.  ProbMinHash: every shingle sends arrivals of a Poisson process whose rate is its weight, each to a
 register drawn at random; a register keeps the earliest arrival's shingle, and a shingle stops once its
 next arrival is later than every register's.  Registers agree with the probability Jaccard similarity of the
-weighted sets.  Documents whose registers agree in a band are candidates; candidates count as linked if the
+weighted sets.  That can be far below the Jaccard similarity of the sets, if one of two near copies repeats
+a line.  So a document that repeats a shingle has a second signature, with all weights one, whose registers
+agree with the Jaccard similarity of the sets; without repeats both signatures are the same.  Documents with
+an equal band in any of their signatures are candidates; candidates count as linked if the
 exact Jaccard similarity of their shingle sets reaches ``similarity``; classes are the linked components.
 
 Groups are never expanded into all pairs.  Equal texts are one node from the start.  In each bucket all
@@ -87,6 +90,14 @@ def signatures(doc: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n: int,
     return winner.reshape(n, registers)
 
 
+def _keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """The hashes of each signature's bands; equal ones are of the same band."""
+    key = np.zeros((len(signature), bands), dtype=np.uint64)
+    for i in range(rows):
+        key = mix(key ^ signature[:, i::rows])
+    return mix(key + np.arange(bands, dtype=np.uint64)).view(np.int64)
+
+
 @frugal
 def _bands(batches: Iterator[pa.RecordBatch], bands: int, rows: int) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "words", 250_000):
@@ -95,14 +106,17 @@ def _bands(batches: Iterator[pa.RecordBatch], bands: int, rows: int) -> Iterator
         flat = words.flatten().to_numpy(zero_copy_only=False)
         bounds = np.r_[0, np.cumsum(np.diff(words.offsets.to_numpy()))]
         doc, shingle, count = shingles(flat, bounds)
-        signature = signatures(doc, shingle, 1 + np.log2(count), n, bands * rows)
-        key = np.zeros((n, bands), dtype=np.uint64)
-        for i in range(rows):
-            key = mix(key ^ signature[:, i::rows])
-        key = mix(key + np.arange(bands, dtype=np.uint64)).view(np.int64)
+        weighted = _keys(signatures(doc, shingle, 1 + np.log2(count), n, bands * rows), bands, rows)
+        key = np.c_[weighted, weighted]
+        repeats = np.zeros(n, dtype=bool)
+        repeats[doc[count > 1]] = True
+        some = repeats[doc]
+        place = np.cumsum(repeats) - 1
+        key[repeats, bands:] = _keys(signatures(place[doc[some]], shingle[some], np.ones(some.sum()), repeats.sum(), bands * rows), bands, rows)
         has = np.zeros(n, dtype=bool)
         has[doc] = True
-        lists = pa.ListArray.from_arrays(np.r_[0, np.cumsum(has * bands)].astype(np.int32), key[has].ravel())
+        new = np.c_[np.ones((n, bands), dtype=bool), key[:, bands:] != weighted] & has[:, None]
+        lists = pa.ListArray.from_arrays(np.r_[0, np.cumsum(new.sum(axis=1))].astype(np.int32), key[new])
         yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("node"), lists], ["id", "node", "bands"])
 
 

@@ -77,6 +77,20 @@ def test_classes_equal_brute_force(spark):
     assert got(spark, docs) == brute(docs)
 
 
+def test_unequal_repeats_of_lines(spark):
+    r = random.Random(7)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6))
+    docs = []
+    for i in range(120):  # near copies, one of which repeats a passage of them 50 or 200 times
+        shared, line = [word() for _ in range(90)], [word() for _ in range(10)]
+        docs.append(" ".join([word() for _ in range(6)] + shared + line * 2))
+        docs.append(" ".join(shared + line * (50 if i % 2 else 200) + [word() for _ in range(6)]))
+    docs = list(enumerate(docs))
+    want = brute(docs)
+    assert all(want[2 * i + 1] == 2 * i for i in range(120))
+    assert got(spark, docs) == want
+
+
 def test_real_documents(spark, sf_dir):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     assert got(spark, docs) == brute(docs)
