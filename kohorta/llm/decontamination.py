@@ -9,7 +9,9 @@ with fewer distinct places than the item needs is out before the search.  Candid
 all the item's shingles.  Only built-in functions are used.
 
 Defined results: null and empty texts, and items with fewer than five words, match nothing; repeated rows
-of one (document id, item id) give one row with the best containment; words are compared in lower case.
+of one (document id, item id) give one row with the best containment; documents with a null id are compared
+one by one, by their texts, and ``clean_documents`` drops only those that contain an item; words are compared
+in lower case.
 """
 
 from __future__ import annotations
@@ -51,25 +53,36 @@ def _joined(left: DataFrame, right: DataFrame, on: list[str], rows: int) -> Data
     return left.join(F.broadcast(right) if rows <= BROADCAST_ROWS else right, on)
 
 
-def contained_items(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc_id", item_text: str = "text", item_key: str = "item_id", containment: float = CONTAINMENT) -> DataFrame:
-    """(doc, item, n_shared, n_item) of every document and item that it contains."""
+def _row(text: str, key: str) -> Column:
+    """What tells documents apart: their id, or their text where it is null."""
+    return F.coalesce(F.concat(F.lit("i"), F.col(key).cast("string")), F.concat(F.lit("t"), F.md5(whole_text(text).cast("binary"))))
+
+
+def _contained(docs: DataFrame, items: DataFrame, text: str, key: str, item_text: str = "text", item_key: str = "item_id", containment: float = CONTAINMENT) -> DataFrame:
+    """(row, doc, item, n_shared, n_item) of every document and item that it contains."""
     shared_dir(docs.sparkSession)
     whole = stored(item_shingles(items, item_text, item_key), "items")
     sketch = stored(sketches(whole, containment), "sketches")
     n_whole, n_sketch = whole.count(), sketch.count()
 
-    made = docs.select(F.col(key).alias("doc"), whole_text(text).alias("text"))
-    found = made.select("doc", _shingles(F.col("text")).alias("s")).select("doc", F.size("s").alias("places"), F.explode("s").alias("shingle"))
-    pairs = _joined(found, sketch, ["shingle"], n_sketch).where("places >= need").select("doc", "item").distinct()
+    made = docs.select(_row(text, key).alias("row"), F.col(key).alias("doc"), whole_text(text).alias("text"))
+    found = made.select("row", _shingles(F.col("text")).alias("s")).select("row", F.size("s").alias("places"), F.explode("s").alias("shingle"))
+    pairs = _joined(found, sketch, ["shingle"], n_sketch).where("places >= need").select("row", "item").distinct()
     pairs = stored(pairs, "candidates")
 
-    again = made.join(pairs.select("doc").distinct(), "doc").select("doc", F.explode(F.array_distinct(_shingles(F.col("text")))).alias("shingle"))
-    hits = _joined(again, whole, ["shingle"], n_whole).join(pairs, ["doc", "item"])
-    counted = hits.groupBy("doc", "item").agg(F.countDistinct("shingle").alias("n_shared"), F.max("n_item").alias("n_item"))
+    again = made.join(pairs.select("row").distinct(), "row").select("row", "doc", F.explode(F.array_distinct(_shingles(F.col("text")))).alias("shingle"))
+    hits = _joined(again, whole, ["shingle"], n_whole).join(pairs, ["row", "item"])
+    counted = hits.groupBy("row", "doc", "item").agg(F.countDistinct("shingle").alias("n_shared"), F.max("n_item").alias("n_item"))
     return counted.where(F.col("n_shared") >= F.ceil(F.col("n_item") * containment - 1e-9))
 
 
+def contained_items(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
+    """(doc, item, n_shared, n_item) of every document id and item that it contains; options: item_text, item_key, containment."""
+    found = _contained(docs, items, text, key, **options)
+    return found.groupBy("doc", "item").agg(F.max("n_shared").alias("n_shared"), F.max("n_item").alias("n_item"))
+
+
 def clean_documents(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
     """``docs`` without those that contain an item."""
-    bad = contained_items(docs, items, text, key, **options).select(F.col("doc").alias("_doc")).distinct()
-    return boxed(docs, _own=F.col(key)).join(bad, F.col("_own") == F.col("_doc"), "left_anti").select("rest.*")
+    bad = _contained(docs, items, text, key, **options).select(F.col("row").alias("_bad")).distinct()
+    return boxed(docs, _own=_row(text, key)).join(bad, F.col("_own") == F.col("_bad"), "left_anti").select("rest.*")

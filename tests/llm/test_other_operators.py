@@ -193,6 +193,15 @@ def test_containment_equals_brute_force(spark):
     assert decontamination.contained_items(df, it.limit(0)).count() == 0 and decontamination.contained_items(df.limit(0), it).count() == 0
 
 
+def test_documents_without_ids_are_decontaminated(spark):
+    item = "one two three four five six seven eight nine ten"
+    docs = [(None, f"begin {item} end"), (None, "clean text of more than five words"), (None, f"again {item}"), (None, None), (1, item), (2, "other clean text of some more words")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    it = spark.createDataFrame([(7, item)], "item_id long, text string")
+    assert sorted(map(tuple, decontamination.contained_items(df, it).collect()), key=str) == [(1, 7, 6, 6), (None, 7, 6, 6)]
+    assert sorted(map(tuple, decontamination.clean_documents(df, it).collect()), key=str) == sorted([docs[1], docs[3], docs[5]], key=str)
+
+
 def test_url_rules(spark):
     rows = [
         (1, "http://www.Example.com/en/1"), (2, "https://m.example.com/en/1?x"), (3, "http://a.net/es/#f"), (4, "http://a.net/de/"), (5, None), (6, "no-scheme/casino"),
