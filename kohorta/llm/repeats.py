@@ -1,31 +1,33 @@
-"""Removal of long repeated byte strings (exact substring deduplication).
+"""Removal of long repeated strings (exact substring deduplication), counted in bytes or in words.
 
-A byte goes when some string of ``length`` bytes that covers it also starts anywhere else in the
-collection, the same document included.  Strings never cross documents and are judged on the input.
+A text is a row of symbols: its bytes, or its words (longest runs of other characters than ASCII white space,
+which parts them and doesn't count).  A symbol goes when some string of ``length`` symbols that covers it also
+starts anywhere else in the collection, the same document included.  Strings never cross documents and are
+judged on the input.  With a word goes the white space after it.
 
-How it works.  Every window of ``length`` bytes chooses an *anchor*: the leftmost of its ``gram``-byte
-strings with the least hash.  The choice depends on the window's bytes only, so equal windows choose
-anchors with equal bytes at equal offsets.  Consecutive windows with the same anchor form a *run*, about
+How it works.  Every window of ``length`` symbols chooses an *anchor*: the leftmost of its strings of ``gram``
+symbols with the least hash.  The choice depends on the window's symbols only, so equal windows choose
+anchors with equal symbols at equal offsets.  Consecutive windows with the same anchor form a *run*, about
 ``(length - gram) / 2`` windows long, and only runs are shuffled, not positions:
 
-1. runs are keyed by the anchor's hash and by a hash of all bytes that the run covers; a key found twice
+1. runs are keyed by the anchor's hash and by a hash of all symbols that the run covers; a key found twice
    means that every window of those runs is repeated;
-2. where an anchor's bytes occur in runs with different bytes (the ends of a repeated passage, an edited
+2. where an anchor's symbols occur in runs with different symbols (the ends of a repeated passage, an edited
    word), one run for each key gives its windows, which are hashed and compared by themselves.
 
 The columns of the anchors' contexts are thus merged as whole spans rather than one symbol a round; the
 README says why the column-wise construction, which ``columnwise`` holds, cannot be run over a whole corpus.
 Hashes have 64 bits; runs are compared below an anchor hash of 64 more.
 
-Defined results: null and empty texts have no bytes and lose none; repeated rows are documents of their own, so
-that their bytes repeat (rows that are equal in id and text share their spans); the kept bytes are decoded
-without what is left of characters that were cut; other columns pass through.
+Defined results: null and empty texts have no symbols and lose none; repeated rows are documents of their own, so
+that their symbols repeat (rows that are equal in id and text share their spans); the kept bytes are decoded
+without what is left of characters that were cut; other columns pass through; ids may be of any type.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from hashlib import sha256
+from hashlib import blake2b, sha256
 
 import numpy as np
 import pyarrow as pa
@@ -34,10 +36,14 @@ from pyspark.sql import functions as F
 
 from .common import frugal, joined_bytes, shared_dir, slices, small_batches, stored, whole_text
 
-LENGTH = 400
-GRAM = 220
-#: Bytes of text handled at once; also the largest piece of one document.
+#: Lengths of strings and of anchors: in bytes, and in words.
+LENGTH, GRAM = 400, 220
+WORDS, WORD_GRAM = 50, 20
+BYTE_UNIT, WORD_UNIT = "byte", "word"
+#: Bytes of text handled at once; also the most symbols of one document.
 PIECE = 1 << 20
+#: Longer words are hashed one by one.
+LONG_WORD = 1 << 10
 _BASE = 0x9E3779B97F4A7C15
 _POS_BITS = 22
 
@@ -51,7 +57,7 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 class Hasher:
-    """Polynomial hashes of any substring of a piece, modulo 2**64, with random values for bytes."""
+    """Polynomial hashes of any string of a piece's symbols, modulo 2**64; ``value`` has bytes' random values."""
 
     def __init__(self, size: int = PIECE + 1):
         self.value = np.random.default_rng(20240607).integers(0, 2**64, 256, dtype=np.uint64)
@@ -64,9 +70,11 @@ class Hasher:
         out[0] = 1
         return np.multiply.accumulate(out)
 
-    def load(self, data: np.ndarray) -> np.ndarray:
-        sums = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum(self.value[data] * self.power[: len(data)], out=sums[1:])
+    def load(self, symbols: np.ndarray) -> np.ndarray:
+        """Running sums of symbols: of bytes, or of words' hashes."""
+        sums = np.zeros(len(symbols) + 1, dtype=np.uint64)
+        values = self.value[symbols] if symbols.dtype == np.uint8 else symbols
+        np.cumsum(values * self.power[: len(symbols)], out=sums[1:])
         return sums
 
     def at(self, sums: np.ndarray, start: np.ndarray, length) -> np.ndarray:
@@ -86,9 +94,9 @@ def _sliding_least(key: np.ndarray, width: int) -> np.ndarray:
 
 
 def runs(hasher: Hasher, data: np.ndarray, bounds: np.ndarray, length: int = LENGTH, gram: int = GRAM):
-    """Runs of windows with one anchor over documents laid end to end.
+    """Runs of windows with one anchor over documents' symbols laid end to end.
 
-    ``bounds``: the documents' first bytes and the end.  Returns arrays (document, first window's start,
+    ``bounds``: the documents' first symbols and the end.  Returns arrays (document, first window's start,
     windows, anchor hash, span hash), in order.
     """
     none = np.zeros(0, dtype=np.int64)
@@ -128,10 +136,41 @@ def hasher() -> Hasher:
     return _hasher[0]
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, int]]:
-    """(rows, their bytes, bounds, bytes before): whole documents, or one that is cut into overlapping pieces."""
+def word_places(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first bytes, ends, bounds in words) of the words of documents' bytes laid end to end."""
+    black = (data != 0x20) & ((data < 0x09) | (data > 0x0D))
+    new = np.r_[True, ~black[:-1]] if len(data) else black
+    new[bounds[:-1][bounds[:-1] < len(data)]] = True
+    last = np.r_[~black[1:], True] if len(data) else black
+    last[bounds[1:][bounds[1:] > 0] - 1] = True
+    first, end = np.flatnonzero(black & new), np.flatnonzero(black & last) + 1
+    return first, end, np.searchsorted(first, bounds)
+
+
+def word_hashes(data: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the words between bytes ``first`` and ``end``."""
+    out = np.empty(len(first), dtype=np.uint64)
+    done = 0
+    while done < len(first):  # as many words as fit a piece
+        to = max(done + 1, int(np.searchsorted(end, first[done] + PIECE, side="right")))
+        a, b = first[done:to], end[done:to]
+        short = np.flatnonzero(b - a <= LONG_WORD)
+        if len(short):
+            low, high = a[short[0]], b[short[-1]]
+            out[done + short] = hasher().at(hasher().load(data[low:high]), a[short] - low, (b - a)[short])
+        for i in np.flatnonzero(b - a > LONG_WORD).tolist():
+            out[done + i] = int.from_bytes(blake2b(data[a[i] : b[i]].tobytes(), digest_size=8).digest(), "little")
+        done = to
+    return out
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], length: int, unit: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, int]]:
+    """(rows, their symbols, bounds, symbols before): whole documents, or one that is cut into overlapping pieces."""
     for batch in slices(batches, "text", PIECE):
         data, bounds = joined_bytes(batch.column("text"))
+        if unit == WORD_UNIT:
+            first, end, bounds = word_places(data, bounds)
+            data = word_hashes(data, first, end)
         if len(data) <= PIECE:
             yield batch, data, bounds, 0
         else:
@@ -141,9 +180,9 @@ def _pieces(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[pa
 
 
 @frugal
-def _runs(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
+def _runs(batches: Iterator[pa.RecordBatch], length: int, gram: int, unit: str) -> Iterator[pa.RecordBatch]:
     """One row for each document and span; where a document has a span several times (periodic text), ``more`` has the other starts."""
-    for batch, data, bounds, before in _pieces(batches, length):
+    for batch, data, bounds, before in _pieces(batches, length, unit):
         doc, start, count, anchor, span = runs(hasher(), data, bounds, length, gram)
         order = np.lexsort((start, span, doc))
         doc, start, count, anchor, span = (x[order] for x in (doc, start, count, anchor, span))
@@ -157,9 +196,9 @@ def _runs(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator
 
 
 @frugal
-def _windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+def _windows(batches: Iterator[pa.RecordBatch], length: int, unit: str) -> Iterator[pa.RecordBatch]:
     """Hashes of the windows of the wanted runs; those of runs that are repeated as a whole count as others' partners only."""
-    for batch, data, bounds, before in _pieces(batches, length):
+    for batch, data, bounds, before in _pieces(batches, length, unit):
         sums = hasher().load(data)
         wanted = batch.column("wanted")
         each = np.diff(wanted.offsets.to_numpy())
@@ -204,7 +243,7 @@ def _twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def merged(first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The maximal runs of bytes that the spans cover."""
+    """The maximal runs of symbols that the spans cover."""
     if not len(first):
         return first, end
     order = np.argsort(first, kind="stable")
@@ -215,7 +254,7 @@ def merged(first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 @frugal
-def _cut(batches: Iterator[pa.RecordBatch], length: int, with_text: bool) -> Iterator[pa.RecordBatch]:
+def _cut(batches: Iterator[pa.RecordBatch], length: int, unit: str, with_text: bool) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "text", PIECE):
         n_bytes, removed, n_spans, digests, texts = [], [], [], [], []
         spans = batch.column("spans")
@@ -228,6 +267,10 @@ def _cut(batches: Iterator[pa.RecordBatch], length: int, with_text: bool) -> Ite
                 values = spans[row].values.flatten()
                 first, count = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in values)
                 first, end = merged(first, first + count + length - 1)
+                if unit == WORD_UNIT:
+                    starts, *_ = word_places(np.frombuffer(data, dtype=np.uint8), np.array([0, len(data)]))
+                    places = np.r_[starts, len(data)]
+                    first, end = places[first], places[end]
                 gone = int((end - first).sum())
                 kept = b"".join(data[a:b] for a, b in zip([0, *end.tolist()], [*first.tolist(), len(data)], strict=True))
             n_bytes.append(len(data))
@@ -245,15 +288,16 @@ def _cut(batches: Iterator[pa.RecordBatch], length: int, with_text: bool) -> Ite
         )
 
 
-def repeated_spans(made: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def repeated_spans(made: DataFrame, length: int = LENGTH, gram: int = GRAM, unit: str = BYTE_UNIT) -> DataFrame:
     """(k, spans) of rows (k, doc), ``doc`` being a struct with the field text: for each document with repeated windows, runs (start, count) of their starts.
 
     Anchors and spans are counted before anything is joined by them, so that a common passage is one row a task
     then; the joins that follow give back single runs, and adaptive execution can split their hot keys.
     """
-    texts = made.select("k", F.col("doc.text").alias("text")).where(F.octet_length("text") >= length)
+    least = length if unit == BYTE_UNIT else 2 * length - 1  # bytes of the shortest text that holds a window
+    texts = made.select("k", F.col("doc.text").alias("text")).where(F.octet_length("text") >= least)
     found = stored(
-        texts.mapInArrow(lambda it: _runs(it, length, gram), "k bigint, start bigint, count bigint, anchor bigint, span bigint, more array<bigint>"), "runs"
+        texts.mapInArrow(lambda it: _runs(it, length, gram, unit), "k bigint, start bigint, count bigint, anchor bigint, span bigint, more array<bigint>"), "runs"
     )
     times = F.when(F.col("more").isNull(), 1).otherwise(F.size("more") + 1)
     anchors = found.groupBy("anchor").agg(F.sum(times).alias("n"), (F.min("span") < F.max("span")).alias("mixed")).where("n > 1").select("anchor", "mixed")
@@ -262,7 +306,7 @@ def repeated_spans(made: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
 
     wanted = groups.where("mixed").select("one.*", (F.col("n") > 1).cast("int").alias("whole"))
     wanted = wanted.groupBy("k").agg(F.collect_list(F.struct("start", "count", "whole")).alias("wanted"))
-    windows = made.join(wanted, "k").mapInArrow(lambda it: _windows(_flat(it), length), "hash bigint, k bigint, start bigint")
+    windows = made.join(wanted, "k").mapInArrow(lambda it: _windows(_flat(it), length, unit), "hash bigint, k bigint, start bigint")
     twice = windows.repartition("hash").sortWithinPartitions("hash", "k", "start").mapInArrow(_twice, "k bigint, start bigint")
     starts = F.concat(F.array("start"), F.coalesce("more", F.array().cast("array<bigint>")))
     whole = busy.join(groups.where("n > 1").select("anchor", "span"), ["anchor", "span"]).select("k", F.explode(starts).alias("start"), "count")
@@ -283,24 +327,27 @@ def _key(text: str, key: str):
     return F.xxhash64(F.col(key), whole_text(text))
 
 
-def removal_report(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(``key``, n_bytes, n_removed, n_spans, kept_sha256) of every row."""
+def _spanned(docs: DataFrame, head, text: str, key: str, length: int, gram: int, unit: str) -> tuple[DataFrame, str]:
+    """(doc, spans) of every row, ``doc`` being a struct of ``head`` and the text, and the type of ``head``."""
+    if unit not in (BYTE_UNIT, WORD_UNIT):
+        raise ValueError(f"unknown unit {unit!r}")
+    if not 0 < gram <= length:
+        raise ValueError(f"anchors of {gram} don't fit strings of {length}")
     shared_dir(docs.sparkSession)
     small_batches(docs.sparkSession)
-    made = docs.select(_key(text, key).alias("k"), F.struct(F.col(key).alias("id"), whole_text(text).alias("text")).alias("doc"))
-    kind = docs.schema[key].dataType.simpleString()
-    joined = made.join(repeated_spans(made, length, gram), "k", "left").select("doc", "spans")
-    cut = joined.mapInArrow(lambda it: _cut(_flat(it), length, False), f"id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
-    return cut.select(F.col("id").alias(key), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    made = docs.select(_key(text, key).alias("k"), F.struct(head.alias("head"), whole_text(text).alias("text")).alias("doc"))
+    return made.join(repeated_spans(made, length, gram, unit), "k", "left").select("doc", "spans"), made.schema["doc"].dataType["head"].dataType.simpleString()
 
 
-def without_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """``docs`` with the repeated bytes cut out of their texts."""
-    shared_dir(docs.sparkSession)
-    small_batches(docs.sparkSession)
-    rest = F.struct(*[c for c in docs.columns if c != text]).alias("rest")
-    made = docs.select(_key(text, key).alias("k"), F.struct(rest, whole_text(text).alias("text")).alias("doc"))
-    kind = docs.select(rest).schema["rest"].dataType.simpleString()
-    ready = made.join(repeated_spans(made, length, gram), "k", "left").select("doc", "spans")
-    done = ready.mapInArrow(lambda it: _cut(_flat(it), length, True), f"rest {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_text string")
-    return done.select(*[F.col("kept_text").alias(text) if c == text else F.col(f"rest.{c}").alias(c) for c in docs.columns])
+def removal_report(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int = LENGTH, gram: int = GRAM, unit: str = BYTE_UNIT) -> DataFrame:
+    """(``key``, n_bytes, n_removed, n_spans, kept_sha256) of every row."""
+    joined, kind = _spanned(docs, F.col(key), text, key, length, gram, unit)
+    cut = joined.mapInArrow(lambda it: _cut(_flat(it), length, unit, False), f"head {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    return cut.select(F.col("head").alias(key), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def without_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int = LENGTH, gram: int = GRAM, unit: str = BYTE_UNIT) -> DataFrame:
+    """``docs`` with the repeated symbols cut out of their texts."""
+    joined, kind = _spanned(docs, F.struct(*[docs[c] for c in docs.columns if c != text]), text, key, length, gram, unit)
+    done = joined.mapInArrow(lambda it: _cut(_flat(it), length, unit, True), f"head {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_text string")
+    return done.select(*[F.col("kept_text").alias(text) if c == text else F.col(f"head.`{c}`").alias(c) for c in docs.columns])

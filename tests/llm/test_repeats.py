@@ -1,4 +1,5 @@
 import random
+import re
 from collections import Counter
 from hashlib import sha256
 
@@ -45,6 +46,77 @@ def test_production_length_on_real_documents(spark, sf_dir):
     check(spark, texts[:120], repeats.LENGTH, repeats.GRAM)
 
 
+WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+
+
+def brute_words(texts, length):
+    """The texts without the repeated words and the white space after them, and how many runs went."""
+    data = [(t or "").encode() for t in texts]
+    words = [[m.span() for m in WORD.finditer(d)] for d in data]
+    string = lambda d, w, i: tuple(d[a:b] for a, b in w[i : i + length])
+    seen = Counter(string(d, w, i) for d, w in zip(data, words) for i in range(len(w) - length + 1))
+    out = []
+    for d, w in zip(data, words):
+        gone = [False] * len(w)
+        for i in range(len(w) - length + 1):
+            if seen[string(d, w, i)] > 1:
+                gone[i : i + length] = [True] * length
+        starts = [a for a, _ in w] + [len(d)]
+        cut = [False] * len(d)
+        for i, g in enumerate(gone):
+            if g:
+                cut[starts[i] : starts[i + 1]] = [True] * (starts[i + 1] - starts[i])
+        out.append((bytes(b for b, g in zip(d, cut) if not g).decode(), sum(g and not (i and gone[i - 1]) for i, g in enumerate(gone))))
+    return out
+
+
+def check_words(spark, texts, length, gram):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    want = brute_words(texts, length)
+    options = {"length": length, "gram": gram, "unit": repeats.WORD_UNIT}
+    assert {r.doc_id: r.text for r in repeats.without_repeats(docs, **options).collect()} == {i: t for i, (t, _) in enumerate(want)}
+    got = {r.doc_id: (r.kept_sha256, r.n_spans) for r in repeats.removal_report(docs, **options).collect()}
+    assert got == {i: (sha256(t.encode()).hexdigest(), n) for i, (t, n) in enumerate(want)}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_words_with_shared_passages(spark, seed, monkeypatch):
+    r = random.Random(seed)
+    part = lambda: r.choice([" ", "\n", "  ", "\t", " \r\n"])
+    word = lambda: "".join(r.choice("abé") for _ in range(r.randrange(1, 4)))
+    make = lambda n: "".join(word() + part() for _ in range(n))
+    shared = [make(r.randrange(8, 40)) for _ in range(4)]
+    texts = [make(r.randrange(0, 30)) + r.choice(shared) + make(r.randrange(0, 20)) + (r.choice(shared) if r.random() < 0.4 else "") for _ in range(40)]
+    texts += [texts[3], None, "", " ", "\n a", "a b " * 60, "b a " * 50, "x " * 9, "x" * 3000 + " y " * 12, "x" * 3000 + " y " * 11, "\x1cfoo bar " * 7]
+    check_words(spark, [*texts, texts[5].replace(" ", "\n")], 8, 3)
+
+
+def test_production_words_on_real_documents(spark, sf_dir):
+    texts = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id").collect()]
+    check_words(spark, texts, repeats.WORDS, repeats.WORD_GRAM)
+
+
+def test_word_hashes_do_not_depend_on_pieces(monkeypatch):
+    data = np.frombuffer(("ab cd  " + "q" * 3000 + " " + "é" * 300 + " z " * 400).encode(), np.uint8)
+    first, end, bounds = repeats.word_places(data, np.array([0, 4, len(data)]))
+    assert bounds.tolist() == [0, 2, len(first)] and data[first[1] : end[1]].tobytes() == b"c"
+    whole = repeats.word_hashes(data, first, end)
+    monkeypatch.setattr(repeats, "PIECE", 50)
+    assert repeats.word_hashes(data, first, end).tolist() == whole.tolist()
+    assert len(set(whole.tolist())) == 6
+    for none in (b"", b" \n"):
+        data = np.frombuffer(none, np.uint8)
+        assert [len(x) for x in repeats.word_places(data, np.array([0, 0, len(data)]))] == [0, 0, 3]
+
+
+def test_unknown_units_are_refused(spark):
+    docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    with pytest.raises(ValueError, match="unknown unit"):
+        repeats.removal_report(docs, unit="line")
+    with pytest.raises(ValueError, match="don't fit"):
+        repeats.removal_report(docs, length=3, gram=4)
+
+
 def test_pieces_of_long_documents(spark, monkeypatch):
     r = random.Random(9)
     a = "".join(r.choice("abcdefgh ") for _ in range(5000))
