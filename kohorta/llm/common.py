@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -48,9 +49,11 @@ def boxed(docs: DataFrame, **columns: Column) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: the cluster's own setting, or a new one where it has none."""
+    """The folder that all executors share: the cluster's own setting, or a new one in local mode, where there is one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="kohorta-")
         spark.conf.set("spark.checkpoint.dir", found)
     if "://" not in found:
@@ -70,6 +73,30 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Stored tables of one computation; ``release`` removes those that its result doesn't read."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: list[tuple[str, str]] = []
+
+    def stored(self, df: DataFrame, name: str) -> DataFrame:
+        path = shared_path(self.spark, name)
+        df.write.option("compression", "zstd").parquet(path)
+        self.paths.append((name, path))
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def release(self, *keep: str) -> None:
+        remove(self.spark, [path for name, path in self.paths if name not in keep])
+        self.paths = [x for x in self.paths if x[0] in keep]
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        made = spark._jvm.org.apache.hadoop.fs.Path(path)
+        made.getFileSystem(spark._jsc.hadoopConfiguration()).delete(made, True)
+
+
 def file_system(uri: str):
     """The Arrow file system of ``uri`` and the path in it."""
     from pyarrow import fs

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import Scratch
 
 MAX_STEPS = 60
 
@@ -31,13 +31,15 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of the edges (u, v); the root is the component's least node."""
-    now, seen = stored(edges.select("u", "v").where("u != v").distinct(), "edges"), None
-    for _ in range(MAX_STEPS):
+    scratch = Scratch(edges.sparkSession)
+    now, seen = scratch.stored(edges.select("u", "v").where("u != v").distinct(), "edges"), None
+    for step in range(MAX_STEPS):
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(mark) == seen or not mark[0]:
             break
         seen = tuple(mark)
-        now = stored(_star(_star(now, large=True), large=False), "edges")
+        now = scratch.stored(_star(_star(now, large=True), large=False), f"edges-{step}")
+        scratch.release(f"edges-{step}")
     else:
         raise RuntimeError("the components did not settle")
     pairs = now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))

@@ -1,17 +1,19 @@
 """Benchmark decontamination: test items found inside documents by size-partitioned MinHash containment.
 
-An item is contained if at least ``containment`` of its distinct five-word shingles occur in the document.
-Items are partitioned by their number of shingles, in powers of two; a partition fixes how deep its items'
-sketches are: the sketch of an item is its k shingles with the least hashes (its k-minimum values), where k
-is the most shingles that any item of the partition may miss, plus one.  A document that contains an item
-thus shares a sketch value with it, however long the document is, so the search misses nothing.  A document
-with fewer distinct places than the item needs is out before the search.  Candidates are then verified with
+An item is contained if at least ``containment`` of its distinct five-word shingles occur in the document; an
+item of fewer words is one shingle, which occurs where its words follow one another.  A shingle's hash is also
+its MinHash value.  Items are partitioned by their number of shingles, in powers of two; a partition fixes how
+deep its items' sketches are: the sketch of an item is its k shingles with the least hashes (its k-minimum
+values), where k is the most shingles that any item of the partition may miss, plus one.  A document's sketch
+is all its shingles' hashes up to the largest in any item's sketch.  A document that contains an item thus
+shares a sketch value with it, however long the document is, so the search misses nothing.  A document
+with fewer places than the item needs is out before the search.  Candidates are then verified with
 all the item's shingles.  Only built-in functions are used.
 
-Defined results: null and empty texts, and items with fewer than five words, match nothing; repeated rows
-of one (document id, item id) give one row with the best containment; documents with a null id are compared
-one by one, by their texts, and ``clean_documents`` drops only those that contain an item; words are compared
-in lower case.
+Defined results: null and empty texts, and items without words, match nothing; words are compared in lower
+case; every row is compared by itself, also if ids repeat or are null (rows that are equal in id and text are
+judged once, for all of them); ``contained_items`` gives one row for each (document id, item id), with the best
+containment of their rows; ``clean_documents`` drops only rows that contain an item themselves.
 """
 
 from __future__ import annotations
@@ -19,67 +21,82 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import boxed, let, shared_dir, shingle_hashes, stored, whole_text, words_of
+from .common import boxed, let, shared_dir, shingle_hashes, stored, whole_text, words_of, SHINGLE_WORDS
 
 CONTAINMENT = 0.8
-#: Rows of a sketch or shingle table of the items up to which it is broadcast (16 bytes each).
+#: Rows of a sketch or shingle table of the items up to which it is broadcast (about 50 bytes each).
 BROADCAST_ROWS = 200_000
 
 
-def _shingles(text: Column) -> Column:
-    return let(words_of(F.lower(text)), lambda w: shingle_hashes(w))
+def _words(text: Column) -> Column:
+    return words_of(F.lower(text))
+
+
+def _shingles(text: Column, sizes: list[int]) -> Column:
+    """Hashes of the text's shingles of each of the ``sizes``."""
+    return let(_words(text), lambda w: F.concat(*[shingle_hashes(w, k) for k in sizes]))
+
+
+def _row(text: str, key: str) -> Column:
+    """What tells rows apart: id and text."""
+    own = F.coalesce(F.concat(F.lit("i"), F.col(key).cast("string")), F.lit("n"))
+    return F.md5(F.concat(own, F.lit("\n"), whole_text(text)).cast("binary"))
+
+
+def _enough(n_item: Column, containment: float) -> Column:
+    return F.ceil(n_item * containment - 1e-9).cast("long")
 
 
 def item_shingles(items: DataFrame, text: str = "text", key: str = "item_id") -> DataFrame:
-    """(item, shingle, n_item) with the distinct shingles of every item."""
-    made = items.select(F.col(key).alias("item"), F.array_distinct(_shingles(whole_text(text))).alias("s"))
-    merged = made.where(F.size("s") > 0).select("item", F.explode("s").alias("shingle")).distinct()
-    sizes = merged.groupBy("item").agg(F.count("*").alias("n_item"))
-    return merged.join(sizes, "item")
+    """(item_row, item, size, shingle, n_item) with the distinct shingles, of ``size`` words, of every item row."""
+    made = items.select(_row(text, key).alias("item_row"), F.col(key).alias("item"), whole_text(text).alias("text")).dropDuplicates(["item_row"])
+    sized = made.withColumn("size", F.least(F.size(_words(F.col("text"))), F.lit(SHINGLE_WORDS)))
+    shingles = F.lit(None).cast("array<bigint>")
+    for k in range(1, SHINGLE_WORDS + 1):
+        shingles = F.when(F.col("size") == k, _shingles(F.col("text"), [k])).otherwise(shingles)
+    each = sized.select("item_row", "item", "size", F.array_distinct(shingles).alias("s"))
+    return each.select("item_row", "item", "size", F.explode("s").alias("shingle"), F.size("s").cast("long").alias("n_item"))
 
 
 def sketches(shingles: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
-    """(shingle, item, least): the values of each item's sketch, and the shingles that it must share."""
-    size = F.pow(F.lit(2), F.ceil(F.log2("n_item"))).cast("long")  # the partition's upper bound
-    need = F.ceil(F.col("n_item") * containment - 1e-9).cast("long")
-    depth = F.least(F.col("n_item"), size - F.ceil(size * containment - 1e-9).cast("long") + 1)
-    order = Window.partitionBy("item").orderBy(F.xxhash64("shingle"), "shingle")
-    return (
-        shingles.withColumn("depth", depth).withColumn("need", need).withColumn("place", F.row_number().over(order)).where("place <= depth").select("shingle", "item", "need")
-    )
+    """(shingle, item_row, need): the values of each item's sketch, and how many shingles it must share."""
+    upper = F.pow(F.lit(2), F.ceil(F.log2("n_item"))).cast("long")  # of the item's partition
+    depth = F.least(F.col("n_item"), upper - _enough(upper, containment) + 1)
+    order = Window.partitionBy("item_row").orderBy("shingle")
+    placed = shingles.withColumn("place", F.row_number().over(order)).where(F.col("place") <= depth)
+    return placed.select("shingle", "item_row", _enough(F.col("n_item"), containment).alias("need"))
 
 
 def _joined(left: DataFrame, right: DataFrame, on: list[str], rows: int) -> DataFrame:
     return left.join(F.broadcast(right) if rows <= BROADCAST_ROWS else right, on)
 
 
-def _row(text: str, key: str) -> Column:
-    """What tells documents apart: their id, or their text where it is null."""
-    return F.coalesce(F.concat(F.lit("i"), F.col(key).cast("string")), F.concat(F.lit("t"), F.md5(whole_text(text).cast("binary"))))
-
-
 def _contained(docs: DataFrame, items: DataFrame, text: str, key: str, item_text: str = "text", item_key: str = "item_id", containment: float = CONTAINMENT) -> DataFrame:
-    """(row, doc, item, n_shared, n_item) of every document and item that it contains."""
+    """(row, doc, item, n_shared, n_item) of every document row and item row that it contains."""
     shared_dir(docs.sparkSession)
     whole = stored(item_shingles(items, item_text, item_key), "items")
     sketch = stored(sketches(whole, containment), "sketches")
     n_whole, n_sketch = whole.count(), sketch.count()
+    sizes = sorted(r["size"] for r in whole.select("size").distinct().collect()) or [SHINGLE_WORDS]  # five numbers at most
+    largest = sketch.agg(F.max("shingle")).first()[0] or 0
 
     made = docs.select(_row(text, key).alias("row"), F.col(key).alias("doc"), whole_text(text).alias("text"))
-    found = made.select("row", _shingles(F.col("text")).alias("s")).select("row", F.size("s").alias("places"), F.explode("s").alias("shingle"))
-    pairs = _joined(found, sketch, ["shingle"], n_sketch).where("places >= need").select("row", "item").distinct()
+    found = made.select("row", _shingles(F.col("text"), sizes).alias("s"))
+    sketched = found.select("row", F.size("s").alias("places"), F.explode(F.filter("s", lambda x: x <= F.lit(largest))).alias("shingle"))
+    pairs = _joined(sketched, sketch, ["shingle"], n_sketch).where("places >= need").select("row", "item_row").distinct()
     pairs = stored(pairs, "candidates")
 
-    again = made.join(pairs.select("row").distinct(), "row").select("row", "doc", F.explode(F.array_distinct(_shingles(F.col("text")))).alias("shingle"))
-    hits = _joined(again, whole, ["shingle"], n_whole).join(pairs, ["row", "item"])
-    counted = hits.groupBy("row", "doc", "item").agg(F.countDistinct("shingle").alias("n_shared"), F.max("n_item").alias("n_item"))
-    return counted.where(F.col("n_shared") >= F.ceil(F.col("n_item") * containment - 1e-9))
+    again = made.join(pairs.select("row").distinct(), "row").select("row", "doc", F.explode(F.array_distinct(_shingles(F.col("text"), sizes))).alias("shingle"))
+    hits = _joined(again, whole.select("shingle", "item_row", "item", "n_item"), ["shingle"], n_whole).join(pairs, ["row", "item_row"])
+    counted = hits.groupBy("row", "doc", "item_row", "item").agg(F.countDistinct("shingle").alias("n_shared"), F.max("n_item").alias("n_item"))
+    return counted.where(F.col("n_shared") >= _enough(F.col("n_item"), containment)).select("row", "doc", "item", "n_shared", "n_item")
 
 
 def contained_items(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
     """(doc, item, n_shared, n_item) of every document id and item that it contains; options: item_text, item_key, containment."""
     found = _contained(docs, items, text, key, **options)
-    return found.groupBy("doc", "item").agg(F.max("n_shared").alias("n_shared"), F.max("n_item").alias("n_item"))
+    best = F.max(F.struct((F.col("n_shared") / F.col("n_item")).alias("share"), "n_shared", "n_item")).alias("best")
+    return found.groupBy("doc", "item").agg(best).select("doc", "item", "best.n_shared", "best.n_item")
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import boxed, frugal, shared_dir, slices, small_batches, stored, whole_text, words_of, SHINGLE_WORDS
+from .common import Scratch, boxed, frugal, shared_dir, slices, small_batches, whole_text, words_of, SHINGLE_WORDS
 from .components import components
 
 BANDS, ROWS = 25, 5
@@ -157,32 +157,33 @@ def _similar(similarity: float) -> Column:
 def _classes(docs: DataFrame, text: str, key: str, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
     """(id, node) of every row, and (node, part, least) of every node."""
     shared_dir(docs.sparkSession)
+    scratch = Scratch(docs.sparkSession)
     small_batches(docs.sparkSession)
     t = whole_text(text)
     made = docs.select(F.col(key).cast("long").alias("id"), _node(t).alias("node"), _word_hashes(t).alias("words"))
-    rows_of = stored(
+    rows_of = scratch.stored(
         made.mapInArrow(lambda it: _bands(it, bands, rows), "id bigint, node binary, bands array<bigint>"), "bands"
     )
     nodes = rows_of.groupBy("node").agg(F.min(F.coalesce("id", F.lit(-(2**63)))).alias("least"), F.min("bands").alias("bands"))
     member = nodes.select("node", F.explode("bands").alias("bucket"))
     several = member.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    shared = stored(member.join(several, "bucket"), "members")
+    shared = scratch.stored(member.join(several, "bucket"), "members")
 
     wanted = shared.select("node").distinct().join(nodes.select("node", "least"), "node")
     texts = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))).alias("least"), t.alias("text"))
     found = texts.join(wanted, "least").where(_node(F.col("text")) == F.col("node"))
-    sets = stored(
+    sets = scratch.stored(
         found.select("node", _word_hashes(F.col("text")).alias("words")).mapInArrow(_sets, "node binary, shingles array<bigint>").dropDuplicates(["node"]), "sets"
     )
 
     of_one = sets.select("node", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n"), F.first("node").alias("node")).where("n = 1")
     own = of_one.groupBy("node").agg(F.count("*").alias("own"))
-    sizes = stored(
+    sizes = scratch.stored(
         sets.select("node", F.size("shingles").alias("size")).join(own, "node", "left").select("node", "size", F.coalesce("own", F.lit(0)).alias("own")), "sizes"
     )
     sized = shared.join(sizes, "node")
     central = sized.groupBy("bucket").agg(F.min(F.struct(F.col("own") / F.col("size"), "node")).alias("low"), F.max("node").alias("high"))
-    members = stored(sized.join(central.select("bucket", "low.node", "high").withColumnRenamed("node", "low"), "bucket"), "members")
+    members = scratch.stored(sized.join(central.select("bucket", "low.node", "high").withColumnRenamed("node", "low"), "bucket"), "members")
 
     def pair(a: str, b: str, of: DataFrame) -> DataFrame:
         return of.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).where("u != v").distinct()
@@ -196,18 +197,18 @@ def _classes(docs: DataFrame, text: str, key: str, similarity: float = SIMILARIT
         mixed = named.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p != q").select("bucket")
         return named.join(mixed, "bucket")
 
-    star = stored(_overlaps(pair("node", "low", members), sets), "star")
+    star = scratch.stored(_overlaps(pair("node", "low", members), sets), "star")
     links = star.where(_similar(similarity)).select("u", "v")
-    part = stored(settled(links), "parts")
+    part = scratch.stored(settled(links), "parts")
     rest = apart(part)
     top = part.select(F.col("node").alias("high"), F.col("part").alias("high_part"))
     again = rest.join(top, "high", "left").where(F.col("part") != F.coalesce("high_part", "high"))
-    links = stored(links.unionByName(_linked(pair("node", "high", again), sets, similarity)), "links")
-    part = stored(settled(links), "parts")
+    links = scratch.stored(links.unionByName(_linked(pair("node", "high", again), sets, similarity)), "links")
+    part = scratch.stored(settled(links), "parts")
     left = apart(part).where("node != low").select("bucket", "node", "part", "size", "own", "low", F.least("node", "low").alias("u"), F.greatest("node", "low").alias("v"))
     able = F.col("own") <= F.col("size") * (1 - similarity) + 1e-9
     lacks = F.when(F.col("u") == F.col("low"), F.col("a")).otherwise(F.col("b")) - F.col("shared")
-    rest = stored(left.where(able).join(star, ["u", "v"]).select("bucket", "node", "part", "size", "own", lacks.alias("lacks"), (F.col("size") - F.col("shared")).alias("extra")), "rest")
+    rest = scratch.stored(left.where(able).join(star, ["u", "v"]).select("bucket", "node", "part", "size", "own", lacks.alias("lacks"), (F.col("size") - F.col("shared")).alias("extra")), "rest")
     other = rest.select("bucket", *[F.col(c).alias(f"other_{c}") for c in ("node", "part", "size", "own", "lacks", "extra")])
     common = F.least(F.col("extra") - F.col("own"), F.col("other_extra") - F.col("other_own"))
     differ = F.col("extra") + F.col("other_extra") - common * 2 + F.abs(F.col("lacks") - F.col("other_lacks"))
@@ -217,7 +218,9 @@ def _classes(docs: DataFrame, text: str, key: str, similarity: float = SIMILARIT
     part = settled(links)
 
     named = nodes.select("node", "least").join(part, "node", "left").withColumn("part", F.coalesce("part", "node"))
-    return rows_of.select("id", "node"), stored(named, "named")
+    named = scratch.stored(named, "named")
+    scratch.release("bands", "named")
+    return rows_of.select("id", "node"), named
 
 
 def near_duplicate_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:

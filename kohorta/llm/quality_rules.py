@@ -6,13 +6,14 @@ thirds of the rows that are not covered yet by the condition with the best infor
 on the other third.  ``verdict`` turns the list into one ordered conditional expression.
 
 Defined results: a null or empty text has no words and fails the base rules; a label that is null is left
-out; a document with several labels counts as bad if one of them is; without labels of both classes the
+out; a document with several labels counts as bad if one of them is; of rows that share a labelled id one is learned from; ids may be of any type; without labels of both classes the
 list is empty and the base rules alone decide; other columns pass through, and columns that would clash
 with the names made here are kept (the made ones are in one struct column whose name is a parameter).
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from math import log2
 
@@ -26,27 +27,37 @@ MAX_LABELLED = 20_000
 MAX_RULES, MAX_CONDITIONS, CUTS = 12, 4, 48
 MIN_COVERED, MIN_PRECISION = 5, 0.9
 SYMBOLS = r"[^#*$%&|<>]+"
+#: Words beyond which a window's hash and place have a long each.
+LONG_TEXT = 1 << 14
 
 
 def _repeated_words(words: Column) -> Column:
     """Words that lie in a three-word window found twice or more.
 
     A window is a long: its hash above, its place in the low bits that the text's size asks for.  Sorted,
-    equal windows are neighbours.  (Two different windows of 20,000 pass for equal with a chance of 4e-7.)
+    equal windows are neighbours.  (Two different windows of 16,384 pass for equal with a chance of 2e-7.)
+    Longer texts' windows are pairs of the whole hash and the place (3e-8 for a million words).
     """
 
+    def hashed(w: Column, i: Column) -> Column:
+        return F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
+
     def packed(w: Column, bits: Column) -> Column:
-        one = lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
-        return F.sort_array(
-            F.transform(
-                F.sequence(F.lit(0), F.size(w) - 3),
-                lambda i: F.call_function("shiftleft", one(i), bits).bitwiseOR(i.cast("long")),
-            )
-        )
-
-    def places(s: Column, bits: Column) -> Column:
+        one = lambda i: F.call_function("shiftleft", hashed(w, i), bits).bitwiseOR(i.cast("long"))
+        return F.sort_array(F.transform(F.sequence(F.lit(0), F.size(w) - 3), one))
+
+    def paired(w: Column) -> Column:
+        one = lambda i: F.struct(hashed(w, i).alias("window"), i.alias("place"))
+        return F.sort_array(F.transform(F.sequence(F.lit(0), F.size(w) - 3), one))
+
+    def packed_places(s: Column, bits: Column) -> Column:
         window = lambda i: F.call_function("shiftright", F.get(s, i), bits)
-        place = lambda i: (F.get(s, i) - F.call_function("shiftleft", window(i), bits)).cast("int")
+        return places(s, window, lambda i: (F.get(s, i) - F.call_function("shiftleft", window(i), bits)).cast("int"))
+
+    def paired_places(s: Column) -> Column:
+        return places(s, lambda i: F.get(s, i)["window"], lambda i: F.get(s, i)["place"])
+
+    def places(s: Column, window: Callable[[Column], Column], place: Callable[[Column], Column]) -> Column:
         later = F.filter(F.sequence(F.lit(1), F.size(s) - 1), lambda i: window(i) == window(i - 1))
         return let(later, lambda x: F.sort_array(F.array_union(F.transform(x, place), F.transform(x, lambda i: place(i - 1)))))
 
@@ -55,8 +66,9 @@ def _repeated_words(words: Column) -> Column:
         return F.aggregate(p, start, lambda a, x: F.struct((a["n"] + F.least(F.lit(3), x - a["last"])).alias("n"), x.alias("last")))["n"]
 
     bits = F.ceil(F.log2(F.size(words))).cast("int")
-    found = let(bits, lambda b: let(packed(words, b), lambda s: let(places(s, b), covered)))
-    return F.when(F.size(words) >= 4, found).otherwise(F.lit(0)).cast("long")
+    short = let(bits, lambda b: let(packed(words, b), lambda s: let(packed_places(s, b), covered)))
+    long = let(paired(words), lambda s: let(paired_places(s), covered))
+    return F.when(F.size(words) > LONG_TEXT, long).when(F.size(words) >= 4, short).otherwise(F.lit(0)).cast("long")
 
 
 def _lines(lines: Column) -> Column:
@@ -210,7 +222,11 @@ def _prune(chosen: list[Condition], masks: dict[Condition, int], among: int, bad
 
 
 def learn(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", quality: str = "quality", max_labelled: int = MAX_LABELLED) -> list[Rule]:
-    """The list learned from at most ``max_labelled`` labelled documents that do not fail the base rules."""
+    """The list learned from at most ``max_labelled`` labelled documents that do not fail the base rules.
+
+    Only the sample's texts are counted: whether they fail the base rules is asked after the join, as a filter
+    would be pushed below it and count every text.
+    """
     sample = (
         labels.where(F.col(key).isNotNull() & F.col(quality).isNotNull())
         .groupBy(F.col(key).alias("_key"))
@@ -220,16 +236,12 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     )
     # the sample's size is bounded by max_labelled
     some = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(sample), "_key")
-    made = statistics(some, "_text").where(~base_failed())
     names = list(features())
-    rows = made.select("_key", "_bad", *[c.alias(n) for n, c in features().items()]).collect()
-    rows.sort(key=lambda r: (hash_order(r["_key"]), *[r[n] for n in names]))
-    return learn_rows([({n: r[n] for n in names}, r["_bad"]) for r in rows[:max_labelled]])
-
-
-def hash_order(key: int) -> int:
-    """An order of rows that has nothing to do with their ids."""
-    return (int(key) * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) % 2**64 >> 11
+    counted = statistics(some, "_text").select("_key", "_bad", base_failed().alias("_failed"), *[c.alias(n) for n, c in features().items()])
+    row = F.min(F.struct("_failed", "_bad", *names)).alias("row")  # of rows with one id, one counts
+    found = counted.groupBy(F.xxhash64("_key").alias("_order"), "_key").agg(row).collect()
+    rows = sorted((r["_order"], r["row"]) for r in found)
+    return learn_rows([({n: r[n] for n in names}, r["_bad"]) for _, r in rows if not r["_failed"]])
 
 
 def verdict(rules: list[Rule], statistics: str = "_statistics") -> Column:

@@ -89,16 +89,22 @@ FROM p LEFT JOIN f ON p.digest = f.digest AND n >= {archives.MIN_REVISIT}
 
 _OP7 = rf"""
 WITH item_words AS (
-  SELECT item_id, list_filter(string_split_regex(lower(text), '{_WHITE}'), lambda w: w <> '') AS w FROM benchmark WHERE text IS NOT NULL
-), item_grams AS (
-  SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) AS g FROM item_words WHERE len(w) >= 5
-), items AS (SELECT item_id, count(*) AS n_item FROM item_grams GROUP BY item_id),
+  SELECT row_number() OVER () AS r, item_id, list_filter(string_split_regex(lower(text), '{_WHITE}'), lambda w: w <> '') AS w FROM benchmark WHERE text IS NOT NULL
+), sized AS (SELECT *, least(len(w), 5) AS k FROM item_words WHERE len(w) > 0),
+item_grams AS (
+  SELECT DISTINCT r, item_id, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i+k-1], ' '))) AS g FROM sized
+), items AS (SELECT r, count(*) AS n_item FROM item_grams GROUP BY r),
 doc_words AS (
-  SELECT doc_id, list_filter(string_split_regex(lower(text), '{_WHITE}'), lambda w: w <> '') AS w FROM documents WHERE text IS NOT NULL
+  SELECT row_number() OVER () AS d, doc_id, list_filter(string_split_regex(lower(text), '{_WHITE}'), lambda w: w <> '') AS w FROM documents WHERE text IS NOT NULL
 ), doc_grams AS (
-  SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) AS g FROM doc_words WHERE len(w) >= 5
-), hits AS (SELECT doc_id, item_id, count(*) AS n_shared FROM doc_grams JOIN item_grams USING (g) GROUP BY doc_id, item_id)
-SELECT doc_id, item_id, n_shared, n_item FROM hits JOIN items USING (item_id) WHERE n_shared >= ceil(n_item * 0.8 - 1e-9)
+  SELECT DISTINCT d, doc_id, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i+k-1], ' '))) AS g
+  FROM doc_words, (SELECT DISTINCT k FROM sized) WHERE len(w) >= k
+), hits AS (SELECT d, doc_id, r, item_id, count(*) AS n_shared FROM doc_grams JOIN item_grams USING (k, g) GROUP BY d, doc_id, r, item_id),
+best AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_shared / n_item DESC, n_shared DESC) AS place
+  FROM hits JOIN items USING (r) WHERE n_shared >= ceil(n_item * 0.8 - 1e-9)
+)
+SELECT doc_id, item_id, n_shared, n_item FROM best WHERE place = 1
 """
 
 

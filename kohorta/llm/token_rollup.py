@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import frugal, shared_path, slices, small_batches, stored
+from .common import Scratch, frugal, shared_path, slices, small_batches
 from .tokenizing import encoder
 
 KEYS = ("source", "lang", "version")
@@ -134,20 +134,28 @@ def count_corpus(docs: DataFrame, tokenizer: str, first: str, second: str, text:
     """The totals after three batches over all of ``docs``, each committed twice.
 
     All documents are inserted under version ``first``; exact copies (all but the least id of equal texts, of
-    equal rows all but one) are deleted; what stays is revised to ``second``, which counts an end token as well.
+    equal rows all but one) are deleted there and inserted under ``first``/copies; the others are revised to
+    ``second``, which counts an end token as well.  So the totals are those of all documents.
+
+    Copies are counted by text, source and language before texts are compared, so that a text's many copies
+    are a row for each of its sources and languages.
     """
-    counts = stored(token_counts(docs, tokenizer, text, key), "counts")
+    scratch = Scratch(docs.sparkSession)
+    counts = scratch.stored(token_counts(docs, tokenizer, text, key), "counts")
     rollup = Rollup(docs.sparkSession, shared_path(docs.sparkSession, "rollup"))
-    named = counts.groupBy("text_hash", "source", "lang", "id", "tokens").agg(F.count("*").alias("n"))
-    least = named.groupBy("text_hash").agg(F.min(F.struct("id", "source", "lang")).alias("least"))
-    joined = stored(named.join(least, "text_hash").withColumn("first", F.struct("id", "source", "lang").eqNullSafe(F.col("least"))), "copies")
+    low = F.min(F.struct("id", "source", "lang")).alias("low")
+    named = counts.groupBy("text_hash", "source", "lang").agg(F.count("*").alias("n"), F.first("tokens").alias("tokens"), low)
+    least = named.groupBy("text_hash").agg(F.min("low").alias("least"))
+    joined = scratch.stored(named.join(least, "text_hash").withColumn("first", F.col("low").eqNullSafe(F.col("least"))), "copies")
     copies = joined.withColumn("gone", F.col("n") - F.col("first").cast("int")).where("gone > 0")
-    many = copies.groupBy("source", "lang").agg(F.sum(F.col("tokens") * F.col("gone")).alias("tokens"), F.sum("gone").alias("gone"))
-    gone = many.select("source", "lang", F.lit(first).alias("version"), (-F.col("gone")).alias("documents"), (-F.col("tokens")).alias("tokens"))
+    moved = [
+        copies.select("source", "lang", F.lit(version).alias("version"), (F.col("gone") * sign).alias("documents"), (F.col("tokens") * F.col("gone") * sign).alias("tokens"))
+        for version, sign in ((first, -1), (f"{first}/copies", 1))
+    ]
     kept = joined.where("first").withColumn("revised", F.col("tokens") + 1)
     for _ in range(2):
         rollup.commit("insert", inserts(counts, first))
-        rollup.commit("delete-copies", gone)
+        rollup.commit("move-copies", moved[0].unionByName(moved[1]))
         rollup.commit("revise", revisions(kept, first, second))
+    scratch.release()
     return rollup.totals()
-
