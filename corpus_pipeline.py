@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a table, which ``run`` writes as Parquet to the shared folder
 and reads again as the next stage's documents.  A document that a stage rejects is gone for the later ones.
+
+Defined results: null and empty texts have no words, so the first stage rejects them; of rows with equal ids each
+is judged by itself, and of equal rows one stays; null ids are kept; documents of which no passage is left go; an
+empty table gives an empty table; columns beside doc_id and text pass through (n_chars, where there is one, counts
+what is left of the text), whatever their names, and the last stage returns the pieces of its operator.
 """
 
 from __future__ import annotations
@@ -26,9 +31,12 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that repeat; those of which nothing is left go."""
-    cut = repeats.without_repeats(docs)
-    return cut.where(F.length(F.trim("text")) > 0).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    """Documents without the passages of 50 words or more that occur anywhere else; those of which nothing is left go."""
+    cut = repeats.without_repeats(docs, length=repeats.WORDS, gram=repeats.WORD_GRAM, unit=repeats.WORD_UNIT)
+    left = cut.where(F.length(F.trim("text")) > 0)
+    if "n_chars" in docs.columns:
+        left = left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return left.select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
