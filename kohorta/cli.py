@@ -1,69 +1,140 @@
-"""``python -m kohorta subset|size|fingerprint|resample``; exit codes: 0 done, 2 usage, 3 bad input."""
+"""``python -m kohorta subset|size|fingerprint|resample|pipeline``; exit codes: 0 done, 2 usage, 3 bad input."""
 
 from __future__ import annotations
 
 import argparse
 import json
 import sys
+from pathlib import Path
 
-from .config import ResampleConfig, SubsetConfig, load_mapping
+from .config import CODE_POLICIES, LINKS, SPLIT_POLICIES, ResampleConfig, SubsetConfig, load_mapping
+
+UNSET = argparse.SUPPRESS  # a flag that is not given leaves the file's or the default's value
 
 
 def _parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="kohorta")
     verbs = top.add_subparsers(dest="verb", required=True)
-    subset = verbs.add_parser("subset", help="build nested subsets")
-    subset.add_argument("parent")
-    subset.add_argument("output")
-    subset.add_argument("-n", "--n-subjects", type=int, nargs="+", default=argparse.SUPPRESS)
-    subset.add_argument("--overwrite", action="store_true")
-    for name in ("salt", "link-mode", "code-metadata", "non-train-policy", "train-split", "name-template"):
-        subset.add_argument(f"--{name}", default=argparse.SUPPRESS)
-    subset.add_argument("--n-subjects-per-shard", type=int, default=argparse.SUPPRESS)
+
+    subset = verbs.add_parser("subset", help="build nested subsets of an event or tensor cohort")
+    subset.add_argument("parent", type=Path)
+    subset.add_argument("output", type=Path)
+    subset.add_argument("--kind", choices=("auto", "meds", "tensorized"), default="auto")
+    subset.add_argument("-n", "--n-subjects", type=int, nargs="+", default=UNSET)
+    subset.add_argument("--n-subjects-per-shard", type=int, default=UNSET)
+    for name, values in (("link-mode", LINKS), ("code-metadata", CODE_POLICIES), ("non-train-policy", SPLIT_POLICIES)):
+        subset.add_argument(f"--{name}", choices=values, default=UNSET)
+    for name in ("salt", "train-split", "name-template"):
+        subset.add_argument(f"--{name}", default=UNSET)
+    subset.add_argument("--index-dir", type=Path, help="label files, which members get their rows of")
+    subset.add_argument("--task-name", help="folder of the members' labels (default: the name of --index-dir)")
+    subset.add_argument("--force", "--overwrite", dest="force", action="store_true", help="discard what was built from another parent")
+
     resample = verbs.add_parser("resample", help="draw bootstrap or subsample sets")
-    resample.add_argument("parent")
-    resample.add_argument("output")
+    resample.add_argument("parent", type=Path)
+    resample.add_argument("output", type=Path)
     for name in ("n-resamples", "size"):
-        resample.add_argument(f"--{name}", type=int, default=argparse.SUPPRESS)
+        resample.add_argument(f"--{name}", type=int, default=UNSET)
     for name in ("salt", "source-split", "name-template"):
-        resample.add_argument(f"--{name}", default=argparse.SUPPRESS)
-    resample.add_argument("--without-replacement", dest="replace", action="store_false", default=argparse.SUPPRESS)
-    resample.add_argument("--labels")
+        resample.add_argument(f"--{name}", default=UNSET)
+    resample.add_argument("--without-replacement", dest="replace", action="store_false", default=UNSET)
+    resample.add_argument("--allow-overlap", action="store_true", default=UNSET)
+    resample.add_argument("--exclude", type=Path, help="a dataset or splits file whose subjects are not drawn")
+    resample.add_argument("--index-dir", "--labels", dest="index_dir", type=Path)
+    resample.add_argument("--task-name")
     for verb in (subset, resample):
-        verb.add_argument("--config", help="a YAML file; flags that are given win")
-    for name in ("size", "fingerprint"):
-        verbs.add_parser(name).add_argument("parent")
+        verb.add_argument("-c", "--config", type=Path, help="a YAML file; flags that are given win")
+        verb.add_argument("--json", action="store_true", help="print the manifest instead of a summary")
+
+    size = verbs.add_parser("size", help="exact counts by split")
+    size.add_argument("datasets", type=Path, nargs="+")
+    size.add_argument("--kind", choices=("auto", "meds", "tensorized"), default="auto")
+    size.add_argument("-o", "--output", type=Path, help="a Parquet file of all reports")
+    size.add_argument("--json", dest="json_output", type=Path, help="a JSON file (default: beside --output)")
+
+    fingerprint = verbs.add_parser("fingerprint", help="ids of rows, whatever their order and files")
+    fingerprint.add_argument("dataset", type=Path, nargs="?")
+    fingerprint.add_argument("--index-dir", type=Path, help="label files")
+    fingerprint.add_argument("--train-split", default="train")
+    fingerprint.add_argument("-o", "--output", type=Path)
+
+    pipeline = verbs.add_parser("pipeline", help="write the pipeline that makes tensors of a subset with its parent's vocabulary")
+    for name in ("path", "subset", "output", "parent"):
+        pipeline.add_argument(name, type=Path)
     return top
 
 
-def main(argv: list[str] | None = None, spark=None) -> int:
-    args = vars(_parser().parse_args(argv))
-    verb, config = args.pop("verb"), args.pop("config", None)
-    from pyspark.sql import SparkSession
+def _subset(spark, args: dict, settings: dict) -> str:
+    from . import build, reports, tensorized
+    from .sources.dataset import is_tensorized
+
+    parent, output, kind, force, labels, task, as_json = (args.pop(k) for k in ("parent", "output", "kind", "force", "index_dir", "task_name", "json"))
+    config = SubsetConfig.from_dict(settings | args)
+    if kind == "tensorized" or (kind == "auto" and is_tensorized(parent)):
+        if labels is not None or task is not None:
+            raise ValueError("a tensor cohort has no label files")
+        made = tensorized.build_tensorized_family(spark, parent, output, config, force)
+    else:
+        made = build.build_family(spark, parent, output, config, force, labels, task)
+    return json.dumps(made, indent=2, sort_keys=True) if as_json else reports.family_text(made, output)
+
+
+def _resample(spark, args: dict, settings: dict) -> str:
+    from . import build, reports
+    from .sources.dataset import read_excluded
 
+    parent, output, exclude, labels, task, as_json = (args.pop(k) for k in ("parent", "output", "exclude", "index_dir", "task_name", "json"))
+    excluded = read_excluded(spark, exclude) if exclude is not None else None
+    made = build.build_resamples(spark, parent, output, ResampleConfig.from_dict(settings | args), labels, excluded, task)
+    return json.dumps(made, indent=2, sort_keys=True) if as_json else reports.resamples_text(made, output)
+
+
+def _size(spark, args: dict) -> str:
+    from . import reports
+
+    reports.sidecar(args["output"], args["json_output"])  # before anything is counted
+    made = reports.write_report([reports.size_of(spark, d, args["kind"]) for d in args["datasets"]], args["output"], args["json_output"])
+    return "\n".join(map(reports.as_text, made))
+
+
+def _fingerprint(spark, args: dict) -> str:
     from . import build
-    from .operators import sizes
     from .sources.dataset import EventDataset
+    from .sources.sinks import write_text
+
+    if args["dataset"] is None and args["index_dir"] is None:
+        raise ValueError("name a dataset, --index-dir or both")
+    out: dict = {}
+    if args["dataset"] is not None:
+        ids = build.fingerprint(EventDataset(spark, args["dataset"]))
+        out["dataset"] = {"path": str(args["dataset"]), "dataset_id": ids.pop("dataset"), "codes_id": ids.pop("codes"), "content_ids": ids, "train_set_id": ids.get(args["train_split"])}
+    if args["index_dir"] is not None:
+        out["index"] = build.label_fingerprint(spark, args["index_dir"])
+    text = json.dumps(out, indent=2, sort_keys=True)
+    if args["output"] is None:
+        return text
+    write_text(args["output"], text + "\n")
+    return str(args["output"])
 
-    spark = spark or SparkSession.builder.appName("kohorta").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+
+def main(argv: list[str] | None = None, spark=None) -> int:
+    args = vars(_parser().parse_args(argv))
+    verb, config = args.pop("verb"), args.pop("config", None)
     try:
-        parent = args.pop("parent")
-        settings = load_mapping(config) if config else {}
-        if verb == "size":
-            dataset = EventDataset(spark, parent)
-            report = sizes.with_total(sizes.size_report(dataset.events(), dataset.splits()), dataset.events())
-            out: object = [r.asDict() for r in report.orderBy("split").collect()]
-        elif verb == "fingerprint":
-            out = build.fingerprint(EventDataset(spark, parent))
-        elif verb == "subset":
-            output, overwrite = args.pop("output"), args.pop("overwrite")
-            out = build.build_family(spark, parent, output, SubsetConfig.from_dict(settings | args), overwrite)
+        if verb == "pipeline":
+            from .tensorized import write_pinned_pipeline
+
+            print(write_pinned_pipeline(**args))
+            return 0
+        from pyspark.sql import SparkSession
+
+        spark = spark or SparkSession.builder.appName("kohorta").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+        if verb in ("subset", "resample"):
+            out = (_subset if verb == "subset" else _resample)(spark, args, load_mapping(config) if config else {})
         else:
-            output, labels = args.pop("output"), args.pop("labels")
-            made = spark.read.parquet(labels) if labels else None
-            out = build.build_resamples(spark, parent, output, ResampleConfig.from_dict(settings | args), made)
+            out = (_size if verb == "size" else _fingerprint)(spark, args)
     except (ValueError, TypeError, OSError) as e:
         print(f"error: {e}", file=sys.stderr)
         return 3
-    print(json.dumps(out, indent=2, sort_keys=True))
+    print(out)
     return 0

@@ -41,23 +41,28 @@ class _Config:
             raise ValueError(f"unknown settings: {', '.join(sorted(unknown))}")
         return cls(**values)
 
+    def to_yaml(self, path: str | Path) -> None:
+        import yaml
+
+        Path(path).write_text(yaml.safe_dump(self.to_dict(), sort_keys=False), encoding="utf-8")
+
     @classmethod
     def from_yaml(cls, path: str | Path):
         return cls.from_dict(load_mapping(path))
 
 
 def load_mapping(path: str | Path) -> dict[str, Any]:
+    """The settings of a YAML file; an empty file has none."""
     import yaml
 
-    try:
-        found = yaml.safe_load(Path(path).read_text(encoding="utf-8"))
-    except yaml.YAMLError as e:
-        raise ValueError(f"{path} is not YAML: {e}") from e
-    if found is None:
-        return {}
-    if not isinstance(found, dict):
-        raise ValueError(f"{path} holds no mapping")
-    return found
+    with open(path, encoding="utf-8") as f:
+        try:
+            documents = [d for d in yaml.safe_load_all(f) if d is not None]
+        except yaml.YAMLError as e:
+            raise ValueError(f"{path} is not YAML: {e}") from e
+    if any(not isinstance(d, dict) for d in documents) or len(documents) > 1:
+        raise ValueError(f"{path} holds something else than one mapping")
+    return dict(*documents)
 
 
 @dataclass(frozen=True)

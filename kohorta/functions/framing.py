@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+from hashlib import sha256
+
 import pyarrow as pa
-from pyspark.sql import Column
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -55,10 +59,68 @@ def digest(items: Column) -> Column:
 
 
 def combined(digests: Column) -> Column:
-    """An aggregate: the digest of all digests in order; multiplicity counts, order doesn't."""
+    """An aggregate: the digest of all digests in order; multiplicity counts, order doesn't.  For groups that fit an array."""
     return digest(F.sort_array(F.collect_list(digests)))
 
 
+def text_digest(items: Iterable[str]) -> str:
+    """The digest of texts that the driver holds."""
+    made = sha256()
+    for item in items:
+        data = item.encode()
+        made.update(f"{len(data)}:".encode() + data)
+    return PREFIX + made.hexdigest()
+
+
+def combined_ids(ids: dict[str, str]) -> str:
+    """One id of named ids, in whatever order they come."""
+    return text_digest(sorted(f"{name}={value}" for name, value in ids.items()))
+
+
+def _frames(values: pa.Array) -> pa.Array:
+    data = values.cast(pa.large_binary())
+    size = pc.binary_length(data).cast(pa.large_string()).cast(pa.large_binary())
+    return pc.binary_join_element_wise(size, data, pa.scalar(b":", pa.large_binary()))
+
+
+def _fold(batches: Iterator[pa.RecordBatch], into: str) -> Iterator[pa.RecordBatch]:
+    """(group, digest) of rows (group, value) that come group by group in order; holds one batch."""
+    now, made = None, sha256()
+    done: list[tuple[str, str]] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        groups, frames = batch.column(0), _frames(batch.column(1))
+        changes = pc.indices_nonzero(pc.not_equal(groups[1:], groups[:-1])).to_pylist() if batch.num_rows > 1 else []
+        for first, end in zip([0, *(i + 1 for i in changes)], [*(i + 1 for i in changes), batch.num_rows]):
+            group = groups[first].as_py()
+            if now is not None and group != now:
+                done.append((now, PREFIX + made.hexdigest()))
+                made = sha256()
+            now = group
+            made.update(b"".join(frames[first:end].to_pylist()))
+    if now is not None:
+        done.append((now, PREFIX + made.hexdigest()))
+    yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in done], pa.string()), pa.array([d for _, d in done], pa.string())], ["group", into])
+
+
+def folded(rows: DataFrame, group: Column, value: Column, order: Column | None = None, into: str = "digest") -> DataFrame:
+    """(group, ``into``): the digest of each group's texts in the order of ``order``, or of the texts themselves.
+
+    SHA-256 reads one text after the other, so a group is one task's; that task streams rows sorted with spilling and
+    holds one batch, whatever the group's size.
+    """
+    keyed = rows.select(group.cast("string").alias("group"), value.alias("value"), (value if order is None else order).alias("order"))
+    ready = keyed.repartition("group").sortWithinPartitions("group", "order").select("group", "value")
+    return ready.mapInArrow(lambda it: _fold(it, into), f"group string, {into} string")
+
+
+def folded_whole(rows: DataFrame, value: Column, order: Column | None = None, into: str = "digest") -> DataFrame:
+    """One row: the digest of all rows' texts; that of no text if there are none."""
+    made = folded(rows, F.lit(""), value, order, into).select(into)
+    return made.agg(F.coalesce(F.max(into), F.lit(text_digest([]))).alias(into))
+
+
 def short_id(value: Column, n: int = 16) -> Column:
     """The first ``n`` hex digits of a digest; others than digests raise."""
     if not 1 <= n <= 64:

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from hashlib import sha256
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.framing import PREFIX, canonical_row, combined, digest
+from ..functions.framing import canonical_row, combined, digest, folded, folded_whole
 
 
 def canonical_rows(rows: DataFrame, subject: str = "subject_id") -> DataFrame:
@@ -28,19 +26,23 @@ def tagged(subject: Column, value: Column) -> Column:
 
 def content_ids(rows: DataFrame, splits: DataFrame, subject: str = "subject_id") -> DataFrame:
     """(split, content_id) of the subjects that have rows."""
-    each = subject_digests(rows, subject).join(splits.select(subject, "split"), subject)
-    return each.groupBy("split").agg(combined(tagged(F.col(subject), F.col("digest"))).alias("content_id"))
+    return content_ids_of(subject_digests(rows, subject).join(splits.select(subject, "split"), subject), "split", subject)
+
+
+def content_ids_of(each: DataFrame, by: str, subject: str = "subject_id") -> DataFrame:
+    """(``by``, content_id) of rows (``by``, subject, digest)."""
+    return folded(each, F.col(by), tagged(F.col(subject), F.col("digest")), into="content_id").withColumnRenamed("group", by)
 
 
 def frame_digest(rows: DataFrame) -> DataFrame:
     """One row: the digest of the table as a multiset of rows."""
-    return rows.select(digest(F.array(canonical_row(rows.schema))).alias("d")).agg(combined(F.col("d")).alias("frame_digest"))
+    return folded_whole(rows.select(digest(F.array(canonical_row(rows.schema))).alias("d")), F.col("d"), into="frame_digest")
 
 
-def subject_set_digest(subjects: DataFrame, subject: str = "subject_id", keep_repeats: bool = False) -> Column | DataFrame:
+def subject_set_digest(subjects: DataFrame, subject: str = "subject_id", keep_repeats: bool = False) -> DataFrame:
     """One row: the digest of the ids in numeric order, as a set or as a multiset."""
-    gathered = F.collect_list(subject) if keep_repeats else F.collect_set(subject)
-    return subjects.agg(digest(F.transform(F.sort_array(gathered), lambda x: x.cast("string"))).alias("subject_digest"))
+    ids = subjects.select(F.col(subject).alias("id")).where("id IS NOT NULL")
+    return folded_whole(ids if keep_repeats else ids.distinct(), F.col("id").cast("string"), F.col("id"), "subject_digest")
 
 
 def dataset_id(ids: DataFrame, codes_id: DataFrame) -> DataFrame:
@@ -49,11 +51,3 @@ def dataset_id(ids: DataFrame, codes_id: DataFrame) -> DataFrame:
     codes = codes_id.select(F.concat(F.lit("metadata/codes.parquet="), F.col(codes_id.columns[0])).alias("part"))
     return parts.unionByName(codes).agg(combined(F.col("part")).alias("dataset_id"))
 
-
-def fold_on_driver(digests: DataFrame, column: str = "digest") -> str:
-    """The id that ``combined`` gives, for more digests than one array should hold: a sorted stream, one at a time."""
-    made = sha256()
-    for row in digests.select(column).orderBy(column).toLocalIterator():
-        value = row[0].encode()
-        made.update(f"{len(value)}:".encode() + value)
-    return PREFIX + made.hexdigest()

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def locations(cohort: DataFrame) -> DataFrame:
-    """(subject_id, shard, row_index): a subject's place in its shard, in the order of ids."""
-    place = F.row_number().over(Window.partitionBy("shard").orderBy("subject_id")) - 1
-    return cohort.select("subject_id", "shard").withColumn("row_index", place.cast("long"))
+def locations(rows: DataFrame) -> DataFrame:
+    """(subject_id, shard, row_index) of rows read with their places: the row of the shard's file is the subject's place in its tensors."""
+    return rows.select("subject_id", "shard", F.col("_row").alias("row_index"))
 
 
 def require_one_shard(found: DataFrame) -> None:

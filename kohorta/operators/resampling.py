@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ranks import cutoff, draw_value, replicate_salt
-from .selection import ranked, require_unique
+from ..functions.ranks import LIMIT, cutoff, draw_value, replicate_salt
+from .selection import numbered, ranges, ranked, require_unique
 
-#: Draws made beyond those asked for, as some may be rejected (each with a chance below 2**-40).
+#: Draws made beyond those asked for, as some may be rejected (each with a chance below 2**-40); more if that isn't enough.
 SPARE = 64
+# The columns of labels that are kept, in this order.
+LABEL_COLUMNS = ("subject_id", "prediction_time", "boolean_value", "integer_value", "float_value", "categorical_value")
+#: Counters that one task numbers.
+COUNTERS = 1 << 20
 
 
 def eligible_pool(splits: DataFrame, source: str, excluded: DataFrame | None = None, allow_overlap: bool = False) -> DataFrame:
@@ -20,26 +24,30 @@ def eligible_pool(splits: DataFrame, source: str, excluded: DataFrame | None = N
 def with_replacement(pool: DataFrame, n_draws: int, salt: str, replicate: int, _cutoff: int | None = None) -> DataFrame:
     """(draw_index, subject_id): the counter stream's draws as places in the sorted pool."""
     if n_draws < 0:
-        raise ValueError(f"n_draws must be >= 0; got {n_draws}")
+        raise ValueError(f"the number of draws must be >= 0, not {n_draws}")
     spark = pool.sparkSession
     n = require_unique(pool).count()
     if n_draws and not n:
-        raise ValueError(f"cannot draw {n_draws} subjects from an empty pool")
-    limit, spare = _cutoff or cutoff(max(n, 1)), SPARE if _cutoff is None else SPARE + 20 * n_draws
-    stream = spark.range(n_draws + spare if n_draws else 0).select(F.col("id").alias("counter"), draw_value(F.col("id"), salt, replicate).alias("u"))
-    good = stream.where(F.col("u") < F.lit(str(limit)).cast("decimal(20,0)"))
-    drawn = good.withColumn("draw_index", (F.row_number().over(Window.orderBy("counter")) - 1).cast("long")).where(F.col("draw_index") < n_draws)
+        raise ValueError(f"an empty pool has no subjects for {n_draws} draws")
+    limit, spare = _cutoff or cutoff(max(n, 1)), SPARE
+    while True:
+        stream = spark.range(n_draws + spare if n_draws else 0).select(F.col("id").alias("counter"), draw_value(F.col("id"), salt, replicate).alias("u"))
+        good = stream.where(F.col("u") < F.lit(str(limit)).cast("decimal(20,0)"))
+        if limit == LIMIT or good.count() >= n_draws:
+            break
+        spare = 2 * spare + n_draws
+    drawn = numbered(good.withColumn("part", F.floor(F.col("counter") / COUNTERS)), "part", ["counter"], "draw_index").where(F.col("draw_index") < n_draws)
     place = F.pmod(F.col("u"), F.lit(max(n, 1)).cast("decimal(20,0)")).cast("long")
-    places = pool.select("subject_id", (F.row_number().over(Window.orderBy("subject_id")) - 1).cast("long").alias("place"))
+    places = numbered(ranges(pool.select("subject_id"), "subject_id"), "_part", ["subject_id"], "place").select("subject_id", "place")
     return drawn.select("draw_index", place.alias("place")).join(places, "place").select("draw_index", "subject_id")
 
 
 def without_replacement(pool: DataFrame, n_draws: int, salt: str, replicate: int) -> DataFrame:
     """(draw_index, subject_id): the first subjects by rank under the replicate's salt."""
     if n_draws < 0:
-        raise ValueError(f"n_draws must be >= 0; got {n_draws}")
+        raise ValueError(f"the number of draws must be >= 0, not {n_draws}")
     if n_draws > (size := require_unique(pool).count()):
-        raise ValueError(f"cannot draw {n_draws} distinct subjects from {size}")
+        raise ValueError(f"a pool of {size} has no {n_draws} different subjects")
     made = ranked(pool.select("subject_id"), replicate_salt(salt, replicate))
     return made.where(F.col("rank") < n_draws).select(F.col("rank").alias("draw_index"), "subject_id")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ranks import rank_digest, shard_key
@@ -11,27 +11,48 @@ PASSTHROUGH, SUBSET, DROP = "passthrough", "subset", "drop"
 
 
 def require_unique(subjects: DataFrame, subject: str = "subject_id") -> DataFrame:
-    found = subjects.groupBy(subject).count().where("count > 1").limit(1).collect()
+    found = repeated(subjects, subject).limit(1).collect()
     if found:
         raise ValueError(f"repeated subject {found[0][0]}")
     return subjects
 
 
+def repeated(subjects: DataFrame, subject: str = "subject_id") -> DataFrame:
+    """(subject, n) of subjects in several rows."""
+    return subjects.groupBy(subject).agg(F.count("*").alias("n")).where("n > 1")
+
+
 def ranked(subjects: DataFrame, salt: str, by: str | None = None) -> DataFrame:
     """Subjects with ``rank``, from zero, in the order of (digest, id); within each ``by``, if given.
 
-    Over everything, ranks are offsets of range partitions plus places in them, so no task sees all rows.
+    Ranks are offsets of ranges of digests plus places in them, so no task orders all subjects.
+    """
+    keyed = subjects.withColumn("_digest", rank_digest(F.col("subject_id"), salt)).withColumn("_part", F.conv(F.substring("_digest", 1, 2), 16, 10).cast("int"))
+    return numbered(keyed, "_part", ["_digest", "subject_id"], "rank", by).drop("_digest", "_part")
+
+
+def numbered(rows: DataFrame, part: str, order: list[str], into: str, by: str | None = None) -> DataFrame:
+    """``rows`` with their places ``into`` from zero, in the order of (``part``, ``order``), within each ``by``.
+
+    ``part``: small numbers of ranges; each range of each ``by`` is ordered by itself.
     """
-    keyed = subjects.withColumn("_digest", rank_digest(F.col("subject_id"), salt))
-    if by:
-        order = Window.partitionBy(by).orderBy("_digest", "subject_id")
-        return keyed.withColumn("rank", (F.row_number().over(order) - 1).cast("long")).drop("_digest")
-    keyed = keyed.withColumn("_part", F.substring("_digest", 1, 2))
-    sizes = keyed.groupBy("_part").agg(F.count("*").alias("_n"))  # 256 rows at most
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    place = F.row_number().over(Window.partitionBy("_part").orderBy("_digest", "subject_id")) - 1
-    joined = keyed.withColumn("_place", place).join(F.broadcast(before.select("_part", "_before")), "_part")
-    return joined.withColumn("rank", (F.col("_place") + F.col("_before")).cast("long")).drop("_digest", "_part", "_place", "_before")
+    own = [by] if by else []
+    sizes = rows.groupBy(*own, part).agg(F.count("*").alias("_n"))  # a row a range (of each ``by``)
+    before = F.sum("_n").over(Window.partitionBy(*own).orderBy(part).rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select(*[F.col(c).alias(f"_of_{c}") for c in (*own, part)], F.coalesce(before, F.lit(0)).alias("_before"))
+    placed = rows.withColumn("_place", F.row_number().over(Window.partitionBy(*own, part).orderBy(*order)) - 1)
+    same = F.lit(True)
+    for c in (*own, part):
+        same = same & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    joined = placed.join(offsets, same)
+    return joined.withColumn(into, (F.col("_place") + F.col("_before")).cast("long")).drop("_place", "_before", *[f"_of_{c}" for c in (*own, part)])
+
+
+def ranges(rows: DataFrame, column: str, parts: int = 64, into: str = "_part") -> DataFrame:
+    """``rows`` with the number of the range of ``column`` that they lie in; bounds are approximate quantiles."""
+    shares = [i / parts for i in range(1, parts)]
+    bounds = sorted(set(rows.agg(F.percentile_approx(column, shares, 1000)).first()[0] or []))  # ``parts`` values
+    return rows.withColumn(into, sum((F.col(column) >= b).cast("int") for b in bounds) if bounds else F.lit(0))
 
 
 def select_nested(subjects: DataFrame, n: int, salt: str) -> DataFrame:
@@ -105,7 +126,11 @@ def pruned_codes(codes: DataFrame, rows: DataFrame) -> DataFrame:
     return codes.join(observed_codes(rows), "code", "left_semi")
 
 
-def sorted_for_output(rows: DataFrame, shard: str = "shard", tie: str | None = None) -> DataFrame:
-    """Rows clustered by shard, in a shard by (subject, time, tie) with nulls first."""
-    order = [F.col(shard), F.col("subject_id").asc_nulls_first(), F.col("time").asc_nulls_first()] + ([F.col(tie).asc_nulls_first()] if tie else [])
-    return rows.repartition(F.col(shard)).sortWithinPartitions(*order)
+def output_order(*ties: str) -> list[Column]:
+    """The order of rows in a shard: subject, time and what settles ties, nulls first."""
+    return [F.col(c).asc_nulls_first() for c in ("subject_id", "time", *ties)]
+
+
+def sorted_for_output(rows: DataFrame, *ties: str, shard: str = "shard") -> DataFrame:
+    """Rows clustered by shard, in a shard in the output order."""
+    return rows.repartition(F.col(shard)).sortWithinPartitions(F.col(shard), *output_order(*ties))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Mapping
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.framing import digest
@@ -13,29 +15,40 @@ ALL, UNKNOWN, TOTAL = "__all__", "__unknown__", "__total__"
 ADDITIVE = ("n_subjects", "n_events", "n_measurements", "n_dynamic", "n_static", "n_subjects_with_static")
 
 
-def with_split(events: DataFrame, splits: DataFrame | None) -> DataFrame:
+def listed_splits(spark: SparkSession, splits: Mapping[int, str]) -> DataFrame:
+    """(subject_id, split) of an assignment that the caller holds."""
+    return spark.createDataFrame([(int(k), str(v)) for k, v in splits.items()], "subject_id long, split string")
+
+
+def with_split(rows: DataFrame, splits: DataFrame | Mapping[int, str] | None) -> DataFrame:
     """Rows with their subject's split, ``__unknown__`` where none is listed, ``__all__`` where there are no splits."""
     if splits is None:
-        return events.withColumn("split", F.lit(ALL))
-    return events.drop("split").join(splits.select("subject_id", "split"), "subject_id", "left").withColumn("split", F.coalesce("split", F.lit(UNKNOWN)))
-
-
-def size_report(events: DataFrame, splits: DataFrame | None, code_ids: bool = False) -> DataFrame:
-    """One row a split: subjects, events, measurements, static and dynamic ones, codes; all counts exact."""
-    timed = F.col("time").isNotNull()
-    rows = with_split(events.select("subject_id", "time", "code"), splits)
-    aggs = [
-        F.countDistinct("subject_id").alias("n_subjects"),
-        F.countDistinct(F.when(timed, F.struct("subject_id", "time"))).alias("n_events"),
-        F.count("*").alias("n_measurements"),
-        F.count("time").alias("n_dynamic"),
-        F.sum(F.when(timed, 0).otherwise(1)).cast("long").alias("n_static"),
-        F.countDistinct(F.when(~timed, F.col("subject_id"))).alias("n_subjects_with_static"),
-        F.countDistinct("code").alias("n_codes_observed"),
-    ]
+        return rows.withColumn("split", F.lit(ALL))
+    if isinstance(splits, Mapping):
+        splits = listed_splits(rows.sparkSession, splits)
+    return rows.drop("split").join(splits.select("subject_id", "split"), "subject_id", "left").withColumn("split", F.coalesce("split", F.lit(UNKNOWN)))
+
+
+def size_report(events: DataFrame, splits: DataFrame | Mapping[int, str] | None, code_ids: bool = False) -> DataFrame:
+    """One row a split: subjects, events, measurements, static and dynamic ones, codes; all counts exact.
+
+    Rows are counted by subject first, so that splits are joined to subjects and not to rows.
+    """
+    each = with_split(subject_counts(events, codes=True), splits)
+    statics = F.col("statics") > 0
+    sums = each.groupBy("split").agg(
+        F.count("subject_id").alias("n_subjects"),
+        F.sum("events").alias("n_events"),
+        F.sum(F.col("measurements") + F.col("statics")).alias("n_measurements"),
+        F.sum("measurements").alias("n_dynamic"),
+        F.sum("statics").alias("n_static"),
+        F.sum((statics & F.col("subject_id").isNotNull()).cast("long")).alias("n_subjects_with_static"),
+    )
+    found = each.select("split", F.explode_outer("codes").alias("code")).groupBy("split").agg(F.collect_set("code").alias("codes"))  # a vocabulary a split
+    aggs = [F.size("codes").cast("long").alias("n_codes_observed")]
     if code_ids:
-        aggs.append(digest(F.sort_array(F.collect_set("code"))).alias("observed_code_set_id"))
-    return rows.groupBy("split").agg(*aggs)
+        aggs.append(digest(F.sort_array("codes")).alias("observed_code_set_id"))
+    return sums.join(found.select("split", *aggs), "split")
 
 
 def with_total(report: DataFrame, events: DataFrame) -> DataFrame:
@@ -64,10 +77,11 @@ def ragged_size(cohort: DataFrame) -> DataFrame:
     )
 
 
-def subject_counts(events: DataFrame) -> DataFrame:
-    """(subject_id, events, measurements, statics) of every subject."""
+def subject_counts(events: DataFrame, codes: bool = False) -> DataFrame:
+    """(subject_id, events, measurements, statics) of every subject: timed measurements and static ones; ``codes``: and its codes."""
+    own = [F.collect_set("code").alias("codes")] if codes else []
     return events.groupBy("subject_id").agg(
-        F.countDistinct("time").alias("events"), F.count("time").alias("measurements"), F.sum(F.when(F.col("time").isNull(), 1).otherwise(0)).cast("long").alias("statics")
+        F.countDistinct("time").alias("events"), F.count("time").alias("measurements"), F.sum(F.when(F.col("time").isNull(), 1).otherwise(0)).cast("long").alias("statics"), *own
     )
 
 

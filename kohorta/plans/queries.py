@@ -3,20 +3,23 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.framing import digest, short_id
 from ..functions.ranks import uniform_score
-from ..operators import digests, resampling, selection, sizes
+from ..operators import digests, ragged, resampling, selection, sizes
+from ..sources.dataset import read_shards
 from . import views
 from .views import CODES, EVENTS, LABELS, SALT, SPLITS, U64, rank_sql, score_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 N, SHARD = 600, 100
-SIZES = [50, 120, 250, N]
+#: Members of a family: these parts of the train split.
+PARTS = (12, 5, 2, 1)
 
 
 def query(sql: str | None = None):
@@ -33,9 +36,10 @@ def _subjects(spark, sf_dir):
     return views.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("subject_id"))
 
 
-def _n(spark, sf_dir) -> int:
-    """Members can't be larger than the cohort, which is small at the smallest scale."""
-    return min(N, _train(spark, sf_dir).count())
+def _sizes(spark, sf_dir) -> list[int]:
+    """The members' sizes; the last is the whole train split."""
+    n = _train(spark, sf_dir).count()
+    return [n // part for part in PARTS]
 
 
 def _train(spark, sf_dir):
@@ -102,13 +106,15 @@ def uniform_scores(spark, sf_dir):
     return _subjects(spark, sf_dir).withColumn("score", uniform_score(F.col("subject_id"), SALT))
 
 
-_TRAIN = f"tr AS (SELECT subject_id FROM sp WHERE split = 'train'), tk AS (SELECT subject_id, CAST(row_number() OVER (ORDER BY {rank_sql('subject_id', SALT)}, subject_id) - 1 AS BIGINT) AS rank FROM tr), nn AS (SELECT least({N}, count(*)) AS n FROM tr)"
+_TRAIN = f"tr AS (SELECT subject_id FROM sp WHERE split = 'train'), tk AS (SELECT subject_id, CAST(row_number() OVER (ORDER BY {rank_sql('subject_id', SALT)}, subject_id) - 1 AS BIGINT) AS rank FROM tr), nn AS (SELECT count(*) AS n FROM tr)"
 _SEL = f"WITH {SPLITS}, {_TRAIN}"
 
 
-@query(f"{_SEL} SELECT subject_id, rank FROM tk, nn WHERE rank < n")
+@query(f"{_SEL} SELECT subject_id, rank FROM tk WHERE rank < {N}")
 def select_nested(spark, sf_dir):
-    return selection.select_nested(_train(spark, sf_dir), _n(spark, sf_dir), SALT).select("subject_id", "rank")
+    """The first subjects by rank: the limit is the feature (the whole split where it is smaller)."""
+    train = _train(spark, sf_dir)
+    return selection.select_nested(train, min(N, train.count()), SALT).select("subject_id", "rank")
 
 
 @query(f"WITH {SPLITS} SELECT subject_id, split, CAST(row_number() OVER (PARTITION BY split ORDER BY {rank_sql('subject_id', SALT)}, subject_id) - 1 AS BIGINT) AS rank FROM sp")
@@ -123,16 +129,17 @@ def _key_sql(n: str) -> str:
 
 @query(f"{_SEL} SELECT subject_id, rank, {_key_sql('n')} AS shard FROM tk, nn WHERE rank < n")
 def assign_shards(spark, sf_dir):
-    n = _n(spark, sf_dir)
-    return selection.assign_shards(selection.ranked(_train(spark, sf_dir), SALT), n, SHARD).select("subject_id", "rank", "shard")
+    train = _train(spark, sf_dir)
+    return selection.assign_shards(selection.ranked(train, SALT), train.count(), SHARD).select("subject_id", "rank", "shard")
 
 
-_MEMBERS = f"mb AS (SELECT unnest({SIZES}) AS member), fm AS (SELECT CAST(member AS BIGINT) AS member, subject_id, rank, {_key_sql('member')} AS shard FROM tk, mb WHERE rank < member)"
+_PARTS = ", ".join(f"n // {p}" for p in PARTS)
+_MEMBERS = f"mb AS (SELECT unnest([{_PARTS}]) AS member FROM nn), fm AS (SELECT CAST(member AS BIGINT) AS member, subject_id, rank, {_key_sql('member')} AS shard FROM tk, mb WHERE rank < member)"
 
 
 @query(f"{_SEL}, {_MEMBERS} SELECT * FROM fm")
 def family_members(spark, sf_dir):
-    return selection.family_members(selection.ranked(_train(spark, sf_dir), SALT), SIZES, SHARD)
+    return selection.family_members(selection.ranked(_train(spark, sf_dir), SALT), _sizes(spark, sf_dir), SHARD)
 
 
 @query(f"{_SEL}, {_MEMBERS} SELECT shard, n_members FROM (SELECT shard, count(DISTINCT member) AS n_members FROM fm GROUP BY shard) WHERE n_members > 1")
@@ -169,13 +176,17 @@ def routed_counts(spark, sf_dir):
 
 
 @query(
-    f"WITH {EVENTS}, {SPLITS}, {_TRAIN}, x AS (SELECT ev.subject_id, code, time, {_key_sql('n')} AS shard FROM ev JOIN tk USING (subject_id), nn WHERE rank < n) "
-    "SELECT shard, subject_id, epoch_us(time) AS time_us, code, count(*) AS n_rows FROM x GROUP BY ALL"
+    f"WITH {EVENTS}, {SPLITS}, {_TRAIN}, x AS (SELECT ev.subject_id, code, time, numeric_value, {_key_sql('n')} AS shard FROM ev JOIN tk USING (subject_id), nn WHERE rank < n) "
+    "SELECT shard, CAST(row_number() OVER (PARTITION BY shard ORDER BY subject_id, time NULLS FIRST, code, numeric_value NULLS FIRST) - 1 AS BIGINT) AS place, "
+    "subject_id, epoch_us(time) AS time_us, code, CAST(numeric_value AS DOUBLE) AS value FROM x"
 )
 def sorted_shard_rows(spark, sf_dir):
-    rows = selection.sorted_for_output(selection.routed(views.events(spark, sf_dir), assign_shards(spark, sf_dir)), tie="code")
+    """The rows as they lie in their shards: places are counted on the sorted partitions, not ordered anew."""
+    rows = selection.sorted_for_output(selection.routed(views.events(spark, sf_dir), assign_shards(spark, sf_dir)), "code", "numeric_value")
+    lying = rows.withColumn("at", F.monotonically_increasing_id())
+    place = F.col("at") - F.min("at").over(Window.partitionBy("shard"))
     micros = F.unix_micros(F.col("time").cast("timestamp")).alias("time_us")
-    return rows.select("shard", "subject_id", micros, "code").groupBy("shard", "subject_id", "time_us", "code").agg(F.count("*").alias("n_rows"))
+    return lying.select("shard", place.alias("place"), "subject_id", micros, "code", F.col("numeric_value").cast("double").alias("value"))
 
 
 _GROUPED = "SELECT subject_id, count(*) AS n_rows FROM ev"
@@ -201,7 +212,7 @@ def mixed_shard_guard(spark, sf_dir):
 
 @query("SELECT o_custkey AS subject_id, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 1")
 def duplicate_guard(spark, sf_dir):
-    return views.table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("subject_id")).agg(F.count("*").alias("n")).where("n > 1")
+    return selection.repeated(views.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("subject_id")))
 
 
 def _framed(v: str) -> str:
@@ -373,36 +384,45 @@ def tensor_size(spark, sf_dir):
     return sizes.ragged_size(_ragged(spark, sf_dir))
 
 
-_LOC = "lc AS (SELECT subject_id, split || '/' || CAST(subject_id % 4 AS VARCHAR) AS shard FROM sp), ld AS (SELECT subject_id, shard, CAST(row_number() OVER (PARTITION BY shard ORDER BY subject_id) - 1 AS BIGINT) AS row_index FROM lc)"
+_LOC = "ld AS (SELECT c_custkey AS subject_id, 'customer' AS shard, CAST(row_number() OVER () - 1 AS BIGINT) AS row_index FROM customer)"
 
 
-@query(f"WITH {SPLITS}, {_LOC} SELECT * FROM ld")
-def tensor_locations(spark, sf_dir):
-    from ..operators.ragged import locations
+def _located(spark, sf_dir):
+    """The customers' file as a shard of a cohort: a subject's place is its row in the file."""
+    folder = Path(sf_dir)
+    rows = read_shards(spark, folder, [folder / "customer.parquet"], {"c_custkey": "bigint"}, places=True)
+    return ragged.locations(rows.withColumnRenamed("c_custkey", "subject_id"))
+
 
-    return locations(_ragged(spark, sf_dir)).select("subject_id", "shard", "row_index")
+@query(f"WITH {_LOC} SELECT * FROM ld")
+def tensor_locations(spark, sf_dir):
+    return _located(spark, sf_dir)
 
 
 @query(f"WITH {EVENTS}, {SPLITS}, {_TRAIN}, {_LOC}, ns AS (SELECT subject_id, count(DISTINCT time) AS n_events FROM ev GROUP BY subject_id) SELECT ld.subject_id, shard, row_index, coalesce(n_events, 0) AS n_events FROM ld JOIN tk USING (subject_id) LEFT JOIN ns USING (subject_id) WHERE rank < 50")
 def tensor_slice(spark, sf_dir):
-    from ..operators.ragged import locations, sliced
-
-    cohort = _ragged(spark, sf_dir)
     keep = selection.ranked(_train(spark, sf_dir), SALT).where("rank < 50")
-    return sliced(cohort, locations(cohort), keep).select("subject_id", "shard", "row_index", sizes.list_length(F.col("time_delta_days")).cast("long").alias("n_events"))
+    rows = ragged.sliced(_ragged(spark, sf_dir), _located(spark, sf_dir), keep)
+    return rows.select("subject_id", "shard", "row_index", sizes.list_length(F.col("time_delta_days")).cast("long").alias("n_events"))
 
 
-@query("SELECT c_custkey AS subject_id, c_mktsegment AS code, CAST(NULL AS DOUBLE) AS value FROM customer UNION ALL SELECT s_suppkey, NULL, s_acctbal FROM supplier")
+@query("SELECT *, 'customer' AS shard FROM customer UNION ALL BY NAME SELECT *, 'supplier' AS shard FROM supplier")
 def schema_union(spark, sf_dir):
-    a = views.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("subject_id"), F.col("c_mktsegment").alias("code"))
-    b = views.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("subject_id"), F.col("s_acctbal").alias("value"))
-    return a.unionByName(b, allowMissingColumns=True)
+    folder = Path(sf_dir)
+    return read_shards(spark, folder, [folder / "customer.parquet", folder / "supplier.parquet"])
 
 
-@query("SELECT DISTINCT o_custkey AS subject_id, 'orders.parquet' AS shard FROM orders UNION SELECT c_custkey, 'customer.parquet' FROM customer")
-def subject_file_map(spark, sf_dir):
-    name = F.regexp_replace(F.col("_metadata.file_path"), r"^.*/([^/]+\.parquet)(/[^/]+)?$", "$1").alias("shard")
-    orders = views.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("subject_id"), name)
-    return orders.unionByName(views.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("subject_id"), name)).distinct()
+@query("SELECT CAST(l_linenumber AS BIGINT) AS number, CAST(l_shipdate AS TIMESTAMP) AS time, NULL AS code, count(*) AS n FROM lineitem GROUP BY ALL UNION ALL SELECT NULL, NULL, n_name, count(*) FROM nation GROUP BY n_name")
+def widened_scan(spark, sf_dir):
+    """Files of different columns and widths, read as the pinned types: missing columns are null, others ignored."""
+    folder = Path(sf_dir)
+    pinned = {"l_linenumber": "bigint", "l_shipdate": "timestamp_ntz", "n_name": "string"}
+    rows = read_shards(spark, folder, [folder / "lineitem.parquet", folder / "nation.parquet"], pinned)
+    return rows.groupBy(F.col("l_linenumber").alias("number"), F.col("l_shipdate").alias("time"), F.col("n_name").alias("code")).agg(F.count("*").alias("n"))
 
 
+@query("SELECT DISTINCT o_custkey AS subject_id, 'orders' AS shard FROM orders UNION SELECT c_custkey, 'customer' FROM customer")
+def subject_file_map(spark, sf_dir):
+    folder = Path(sf_dir)
+    rows = read_shards(spark, folder, [folder / "orders.parquet", folder / "customer.parquet"], {"o_custkey": "bigint", "c_custkey": "bigint"})
+    return rows.select(F.coalesce("o_custkey", "c_custkey").alias("subject_id"), "shard").distinct()

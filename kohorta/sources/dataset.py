@@ -1,35 +1,45 @@
-"""Event datasets in folders: shards under ``data/``, splits and codes under ``metadata/``."""
+"""Event datasets in folders: shards under ``data/``, splits and codes under ``metadata/``.
+
+Folders are listed on the driver and must be seen by executors under the same paths.
+"""
 
 from __future__ import annotations
 
-import json
 import os
 import re
-from hashlib import sha256
+from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
 
+import pyarrow as pa
 import pyarrow.parquet as pq
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
 
-from ..functions.framing import PREFIX
+from ..functions.framing import text_digest
 
-SPLITS_FILE, CODES_FILE = "metadata/subject_splits.parquet", "metadata/codes.parquet"
+SPLITS_FILE, CODES_FILE, DATASET_FILE = "metadata/subject_splits.parquet", "metadata/codes.parquet", "metadata/dataset.json"
+#: Types that a size report reads its columns as, whatever width a file has them in.
+SIZED = {"subject_id": "bigint", "time": "timestamp_ntz", "code": "string"}
+#: Footers that are read at the same time.
+READERS = 32
 
 
 class NotADatasetError(ValueError):
     """The folder holds no dataset of this kind."""
 
 
+def hidden(name: str) -> bool:
+    return any(p.startswith(".") for p in name.split("/"))
+
+
 def shard_paths(folder: Path) -> list[Path]:
     """All Parquet files below a folder, sorted; names with a leading dot are skipped, a dangling link is an error."""
     out = []
     for path in sorted(folder.rglob("*.parquet")) if folder.is_dir() else []:
-        parts = path.relative_to(folder).parts
-        if any(p.startswith(".") for p in parts) or path.is_dir():
+        if hidden(path.relative_to(folder).as_posix()) or path.is_dir():
             continue
-        if any(p.startswith("_") for p in parts):
-            raise ValueError(f"Spark would skip {path}: its name starts with an underscore")
         if not path.exists():
             raise FileNotFoundError(f"dangling link: {path}")
         out.append(path)
@@ -41,36 +51,105 @@ def shard_name(folder: Path, path: Path) -> str:
 
 
 def split_of(name: str) -> str:
+    """The first part of a shard's name."""
     return name.split("/", 1)[0] if "/" in name else "__all__"
 
 
+def split_label(shard: Column) -> Column:
+    """All of a shard's name but its last part, as split labels may nest."""
+    return F.regexp_replace(shard, "/[^/]*$", "")
+
+
 def literal(path: Path | str) -> str:
     """The path with the characters that Spark would expand escaped."""
     return re.sub(r"([\[\]{}*?\\])", r"\\\1", str(path))
 
 
-def read_shards(spark: SparkSession, folder: Path, paths: list[Path]) -> DataFrame:
-    """The union of the shards' columns in first-seen order, and the shard's name; a type conflict is an error.
+def footers(paths: list[Path]) -> list[pa.Schema]:
+    """The files' schemas without columns of the null type only, which other files type."""
+
+    def one(path: Path) -> pa.Schema:
+        found = pq.read_schema(path)
+        for f in found:
+            if pa.types.is_timestamp(f.type) and f.type.unit == "ns":
+                raise ValueError(f"{path}: column {f.name!r} has nanoseconds, which Spark can't read")
+        return pa.schema([f for f in found if not pa.types.is_null(f.type)])
+
+    with ThreadPoolExecutor(READERS) as pool:
+        return list(pool.map(one, paths))
+
+
+def pinned_schema(paths: list[Path], found: list[pa.Schema] | None = None) -> dict[str, pa.DataType]:
+    """The union of the files' columns in first-seen order; a type conflict is an error."""
+    if not paths:
+        raise ValueError("no files to take a schema from")
+    out: dict[str, pa.DataType] = {}
+    for path, schema in zip(paths, found or footers(paths), strict=True):
+        for f in schema:
+            kind = f.type.value_type if pa.types.is_dictionary(f.type) else f.type
+            kind = pa.string() if pa.types.is_large_string(kind) else kind
+            if out.setdefault(f.name, kind) != kind:
+                raise ValueError(f"{path}: column {f.name!r} is {kind}, and {out[f.name]} elsewhere")
+    return out
+
+
+def _shown(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """The rows of the files named in the batches, with the file's path and the rows' places."""
+    for batch in batches:
+        for path in batch.column(0).to_pylist():
+            place = 0
+            for rows in pq.ParquetFile(path).iter_batches(1 << 16, columns=schema.names[:-2]):
+                n = rows.num_rows
+                columns = [rows.column(f.name).cast(f.type) for f in list(schema)[:-2]]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([path] * n, pa.string()), pa.array(range(place, place + n), pa.int64())], schema=schema)
+                place += n
+
+
+def _scan(spark: SparkSession, paths: list[Path], schema: pa.Schema) -> DataFrame:
+    """The rows of files of one schema, and the columns _path and _row: the file and the place in it."""
+    seen = [p for p in paths if not p.name.startswith("_")]
+    out = None
+    if seen:
+        path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))  # a plus is a plus in paths
+        out = spark.read.parquet(*map(literal, seen)).select(*[F.col(f"`{n}`") for n in schema.names], path.alias("_path"), F.col("_metadata.row_index").alias("_row"))
+    if rest := [p for p in paths if p.name.startswith("_")]:  # Spark doesn't read them, so Arrow does
+        plain = lambda t: t.value_type if pa.types.is_dictionary(t) else t
+        full = pa.schema([pa.field(f.name, plain(f.type)) for f in schema] + [pa.field("_path", pa.string()), pa.field("_row", pa.int64())])
+        named = spark.createDataFrame([(str(p),) for p in rest], "path string").repartition(len(rest))
+        made = named.mapInArrow(lambda it: _shown(it, full), from_arrow_schema(full, prefer_timestamp_ntz=True))
+        out = made if out is None else out.unionByName(made)
+    return out
+
+
+def read_shards(spark: SparkSession, folder: Path, paths: list[Path], columns: dict[str, str] | None = None, places: bool = False) -> DataFrame:
+    """The shards' rows and their shard's name: the union of the columns in first-seen order, missing ones null.
 
-    Columns that a file has with the null type only are left to the files that type them.
+    ``columns``: read these alone, each cast to its type (others are ignored, missing ones null), so that
+    files that differ in width go together; without it a type conflict is an error.  ``places``: with the
+    column _row, the row's place in its file.
     """
     if not paths:
         raise ValueError(f"no shards in {folder}")
-    names: dict[str, str] = {}
+    found = footers(paths)
+    names = list(columns) if columns is not None else list(pinned_schema(paths, found))
     groups: dict[tuple, list[Path]] = {}
-    for path in paths:
-        schema = pq.read_schema(path)
-        own = {f.name: str(f.type) for f in schema if str(f.type) != "null"}
-        for name, kind in own.items():
-            if names.setdefault(name, kind) != kind:
-                raise ValueError(f"{path}: column {name!r} is {kind}, and {names[name]} elsewhere")
-        groups.setdefault(tuple(own), []).append(path)
+    for path, schema in zip(paths, found, strict=True):
+        own = [f for f in schema if f.name in names]
+        groups.setdefault(tuple((f.name, str(f.type)) for f in own), []).append(path)
+    schemas = {key: pa.schema([found[paths.index(files[0])].field(n) for n, _ in key]) for key, files in groups.items()}
+    shard = F.regexp_replace(F.regexp_replace(F.col("_path"), "^.*?" + re.escape(folder.resolve().as_posix()) + "/", ""), r"\.parquet$", "")
+    if folder.resolve() != folder:
+        shard = F.regexp_replace(shard, "^.*?" + re.escape(folder.as_posix()) + "/", "")
     out = None
-    shard = F.regexp_replace(F.regexp_replace(F.col("_metadata.file_path"), "^.*?" + re.escape(folder.resolve().as_posix()) + "/", ""), r"\.parquet$", "")
-    for own, files in groups.items():
-        made = spark.read.parquet(*map(literal, files)).select(*own, shard.alias("shard"))
+    for key, files in groups.items():
+        made = _scan(spark, files, schemas[key])
+        kept = [F.col(f"`{n}`").cast(columns[n]).alias(n) if columns else F.col(f"`{n}`") for n, _ in key]
+        made = made.select(*kept, shard.alias("shard"), "_row")
         out = made if out is None else out.unionByName(made, allowMissingColumns=True)
-    return out.select(*names, "shard")
+    for n in names:
+        if n not in out.columns:
+            out = out.withColumn(n, F.lit(None).cast(columns[n]))
+    return out.select(*[F.col(f"`{n}`") for n in names], "shard", *(["_row"] if places else []))
 
 
 class EventDataset:
@@ -83,17 +162,30 @@ class EventDataset:
         if not self.paths:
             raise NotADatasetError(f"{root} has no shards under data/")
 
-    def events(self) -> DataFrame:
-        return read_shards(self.spark, self.data, self.paths)
+    def events(self, places: bool = False) -> DataFrame:
+        return read_shards(self.spark, self.data, self.paths, places=places)
+
+    def sized_events(self) -> DataFrame:
+        """The columns that sizes depend on, of shards of any width."""
+        return read_shards(self.spark, self.data, self.paths, SIZED)
+
+    def subject_shards(self) -> DataFrame:
+        """(subject_id, shard) of every subject and shard that has rows of it."""
+        return read_shards(self.spark, self.data, self.paths, {"subject_id": "bigint"}).distinct()
+
+    def files(self) -> DataFrame:
+        """(shard, n_bytes) of every shard."""
+        rows = [(shard_name(self.data, p), p.stat().st_size) for p in self.paths]
+        return self.spark.createDataFrame(rows, "shard string, n_bytes bigint")
 
     def splits(self) -> DataFrame:
         """From the splits file, else from the first part of the shards' names."""
         path = self.root / SPLITS_FILE
         if path.is_file():
-            return self.spark.read.parquet(literal(path)).select(F.col("subject_id").cast("long"), F.col("split").cast("string"))
+            return read_splits(self.spark, path)
         if any("/" not in shard_name(self.data, p) for p in self.paths):
             raise NotADatasetError(f"{self.root} has no splits file, and flat shard names")
-        return self.events().select("subject_id", F.split_part("shard", F.lit("/"), F.lit(1)).alias("split")).distinct()
+        return self.subject_shards().select("subject_id", F.split_part("shard", F.lit("/"), F.lit(1)).alias("split")).distinct()
 
     def codes(self) -> DataFrame | None:
         path = self.root / CODES_FILE
@@ -101,34 +193,45 @@ class EventDataset:
 
     def fingerprint(self) -> str:
         """A digest of the files' names, sizes and times."""
-        made = sha256()
-        for path in [*self.paths, *([self.root / CODES_FILE] if (self.root / CODES_FILE).is_file() else [])]:
-            stat = path.stat()
-            item = f"{path.relative_to(self.root).as_posix()}\x1f{stat.st_size}\x1f{stat.st_mtime_ns}".encode()
-            made.update(f"{len(item)}:".encode() + item)
-        return PREFIX + made.hexdigest()
-
-
-def tensor_header(path: str | Path) -> dict[str, dict]:
-    """The header of a safetensors file, read without its tensors."""
-    size = os.path.getsize(path)
-    with open(path, "rb") as f:
-        prefix = f.read(8)
-        if len(prefix) < 8:
-            raise ValueError(f"{path} is no safetensors file: {len(prefix)} bytes")
-        n = int.from_bytes(prefix, "little")
-        if n > size - 8:
-            raise ValueError(f"{path} is truncated: its header needs {n} bytes")
-        raw = f.read(n)
-    try:
-        header = json.loads(raw)
-    except ValueError as e:
-        raise ValueError(f"{path} has a header that is no JSON: {e}") from e
-    if not isinstance(header, dict):
-        raise ValueError(f"{path} has a header that is no object")
-    return {k: v for k, v in header.items() if k != "__metadata__"}
-
-
-def tensor_length(header: dict[str, dict], key: str) -> int:
-    shape = header.get(key, {}).get("shape") or [0]
-    return int(shape[0])
+        codes = self.root / CODES_FILE
+        stats = [(p.relative_to(self.root).as_posix(), p.stat()) for p in [*self.paths, *([codes] if codes.is_file() else [])]]
+        return text_digest(f"{name}\x1f{stat.st_size}\x1f{stat.st_mtime_ns}" for name, stat in stats)
+
+
+def read_splits(spark: SparkSession, path: Path) -> DataFrame:
+    """(subject_id, split), each pair once."""
+    return spark.read.parquet(literal(path)).select(F.col("subject_id").cast("long"), F.col("split").cast("string")).distinct()
+
+
+def read_excluded(spark: SparkSession, path: Path) -> DataFrame:
+    """The subjects of a dataset's splits file, or of a splits file itself, whatever their split."""
+    found = path if path.is_file() else path / SPLITS_FILE
+    if not found.is_file():
+        raise FileNotFoundError(f"no {SPLITS_FILE} in {path}")
+    return spark.read.parquet(literal(found)).select(F.col("subject_id").cast("long").alias("subject_id")).distinct()
+
+
+def read_labels(spark: SparkSession, folder: Path, places: bool = False) -> DataFrame:
+    """The label rows of a folder, at the union of its files' columns, with their file's name (``shard``)."""
+    paths = shard_paths(folder)
+    if not paths:
+        raise FileNotFoundError(f"no label files in {folder}")
+    return read_shards(spark, folder, paths, places=places)
+
+
+def is_tensorized(root: Path) -> bool:
+    from .tensors import SCHEMAS
+
+    return (root / SCHEMAS).is_dir()
+
+
+def bytes_below(folder: Path) -> tuple[int, int]:
+    """(bytes with links followed, bytes of distinct files) below a folder."""
+    seen: dict[tuple[int, int], int] = {}
+    total = 0
+    for top, _, names in os.walk(folder):
+        for name in names:
+            stat = os.stat(os.path.join(top, name))
+            total += stat.st_size
+            seen[stat.st_dev, stat.st_ino] = stat.st_size
+    return total, sum(seen.values())

@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from kohorta.functions.framing import canonical_row, digest, framed, short_id
+from kohorta.functions.framing import canonical_row, combined, combined_ids, digest, folded, folded_whole, framed, short_id, text_digest
 from kohorta.functions.ranks import cutoff, rank_digest, uniform_score
 from kohorta.operators import digests, resampling, selection, sizes
 
@@ -57,7 +57,7 @@ def test_rejected_draws_are_passed_over(spark):
     assert cutoff(4) == 2**64 and cutoff(10) == 2**64 - 6
 
 
-@pytest.mark.parametrize(("n", "pool", "message"), [(-1, [1], ">= 0"), (2, [], "empty pool"), (1, [3, 3], "repeated subject 3")])
+@pytest.mark.parametrize(("n", "pool", "message"), [(-1, [1], ">= 0"), (2, [], "empty pool has no subjects"), (1, [3, 3], "repeated subject 3")])
 def test_draw_errors(spark, n, pool, message):
     with pytest.raises(ValueError, match=message):
         resampling.with_replacement(ids(spark, pool), n, "s", 0)
@@ -89,12 +89,16 @@ def test_canonical_values(spark):
     assert spark.range(1).select(framed(F.lit(None).cast("string"))).first()[0] == "-1:"
 
 
-def test_fold_on_driver_equals_aggregate(spark):
+def test_streamed_folds_equal_aggregates(spark):
     rows = spark.createDataFrame([(i, f"c{i % 3}") for i in range(50)], "subject_id long, code string")
     each = digests.subject_digests(rows)
-    from kohorta.functions.framing import combined
-
-    assert digests.fold_on_driver(each) == each.agg(combined(F.col("digest"))).first()[0]
+    plain = sorted(r.digest for r in each.collect())
+    assert each.agg(combined(F.col("digest"))).first()[0] == text_digest(plain) == folded_whole(each, F.col("digest")).first()[0]
+    by = folded(each.repartition(7), F.col("subject_id") % 3, F.col("digest"), F.col("subject_id")).collect()
+    own = {r.subject_id: r.digest for r in each.collect()}
+    assert {r.group: r.digest for r in by} == {str(k): text_digest(own[i] for i in range(50) if i % 3 == k) for k in range(3)}
+    assert folded_whole(each.limit(0), F.col("digest")).first()[0] == text_digest([])
+    assert combined_ids({"b": "2", "a": "1"}) == text_digest(["a=1", "b=2"])
 
 
 def test_content_id_ignores_order_and_partitions(spark):
