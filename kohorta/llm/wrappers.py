@@ -4,14 +4,21 @@ A page becomes a stream of tokens: tags (with class and id words) and text.  Run
 folded into repeated groups; then the streams of a host's pages are aligned one after the other, and every
 mismatch is resolved into an optional group, a repeated group (where one side is another instance of a group
 that the other repeats) or a text slot.  The outcome is a union-free regular expression with text slots, each
-of which has a place: its chain of containers.  The wrapper settles which places hold the article; extraction
-then reads a page's text slots at those places.
+of which has a place: its chain of containers.
 
-Every page's folded stream takes part: equal ones of a host, its shapes, are aligned once.
+Every page of a host is read against its slots: a place whose texts are the same on the pages that fill it is part of
+the template, one whose texts differ holds what the page says.  A place whose slots the expression has inside links
+only is a menu.  The wrapper's main places are those inside an article (or else main) element, or where the
+host has none all but menus; template text goes, and so do places that the names of their elements, or words of
+classes, say are something else.  Extraction reads a page's text at those places.
+
+Every page's folded stream takes part: equal ones of a host, its shapes, are aligned once.  A host's shapes are dealt
+to buckets that are aligned by themselves, and the buckets' expressions then with each other, so that no task
+sees all shapes of a large host.
 
 Defined results: null and empty html give an empty text; a host with one page has a wrapper of that page; a
-page with text, but none at its host's places of the article, is read by its own places; unclosed elements end with their
-container; repeated rows give repeated results.
+page with text, but none at its host's main places, is read by its own; where all of a host's pages say the
+same, that is the page's text; unclosed elements end with their container; repeated rows give repeated results.
 """
 
 from __future__ import annotations
@@ -21,6 +28,7 @@ import json
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 from difflib import SequenceMatcher
 from hashlib import blake2b
 
@@ -28,12 +36,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import frugal, small_batches
+from .common import frugal, small_batches, stored
 
 from .url_rules import host_of
 
 #: Distinct shapes that a task keeps to send each once.
 KEPT_SHAPES = 20_000
+#: Groups that a host's shapes are dealt to.
+BUCKETS = 32
+#: Different pages that must fill a place before its text can count as the template's, and times that they outnumber their texts.
+TEMPLATE_PAGES, TEMPLATE_TIMES = 3, 3
+#: Bytes of all hosts' main places up to which they are broadcast.
+BROADCAST_BYTES = 32 << 20
 LONGEST_GROUP = 8
 
 # Elements of HTML.
@@ -112,8 +126,8 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
                 count[tag] += 1
 
 
-def blocks(page: str) -> Iterator[tuple[str, str]]:
-    """(place, text) of each block in order.  A place is the chain of open containers."""
+def blocks(stream: Iterable[tuple[str, str, str]]) -> Iterator[tuple[str, str]]:
+    """(place, text) of each block of a page's tokens in order.  A place is the chain of open containers."""
     stack: list[str] = []
     place, parts = "", []
 
@@ -122,7 +136,7 @@ def blocks(page: str) -> Iterator[tuple[str, str]]:
             yield place, text
         parts.clear()
 
-    for kind, name, what in tokens(page):
+    for kind, name, what in stream:
         if kind == "text":
             parts.append(what)
             continue
@@ -142,10 +156,10 @@ def blocks(page: str) -> Iterator[tuple[str, str]]:
     yield from flush()
 
 
-def skeleton(page: str) -> list[Token]:
-    """Tags and text slots; neighbouring texts are one slot, white space none."""
+def skeleton(stream: Iterable[tuple[str, str, str]]) -> list[Token]:
+    """Tags and text slots of a page's tokens; neighbouring texts are one slot, white space none."""
     out: list[Token] = []
-    for kind, name, what in tokens(page):
+    for kind, name, what in stream:
         if kind == "text":
             if what.strip() and (not out or out[-1] != (TEXT,)):
                 out.append((TEXT,))
@@ -214,7 +228,7 @@ def align(wrapper: list[Token], page: list[Token]) -> list[Token]:
 
 
 def infer(pages: list[str]) -> list[Token]:
-    return aligned(fold(skeleton(page)) for page in pages)
+    return aligned(fold(skeleton(tokens(page))) for page in pages)
 
 
 def aligned(shapes: Iterable[list[Token]]) -> list[Token]:
@@ -225,23 +239,33 @@ def aligned(shapes: Iterable[list[Token]]) -> list[Token]:
     return wrapper
 
 
-def slots(items: list[Token] | tuple, stack: list[str] | None = None) -> list[str]:
-    """Places of the wrapper's text slots."""
-    stack = [] if stack is None else stack
-    out: list[str] = []
-    for x in items:
+def slots(items: Iterable[Token]) -> dict[str, bool]:
+    """The places of an expression's text slots, and whether all of a place's slots are inside links."""
+    stack: list[str] = []
+    out: dict[str, bool] = {}
+    links = 0
+
+    def walk(x: Token) -> None:
+        nonlocal links
         if x == (TEXT,):
-            out.append("/".join(stack))
+            place = "/".join(stack)
+            out[place] = out.get(place, True) and links > 0
         elif x[0] == "repeat":
-            out += slots(x[1], stack)
+            for y in x[1]:
+                walk(y)
         elif x[0] == "optional":
-            out += slots((x[1],), stack)
+            walk(x[1])
+        elif x[1] == "a":
+            links = links + 1 if x[0] == "open" else max(0, links - 1)
         elif x[1] in CONTAINERS:
             if x[0] == "open":
                 stack.append(f"{x[1]} {x[2]}".strip())
             elif any(y.split(" ")[0] == x[1] for y in stack):
                 while stack.pop().split(" ")[0] != x[1]:
                     pass
+
+    for x in items:
+        walk(x)
     return out
 
 
@@ -260,87 +284,145 @@ def is_aside(place: str) -> bool:
     return False
 
 
-def main_places(weights: Counter[str]) -> list[str]:
-    """The places that hold the article, of places with their amounts of text.
+@dataclass(frozen=True)
+class Place:
+    """What a wrapper knows of a place: whether it only has links, how many pages fill it with how many texts, and their characters."""
 
-    Places inside an article (or else main) element, if there is one; else all that are not aside.
-    """
-    open_to = [p for p in weights if not is_aside(p)]
-    if not open_to:  # a name on the page's outermost element says too much
-        open_to = [p for p in weights if not BOILERPLATE & {x.split(" ")[0] for x in p.split("/")}]
-    for name in ("article", "main"):
-        if inside := [p for p in open_to if any(x.split(" ")[0] == name for x in p.split("/"))]:
-            return sorted(inside)
-    return sorted(open_to)
+    linked: bool = False
+    pages: int = 1
+    texts: int = 1
+    chars: int = 0
+
+    @property
+    def template(self) -> bool:
+        return self.pages >= TEMPLATE_PAGES and self.texts * TEMPLATE_TIMES <= self.pages
 
+    @property
+    def said(self) -> float:
+        """The characters, with equal texts counted once."""
+        return self.chars * self.texts / self.pages
 
-def wrapper_of(shapes: Iterable[list[Token]], places: Iterable[str]) -> dict:
-    """The wrapper of a host's shapes and places of texts: its expression, its slots' places and those that hold the article."""
-    expression = aligned(shapes)
-    known = Counter({p: 0 for p in [*slots(expression), *places]})
-    return {"expression": expression, "places": sorted(known), "main": main_places(known)}
 
+def main_places(known: dict[str, Place]) -> list[str]:
+    """The places that hold the article: inside an article (or else main) element, or where there is none all but menus.
 
-def extract(page: str | None, wrapper: dict | None = None) -> str:
-    found = list(blocks(page or ""))
-    main = set(wrapper["main"]) if wrapper else set()
-    if not any(p in main for p, _ in found):
-        main = set(main_places(Counter({p: 0 for p, _ in found})))
-    return "\n".join(text for place, text in found if place in main)
+    Template text goes, but never the place that says the most.
+    """
+    open_to = [p for p in known if not is_aside(p)]
+    if not open_to:  # a name on the page's outermost element says too much
+        open_to = [p for p in known if not BOILERPLATE & {x.split(" ")[0] for x in p.split("/")}]
+    for name in ("article", "main"):
+        if inside := [p for p in open_to if any(x.split(" ")[0] == name for x in p.split("/"))]:
+            open_to = inside
+            break
+    else:
+        open_to = [p for p in open_to if not known[p].linked] or open_to
+    if not open_to:
+        return []
+    largest = max(open_to, key=lambda p: (known[p].said, p))
+    return sorted(p for p in open_to if p == largest or not known[p].template)
+
+
+def wrapper_of(expression: list[Token], counted: dict[str, tuple[int, int, int]]) -> dict:
+    """A host's wrapper: its expression, the slots' places with (pages, texts, characters) as counted, and the main ones."""
+    linked = slots(expression)
+    known = {p: Place(linked.get(p, False), *counted.get(p, (1, 1, 0))) for p in sorted({*linked, *counted})}
+    places = {p: [x.linked, x.pages, x.texts, x.chars] for p, x in known.items()}
+    return {"expression": expression, "places": places, "main": main_places(known)}
+
+
+def extract(page: str | None, main: Iterable[str] | None = None) -> str:
+    """The page's text at its host's main places, or at its own."""
+    stream = list(tokens(page or ""))
+    found = list(blocks(stream))
+    chosen = set(main or ())
+    if not any(p in chosen for p, _ in found):
+        linked = slots(skeleton(stream))
+        chars: Counter[str] = Counter()
+        for place, text in found:
+            chars[place] += len(text)
+        chosen = set(main_places({p: Place(linked.get(p, False), chars=n) for p, n in chars.items()}))
+    return "\n".join(text for place, text in found if place in chosen)
 
 
 def _tuples(x):
     return tuple(map(_tuples, x)) if isinstance(x, list) else x
 
 
+def _hash(*parts: str) -> int:
+    return int.from_bytes(blake2b("\n".join(parts).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
 @frugal
-def _shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sent: set[bytes] = set()
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For every page a row for each place: (host, place, hash of the page, hash of the place's text, characters); and its shape, once a task."""
+    sent: set[int] = set()
     for batch in batches:
-        rows = []
+        rows: list[tuple] = []
         for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
-            shape = json.dumps([fold(skeleton(page or "")), sorted({p for p, _ in blocks(page or "")})])
-            key = blake2b(f"{host}\n{shape}".encode("utf-8", "surrogatepass"), digest_size=16).digest()
-            if key not in sent:
+            stream = list(tokens(page or ""))
+            texts: dict[str, list[str]] = {}
+            for place, text in blocks(stream):
+                texts.setdefault(place, []).append(text)
+            own = _hash(page or "")
+            rows += ((host, None, place, own, _hash(*lines), sum(map(len, lines))) for place, lines in texts.items())
+            shape = json.dumps(fold(skeleton(stream)))
+            if (key := _hash(host, shape)) not in sent:
                 if len(sent) >= KEPT_SHAPES:
                     sent.clear()
                 sent.add(key)
-                rows.append((host, shape))
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())], ["host", "shape"])
+                rows.append((host, shape, None, None, None, None))
+        types = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64())
+        columns = zip(*rows, strict=True) if rows else [[]] * len(types)
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], ["host", "shape", "place", "page", "text", "chars"])
+
+
+def _expressions(table: pa.Table, column: str) -> list[Token]:
+    return aligned(list(_tuples(json.loads(x))) for x in sorted(table[column].to_pylist()))
 
 
 def _infer(key, table: pa.Table) -> pa.Table:
-    made = [json.loads(x) for x in sorted(table["shape"].to_pylist())]
-    wrapper = wrapper_of((list(_tuples(shape)) for shape, _ in made), {p for _, places in made for p in places})
-    return pa.table({"host": [key[0].as_py()], "wrapper": [json.dumps(wrapper)]})
+    return pa.table({"host": [key[0].as_py()], "expression": [json.dumps(_expressions(table, "shape"))]})
+
+
+def _decide(key, parts: pa.Table, counted: pa.Table) -> pa.Table:
+    """A host's wrapper, from its buckets' expressions (``BUCKETS`` at most) and its places."""
+    of_place = {r["place"]: (r["pages"], r["texts"], r["chars"]) for r in counted.to_pylist()}
+    wrapper = wrapper_of(_expressions(parts, "expression"), of_place)
+    return pa.table({"host": [key[0].as_py()], "wrapper": [json.dumps(wrapper)], "main": [json.dumps(wrapper["main"])]})
 
 
 @frugal
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    parsed: dict[str, dict] = {}
+    parsed: dict[str | None, list[str]] = {None: []}
     for batch in batches:
         texts = []
-        for page, wrapper in zip(batch.column("html").to_pylist(), batch.column("wrapper").to_pylist(), strict=True):
-            if wrapper is not None and wrapper not in parsed:
+        for page, main in zip(batch.column("html").to_pylist(), batch.column("main").to_pylist(), strict=True):
+            if main not in parsed:
                 if len(parsed) > 500:
-                    parsed.clear()
-                parsed[wrapper] = json.loads(wrapper)
-            texts.append(extract(page, parsed.get(wrapper)))
+                    parsed = {None: []}
+                parsed[main] = json.loads(main)
+            texts.append(extract(page, parsed[main]))
         yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["id", "url", "text", "n_chars"])
 
 
 def host_wrappers(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(host, wrapper): every host's wrapper as JSON, inferred from all shapes of its pages."""
+    """(host, wrapper, main): every host's wrapper and its main places as JSON, inferred from all its pages."""
+    small_batches(pages.sparkSession)
     some = pages.select(host_of(F.col(url)).alias("host"), F.col(html).alias("html"))
-    shapes = some.mapInArrow(_shapes, "host string, shape string").distinct()
-    return shapes.groupBy("host").applyInArrow(lambda k, t: _infer(k, t), "host string, wrapper string")
+    read = stored(some.mapInArrow(_read, "host string, shape string, place string, page bigint, text bigint, chars bigint"), "places")
+    shapes = read.where("shape IS NOT NULL").select("host", "shape").distinct()
+    dealt = shapes.groupBy("host", F.pmod(F.xxhash64("shape"), F.lit(BUCKETS)).alias("bucket"))
+    parts = dealt.applyInArrow(lambda k, t: _infer(k, t), "host string, expression string")
+    counted = read.where("place IS NOT NULL").groupBy("host", "place").agg(F.countDistinct("page").alias("pages"), F.countDistinct("text").alias("texts"), F.sum("chars").alias("chars"))
+    return parts.groupBy("host").cogroup(counted.groupBy("host")).applyInArrow(lambda k, a, b: _decide(k, a, b), "host string, wrapper string, main string")
 
 
 def main_texts(pages: DataFrame, url: str = "url", html: str = "html", key: str = "page_id") -> DataFrame:
     """(``key``, url, text, n_chars) of every row."""
-    small_batches(pages.sparkSession)
-    wrappers = host_wrappers(pages, url, html)
+    mains = stored(host_wrappers(pages, url, html).select("host", "main"), "wrappers")
+    size = mains.agg(F.coalesce(F.sum(F.length("host") + F.length("main") + 64), F.lit(0))).first()[0]
     made = pages.select(F.col(key).alias("id"), F.col(url).alias("url"), F.col(html).alias("html"), host_of(F.col(url)).alias("host"))
     kind = made.schema["id"].dataType.simpleString()
-    joined = made.join(wrappers, "host", "left").select("id", "url", "html", "wrapper")
+    joined = made.join(F.broadcast(mains) if size <= BROADCAST_BYTES else mains, "host", "left").select("id", "url", "html", "main")
     return joined.mapInArrow(_extract, f"id {kind}, url string, text string, n_chars bigint").withColumnRenamed("id", key)

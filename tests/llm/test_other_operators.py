@@ -264,6 +264,41 @@ def test_every_layout_of_a_host_is_extracted(spark):
     assert {"body/main", "body/div content", "body/div widget", "body/section"} <= set(wrapper["places"])
 
 
+def test_the_wrapper_decides_where_names_say_nothing(spark):
+    def layout(i):
+        menu = "".join(f"<li><a href=/{j}>topic {i} {j}</a></li>" for j in range(3 + i % 2))
+        extra = f"<p>See <a href=/x>this</a> too {i}</p>" if i % 3 == 0 else ""
+        return f"<body><div class=zone><p>Call us any day of the week, we are glad to help you with all of it</p></div><div class=rail><ul>{menu}</ul></div><div class=zq><p>story {i} begins</p>{extra}</div>"
+
+    html = {i: layout(i) for i in range(12)}
+    html[12] = "<body><div class=rail><ul><li><a href=/1>only topic</a></li></ul></div>"  # nothing at the main places: its own
+    pages = spark.createDataFrame([(i, f"http://plain.com/{i}", h) for i, h in html.items()], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in wrappers.main_texts(pages).collect()}
+    assert got == {i: f"story {i} begins" + (f"\nSee this too {i}" if i % 3 == 0 else "") for i in range(12)} | {12: "only topic"}
+    assert wrappers.extract(html[1]) == "Call us any day of the week, we are glad to help you with all of it\nstory 1 begins"  # one page can't tell
+    wrapper = json.loads(wrappers.host_wrappers(pages).first().wrapper)
+    assert wrapper["main"] == ["body/div zq"] and wrapper["places"]["body/div rail/ul"][0] and wrapper["places"]["body/div zone"][1:3] == [12, 1]
+
+
+def test_copies_of_a_page_are_no_template(spark):
+    html = "<body><div><p>all of it</p></div><div class=other><p>more of it here</p></div>"
+    pages = spark.createDataFrame([(i, "http://same.com/", html) for i in range(9)], "page_id long, url string, html string")
+    assert {r.text for r in wrappers.main_texts(pages).collect()} == {"all of it\nmore of it here"}
+    near = spark.createDataFrame([(i, "http://near.com/", html + "<!-- -->" * i) for i in range(9)], "page_id long, url string, html string")
+    assert {r.text for r in wrappers.main_texts(near).collect()} == {"more of it here"}  # the place with the most text stays
+
+
+def test_empty_tables_long_pages_and_clashing_columns(spark):
+    empty = spark.createDataFrame([], "page_id long, url string, html string")
+    assert wrappers.main_texts(empty).count() == 0 and url_rules.judge_urls(empty).count() == 0
+    long = "<article>" + "<p>" + "word " * 400_000 + "</p>" + "<div>" * 3000 + "deep" + "</article>"
+    rows = [(1, "http://l.com/", long, "a", "b"), (1, "http://l.com/", long, "a", "b"), (2, "http://l.com/", None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, main string, host string")
+    got = sorted((r.page_id, r.n_chars) for r in wrappers.main_texts(pages).collect())
+    assert got == [(1, 5 * 400_000 - 1 + 5)] * 2 + [(2, 0)]
+    assert sorted(r.page_id for r in url_rules.judge_urls(pages).collect()) == [1, 1, 2]
+
+
 def test_dropped_elements_end_with_their_container():
     rest = "<p>rest</p></article><p>after</p>"
     for cut in ['<svg class="i"/>', "<svg/>", "<svg width='1'><path d='x'/><g></svg>", "<math />", "<iframe src='x' />", "<svg><p>no</p></svg>", "<noscript></div>no</noscript>", "<script>'</p>'</script>"]:
