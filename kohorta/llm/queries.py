@@ -115,16 +115,19 @@ def _url_sql() -> str:
     fits = lambda r: f"((host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}'))"
     case = lambda value: " ".join(f"WHEN {fits(r)} THEN '{value(r)}'" for r in ordered)
     hit = lambda t: rf"regexp_matches(u, '(^|[^a-z0-9]){t}($|[^a-z0-9])')"
-    count = lambda terms: " + ".join(f"CAST({hit(t)} AS INTEGER)" for t in terms)
-    strict = " + ".join(f"len(regexp_extract_all(u2, '(^|[^a-z0-9]){t}($|[^a-z0-9])'))" for t in url_rules.STRICT)
+    terms = url_rules.read_terms()
+    soft = {t: n for t, n in terms.items() if n < url_rules.LIMIT}
+    count = " + ".join(f"CAST({hit(t)} AS INTEGER)" for t in soft)
+    points = " + ".join(f"{n} * CAST({hit(t)} AS INTEGER)" for t, n in soft.items())
+    strict = " + ".join(f"len(regexp_extract_all(u2, '(^|[^a-z0-9]){t}($|[^a-z0-9])'))" for t in terms if t not in soft)
     return f"""
 WITH s AS (
   SELECT page_id, {host} AS host, {path} AS path, lower(coalesce(url, '')) AS u,
          regexp_replace(lower(coalesce(url, '')), '([^a-z0-9-])', '\\1\\1', 'g') AS u2 FROM pages
-), c AS (SELECT *, CAST({strict} AS INTEGER) AS strict_hits, CAST({count(url_rules.SOFT)} AS INTEGER) AS soft_hits FROM s)
+), c AS (SELECT *, CAST({strict} AS INTEGER) AS strict_hits, CAST({count} AS INTEGER) AS soft_hits, CAST({points} AS INTEGER) AS soft_points FROM s)
 SELECT page_id, host, path, CASE {case(lambda r: r.name)} END AS rule,
-       CASE {case(lambda r: r.verdict)} WHEN strict_hits > 0 OR soft_hits >= {url_rules.SOFT_HITS} THEN 'block' ELSE 'allow' END AS verdict,
-       strict_hits, soft_hits
+       CASE {case(lambda r: r.verdict)} WHEN strict_hits > 0 OR soft_points >= {url_rules.LIMIT} THEN 'block' ELSE 'allow' END AS verdict,
+       strict_hits, soft_hits, soft_points
 FROM c
 """
 
