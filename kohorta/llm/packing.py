@@ -1,7 +1,7 @@
 """Best-fit decreasing packing of documents' tokens into sequences.
 
 Every document's ids are first cut into full windows; what is left over is a piece shorter than a window.
-Pieces are dealt to shards by a hash of their document, and each shard packs its pieces in decreasing length,
+Pieces are dealt to shards by a hash of their document and place, and each shard packs its pieces in decreasing length,
 each into the open sequence with the least room that still holds it.  A segment tree over the possible rooms
 (0 to ``window``) finds that room in as many steps as the tree is high.  A sequence's used length is padded
 to the window unless it is a power of two.
@@ -20,11 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import frugal, slices, small_batches
+from .common import frugal, slices, small_batches, stored
 from .tokenizing import encoder
 
 WINDOW = 2048
-#: Pieces a shard is meant to have, and the text characters that stand for one piece when shards are counted.
+#: Pieces a shard is meant to have.
 PIECES_PER_SHARD = 200_000
 
 
@@ -94,8 +94,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, window: int) -> Iterat
                 for name, value in zip(rows, (row, start, len(piece) // 4, zlib.crc32(piece), total), strict=True):
                     rows[name].append(value)
         keys = batch.column("id").take(pa.array(rows["row"], pa.int64()))
-        salts = batch.column("shard").take(pa.array(rows["row"], pa.int64()))
-        yield pa.RecordBatch.from_arrays([keys, salts, *[pa.array(rows[n], pa.int64()) for n in ("start", "length", "crc", "total")]], ["id", "shard", "start", "length", "crc", "total"])
+        yield pa.RecordBatch.from_arrays([keys, *[pa.array(rows[n], pa.int64()) for n in ("start", "length", "crc", "total")]], ["id", "start", "length", "crc", "total"])
 
 
 def _pack(key, table: pa.Table, window: int) -> pa.Table:
@@ -108,16 +107,17 @@ def _pack(key, table: pa.Table, window: int) -> pa.Table:
 def packed(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id", window: int = WINDOW, shards: int | None = None) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) of every piece.
 
-    ``shards``: how many shards pack on their own; by default one for every ``PIECES_PER_SHARD`` rows, but
-    eight at least.
+    ``shards``: how many shards pack on their own; by default one for every ``PIECES_PER_SHARD`` pieces, but
+    eight at least.  The pieces are stored first, without their ids, so that they are cut once and counted.
     """
     small_batches(docs.sparkSession)
-    if shards is None:
-        shards = max(8, -(-docs.count() // PIECES_PER_SHARD))
     kind = docs.schema[key].dataType.simpleString()
-    made = docs.select(F.col(key).alias("id"), F.col(text).alias("text"), F.pmod(F.xxhash64(key, text), F.lit(shards)).alias("shard"))
-    pieces = made.mapInArrow(lambda it: _pieces(it, tokenizer, window), f"id {kind}, shard bigint, start bigint, length bigint, crc bigint, total bigint")
-    out = pieces.groupBy("shard").applyInArrow(
+    made = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
+    pieces = stored(made.mapInArrow(lambda it: _pieces(it, tokenizer, window), f"id {kind}, start bigint, length bigint, crc bigint, total bigint"), "pieces")
+    if shards is None:
+        shards = max(8, -(-pieces.count() // PIECES_PER_SHARD))
+    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("id", "start", "crc", "total"), F.lit(shards)))
+    out = dealt.groupBy("shard").applyInArrow(
         lambda k, t: _pack(k, t, window), f"id {kind}, start bigint, length bigint, crc bigint, total bigint, sequence bigint, offset bigint"
     )
     return out.select(
