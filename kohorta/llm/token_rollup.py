@@ -1,8 +1,8 @@
 """Token counts as delta-maintained rollups by source, language and tokenizer version.
 
 A batch of changes is a table of inserts (a new count), deletes (an old count) and revisions (an old count, and
-a new one, maybe of another tokenizer version).  It is aggregated into signed deltas and committed as one folder
-named after the batch; a batch that is committed already changes nothing, so a repeated or restarted job is
+a new one, maybe of another tokenizer version).  It is aggregated into signed deltas and committed by its name;
+a batch that is committed already changes nothing, so a repeated or restarted job is
 harmless.  Totals are the sums of all committed deltas; ``compact`` folds them into one folder that names the
 batches it holds.
 
@@ -12,13 +12,14 @@ tokens of one document; groups whose documents and tokens both came to zero are
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, frugal, shared_path, slices, small_batches
+from .common import Scratch, frugal, remove, shared_path, slices, small_batches
 from .tokenizing import encoder
 
 KEYS = ("source", "lang", "version")
@@ -59,7 +60,11 @@ def _signed(counts: DataFrame, sign: int) -> DataFrame:
 
 
 class Rollup:
-    """A rollup in a folder of the shared file system."""
+    """A rollup in a folder of the shared file system.
+
+    ``data`` has a folder for each attempt at a batch, ``batches`` a small file for each committed batch that names
+    the folder that counts, ``compactions`` the same for compactions.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
@@ -69,47 +74,66 @@ class Rollup:
         made = jvm.org.apache.hadoop.fs.Path(path)
         return made.getFileSystem(self.spark._jsc.hadoopConfiguration()), made
 
+    def _publish(self, name: str, value: str) -> bool:
+        """Puts the file ``name`` with ``value`` in place by a rename; says no if it is there, which a rename onto a file is too."""
+        fs, target = self._hadoop(f"{self.folder}/{name}")
+        _, aside = self._hadoop(f"{self.folder}/attempts/{uuid.uuid4().hex}")
+        fs.mkdirs(target.getParent())
+        out = fs.create(aside, False)
+        out.write(bytearray(value.encode()))
+        out.close()
+        done = not fs.exists(target) and fs.rename(aside, target)
+        if not done:
+            fs.delete(aside, False)
+        return done and self._value(name) == value
+
+    def _value(self, name: str) -> str:
+        fs, path = self._hadoop(f"{self.folder}/{name}")
+        stream = fs.open(path)
+        try:
+            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def _names(self, kind: str) -> list[str]:
+        fs, path = self._hadoop(f"{self.folder}/{kind}")
+        if not fs.exists(path):
+            return []
+        return sorted(s.getPath().getName() for s in fs.listStatus(path) if s.isFile() and not s.getPath().getName().startswith("."))
+
     def committed(self, batch: str) -> bool:
-        fs, path = self._hadoop(f"{self.folder}/batch={batch}/_SUCCESS")
-        return fs.exists(path) or batch in self._compacted()[1]
+        return batch in self._names("batches") or batch in self._compacted()[1]
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Adds the batch unless it is there; says whether it was added.
 
-        The deltas are written aside and renamed, so that a batch is there as a whole or not at all.
+        The deltas are written first, to a folder of this attempt; the batch counts once its file names that folder, as
+        a whole or not at all, and of two attempts at once one counts.
         """
         if not batch.replace("-", "").replace("_", "").isalnum():
             raise ValueError(f"not a batch name: {batch!r}")
         if self.committed(batch):
             return False
         deltas = changes.groupBy(*KEYS).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"))
-        aside = shared_path(self.spark, "rollup-attempt")
-        deltas.write.parquet(aside)
-        fs, path = self._hadoop(f"{self.folder}/batch={batch}")
-        fs.mkdirs(path.getParent())
-        if fs.exists(path) or not fs.rename(self._hadoop(aside)[1], path):
-            fs.delete(self._hadoop(aside)[1], True)
-            return False
-        return True
-
-    def _folders(self, kind: str) -> list[str]:
-        fs, path = self._hadoop(self.folder)
-        if not fs.exists(path):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(path) if s.isDirectory()]
-        return sorted(n for n in names if n.startswith(f"{kind}="))
+        data = f"data/{batch}-{uuid.uuid4().hex}"
+        deltas.write.parquet(f"{self.folder}/{data}")
+        if self._publish(f"batches/{batch}", data):
+            return True
+        remove(self.spark, [f"{self.folder}/{data}"])
+        return False
 
     def _compacted(self) -> tuple[str | None, set[str]]:
         """The newest compaction and the batches that it holds."""
-        found = self._folders("compact")
+        found = self._names("compactions")
         if not found:
             return None, set()
-        names = {r["batch"] for r in self.spark.read.schema("batch string").parquet(f"{self.folder}/{found[-1]}/batches").collect()}
-        return found[-1], names
+        data = self._value(f"compactions/{found[-1]}")
+        names = {r["batch"] for r in self.spark.read.schema("batch string").parquet(f"{self.folder}/{data}/batches").collect()}
+        return data, names
 
     def totals(self) -> DataFrame:
         newest, held = self._compacted()
-        paths = [f"{self.folder}/{x}" for x in self._folders("batch") if x.removeprefix("batch=") not in held]
+        paths = [f"{self.folder}/{self._value(f'batches/{x}')}" for x in self._names("batches") if x not in held]
         if newest:
             paths.append(f"{self.folder}/{newest}/totals")
         if not paths:
@@ -120,13 +144,13 @@ class Rollup:
 
     def compact(self) -> None:
         """Folds all batches into one table of totals; the batches' folders stay until they are removed by hand."""
-        number = len(self._folders("compact"))
-        batches = {x.removeprefix("batch=") for x in self._folders("batch")} | self._compacted()[1]
-        aside = shared_path(self.spark, "rollup-compact")
-        self.totals().write.parquet(f"{aside}/totals")
-        self.spark.createDataFrame([(b,) for b in sorted(batches)], "batch string").write.parquet(f"{aside}/batches")
-        fs, path = self._hadoop(f"{self.folder}/compact={number:06d}")
-        if not fs.rename(self._hadoop(aside)[1], path):
+        number = len(self._names("compactions"))
+        batches = set(self._names("batches")) | self._compacted()[1]
+        data = f"data/compaction-{uuid.uuid4().hex}"
+        self.totals().write.parquet(f"{self.folder}/{data}/totals")
+        self.spark.createDataFrame([(b,) for b in sorted(batches)], "batch string").write.parquet(f"{self.folder}/{data}/batches")
+        if not self._publish(f"compactions/{number:06d}", data):
+            remove(self.spark, [f"{self.folder}/{data}"])
             raise RuntimeError("another compaction came first")
 
 
