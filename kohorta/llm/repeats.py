@@ -41,7 +41,7 @@ LENGTH, GRAM = 400, 220
 WORDS, WORD_GRAM = 50, 20
 BYTE_UNIT, WORD_UNIT = "byte", "word"
 #: Bytes of text handled at once; also the most symbols of one document.
-PIECE = 1 << 20
+PIECE = 1 << 18
 #: Longer words are hashed one by one.
 LONG_WORD = 1 << 10
 _BASE = 0x9E3779B97F4A7C15
