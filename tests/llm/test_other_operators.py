@@ -233,6 +233,49 @@ def test_url_rules(spark):
     assert got[11][2] == "com/" and got[12][2] is None and got[13] == ("a.com", "", None, "allow")
 
 
+def test_url_vocabulary_has_points(spark, tmp_path):
+    path = tmp_path / "terms.txt"
+    path.write_text("# points\nBad-Word 4\n\nsoft 3  # a comment\nweak 1\nweaker 1\n")
+    terms = url_rules.read_terms(path)
+    assert terms == {"bad-word": 4, "soft": 3, "weak": 1, "weaker": 1}
+    urls = ["http://x.org/a-bad-word.b", "http://x.org/bad-words", "http://x.org/soft/soft", "http://x.org/soft/weak", "http://x.org/weak/weaker"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: (r.verdict, r.strict_hits, r.soft_hits, r.soft_points) for r in url_rules.judge_urls(pages, terms=terms).collect()}
+    assert got == {0: ("block", 1, 0, 0), 1: ("allow", 0, 0, 0), 2: ("allow", 0, 1, 3), 3: ("block", 0, 2, 4), 4: ("allow", 0, 2, 2)}
+    assert {r.verdict for r in url_rules.judge_urls(pages, terms={}).collect()} == {"allow"}
+    path.write_text("none 0")
+    with pytest.raises(ValueError, match="no points"):
+        url_rules.read_terms(path)
+
+
+def test_empty_tables_and_repeated_rows(spark):
+    schema = "doc_id long, text string, source string, lang string, id int, shard string"
+    empty = spark.createDataFrame([], schema)
+    assert packing.packed(empty, TOKENIZER).count() == 0 and token_rollup.count_corpus(empty, TOKENIZER, "a", "b").count() == 0
+    rows = [(1, "one two", "s", "en", 1, "x")] * 3 + [(None, None, None, None, None, None)] * 2 + [(2, "word " * 3000, "s", "en", 2, "y")]
+    docs = spark.createDataFrame(rows, schema)
+    pieces = packing.packed(docs, TOKENIZER).collect()
+    assert Counter((r.doc_id, r.doc_tokens) for r in pieces if r.start == 0) == {(1, len(plain_ids("one two"))): 3, (None, 1): 2, (2, len(plain_ids("word " * 3000))): 1}
+    assert len({(r.sequence_id, r.offset) for r in pieces}) == len(pieces)
+    n, m = len(plain_ids("one two")) - 1, len(plain_ids("word " * 3000)) - 1
+    got = {(r.source, r.version): (r.documents, r.tokens) for r in token_rollup.count_corpus(docs, TOKENIZER, "a", "b").collect()}
+    assert got == {("s", "a/copies"): (2, 2 * n), ("s", "b"): (2, n + 1 + m + 1), (None, "a/copies"): (1, 0), (None, "b"): (1, 1)}
+
+
+def test_very_long_texts(spark):
+    text = " ".join(f"w{i % 50021}" for i in range(120_000))
+    docs = spark.createDataFrame([(1, text), (2, text + " more"), (3, "other")], "doc_id long, text string")
+    from kohorta.llm import near_duplicates, quality_rules
+
+    assert {r.doc_id: r.class_id for r in near_duplicates.near_duplicate_classes(docs).collect()} == {1: 1, 2: 1, 3: 3}
+    item = spark.createDataFrame([(9, " ".join(f"w{i}" for i in range(500, 540)))], "item_id long, text string")
+    assert {(r.doc, r.item, r.n_shared) for r in decontamination.contained_items(docs, item).collect()} == {(1, 9, 36), (2, 9, 36)}
+    found = {r.doc_id: r._statistics.n_repeat_words for r in quality_rules.statistics(docs).collect()}
+    assert found == {1: 120_000, 2: 120_000, 3: 0}
+    page = spark.createDataFrame([(1, "http://a.com/", "<p>" + text * 3)], "page_id long, url string, html string")
+    assert archives.round_trip(page).first().payload_bytes == 3 + 3 * len(text)
+
+
 PAGE = "<html><head><title>T</title><style>p{}</style></head><body><nav><ul>{nav}</ul></nav><div class='ad'>Buy</div><article><h1>{h}</h1>{body}</article><footer>&copy; x</footer>"
 
 
