@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from .common import boxed, let, shared_dir, shingle_hashes, stored, whole_text, words_of, SHINGLE_WORDS
 
 CONTAINMENT = 0.8
-#: Rows of a sketch or shingle table of the items up to which it is broadcast (about 50 bytes each).
-BROADCAST_ROWS = 200_000
+#: Rows of a table of shingles or of row keys up to which it is broadcast (16 bytes each, or 8).
+BROADCAST_ROWS, BROADCAST_KEYS = 200_000, 1_000_000
 
 
 def _words(text: Column) -> Column:
@@ -38,9 +38,8 @@ def _shingles(text: Column, sizes: list[int]) -> Column:
 
 
 def _row(text: str, key: str) -> Column:
-    """What tells rows apart: id and text."""
-    own = F.coalesce(F.concat(F.lit("i"), F.col(key).cast("string")), F.lit("n"))
-    return F.md5(F.concat(own, F.lit("\n"), whole_text(text)).cast("binary"))
+    """What tells rows apart: a hash of id and text."""
+    return F.xxhash64(F.col(key), whole_text(text))
 
 
 def _enough(n_item: Column, containment: float) -> Column:
@@ -67,8 +66,9 @@ def sketches(shingles: DataFrame, containment: float = CONTAINMENT) -> DataFrame
     return placed.select("shingle", "item_row", _enough(F.col("n_item"), containment).alias("need"))
 
 
-def _joined(left: DataFrame, right: DataFrame, on: list[str], rows: int) -> DataFrame:
-    return left.join(F.broadcast(right) if rows <= BROADCAST_ROWS else right, on)
+def _joined(left: DataFrame, right: DataFrame, on: list[str], rows: int, most: int = BROADCAST_ROWS, how: str = "inner") -> DataFrame:
+    """The join, by broadcast if the right side has no more than ``most`` rows."""
+    return left.join(F.broadcast(right) if rows <= most else right, on, how)
 
 
 def _contained(docs: DataFrame, items: DataFrame, text: str, key: str, item_text: str = "text", item_key: str = "item_id", containment: float = CONTAINMENT) -> DataFrame:
@@ -86,7 +86,7 @@ def _contained(docs: DataFrame, items: DataFrame, text: str, key: str, item_text
     pairs = _joined(sketched, sketch, ["shingle"], n_sketch).where("places >= need").select("row", "item_row").distinct()
     pairs = stored(pairs, "candidates")
 
-    again = made.join(pairs.select("row").distinct(), "row").select("row", "doc", F.explode(F.array_distinct(_shingles(F.col("text"), sizes))).alias("shingle"))
+    again = _joined(made, pairs.select("row").distinct(), ["row"], pairs.count(), BROADCAST_KEYS, "left_semi").select("row", "doc", F.explode(F.array_distinct(_shingles(F.col("text"), sizes))).alias("shingle"))
     hits = _joined(again, whole.select("shingle", "item_row", "item", "n_item"), ["shingle"], n_whole).join(pairs, ["row", "item_row"])
     counted = hits.groupBy("row", "doc", "item_row", "item").agg(F.countDistinct("shingle").alias("n_shared"), F.max("n_item").alias("n_item"))
     return counted.where(F.col("n_shared") >= _enough(F.col("n_item"), containment)).select("row", "doc", "item", "n_shared", "n_item")
@@ -101,5 +101,5 @@ def contained_items(docs: DataFrame, items: DataFrame, text: str = "text", key:
 
 def clean_documents(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
     """``docs`` without those that contain an item."""
-    bad = _contained(docs, items, text, key, **options).select(F.col("row").alias("_bad")).distinct()
-    return boxed(docs, _own=_row(text, key)).join(bad, F.col("_own") == F.col("_bad"), "left_anti").select("rest.*")
+    bad = stored(_contained(docs, items, text, key, **options).select("row").distinct(), "bad")
+    return _joined(boxed(docs, row=_row(text, key)), bad, ["row"], bad.count(), BROADCAST_KEYS, "left_anti").select("rest.*")
