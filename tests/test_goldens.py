@@ -6,7 +6,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from kohorta.functions.framing import canonical_row, combined, combined_ids, digest, folded, folded_whole, framed, short_id, text_digest
+from kohorta.functions.framing import canonical_row, combined, combined_ids, digest, folded, folded_whole, framed, short_id
+from kohorta.functions.framing import text_digest as digest_of
 from kohorta.functions.ranks import cutoff, rank_digest, uniform_score
 from kohorta.operators import digests, resampling, selection, sizes
 
@@ -93,12 +94,12 @@ def test_streamed_folds_equal_aggregates(spark):
     rows = spark.createDataFrame([(i, f"c{i % 3}") for i in range(50)], "subject_id long, code string")
     each = digests.subject_digests(rows)
     plain = sorted(r.digest for r in each.collect())
-    assert each.agg(combined(F.col("digest"))).first()[0] == text_digest(plain) == folded_whole(each, F.col("digest")).first()[0]
+    assert each.agg(combined(F.col("digest"))).first()[0] == digest_of(plain) == folded_whole(each, F.col("digest")).first()[0]
     by = folded(each.repartition(7), F.col("subject_id") % 3, F.col("digest"), F.col("subject_id")).collect()
     own = {r.subject_id: r.digest for r in each.collect()}
-    assert {r.group: r.digest for r in by} == {str(k): text_digest(own[i] for i in range(50) if i % 3 == k) for k in range(3)}
-    assert folded_whole(each.limit(0), F.col("digest")).first()[0] == text_digest([])
-    assert combined_ids({"b": "2", "a": "1"}) == text_digest(["a=1", "b=2"])
+    assert {r.group: r.digest for r in by} == {str(k): digest_of(own[i] for i in range(50) if i % 3 == k) for k in range(3)}
+    assert folded_whole(each.limit(0), F.col("digest")).first()[0] == digest_of([])
+    assert combined_ids({"b": "2", "a": "1"}) == digest_of(["a=1", "b=2"])
 
 
 def test_content_id_ignores_order_and_partitions(spark):
