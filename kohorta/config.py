@@ -4,10 +4,35 @@ from __future__ import annotations
 
 import re
 from dataclasses import asdict, dataclass, fields
+from enum import StrEnum
 from pathlib import Path
 from typing import Any
 
-LINKS, CODE_POLICIES, SPLIT_POLICIES = ("symlink", "hardlink", "copy"), ("copy", "prune"), ("passthrough", "subset", "drop")
+
+class LinkMode(StrEnum):
+    """How a member's file comes from the store."""
+
+    SYMLINK = "symlink"
+    HARDLINK = "hardlink"
+    COPY = "copy"
+
+
+class CodePolicy(StrEnum):
+    """A member's code table: the parent's, or its own codes' rows."""
+
+    COPY = "copy"
+    PRUNE = "prune"
+
+
+class SplitPolicy(StrEnum):
+    """The splits that are not subsetted: the parent's files, their own first subjects, or none."""
+
+    PASSTHROUGH = "passthrough"
+    SUBSET = "subset"
+    DROP = "drop"
+
+
+LINKS, CODE_POLICIES, SPLIT_POLICIES = tuple(LinkMode), tuple(CodePolicy), tuple(SplitPolicy)
 DEFAULT_SALT = "kohorta"
 
 
@@ -16,9 +41,11 @@ def _positive(name: str, value: Any) -> None:
         raise ValueError(f"{name} must be a positive integer; got {value!r}")
 
 
-def _one_of(name: str, value: str, allowed: tuple[str, ...]) -> None:
-    if value not in allowed:
-        raise ValueError(f"{name} must be one of {', '.join(allowed)}; got {value!r}")
+def _one_of(name: str, value: str, allowed: type[StrEnum]) -> StrEnum:
+    try:
+        return allowed(value)
+    except ValueError:
+        raise ValueError(f"{name} must be one of {', '.join(allowed)}; got {value!r}") from None
 
 
 def _template(text: str, key: str) -> None:
@@ -33,7 +60,8 @@ def _template(text: str, key: str) -> None:
 
 class _Config:
     def to_dict(self) -> dict[str, Any]:
-        return {k: list(v) if isinstance(v, tuple) else v for k, v in asdict(self).items()}
+        plain = {tuple: list, LinkMode: str, CodePolicy: str, SplitPolicy: str}
+        return {k: plain.get(type(v), lambda x: x)(v) for k, v in asdict(self).items()}
 
     @classmethod
     def from_dict(cls, values: dict[str, Any]):
@@ -70,9 +98,9 @@ class SubsetConfig(_Config):
     n_subjects: tuple[int, ...]
     salt: str = DEFAULT_SALT
     n_subjects_per_shard: int = 10_000
-    link_mode: str = "symlink"
-    code_metadata: str = "prune"
-    non_train_policy: str = "passthrough"
+    link_mode: str = LinkMode.SYMLINK
+    code_metadata: str = CodePolicy.PRUNE
+    non_train_policy: str = SplitPolicy.PASSTHROUGH
     train_split: str = "train"
     name_template: str = "N{n:07d}"
 
@@ -84,9 +112,8 @@ class SubsetConfig(_Config):
             raise ValueError("n_subjects is empty")
         object.__setattr__(self, "n_subjects", tuple(sorted(set(sizes))))
         _positive("n_subjects_per_shard", self.n_subjects_per_shard)
-        _one_of("link_mode", self.link_mode, LINKS)
-        _one_of("code_metadata", self.code_metadata, CODE_POLICIES)
-        _one_of("non_train_policy", self.non_train_policy, SPLIT_POLICIES)
+        for name, kind in (("link_mode", LinkMode), ("code_metadata", CodePolicy), ("non_train_policy", SplitPolicy)):
+            object.__setattr__(self, name, _one_of(name, getattr(self, name), kind))
         if not self.salt or not self.train_split:
             raise ValueError("salt and train_split must not be empty")
         _template(self.name_template, "n")

@@ -4,20 +4,31 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.framing import canonical_row, combined, digest, folded, folded_whole
 
 
-def canonical_rows(rows: DataFrame, subject: str = "subject_id") -> DataFrame:
-    """(subject, canonical row); rendered before any grouping, which would lose -0.0."""
+def pinned(rows: DataFrame, schema: T.StructType | None) -> DataFrame:
+    """``rows`` with the columns of ``schema``: missing ones null; others than those are refused, as an id would leave them out."""
+    if schema is None:
+        return rows
+    if extra := sorted(set(rows.columns) - set(schema.names)):
+        raise ValueError(f"columns {extra} are not in the schema that rows are rendered at")
+    return rows.select(*[F.col(f"`{f.name}`") if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema])
+
+
+def canonical_rows(rows: DataFrame, subject: str = "subject_id", schema: T.StructType | None = None) -> DataFrame:
+    """(subject, canonical row), of the columns of ``schema`` if given; rendered before any grouping, which would lose -0.0."""
+    rows = pinned(rows, schema)
     if subject not in rows.columns:
         raise KeyError(subject)
     return rows.select(F.col(subject), canonical_row(rows.schema).alias("canonical"))
 
 
-def subject_digests(rows: DataFrame, subject: str = "subject_id") -> DataFrame:
+def subject_digests(rows: DataFrame, subject: str = "subject_id", schema: T.StructType | None = None) -> DataFrame:
     """(subject, digest) over each subject's sorted rows."""
-    return canonical_rows(rows, subject).groupBy(subject).agg(digest(F.sort_array(F.collect_list("canonical"))).alias("digest"))
+    return canonical_rows(rows, subject, schema).groupBy(subject).agg(digest(F.sort_array(F.collect_list("canonical"))).alias("digest"))
 
 
 def tagged(subject: Column, value: Column) -> Column:

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import reports
+from ..build import build_family, build_resamples
+from ..config import ResampleConfig, SubsetConfig
 from ..functions.framing import digest, short_id
 from ..functions.ranks import uniform_score
 from ..operators import digests, ragged, resampling, selection, sizes
-from ..sources.dataset import read_shards
+from ..sources.dataset import EventDataset, read_shards
+from ..stage import subset_subjects
 from . import views
 from .views import CODES, EVENTS, LABELS, SALT, SPLITS, U64, rank_sql, score_sql
 
@@ -426,3 +431,75 @@ def subject_file_map(spark, sf_dir):
     folder = Path(sf_dir)
     rows = read_shards(spark, folder, [folder / "orders.parquet", folder / "customer.parquet"], {"o_custkey": "bigint", "c_custkey": "bigint"})
     return rows.select(F.coalesce("o_custkey", "c_custkey").alias("subject_id"), "shard").distinct()
+
+
+# Queries over files: the view is written as a dataset folder first.
+_MEMBERS_OF = (
+    f"{_PS}, nt AS (SELECT count(*) AS n FROM sp WHERE split = 'train'), mm AS (SELECT CAST(unnest([n // 12, n // 2]) AS BIGINT) AS member FROM nt), "
+    "mp AS (SELECT member, subject_id, split FROM ps, mm WHERE split <> 'train' OR rank < member)"
+)
+
+
+def _family(spark, sf_dir) -> dict:
+    root, n = views.folder(spark, sf_dir), _train(spark, sf_dir).count()
+    with tempfile.TemporaryDirectory(prefix="kohorta-family-") as out:
+        return build_family(spark, root, out, SubsetConfig((n // 12, n // 2), salt=SALT, n_subjects_per_shard=max(1, n // 12)), labels=root / "labels/orders")
+
+
+@query(
+    f"WITH {EVENTS}, {SPLITS}, {_CR}, {_SD}, {_MEMBERS_OF}, mt AS (SELECT member, split, 'sha256:' || sha256({_framed(_ID)} || {_framed('digest')}) AS t FROM mp JOIN sd USING (subject_id)), "
+    f"mc AS (SELECT member, split, {_fold('t', 't')} AS content_id FROM mt GROUP BY member, split), mr AS (SELECT * FROM mp JOIN ev USING (subject_id)), "
+    f"mn AS (SELECT member, split, {_COUNTS} FROM mr GROUP BY member, split) SELECT * FROM mn JOIN mc USING (member, split)"
+)
+def family_report(spark, sf_dir):
+    """What a built family's manifest says of its members' splits."""
+    rows = []
+    for m in _family(spark, sf_dir)["members"].values():
+        rows += [(m["n_subjects"], r["split"], *(r[c] for c in (*sizes.ADDITIVE, "n_codes_observed")), m["content_ids"][r["split"]]) for r in m["sizes"] if r["split"] != sizes.TOTAL]
+    names = ", ".join(f"{c} long" for c in (*sizes.ADDITIVE, "n_codes_observed"))
+    return spark.createDataFrame(rows, f"member long, split string, {names}, content_id string")
+
+
+_LROW = f"'boolean_value=' || {_framed('CAST(boolean_value AS VARCHAR)')} || chr(31) || 'prediction_time=' || {_framed('CAST(epoch_us(prediction_time) AS VARCHAR)')} || chr(31) || 'subject_id=' || {_framed(_ID)}"
+
+
+@query(
+    f"WITH {SPLITS}, {LABELS}, {_MEMBERS_OF}, ml AS (SELECT member, 'sha256:' || sha256({_framed('c')}) AS d FROM (SELECT member, {_LROW} AS c FROM mp JOIN lb USING (subject_id))) "
+    f"SELECT member, count(*) AS n_index_rows, {_fold('d', 'd')} AS index_id FROM ml GROUP BY member"
+)
+def family_labels(spark, sf_dir):
+    """The ids and numbers of the members' label rows, read from their files."""
+    return spark.createDataFrame([(m["n_subjects"], m["n_index_rows"], m["index_id"]) for m in _family(spark, sf_dir)["members"].values()], "member long, n_index_rows long, index_id string")
+
+
+@query(f"{_SEL}, {_DRAW} SELECT replicate, count(*) AS n_draws, count(DISTINCT subject_id) AS n_distinct, {_fold(_ID, 'subject_id')} AS subject_multiset_id FROM dr WHERE replicate < 2 GROUP BY replicate")
+def resample_report(spark, sf_dir):
+    """What the manifests of built resamples say."""
+    with tempfile.TemporaryDirectory(prefix="kohorta-resamples-") as out:
+        made = build_resamples(spark, views.folder(spark, sf_dir), out, ResampleConfig(2, DRAWS, salt=SALT))
+    rows = [(r["replicate"], r["n_draws"], r["n_distinct"], r["subject_multiset_id"]) for r in made["resamples"].values()]
+    return spark.createDataFrame(rows, "replicate long, n_draws long, n_distinct long, subject_multiset_id string")
+
+
+_FILED = f"fr AS (SELECT ev.*, split, split || '/' || CAST(subject_id % {views.SHARDS_PER_SPLIT} AS VARCHAR) AS shard FROM ev JOIN sp USING (subject_id))"
+_CODESET = "'sha256:' || sha256(string_agg(CAST(strlen(code) AS VARCHAR) || ':' || code, '' ORDER BY code))"
+
+
+@query(
+    f"WITH {EVENTS}, {SPLITS}, {_FILED}, cs AS (SELECT split, {_CODESET} AS observed_code_set_id FROM (SELECT DISTINCT split, code FROM fr) GROUP BY split), "
+    f"rp AS (SELECT split, {_COUNTS}, count(DISTINCT shard) AS n_shards FROM fr GROUP BY split), "
+    f"al AS (SELECT '__total__' AS split, {_CODESET} AS observed_code_set_id, count(*) AS n FROM (SELECT DISTINCT code FROM fr)) "
+    f"SELECT rp.*, observed_code_set_id FROM rp JOIN cs USING (split) UNION ALL BY NAME SELECT '__total__' AS split, {_SUMS}, (SELECT n FROM al) AS n_codes_observed, CAST(sum(n_shards) AS BIGINT) AS n_shards, (SELECT observed_code_set_id FROM al) AS observed_code_set_id FROM rp"
+)
+def size_of_files(spark, sf_dir):
+    """The report of a dataset folder, with its shards."""
+    report = reports.size_of(spark, views.folder(spark, sf_dir))
+    return report.drop("source", "kind", "n_bytes").withColumnsRenamed({"n_dynamic_measurements": "n_dynamic", "n_static_measurements": "n_static"})
+
+
+@query(f"WITH {EVENTS}, {SPLITS}, {_TRAIN}, {_FILED} SELECT shard, subject_id, count(*) AS n_rows FROM fr WHERE subject_id NOT IN (SELECT subject_id FROM tk WHERE rank >= 50) GROUP BY shard, subject_id")
+def stage_filter(spark, sf_dir):
+    """The pipeline stage over a dataset folder's shards."""
+    root = views.folder(spark, sf_dir)
+    keep = subset_subjects(spark, {"n_subjects": 50, "salt": SALT, "data_input_dir": root / "data", "metadata_input_dir": root / "metadata"})
+    return keep(EventDataset(spark, root).events()).groupBy("shard", "subject_id").agg(F.count("*").alias("n_rows"))

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import tempfile
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ranks import uniform_score
+from ..sources.dataset import CODES_FILE, SPLITS_FILE
+from ..sources.sinks import write_one_file, write_partitioned
 
 SPLIT_SALT, SALT = "split", "kohorta"
 
@@ -43,6 +48,26 @@ def codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.unionByName(extra).withColumn("description", F.concat(F.lit("about "), "code"))
 
 
+_folders: dict[str, tempfile.TemporaryDirectory] = {}
+SHARDS_PER_SPLIT = 3
+
+
+def folder(spark: SparkSession, sf_dir: str) -> Path:
+    """The view of listed subjects as a dataset folder, and its labels under ``labels/orders``; written once a process, gone with it."""
+    if sf_dir not in _folders:
+        made = tempfile.TemporaryDirectory(prefix="kohorta-view-")
+        root = Path(made.name)
+        rows = events(spark, sf_dir).join(splits(spark, sf_dir), "subject_id").withColumn("shard", F.concat("split", F.lit("/"), F.pmod("subject_id", F.lit(SHARDS_PER_SPLIT)).cast("string")))
+        keys = [r["shard"] for r in rows.select("shard").distinct().collect()]
+        order = [F.col("subject_id"), F.col("time").asc_nulls_first()]
+        write_partitioned(rows, "shard", keys, lambda k: root / "data" / f"{k}.parquet", root, ["subject_id", "time", "code", "numeric_value"], order)
+        write_one_file(splits(spark, sf_dir), root / SPLITS_FILE)
+        write_one_file(codes(spark, sf_dir), root / CODES_FILE)
+        write_one_file(labels(spark, sf_dir).select("subject_id", "prediction_time", "boolean_value"), root / "labels/orders/0.parquet")
+        _folders[sf_dir] = made
+    return Path(_folders[sf_dir].name)
+
+
 # The same in DuckDB's SQL.
 U64 = "CAST('0x' || substr({h}, 1, 16) AS UBIGINT)"
 EVENTS = """ev AS (

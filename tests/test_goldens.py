@@ -110,6 +110,17 @@ def test_content_id_ignores_order_and_partitions(spark):
     assert make(rows, 1) != make(rows[:-1], 1)
 
 
+def test_rows_rendered_at_a_pinned_schema(spark):
+    narrow = spark.createDataFrame([(1, "a")], "subject_id long, code string")
+    wide = spark.createDataFrame([(1, "a", None)], "subject_id long, code string, numeric_value float")
+    own = lambda rows, schema: [r.digest for r in digests.subject_digests(rows, schema=schema).collect()]
+    assert own(narrow, wide.schema) == own(wide, None) != own(narrow, None)
+    with pytest.raises(ValueError, match="numeric_value"):
+        digests.subject_digests(wide, schema=narrow.schema)
+    with pytest.raises(KeyError):
+        digests.subject_digests(narrow.drop("subject_id"))
+
+
 def test_token_windows(spark):
     from kohorta.functions.windows import n_windows
 
