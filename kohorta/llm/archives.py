@@ -35,6 +35,8 @@ from .url_rules import host_of
 MIN_REVISIT = 100
 BLOCK_LINES = 1000
 ARCHIVE_BYTES = 64 << 20
+#: Payloads of several pages up to which they are broadcast (a digest and an id each), so that pages are not shuffled.
+BROADCAST_DIGESTS = 200_000
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _FOOTER = struct.Struct("<QQ8s")
@@ -215,7 +217,8 @@ def write_archives(pages: DataFrame, folder: str, url: str = "url", html: str =
     made = made.withColumn("digest", F.sha2(F.col("html").cast("binary"), 256))
     large = F.octet_length("html") >= MIN_REVISIT
     firsts = made.where(large).groupBy("digest").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
-    joined = made.join(firsts, "digest", "left")
+    firsts = stored(firsts, "firsts")
+    joined = made.join(F.broadcast(firsts) if firsts.count() <= BROADCAST_DIGESTS else firsts, "digest", "left")
     ready = joined.select("id", "url", "html", "digest", F.when(F.col("id") != F.col("least"), F.col("least")).alias("first"), capture_key(F.col("url")).alias("key"))
     captures = stored(ready.mapInArrow(lambda it: _write(it, folder, date), "key string, page bigint, uri string, at bigint, size bigint"), "captures")
     ordered = captures.repartitionByRange("key", "page").sortWithinPartitions("key", "page", "uri", "at")
