@@ -16,7 +16,7 @@ files that count, and the manifest is made of those, so lost executors and repea
 Within a part of at most ``PART_BYTES`` or so, memory is bounded by one frame and the index.
 
 Defined results: null and empty texts hold the end id alone; repeated ids keep one entry a row; null ids come
-first, as the least integer.
+first, stored as the least integer.
 """
 
 from __future__ import annotations
@@ -40,6 +40,8 @@ MAGIC = b"KTOK1\0\0\0"
 SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES = 1000, 4096, 64 * 1024
 PART_BYTES = 64 << 20
 LEVEL = 3
+#: Stands for null in files.
+NULL_ID = -(2**63)
 INDEX = np.dtype([("doc", "<i8"), ("first", "<u8"), ("start", "<u8"), ("n", "<u8")])
 FOOTER = struct.Struct("<QQQ32s8s8x")
 
@@ -185,7 +187,7 @@ def write_store(docs: DataFrame, tokenizer: str, folder: str, text: str = "text"
     """Writes the store; returns its manifest: (uri, low, high, docs, ids, part, place, start) of each file."""
     spark = docs.sparkSession
     small_batches(spark)
-    made = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))).alias("id"), F.coalesce(text, F.lit("")).alias("text"))
+    made = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NULL_ID)).alias("id"), F.coalesce(text, F.lit("")).alias("text"))
     dictionary = train(_sample(made.where(F.length("text") > 0), tokenizer))
     write_bytes(f"{folder}/dictionary.bin", dictionary)
     frames = stored(made.mapInArrow(lambda it: _encode(it, tokenizer, dictionary), "id bigint, n bigint, frame binary"), "frames")
@@ -229,5 +231,7 @@ def read_document(spark: SparkSession, files: DataFrame, folder: str, doc: int)
 
 
 def round_trip(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """What ``read_store`` gives of a store of ``docs``; null ids are null again."""
     folder = shared_path(docs.sparkSession, "tokens")
-    return read_store(write_store(docs, tokenizer, folder, text, key), folder)
+    found = read_store(write_store(docs, tokenizer, folder, text, key), folder)
+    return found.withColumn("doc_id", F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")))

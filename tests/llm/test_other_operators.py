@@ -71,7 +71,7 @@ def test_token_files_round_trip(spark, docs, texts):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert token_files.round_trip(empty, TOKENIZER).count() == 0
     twice = spark.createDataFrame([(5, "a b"), (5, "a b"), (None, None)], "doc_id long, text string")
-    assert sorted(r.start for r in token_files.round_trip(twice, TOKENIZER).collect()) == [0, 1, 4]
+    assert sorted((r.start, r.doc_id) for r in token_files.round_trip(twice, TOKENIZER).collect()) == [(0, None), (1, 5), (4, 5)]
 
 
 def test_a_part_of_another_dictionary_is_refused(spark, docs, tmp_path):
