@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import ResampleConfig, SubsetConfig
-from .functions.framing import PREFIX, combined_ids, text_digest
+from .functions.framing import PREFIX, combined_ids, folded, text_digest
 from .functions.ranks import shard_key
 from .operators import digests, resampling, selection, sizes
 from .sources.dataset import CODES_FILE, DATASET_FILE, SPLITS_FILE, EventDataset, bytes_below, literal, read_labels, shard_paths
@@ -198,6 +198,8 @@ def _members(family: Family, plan: DataFrame, placed: list) -> dict[int, dict]:
     observed = {(r["member"], r["split"]): (r["n"], r["id"]) for r in by_split}
     whole = codes.select("member", "code").distinct().groupBy("member").agg(F.count("*").alias("n"), digests.digest(F.sort_array(F.collect_list("code"))).alias("id"))
     of_member = {r["member"]: (r["n"], r["id"]) for r in whole.collect()}
+    listed = each.select("member", "split").distinct().collect()  # members times splits
+    sets = {r["group"]: r["digest"] for r in folded(each.select("member", "subject_id").distinct(), F.col("member"), F.col("subject_id").cast("string"), F.col("subject_id")).collect()}
     codes_ids: dict[str, str] = {}
     out = {}
     for n in config.n_subjects:
@@ -210,7 +212,7 @@ def _members(family: Family, plan: DataFrame, placed: list) -> dict[int, dict]:
         write_one_file(kept.orderBy("split", "subject_id"), root / SPLITS_FILE)
         n_codes, code_set = of_member.get(n, (0, text_digest([])))
         codes_id = _codes(family, root, codes.where(F.col("member") == n).select("code").distinct(), code_set, codes_ids)
-        splits = sorted({k.partition("/")[2] for k in ids if k.startswith(f"{n}/")} | {r["split"] for r in kept.select("split").distinct().collect()})
+        splits = sorted(r["split"] for r in listed if r["member"] == n)
         content = {s: ids.get(f"{n}/{s}", text_digest([])) for s in splits}
         table = []
         for s in splits:
@@ -220,7 +222,7 @@ def _members(family: Family, plan: DataFrame, placed: list) -> dict[int, dict]:
             table.append({"split": s, **{c: counts[c] for c in sizes.ADDITIVE}, "n_codes_observed": k, "observed_code_set_id": set_id, "n_shards": len(set(paths)), "n_bytes": sum(p.stat().st_size for p in set(paths))})
         total = {c: sum(r[c] for r in table) for c in sizes.ADDITIVE}
         total |= {"split": sizes.TOTAL, "n_codes_observed": n_codes, "observed_code_set_id": code_set, "n_shards": len(files), "n_bytes": sum(store.path(x).stat().st_size for x in set(files.values()))}
-        subject_set = digests.subject_set_digest(kept).first()[0]
+        subject_set = sets[str(n)]
         made = {
             "name": root.name, "root": str(root), "n_subjects": n, "subject_set_id": subject_set, "train_set_id": content.get(config.train_split, text_digest([])), "content_ids": content,
             "dataset_id": dataset_id(content, codes_id), "codes_id": codes_id, "observed_code_set_id": code_set, "shards": {k: f"{v}.parquet" for k, v in sorted(files.items())}, "sizes": [*table, total],
