@@ -117,7 +117,11 @@ def test_another_parent_is_refused_or_starts_anew(spark, parent, tmp_path):
     assert after["train_set_id"] != before["train_set_id"]
     assert after["content_ids"]["train"] == fingerprint(EventDataset(spark, out / "N0000030"))["train"]
     splits = root / "metadata" / "subject_splits.parquet"
-    pq.write_table(pq.read_table(splits).slice(1), splits)
+    table = pq.read_table(splits)
+    pq.write_table(table.set_column(1, "split", table["split"].take(list(range(1, len(table))) + [0])), splits)
+    with pytest.raises(ValueError, match="has changed .fingerprint"):
+        build_family(spark, root, out, config)
+    pq.write_table(table.slice(1), splits)
     with pytest.raises(ValueError, match="has changed .subject_set_id"):
         build_family(spark, root, out, config)
 
