@@ -73,19 +73,31 @@ def require_pool(config: SubsetConfig, split_sizes: dict[str, int]) -> None:
 
 
 def check_record(output: Path, store: ShardStore, parent: dict, overwrite: bool) -> None:
-    """Refuses another parent than the recorded one: the store's shards are not its rows.  Or starts anew, if told to."""
+    """Refuses another parent than the recorded ones: the store's shards are not its rows.  Or starts anew, if told to.
+
+    The store names its parent before it gets its first shard, so shards of a build that was killed are known too; the
+    family's record comes last.
+    """
     record = output / FAMILY
-    if not record.is_file():
-        return
-    known = json.loads(record.read_text(encoding="utf-8"))["parent"]
-    moved = [name for name in ("subject_set_id", "fingerprint") if known.get(name) != parent[name]]
+    known = [x for x in (store.parent(), json.loads(record.read_text(encoding="utf-8"))["parent"] if record.is_file() else None) if x is not None]
+    moved = [name for name in ("subject_set_id", "fingerprint") if any(x.get(name) != parent[name] for x in known)]
+    if not known and store.size()[0]:
+        moved = ["no record says whose its shards are"]
     if moved and not overwrite:
         raise ValueError(f"the parent of {output} has changed ({moved[0]}); its shards don't go with this one: pass overwrite to rebuild")
     if moved:
         log.warning("%s: another parent; the stored shards are discarded", output)
-        shutil.rmtree(store.root, ignore_errors=True)
+        store.discard()
         shutil.rmtree(output / CACHE, ignore_errors=True)
-        record.unlink()
+        record.unlink(missing_ok=True)
+    store.own(parent)
+
+
+def check_unmoved(store: ShardStore, before: str, after: str) -> None:
+    """Refuses, and discards, what was read from a parent that changed meanwhile."""
+    if before != after:
+        store.discard()
+        raise ValueError("the parent changed while the family was built; its shards are discarded: build again")
 
 
 class Family:
@@ -169,6 +181,7 @@ def build_family(
         for key in {r["stored"] for r in placed} - computed:
             source = dataset.data / f"{key.removeprefix('passthrough/')}.parquet"
             store.put(key, lambda aside, source=source: shutil.copy2(source.resolve(), aside) and None)
+        check_unmoved(store, family.parent["fingerprint"], EventDataset(spark, parent).fingerprint())
         report = _members(family, plan, placed)
         if labels is not None:
             _labels(family, plan, placed, report, Path(labels), task or Path(labels).name)

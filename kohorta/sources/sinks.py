@@ -129,11 +129,30 @@ def write_partitioned(rows: DataFrame, column: str, keys: Iterable[str], path_of
 
 
 class ShardStore:
-    """Files by key; a file is there as a whole or not at all."""
+    """Files by key; a file is there as a whole or not at all.  The store names the parent that its files were read from."""
+
+    PARENT = "parent.json"
 
     def __init__(self, root: Path):
         self.root = Path(root)
 
+    def parent(self) -> dict | None:
+        """Whose rows the files are; none if that was never said."""
+        path = self.root / self.PARENT
+        return json.loads(path.read_text(encoding="utf-8")) if path.is_file() else None
+
+    def own(self, parent: dict) -> None:
+        """Says whose rows the files will be; to be called before the first is put."""
+        if self.parent() != parent:
+            write_json(self.root / self.PARENT, parent)
+
+    def discard(self) -> None:
+        """Removes all files; the parent's name goes last, so that what a killed removal leaves still has its own."""
+        for path in sorted(self.root.iterdir()) if self.root.is_dir() else []:
+            if path.name != self.PARENT:
+                shutil.rmtree(path) if path.is_dir() and not path.is_symlink() else path.unlink()
+        (self.root / self.PARENT).unlink(missing_ok=True)
+
     def path(self, key: str) -> Path:
         if any(p in ("", ".", "..") for p in key.split("/")):
             raise ValueError(f"bad key {key!r}")
@@ -162,7 +181,7 @@ class ShardStore:
 
     def size(self) -> tuple[int, int]:
         """(files, bytes)."""
-        found = [p.stat().st_size for p in self.root.rglob("*") if p.is_file()] if self.root.is_dir() else []
+        found = [p.stat().st_size for p in self.root.rglob("*") if p.is_file() and p.name != self.PARENT] if self.root.is_dir() else []
         return len(found), sum(found)
 
 

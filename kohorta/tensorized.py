@@ -11,7 +11,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .build import FAMILY, MANIFEST, STORE, check_record, codes_digest, computed_plan, disk, require_pool
+from .build import FAMILY, MANIFEST, STORE, check_record, check_unmoved, codes_digest, computed_plan, disk, require_pool
 from .config import SubsetConfig
 from .functions.framing import text_digest
 from .operators import digests, selection
@@ -80,6 +80,7 @@ def build_tensorized_family(spark: SparkSession, parent: str | Path, output: str
                 tensors = store.root / f"passthrough/{shard}{SUFFIX}"
                 if not tensors.is_file():
                     place(cohort.tensor_path(shard), tensors, "copy")
+        check_unmoved(store, known["fingerprint"], _fingerprint(TensorCohort(spark, parent)))
         report = {}
         for n in config.n_subjects:
             root = output / config.subset_name(n)

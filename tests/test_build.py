@@ -11,7 +11,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from kohorta import reports
+from kohorta import build, reports
 from kohorta.build import build_family, build_resamples, fingerprint, label_fingerprint, salt_id
 from kohorta.cli import main
 from kohorta.config import ResampleConfig, SubsetConfig
@@ -126,6 +126,57 @@ def test_another_parent_is_refused_or_starts_anew(spark, parent, tmp_path):
         build_family(spark, root, out, config)
 
 
+def shifted(path):
+    table = pq.read_table(path)
+    values = pc.add(table["numeric_value"], 1).cast(table.schema.field("numeric_value").type)
+    pq.write_table(table.set_column(table.schema.get_field_index("numeric_value"), "numeric_value", values), path)
+
+
+def test_a_killed_build_leaves_no_shards_of_another_parent(spark, parent, tmp_path, monkeypatch):
+    root, out, config = copied(parent, tmp_path / "parent"), tmp_path / "out", SubsetConfig((30,), link_mode="copy")
+
+    def killed(*_):
+        raise KeyboardInterrupt
+
+    monkeypatch.setattr(build, "_members", killed)
+    with pytest.raises(KeyboardInterrupt):
+        build_family(spark, root, out, config)
+    monkeypatch.undo()
+    stored = {p: p.stat().st_mtime_ns for p in (out / ".shard_store").rglob("*.parquet")}
+    assert stored and not (out / "family.json").exists()
+    same = build_family(spark, root, out, config)["members"]["N0000030"]  # the same parent goes on where the build stopped
+    assert {p: p.stat().st_mtime_ns for p in stored} == stored
+    (out / "family.json").unlink()
+    shifted(root / "data" / "train" / "0.parquet")
+    with pytest.raises(ValueError, match="has changed .fingerprint"):
+        build_family(spark, root, out, config)
+    after = build_family(spark, root, out, config, overwrite=True)["members"]["N0000030"]
+    found = fingerprint(EventDataset(spark, out / "N0000030"))
+    assert after["content_ids"]["train"] == found["train"] != same["content_ids"]["train"]
+    (out / ".shard_store" / "parent.json").unlink()
+    (out / "family.json").unlink()
+    with pytest.raises(ValueError, match="no record says"):
+        build_family(spark, root, out, config)
+
+
+def test_a_parent_that_changes_meanwhile_is_refused(spark, parent, tmp_path, monkeypatch):
+    root, out, config = copied(parent, tmp_path / "parent"), tmp_path / "out", SubsetConfig((30,), link_mode="copy")
+    real = ShardStore.put_partitioned
+
+    def moved(*args, **options):
+        made = real(*args, **options)
+        shifted(root / "data" / "train" / "0.parquet")
+        return made
+
+    monkeypatch.setattr(ShardStore, "put_partitioned", moved)
+    with pytest.raises(ValueError, match="changed while"):
+        build_family(spark, root, out, config)
+    monkeypatch.undo()
+    assert not list((out / ".shard_store").rglob("*")) and not (out / "family.json").exists()
+    made = build_family(spark, root, out, config)["members"]["N0000030"]
+    assert made["content_ids"]["train"] == fingerprint(EventDataset(spark, out / "N0000030"))["train"]
+
+
 def test_policies_and_stale_shards(spark, parent, tmp_path):
     for policy, want in (("passthrough", {"train/0", "train/1", "tuning/0", "held_out/0"}), ("subset", {"train/0", "train/1", "tuning/0", "held_out/0"}), ("drop", {"train/0", "train/1"})):
         made = build_family(spark, parent, tmp_path, SubsetConfig((6,), n_subjects_per_shard=4, non_train_policy=policy))
