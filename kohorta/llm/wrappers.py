@@ -44,8 +44,11 @@ from .url_rules import host_of
 KEPT_SHAPES = 20_000
 #: Groups that a host's shapes are dealt to.
 BUCKETS = 32
-#: Different pages that must fill a place before its text can count as the template's, and times that they outnumber their texts.
-TEMPLATE_PAGES, TEMPLATE_TIMES = 3, 3
+#: Pages of different text that must fill a place before its text can count as the template's, times that they outnumber the place's
+#: texts, and the share that they are of all such pages of the host.
+TEMPLATE_PAGES, TEMPLATE_TIMES, TEMPLATE_SHARE = 3, 3, 0.5
+#: Stands for a page as a whole among its places; no place has a line break.
+WHOLE = "\n"
 #: Bytes of all hosts' main places up to which they are broadcast.
 BROADCAST_BYTES = 32 << 20
 LONGEST_GROUP = 8
@@ -73,10 +76,10 @@ MARKS = {
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>" + "|".join(sorted(RAW)) + r")(?![\w:-])(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<sure>" + "|".join(sorted(RAW_IF_CLOSED)) + r")(?![\w:-])(?:\"[^\"]*\"|'[^']*'|[^'\">])*(?<!/)>(?:(?!<(?P=sure)(?![\w:-])).)*?</(?P=sure)\s*>"
-    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][\w:-]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>"
-    r"|<[!?][^>]*>"
+    r"|<(?P<raw>" + "|".join(sorted(RAW)) + r")(?![\w:-])(?:\"[^\"]*\"|'[^']*'|[^'\"<>])*+>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<sure>" + "|".join(sorted(RAW_IF_CLOSED)) + r")(?![\w:-])(?:\"[^\"]*\"|'[^']*'|[^'\"<>])*+(?<!/)>(?:(?!<(?P=sure)(?![\w:-])).)*?</(?P=sure)\s*>"
+    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][\w:-]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\"<>])*+)>"
+    r"|<[!?][^>]*+(?:>|\Z)"
     r"|(?P<text>[^<]+|<)",
     re.I | re.S,
 )
@@ -286,16 +289,17 @@ def is_aside(place: str) -> bool:
 
 @dataclass(frozen=True)
 class Place:
-    """What a wrapper knows of a place: whether it only has links, how many pages fill it with how many texts, and their characters."""
+    """What a wrapper knows of a place: whether it only has links, how many pages of different text fill it with how many texts, their characters, and how many such pages the host has."""
 
     linked: bool = False
     pages: int = 1
     texts: int = 1
     chars: int = 0
+    host: int = 1
 
     @property
     def template(self) -> bool:
-        return self.pages >= TEMPLATE_PAGES and self.texts * TEMPLATE_TIMES <= self.pages
+        return self.pages >= TEMPLATE_PAGES and self.texts * TEMPLATE_TIMES <= self.pages and self.pages >= TEMPLATE_SHARE * self.host
 
     @property
     def said(self) -> float:
@@ -306,27 +310,25 @@ class Place:
 def main_places(known: dict[str, Place]) -> list[str]:
     """The places that hold the article: inside an article (or else main) element, or where there is none all but menus.
 
-    Template text goes, but never the place that says the most.
+    Outside such elements template text goes, but never the place that says the most; inside them, whatever pages share stays.
     """
     open_to = [p for p in known if not is_aside(p)]
     if not open_to:  # a name on the page's outermost element says too much
         open_to = [p for p in known if not BOILERPLATE & {x.split(" ")[0] for x in p.split("/")}]
     for name in ("article", "main"):
         if inside := [p for p in open_to if any(x.split(" ")[0] == name for x in p.split("/"))]:
-            open_to = inside
-            break
-    else:
-        open_to = [p for p in open_to if not known[p].linked] or open_to
+            return sorted(inside)
+    open_to = [p for p in open_to if not known[p].linked] or open_to
     if not open_to:
         return []
     largest = max(open_to, key=lambda p: (known[p].said, p))
     return sorted(p for p in open_to if p == largest or not known[p].template)
 
 
-def wrapper_of(expression: list[Token], counted: dict[str, tuple[int, int, int]]) -> dict:
-    """A host's wrapper: its expression, the slots' places with (pages, texts, characters) as counted, and the main ones."""
+def wrapper_of(expression: list[Token], counted: dict[str, tuple[int, int, int]], host: int = 1) -> dict:
+    """A host's wrapper: its expression, the slots' places with (pages, texts, characters) as counted, and the main ones of its ``host`` pages."""
     linked = slots(expression)
-    known = {p: Place(linked.get(p, False), *counted.get(p, (1, 1, 0))) for p in sorted({*linked, *counted})}
+    known = {p: Place(linked.get(p, False), *counted.get(p, (1, 1, 0)), host) for p in sorted({*linked, *counted})}
     places = {p: [x.linked, x.pages, x.texts, x.chars] for p, x in known.items()}
     return {"expression": expression, "places": places, "main": main_places(known)}
 
@@ -355,7 +357,7 @@ def _hash(*parts: str) -> int:
 
 @frugal
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For every page a row for each place: (host, place, hash of the page, hash of the place's text, characters); and its shape, once a task."""
+    """For every page a row for each place and one for ``WHOLE``: (host, place, hash of the page's text, hash of the place's text, characters); and its shape, once a task."""
     sent: set[int] = set()
     for batch in batches:
         rows: list[tuple] = []
@@ -364,7 +366,8 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             texts: dict[str, list[str]] = {}
             for place, text in blocks(stream):
                 texts.setdefault(place, []).append(text)
-            own = _hash(page or "")
+            own = _hash(*(x for place, lines in texts.items() for x in (place, *lines)))
+            rows.append((host, None, WHOLE, own, own, 0))
             rows += ((host, None, place, own, _hash(*lines), sum(map(len, lines))) for place, lines in texts.items())
             shape = json.dumps(fold(skeleton(stream)))
             if (key := _hash(host, shape)) not in sent:
@@ -388,7 +391,8 @@ def _infer(key, table: pa.Table) -> pa.Table:
 def _decide(key, parts: pa.Table, counted: pa.Table) -> pa.Table:
     """A host's wrapper, from its buckets' expressions (``BUCKETS`` at most) and its places."""
     of_place = {r["place"]: (r["pages"], r["texts"], r["chars"]) for r in counted.to_pylist()}
-    wrapper = wrapper_of(_expressions(parts, "expression"), of_place)
+    host, _, _ = of_place.pop(WHOLE, (1, 1, 0))
+    wrapper = wrapper_of(_expressions(parts, "expression"), of_place, host)
     return pa.table({"host": [key[0].as_py()], "wrapper": [json.dumps(wrapper)], "main": [json.dumps(wrapper["main"])]})
 
 

@@ -1,8 +1,10 @@
 import json
 import random
+import re
 import zlib
 from collections import Counter
 from hashlib import sha256
+from html.parser import HTMLParser
 
 import numpy as np
 import public_tokenizers
@@ -328,7 +330,72 @@ def test_copies_of_a_page_are_no_template(spark):
     pages = spark.createDataFrame([(i, "http://same.com/", html) for i in range(9)], "page_id long, url string, html string")
     assert {r.text for r in wrappers.main_texts(pages).collect()} == {"all of it\nmore of it here"}
     near = spark.createDataFrame([(i, "http://near.com/", html + "<!-- -->" * i) for i in range(9)], "page_id long, url string, html string")
-    assert {r.text for r in wrappers.main_texts(near).collect()} == {"more of it here"}  # the place with the most text stays
+    assert {r.text for r in wrappers.main_texts(near).collect()} == {"all of it\nmore of it here"}
+
+
+def test_what_pages_share_inside_an_article_stays(spark):
+    shared = "<article><h1>Steps</h1><p>How it is done</p><ul><li>one step here</li><li>two steps here</li></ul></article>"
+    html = [f"<body><nav>menu</nav>{shared}<footer>page {i}</footer>" for i in range(3)]
+    html += [f"<body><nav>menu</nav><article><p>story {i} of its own</p></article>" for i in range(5)]
+    table = "<table><tr><td>price</td><td>ten</td></tr></table>"
+    html += [f"<body><main><p>another story, number {i}</p>{table}</main>" for i in range(4)]
+    bare = "<body><div class=zone><p>{}</p></div><div class=list><p>one step here</p></div>"
+    html += [bare.format("the story that three pages share")] * 3 + [bare.format(f"story {i}").replace("one step", f"step {i}") for i in range(6)]
+    hosts = ["a"] * 8 + ["b"] * 4 + ["c"] * 9
+    rows = [(i, f"http://{h}.com/{i}", x) for i, (h, x) in enumerate(zip(hosts, html, strict=True))]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in wrappers.main_texts(pages).collect()}
+    assert got == {i: wrappers.extract(x) for i, x in enumerate(html)}
+    assert got[0] == "Steps\nHow it is done\none step here\ntwo steps here" and got[8].split("\n")[-2:] == ["price", "ten"]
+    assert got[12] == "the story that three pages share\none step here"
+
+
+def test_unclosed_tags_take_linear_time():
+    import time
+
+    for piece in ("<a ", "<a '", '<a "', "<!", "<?x ", "<script ", "<iframe ", "<iframe>", "<svg x", "<b <c", "<a \"<b '"):
+        began = time.time()
+        wrappers.extract("<article><p>text</p>" + piece * (1_000_000 // len(piece)))
+        assert time.time() - began < 20, piece
+    assert wrappers.extract("<p>a < b and <b class=x>c</b> d</p>") == "a < b and c d"
+
+
+class _Article(HTMLParser):
+    """The text of the pages of the test tables by another parser: blocks inside the article, without what is marked as aside."""
+
+    def __init__(self):
+        super().__init__()
+        self.stack, self.lines = [], [""]
+
+    def handle_starttag(self, tag, attrs):
+        if tag in wrappers.BLOCKS:
+            self.lines.append("")
+        if tag not in wrappers.VOID:
+            marks = set(re.findall("[a-z]+", " ".join(v or "" for k, v in attrs if k in ("class", "id", "role")).lower()))
+            self.stack.append((tag, tag in wrappers.DROPPED | wrappers.BOILERPLATE - {"header"} or bool(marks & wrappers.MARKS)))
+
+    def handle_endtag(self, tag):
+        if tag in wrappers.BLOCKS:
+            self.lines.append("")
+        if any(t == tag for t, _ in self.stack):
+            while self.stack.pop()[0] != tag:
+                pass
+
+    def handle_data(self, data):
+        if any(t == "article" for t, _ in self.stack) and not any(gone for _, gone in self.stack):
+            self.lines[-1] += data
+
+
+def test_texts_of_the_pages_equal_another_parser(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir.replace('0.001', '0.01')}/pages.parquet")
+    html = {r.page_id: r.html for r in pages.collect()}
+    got = {r.page_id: r.text for r in wrappers.main_texts(pages).collect()}
+    for key, page in html.items():
+        p = _Article()
+        p.feed(page or "")
+        p.close()
+        if "<article" in (page or ""):
+            assert got[key].split() == " ".join(p.lines).split(), key
 
 
 def test_empty_tables_long_pages_and_clashing_columns(spark):
