@@ -11,7 +11,9 @@ one block, and then read with one range read of its archive.
 
 Files are written under names of their own by each attempt of a task, and only those that a task's result
 names are used.  Defined results: null html is an empty payload; a null URL has an empty key and an empty
-target; rows that repeat the least id of their payload are responses all; repeated rows keep one record each.
+target; rows that repeat the least id of their payload are responses all; repeated rows keep one record each; a null id
+is no page to refer to, so its record is a response, stored under the least integer.  Ids are whole numbers, or texts
+of them: others raise.
 """
 
 from __future__ import annotations
@@ -33,6 +35,7 @@ from .common import file_system, frugal, shared_path, slices, small_batches, sto
 from .url_rules import host_of
 
 MIN_REVISIT = 100
+NULL_ID = -(2**63)
 BLOCK_LINES = 1000
 ARCHIVE_BYTES = 64 << 20
 #: Payloads of several pages up to which they are broadcast (a digest and an id each), so that pages are not shuffled.
@@ -216,10 +219,10 @@ def write_archives(pages: DataFrame, folder: str, url: str = "url", html: str =
     made = pages.select(F.col(key).cast("long").alias("id"), F.coalesce(url, F.lit("")).alias("url"), F.coalesce(html, F.lit("")).alias("html"))
     made = made.withColumn("digest", F.sha2(F.col("html").cast("binary"), 256))
     large = F.octet_length("html") >= MIN_REVISIT
-    firsts = made.where(large).groupBy("digest").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
+    firsts = made.where(large).groupBy("digest").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1 AND least IS NOT NULL").drop("n")
     firsts = stored(firsts, "firsts")
     joined = made.join(F.broadcast(firsts) if firsts.count() <= BROADCAST_DIGESTS else firsts, "digest", "left")
-    ready = joined.select("id", "url", "html", "digest", F.when(F.col("id") != F.col("least"), F.col("least")).alias("first"), capture_key(F.col("url")).alias("key"))
+    ready = joined.select(F.coalesce("id", F.lit(NULL_ID)).alias("id"), "url", "html", "digest", F.when(F.col("id") != F.col("least"), F.col("least")).alias("first"), capture_key(F.col("url")).alias("key"))
     captures = stored(ready.mapInArrow(lambda it: _write(it, folder, date), "key string, page bigint, uri string, at bigint, size bigint"), "captures")
     ordered = captures.repartitionByRange("key", "page").sortWithinPartitions("key", "page", "uri", "at")
     return stored(ordered.mapInArrow(lambda it: _index(it, folder, block_lines), "first string, uri string"), "index")
@@ -252,11 +255,12 @@ def read_captures(wanted: DataFrame, parts: DataFrame) -> DataFrame:
     """The records of (key, page) rows, each found by the index and read from its archive."""
     top = [(r["first"], r["uri"]) for r in parts.collect()]  # one row an index part
     spread = wanted.repartitionByRange("key", "page").sortWithinPartitions("key", "page")
-    return spread.mapInArrow(lambda it: _read(it, top), "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
+    found = spread.mapInArrow(lambda it: _read(it, top), "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
+    return found.withColumn("page_id", F.when(F.col("page_id") != NULL_ID, F.col("page_id")))
 
 
 def round_trip(pages: DataFrame, url: str = "url", html: str = "html", key: str = "page_id") -> DataFrame:
     folder = shared_path(pages.sparkSession, "warc")
     parts = write_archives(pages, folder, url, html, key)
-    wanted = pages.select(capture_key(F.col(url)).alias("key"), F.col(key).cast("long").alias("page"))
+    wanted = pages.select(capture_key(F.col(url)).alias("key"), F.coalesce(F.col(key).cast("long"), F.lit(NULL_ID)).alias("page"))
     return read_captures(wanted, parts)

@@ -20,6 +20,7 @@ lacks.  So no candidate pair between different components goes unchecked.
 
 Defined results: equal texts are in one class, empty and null ones included; a text without words is near
 no other; the class id is the least document id of the class; null ids are kept and count as the least.
+Ids are whole numbers, or texts of them: others raise.
 """
 
 from __future__ import annotations

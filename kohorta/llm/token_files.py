@@ -16,7 +16,7 @@ files that count, and the manifest is made of those, so lost executors and repea
 Within a part of at most ``PART_BYTES`` or so, memory is bounded by one frame and the index.
 
 Defined results: null and empty texts hold the end id alone; repeated ids keep one entry a row; null ids come
-first, stored as the least integer.
+first, stored as the least integer.  Ids are whole numbers, or texts of them: others raise.
 """
 
 from __future__ import annotations
