@@ -7,11 +7,13 @@ harmless.  Totals are the sums of all committed deltas; ``compact`` folds them i
 batches it holds.
 
 Defined results: null sources, languages and versions are groups of their own; a null count counts as zero
-tokens of one document; groups whose documents and tokens both came to zero are left out of the totals.
+tokens of one document; groups whose documents and tokens both came to zero are left out of the totals.  Ids are whole numbers, or texts of
+them: others raise.
 """
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Iterator
 
@@ -82,11 +84,21 @@ class Rollup:
         out = fs.create(aside, False)
         out.write(bytearray(value.encode()))
         out.close()
-        done = not fs.exists(target) and fs.rename(aside, target)
-        if not done:
+        if fs.getUri().getScheme() == "file":  # there, a rename would replace a file that another attempt has just put in place
+            done = self._linked(aside, target)
+        else:
+            done = not fs.exists(target) and fs.rename(aside, target)
+        if fs.exists(aside):
             fs.delete(aside, False)
         return done and self._value(name) == value
 
+    def _linked(self, aside, target) -> bool:
+        try:
+            os.link(aside.toUri().getPath(), target.toUri().getPath())
+        except FileExistsError:
+            return False
+        return True
+
     def _value(self, name: str) -> str:
         fs, path = self._hadoop(f"{self.folder}/{name}")
         stream = fs.open(path)
@@ -132,8 +144,11 @@ class Rollup:
         return data, names
 
     def totals(self) -> DataFrame:
-        newest, held = self._compacted()
-        paths = [f"{self.folder}/{self._value(f'batches/{x}')}" for x in self._names("batches") if x not in held]
+        return self._summed(self._names("batches"), *self._compacted())
+
+    def _summed(self, batches: list[str], newest: str | None, held: set[str]) -> DataFrame:
+        """The totals of a compaction that holds the batches ``held``, and of those of ``batches`` that it doesn't hold."""
+        paths = [f"{self.folder}/{self._value(f'batches/{x}')}" for x in batches if x not in held]
         if newest:
             paths.append(f"{self.folder}/{newest}/totals")
         if not paths:
@@ -143,11 +158,15 @@ class Rollup:
         return summed.where((F.col("documents") != 0) | (F.col("tokens") != 0))
 
     def compact(self) -> None:
-        """Folds all batches into one table of totals; the batches' folders stay until they are removed by hand."""
+        """Folds all batches into one table of totals; the batches' folders stay until they are removed by hand.
+
+        The batches are listed once: those that are committed meanwhile are neither in the totals nor among its batches.
+        """
         number = len(self._names("compactions"))
-        batches = set(self._names("batches")) | self._compacted()[1]
+        found, (newest, held) = self._names("batches"), self._compacted()
+        batches = held.union(found)
         data = f"data/compaction-{uuid.uuid4().hex}"
-        self.totals().write.parquet(f"{self.folder}/{data}/totals")
+        self._summed(found, newest, held).write.parquet(f"{self.folder}/{data}/totals")
         self.spark.createDataFrame([(b,) for b in sorted(batches)], "batch string").write.parquet(f"{self.folder}/{data}/batches")
         if not self._publish(f"compactions/{number:06d}", data):
             remove(self.spark, [f"{self.folder}/{data}"])

@@ -9,8 +9,9 @@ from html.parser import HTMLParser
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
-from kohorta.llm import archives, decontamination, packing, token_files, token_rollup, url_rules, wrappers
+from kohorta.llm import archives, decontamination, near_duplicates, packing, token_files, token_rollup, url_rules, wrappers
 from kohorta.llm.common import shared_path
 from kohorta.llm.tokenizing import Encoder
 
@@ -426,6 +427,48 @@ def test_wrapper_has_repeats_and_optionals():
     assert ("repeat", (("open", "li", ""), ("open", "a", ""), ("#",), ("close", "a", ""), ("close", "li", ""))) in made
 
 
+def test_null_page_ids_have_their_records(spark):
+    html = ["x" * 200, "x" * 200, "x" * 200, "y" * 150, "y" * 150, "short", None]
+    rows = [(i, "http://a.com/", h, "clash") for i, h in zip((5, None, 9, None, None, None, 3), html, strict=True)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, digest string")
+    got = Counter((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in archives.round_trip(pages).collect())
+    want = [(5, 200, "response", None), (None, 200, "response", None), (9, 200, "revisit", 5), *[(None, 150, "response", None)] * 2, (None, 5, "response", None), (3, 0, "response", None)]
+    assert got == Counter(want)
+
+
+def test_ids_that_are_no_numbers_are_refused(spark):
+    docs = spark.createDataFrame([("a", "some text", "s", "en", "http://a/", "x")], "doc_id string, text string, source string, lang string, url string, html string")
+    numbers = docs.withColumn("doc_id", F.lit("7"))
+    made = {
+        "token files": lambda d: token_files.round_trip(d, TOKENIZER), "archives": lambda d: archives.round_trip(d, key="doc_id"),
+        "near-duplicates": near_duplicates.near_duplicate_classes, "counts": lambda d: token_rollup.token_counts(d, TOKENIZER),
+    }
+    for name, of in made.items():
+        with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+            of(docs).collect()
+        assert of(numbers).first()[0] == 7, name
+
+
+def test_a_commit_during_a_compaction_counts_once(spark, monkeypatch):
+    rollup = token_rollup.Rollup(spark, shared_path(spark, "test-rollup"))
+    one = lambda n: spark.createDataFrame([("s", "en", "v", 1, n)], token_rollup.SCHEMA)
+    rollup.commit("a", one(2))
+    real = rollup._compacted
+
+    def between():
+        monkeypatch.setattr(rollup, "_compacted", real)
+        rollup.commit("b", one(9))
+        return real()
+
+    monkeypatch.setattr(rollup, "_compacted", between)
+    rollup.compact()
+    want = [("s", "en", "v", 2, 11)]
+    assert [tuple(r) for r in rollup.totals().collect()] == want
+    rollup.compact()
+    assert [tuple(r) for r in rollup.totals().collect()] == want
+    assert rollup._publish("batches/c", "one") and not rollup._publish("batches/c", "two") and rollup._value("batches/c") == "one"
+
+
 def test_rollup_is_idempotent_and_compacts(spark, docs, texts):
     rows = {(r.source, r.lang, r.version): (r.documents, r.tokens) for r in token_rollup.count_corpus(docs, TOKENIZER, "v1", "v2").collect()}
     distinct = {t or "" for t in texts}
