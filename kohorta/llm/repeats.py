@@ -311,7 +311,7 @@ def repeated_spans(made: DataFrame, length: int = LENGTH, gram: int = GRAM, unit
     starts = F.concat(F.array("start"), F.coalesce("more", F.array().cast("array<bigint>")))
     whole = busy.join(groups.where("n > 1").select("anchor", "span"), ["anchor", "span"]).select("k", F.explode(starts).alias("start"), "count")
     spans = whole.unionByName(twice.select("k", "start", F.lit(1).cast("long").alias("count")))
-    return spans.groupBy("k").agg(F.collect_list(F.struct("start", "count")).alias("spans"))
+    return spans.groupBy("k").agg(F.collect_set(F.struct("start", "count")).alias("spans"))
 
 
 def _flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

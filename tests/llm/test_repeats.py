@@ -5,6 +5,7 @@ from hashlib import sha256
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from kohorta.llm import repeats
 
@@ -145,3 +146,14 @@ def test_nulls_repeated_rows_and_other_columns(spark):
 def test_merged():
     first, end = repeats.merged(np.array([5, 0, 3, 20]), np.array([9, 4, 6, 22]))
     assert first.tolist() == [0, 20] and end.tolist() == [9, 22]
+
+
+def test_many_equal_rows_take_linear_time(spark):
+    import time
+
+    text = " ".join(f"word{i}" for i in range(400))
+    began = time.time()
+    docs = spark.range(16_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit(text).alias("text")).unionByName(spark.createDataFrame([(8, "other " + text[:100])], "doc_id long, text string"))
+    rows = repeats.removal_report(docs).groupBy("doc_id", "n_removed", "n_spans").count().collect()
+    assert {tuple(r) for r in rows} == {(7, len(text), 1, 16_000), (8, 0, 0, 1)}
+    assert time.time() - began < 60
