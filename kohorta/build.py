@@ -72,6 +72,16 @@ def require_pool(config: SubsetConfig, split_sizes: dict[str, int]) -> None:
             raise ValueError(f"cannot build a subset of {n} subjects: the {config.train_split!r} split has {pool}")
 
 
+def check_splits(held: DataFrame, splits: DataFrame, made: DataFrame, train: str) -> None:
+    """Refuses to pass shards (of ``held``) through that mix splits, or that have the names of computed ones."""
+    mixed = selection.mixed_shards(held, splits, train).limit(5).collect()
+    if mixed:
+        raise ValueError(f"shards {[r['shard'] for r in mixed]} of the parent mix {train!r} and other subjects; use another policy than passthrough")
+    clash = held.join(splits.where(F.col("split") != train), "subject_id").select("shard").distinct().join(made.select("shard").distinct(), "shard").limit(5).collect()
+    if clash:
+        raise ValueError(f"shards {[r['shard'] for r in clash]} of the parent have the names of computed ones; use another policy than passthrough")
+
+
 def check_record(output: Path, store: ShardStore, parent: dict, overwrite: bool) -> None:
     """Refuses another parent than the recorded ones: the store's shards are not its rows.  Or starts anew, if told to.
 
@@ -132,12 +142,7 @@ class Family:
         if config.non_train_policy != selection.PASSTHROUGH:
             return made
         held = self.dataset.subject_shards()
-        mixed = selection.mixed_shards(held, splits, config.train_split).limit(5).collect()
-        if mixed:
-            raise ValueError(f"shards {[r['shard'] for r in mixed]} of the parent mix {config.train_split!r} and other subjects; use another policy than passthrough")
-        clash = held.join(splits.where(F.col("split") != config.train_split), "subject_id").select("shard").distinct().join(made.select("shard").distinct(), "shard").limit(5).collect()
-        if clash:
-            raise ValueError(f"shards {[r['shard'] for r in clash]} of the parent have the names of computed ones; use another policy than passthrough")
+        check_splits(held, splits, made, config.train_split)
         members = self.spark.createDataFrame([(int(n),) for n in config.n_subjects], "member long")
         other = splits.where(F.col("split") != config.train_split).join(held, "subject_id", "left").crossJoin(F.broadcast(members))  # members are a handful
         passed = other.select("member", "split", "shard", F.concat(F.lit("passthrough/"), "shard").alias("stored"), "subject_id")
