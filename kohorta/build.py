@@ -15,7 +15,7 @@ from .config import ResampleConfig, SubsetConfig
 from .functions.framing import PREFIX, combined_ids, folded, text_digest
 from .functions.ranks import shard_key
 from .operators import digests, resampling, selection, sizes
-from .sources.dataset import CODES_FILE, DATASET_FILE, SPLITS_FILE, EventDataset, bytes_below, literal, read_labels, shard_paths
+from .sources.dataset import CODES_FILE, DATASET_FILE, SPLITS_FILE, EventDataset, bytes_below, literal, read_labels, read_shards, shard_paths
 from .sources.sinks import ShardStore, place, prune, write_json, write_one_file, write_partitioned
 
 STORE, CACHE, FAMILY, MANIFEST, TASKS = ".shard_store", ".cache", "family.json", "manifest.json", "tasks"
@@ -337,35 +337,46 @@ def build_resamples(spark: SparkSession, parent: str | Path, output: str | Path,
     }
     names = [config.resample_name(i) for i in range(config.n_resamples)]
     _prune_resamples(root, names)
-    rows = None
-    if labels is not None:
-        rows = read_labels(spark, Path(labels), places=True).withColumnRenamed("shard", "_shard")
-        columns = [c for c in resampling.LABEL_COLUMNS if c in rows.columns]
-        files = [p.relative_to(labels).as_posix().removesuffix(".parquet") for p in shard_paths(Path(labels))]
     draw = resampling.with_replacement if config.replace else resampling.without_replacement
+    named = F.element_at(F.array(*map(F.lit, names)), (F.col("replicate") + 1).cast("int")).alias("name")  # a name a replicate
+    draws = draw(pool, config.size, config.salt, range(config.n_resamples)).select("replicate", named, "draw_index", "subject_id").persist()
+    try:
+        write_partitioned(draws, "name", names, lambda name: root / name / "subjects.parquet", root, ["subject_id", "draw_index"], [F.col("draw_index")])
+        index_ids = {}
+        if labels is not None:
+            rows = read_labels(spark, Path(labels), places=True).withColumnRenamed("shard", "_shard")
+            columns = [c for c in resampling.LABEL_COLUMNS if c in rows.columns]
+            files = [p.relative_to(labels).as_posix().removesuffix(".parquet") for p in shard_paths(Path(labels))]
+            repeated = resampling.repeat_labels(rows, draws).withColumn("target", F.concat_ws("/labels/", "name", "_shard"))
+            targets = [f"{name}/labels/{f}" for name in names for f in files]
+            write_partitioned(repeated, "target", targets, lambda t: root / f"{t}.parquet", root, columns, [F.col("draw_index"), F.col("_row")])
+            index_ids = _index_ids(spark, root, [root / f"{t}.parquet" for t in targets])
+        stats = {r["replicate"]: r for r in resampling.replicate_stats(draws).collect()}
+        by_name = lambda rows: {r["group"]: r["digest"] for r in folded(rows, F.col("name"), F.col("subject_id").cast("string"), F.col("subject_id")).collect()}
+        multisets, sets = by_name(draws.select("name", "subject_id")), by_name(draws.select("name", "subject_id").distinct())
+    finally:
+        draws.unpersist()
+        pool.unpersist()
     report = {}
     for i, name in enumerate(names):
-        folder = root / name
-        draws = draw(pool, config.size, config.salt, i).select("subject_id", "draw_index").cache()
-        write_one_file(draws.orderBy("draw_index"), folder / "subjects.parquet")
-        index_id = None
-        if rows is not None:
-            repeated = resampling.repeat_labels(rows, draws)
-            write_partitioned(repeated, "_shard", files, lambda f, to=folder / "labels": to / f"{f}.parquet", root, columns, [F.col("draw_index"), F.col("_row")])
-            index_id = label_fingerprint(spark, folder / "labels")["index_id"]
-        stats = resampling.replicate_stats(draws).first()
         report[name] = {
-            "replicate": i, "n_draws": stats["n_draws"], "n_distinct": stats["n_distinct"], "subject_multiset_id": digests.subject_set_digest(draws, keep_repeats=True).first()[0],
-            "subject_set_id": digests.subject_set_digest(draws).first()[0], "index_id": index_id,
+            "replicate": i, "n_draws": stats[i]["n_draws"], "n_distinct": stats[i]["n_distinct"], "subject_multiset_id": multisets[name], "subject_set_id": sets[name],
+            "index_id": index_ids.get(name, text_digest([])) if labels is not None else None,
         }
-        write_json(folder / MANIFEST, report[name] | shared | {"config": config.to_dict()})
-        draws.unpersist()
-    pool.unpersist()
+        write_json(root / name / MANIFEST, report[name] | shared | {"config": config.to_dict()})
     made = shared | {"config": config.to_dict(), "resamples": report}
     write_json(root / FAMILY, made)
     return made
 
 
+def _index_ids(spark: SparkSession, root: Path, paths: list[Path]) -> dict[str, str]:
+    """{replicate's name: the id of its label rows}, read from their files in one job."""
+    rows = read_shards(spark, root, paths)
+    name = F.split_part("shard", F.lit("/labels/"), F.lit(1)).alias("name")
+    each = rows.select(name, digests.digest(F.array(digests.canonical_row(rows.drop("shard").schema))).alias("digest"))
+    return {r["group"]: r["digest"] for r in folded(each, F.col("name"), F.col("digest")).collect()}
+
+
 def _prune_resamples(root: Path, names: list[str]) -> None:
     """Removes the labels of replicates that are built anew, and replicates of an earlier build that this one doesn't name."""
     for old in sorted(root.iterdir()) if root.is_dir() else []:

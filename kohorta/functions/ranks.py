@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 SEPARATOR, SCORE_BITS, LIMIT = "\x1f", 53, 2**64
 
 
-def rank_digest(subject: Column, salt: str) -> Column:
-    return F.sha2(F.concat(F.lit(salt + SEPARATOR), subject.cast("string")), 256)
+def rank_digest(subject: Column, salt: str | Column) -> Column:
+    start = F.lit(salt + SEPARATOR) if isinstance(salt, str) else F.concat(salt, F.lit(SEPARATOR))
+    return F.sha2(F.concat(start, subject.cast("string")), 256)
 
 
 def uniform_score(subject: Column, salt: str) -> Column:
@@ -19,13 +20,13 @@ def uniform_score(subject: Column, salt: str) -> Column:
     return F.call_function("shiftrightunsigned", first, F.lit(64 - SCORE_BITS)) / F.lit(float(2**SCORE_BITS))
 
 
-def replicate_salt(salt: str, replicate: int) -> str:
-    return f"{salt}|resample|{replicate}"
+def replicate_salt(salt: str, replicate: Column) -> Column:
+    return F.concat(F.lit(f"{salt}|resample|"), replicate.cast("string"))
 
 
-def draw_value(counter: Column, salt: str, replicate: int) -> Column:
+def draw_value(counter: Column, salt: str, replicate: Column) -> Column:
     """The counter's unsigned 64-bit draw."""
-    text = F.sha2(F.concat(F.lit(replicate_salt(salt, replicate) + SEPARATOR), counter.cast("string")), 256)
+    text = rank_digest(counter, replicate_salt(salt, replicate))
     return F.conv(F.substring(text, 1, 16), 16, 10).cast("decimal(20,0)")
 
 

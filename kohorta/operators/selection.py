@@ -27,7 +27,12 @@ def ranked(subjects: DataFrame, salt: str, by: str | None = None) -> DataFrame:
 
     Ranks are offsets of ranges of digests plus places in them, so no task orders all subjects.
     """
-    keyed = subjects.withColumn("_digest", rank_digest(F.col("subject_id"), salt)).withColumn("_part", F.conv(F.substring("_digest", 1, 2), 16, 10).cast("int"))
+    return ranked_by(subjects, rank_digest(F.col("subject_id"), salt), by)
+
+
+def ranked_by(subjects: DataFrame, key: Column, by: str | None = None) -> DataFrame:
+    """As ``ranked``, by the uniform hex digest ``key``."""
+    keyed = subjects.withColumn("_digest", key).withColumn("_part", F.conv(F.substring("_digest", 1, 2), 16, 10).cast("int"))
     return numbered(keyed, "_part", ["_digest", "subject_id"], "rank", by).drop("_digest", "_part")
 
 

@@ -316,21 +316,17 @@ _DRAW = (
 
 @query(f"{_SEL}, {_DRAW} SELECT * FROM dr")
 def draw_with_replacement(spark, sf_dir):
-    out = None
-    for r in range(3):
-        made = resampling.with_replacement(_train(spark, sf_dir), DRAWS, SALT, r).select(F.lit(r).cast("long").alias("replicate"), "draw_index", "subject_id")
-        out = made if out is None else out.unionByName(made)
-    return out
+    return resampling.with_replacement(_train(spark, sf_dir), DRAWS, SALT, range(3))
 
 
 @query(f"{_SEL}, x AS (SELECT subject_id, CAST(row_number() OVER (ORDER BY {rank_sql('subject_id', SALT + '|resample|1')}, subject_id) - 1 AS BIGINT) AS draw_index FROM tr) SELECT draw_index, subject_id FROM x WHERE draw_index < 60")
 def draw_without_replacement(spark, sf_dir):
-    return resampling.without_replacement(_train(spark, sf_dir), 60, SALT, 1)
+    return resampling.without_replacement(_train(spark, sf_dir), 60, SALT, 1).select("draw_index", "subject_id")
 
 
 @query(f"{_SEL}, {_DRAW} SELECT replicate, count(*) AS n_draws, count(DISTINCT subject_id) AS n_distinct FROM dr GROUP BY replicate")
 def replicate_stats(spark, sf_dir):
-    return draw_with_replacement(spark, sf_dir).groupBy("replicate").agg(F.count("*").alias("n_draws"), F.countDistinct("subject_id").alias("n_distinct"))
+    return resampling.replicate_stats(draw_with_replacement(spark, sf_dir))
 
 
 @query(f"WITH {SPLITS}, {_TRAIN}, {LABELS}, {_DRAW} SELECT draw_index, label_id, lb.subject_id, boolean_value FROM dr JOIN lb ON dr.subject_id = lb.subject_id WHERE replicate = 0")
