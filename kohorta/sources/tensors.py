@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import json
 import struct
-from collections.abc import Mapping
+from collections.abc import Callable, Iterator, Mapping
 from pathlib import Path
 
 import numpy as np
@@ -74,51 +74,147 @@ def read_tensors(path: str | Path) -> dict[str, np.ndarray]:
 
 
 def write_tensors(path: str | Path, tensors: Mapping[str, np.ndarray]) -> None:
+    about = {name: (values.dtype, list(values.shape)) for name, values in tensors.items()}
+    stream_tensors(path, about, lambda name: iter([tensors[name]]))
+
+
+def stream_tensors(path: str | Path, about: Mapping[str, tuple[np.dtype, list[int]]], parts: Callable[[str], Iterator[np.ndarray]]) -> None:
+    """Writes tensors of known types and shapes from their parts, which are asked for one tensor after the other."""
     names = {np.dtype(v): k for k, v in TYPES.items()}
     described, at = {}, 0
-    for name, values in tensors.items():
-        described[name] = {"dtype": names[values.dtype], "shape": list(values.shape), "data_offsets": [at, at + values.nbytes]}
-        at += values.nbytes
+    for name, (dtype, shape) in about.items():
+        size = int(np.prod(shape, dtype=np.int64)) * dtype.itemsize
+        described[name] = {"dtype": names[np.dtype(dtype)], "shape": shape, "data_offsets": [at, at + size]}
+        at += size
     text = json.dumps(described).encode()
     text += b" " * (-len(text) % 8)
     with open(path, "wb") as f:
         f.write(PREFIX.pack(len(text)) + text)
-        for values in tensors.values():
-            f.write(np.ascontiguousarray(values).tobytes())
+        for name, (dtype, _) in about.items():
+            for values in parts(name):
+                f.write(np.ascontiguousarray(values, dtype=dtype).data)
+        if f.tell() != len(text) + PREFIX.size + at:
+            raise ValueError(f"the parts of {path} are not as long as their shapes")
 
 
-def _spans(bounds: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(places, new bounds) of the values of the chosen rows."""
-    ends = np.asarray(bounds, dtype=np.int64)
-    starts = np.r_[0, ends[:-1]] if len(ends) else ends
-    size = ends[rows] - starts[rows]
-    new = np.cumsum(size)
-    places = np.repeat(starts[rows] - np.r_[0, new[:-1]], size) + np.arange(new[-1]) if len(rows) else np.zeros(0, dtype=np.int64)
-    return places, new
+def _edges(ends: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, end) of the values of rows whose values end at ``ends``."""
+    if not len(ends):
+        return np.zeros(len(rows), dtype=np.int64), np.zeros(len(rows), dtype=np.int64)
+    first = np.where(rows > 0, ends[np.maximum(rows - 1, 0)], 0).astype(np.int64)
+    return first, np.asarray(ends[rows], dtype=np.int64)
 
 
-def sliced(tensors: Mapping[str, np.ndarray], rows: np.ndarray) -> dict[str, np.ndarray]:
-    """The tensors of the chosen subjects, in that order."""
-    if EVENT_BOUNDS not in tensors:
-        if len(rows):
+class Slice:
+    """The chosen subjects of one file: ranges of its tensors' bytes.  Holds four numbers a subject; values are read from the mapped file."""
+
+    #: Bytes of a tensor that are copied at a time.
+    STEP = 8 << 20
+
+    def __init__(self, tensors: Mapping[str, np.ndarray], rows: np.ndarray):
+        self.tensors, self.rows = tensors, np.asarray(rows, dtype=np.int64)
+        if EVENT_BOUNDS not in tensors and len(self.rows):
             raise ValueError("no subject has events in these tensors")
-        return dict(tensors)
-    events, event_ends = _spans(tensors[EVENT_BOUNDS], rows)
-    measurements, measurement_ends = _spans(tensors[MEASUREMENT_BOUNDS], events) if MEASUREMENT_BOUNDS in tensors else (None, None)
-    ends = {EVENT_BOUNDS: event_ends, MEASUREMENT_BOUNDS: measurement_ends}
-    return {name: ends[name].astype(values.dtype) if name in ends else values[events if name.startswith("dim1/") else measurements] for name, values in tensors.items()}
+        events = _edges(self.tensors.get(EVENT_BOUNDS, np.zeros(0, np.int64)), self.rows)
+        ends = self.tensors.get(MEASUREMENT_BOUNDS, np.zeros(0, np.int64))
+        self.edges = {"dim1": events, "dim2": tuple(np.where(e > 0, ends[np.maximum(e - 1, 0)], 0).astype(np.int64) if len(ends) else np.zeros(len(e), np.int64) for e in events)}
+
+    def length(self, name: str) -> int:
+        if name == EVENT_BOUNDS:
+            return len(self.rows)
+        first, end = self.edges["dim1" if name == MEASUREMENT_BOUNDS else name.split("/")[0]]
+        return int((end - first).sum())
+
+    def parts(self, name: str, before: int) -> Iterator[np.ndarray]:
+        """The values of a tensor, a bounded number at a time; bounds go on from ``before``."""
+        if name == EVENT_BOUNDS:
+            first, end = self.edges["dim1"]
+            yield before + np.cumsum(end - first)
+            return
+        level = "dim1" if name == MEASUREMENT_BOUNDS else name.split("/")[0]
+        values, (first, end) = self.tensors[name], self.edges[level]
+        if name == MEASUREMENT_BOUNDS:  # each subject's ends go on from those of the subject before
+            low, high = self.edges["dim2"]
+            shift = before + np.r_[0, np.cumsum(high - low)[:-1]] - low
+            for i in np.flatnonzero(end > first).tolist():
+                for at in range(first[i], end[i], self._step(values)):
+                    yield np.asarray(values[at : min(end[i], at + self._step(values))], dtype=np.int64) + shift[i]
+            return
+        some = np.flatnonzero(end > first)
+        first, end = first[some], end[some]
+        new = np.r_[True, first[1:] != end[:-1]] if len(some) else np.zeros(0, dtype=bool)  # neighbours are one range
+        for low, high in zip(first[new].tolist(), end[np.r_[np.flatnonzero(new)[1:] - 1, len(end) - 1]].tolist() if len(some) else [], strict=True):
+            for at in range(low, high, self._step(values)):
+                yield values[at : min(high, at + self._step(values))]
+
+    def _step(self, values: np.ndarray) -> int:
+        return max(1, self.STEP // max(1, values.itemsize * int(np.prod(values.shape[1:], dtype=np.int64))))
+
+
+def write_slices(path: str | Path, slices: list[Slice]) -> None:
+    """One file of the slices' subjects in their order, whatever their number: no tensor is held as a whole."""
+    lead = next((s.tensors for s in slices if s.tensors), {})
+    for s in slices:
+        if [(n, v.dtype, v.shape[1:]) for n, v in s.tensors.items()] != [(n, v.dtype, v.shape[1:]) for n, v in lead.items()]:
+            raise ValueError(f"the tensors of the sources of {path} differ in names or types")
+    about = {name: (v.dtype, [sum(s.length(name) for s in slices), *v.shape[1:]]) for name, v in lead.items()}
+
+    def parts(name: str) -> Iterator[np.ndarray]:
+        before = 0
+        level = {EVENT_BOUNDS: "dim1", MEASUREMENT_BOUNDS: "dim2"}.get(name)
+        for s in slices:
+            yield from s.parts(name, before)
+            if level:
+                first, end = s.edges[level]
+                before += int((end - first).sum())
+
+    stream_tensors(path, about, parts)
 
 
-def joined(parts: list[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
-    """Tensors of several files one after the other."""
-    out = {}
-    for name in parts[0]:
-        values = [p[name] for p in parts]
-        if name in (EVENT_BOUNDS, MEASUREMENT_BOUNDS):
-            before = np.r_[0, np.cumsum([int(v[-1]) if len(v) else 0 for v in values])]
-            values = [v + np.asarray(b, dtype=v.dtype) for v, b in zip(values, before, strict=False)]
-        out[name] = np.concatenate(values)
-    return out
+def sliced(tensors: Mapping[str, np.ndarray], rows: np.ndarray) -> dict[str, np.ndarray]:
+    """The tensors of the chosen subjects, in that order, as arrays: for cohorts that fit memory."""
+    made = Slice(tensors, rows)
+    return {name: np.concatenate([values[:0], *(np.asarray(p, dtype=values.dtype) for p in made.parts(name, 0))]) for name, values in tensors.items()}
+
+
+# Spark's types of the format's types that it has.
+SPARK_TYPES = {
+    "F64": "double", "F32": "float", "F16": "float", "I64": "bigint", "I32": "int", "I16": "smallint", "I8": "tinyint", "U32": "bigint", "U16": "int", "U8": "smallint", "BOOL": "boolean",
+}
+ARROW_TYPES = {
+    "double": pa.float64(), "float": pa.float32(), "bigint": pa.int64(), "int": pa.int32(), "smallint": pa.int16(), "tinyint": pa.int8(), "boolean": pa.bool_(),
+}
+#: Values of a subject batch, about.
+BATCH_VALUES = 1 << 18
+
+
+def ragged_batches(path: str | Path, types: Mapping[str, str], limit: int = BATCH_VALUES) -> Iterator[pa.RecordBatch]:
+    """(row_index, values of each tensor) of the subjects of a file, a batch of about ``limit`` values at a time.
+
+    ``types``: the tensors' names and Spark types; a dim1 tensor is a list a subject, a dim2 tensor a list of lists.
+    """
+    tensors = read_tensors(path)
+    ends = tensors.get(EVENT_BOUNDS, np.zeros(0, np.int64))
+    inner = tensors.get(MEASUREMENT_BOUNDS)
+    n, first = len(ends), 0
+    while first < n:
+        event = int(ends[first - 1]) if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, event + max(1, limit // 4), side="right")))  # a few values an event
+        bounds = np.r_[event, np.asarray(ends[first:last], dtype=np.int64)]
+        columns = [pa.array(np.arange(first, last))]
+        offsets = pa.array((bounds - event).astype(np.int32))
+        if inner is not None:
+            low = int(inner[event - 1]) if event else 0
+            cuts = np.r_[low, np.asarray(inner[event : bounds[-1]], dtype=np.int64)]
+        for name, kind in types.items():
+            level = name.split("/")[0]
+            part = tensors[name][event : bounds[-1]] if level == "dim1" else tensors[name][cuts[0] : cuts[-1]]
+            values = pa.array(np.asarray(part)).cast(ARROW_TYPES[kind])
+            if level == "dim2":
+                values = pa.ListArray.from_arrays(pa.array((cuts - cuts[0]).astype(np.int32)), values)
+            columns.append(pa.ListArray.from_arrays(offsets, values))
+        yield pa.RecordBatch.from_arrays(columns, ["row_index", *(x.split("/", 1)[1] for x in types)])
+        first = last
 
 
 class TensorCohort:
@@ -165,6 +261,27 @@ class TensorCohort:
                 raise ValueError(f"{path} is no schema of tensors: its static_code is {kind}, not a list")
         return read_shards(self.spark, self.schemas, self.paths, {"subject_id": "bigint", "static_code": "array<bigint>"}, places=True)
 
+    def tensors(self) -> DataFrame:
+        """(shard, row_index, and a column for each tensor but the bounds) of every subject: lists of its events' values, or of lists of their measurements'.
+
+        Values are read by the subjects that they belong to, a bounded number at a time; all shards have the first one's tensors.
+        """
+        header = tensor_header(self.tensor_path(self.shards[0]))
+        wanted = {n: a["dtype"] for n, a in header.items() if n not in (EVENT_BOUNDS, MEASUREMENT_BOUNDS)}
+        if unknown := {n: t for n, t in wanted.items() if t not in SPARK_TYPES or n.split("/")[0] not in ("dim1", "dim2")}:
+            raise ValueError(f"tensors that Spark has no type for: {unknown}")
+        types = {n: SPARK_TYPES[t] for n, t in wanted.items()}
+        ddl = ", ".join(f"`{n.split('/', 1)[1]}` " + ("array<%s>" if n.startswith("dim1") else "array<array<%s>>") % t for n, t in types.items())
+        listed = self.spark.createDataFrame([(s, str(self.tensor_path(s))) for s in self.shards], "shard string, path string")
+
+        def read(batches):
+            for batch in batches:
+                for shard, path in zip(batch.column("shard").to_pylist(), batch.column("path").to_pylist(), strict=True):
+                    for rows in ragged_batches(path, types):
+                        yield pa.RecordBatch.from_arrays([pa.array([shard] * rows.num_rows, pa.string()), *rows.columns], ["shard", *rows.schema.names])
+
+        return listed.repartition("shard").mapInArrow(read, f"shard string, row_index bigint, {ddl}")
+
     def codes(self) -> DataFrame:
         path = self.root / "metadata/codes.parquet"
         if not path.is_file():

@@ -18,7 +18,7 @@ from .operators import digests, selection
 from .reports import tensor_report
 from .sources.dataset import CODES_FILE, NotADatasetError
 from .sources.sinks import ShardStore, place, prune, publish, write_json, write_text
-from .sources.tensors import DATA, SCHEMAS, SUFFIX, TensorCohort, joined, read_tensors, sliced, write_tensors
+from .sources.tensors import DATA, SCHEMAS, SUFFIX, Slice, TensorCohort, read_tensors, write_slices
 
 
 def _fingerprint(cohort: TensorCohort) -> str:
@@ -30,23 +30,37 @@ def _fingerprint(cohort: TensorCohort) -> str:
 def slice_shards(plan: DataFrame, cohort: TensorCohort, store: ShardStore) -> None:
     """Writes schema and tensors of every ``stored`` of rows (stored, shard, row_index): a task an output shard, in the order of (shard, row).
 
-    Rows are taken as Arrow holds them, so that the schemas keep their types, unsigned ones too.
+    A task holds the places of its shard's subjects, one row group of a source's schema, and a few megabytes of a tensor: the
+    ranges of bytes that belong to subjects are copied from the sources' mapped files one tensor after the other.  Schema
+    rows are taken as Arrow holds them, so that the schemas keep their types, unsigned ones too.
     """
     root, target = cohort.root, store.root
 
     def write(key, frame):
-        schemas, tensors = [], []
-        for shard, rows in frame.sort_values(["shard", "row_index"]).groupby("shard", sort=True):
-            places = rows["row_index"].to_numpy(dtype=np.int64)
-            schemas.append(pq.read_table(root / SCHEMAS / f"{shard}.parquet", partitioning=None).take(places))
-            tensors.append(sliced(read_tensors(root / DATA / f"{shard}{SUFFIX}"), places))
-        publish(lambda aside: write_tensors(aside, joined(tensors)), target / f"{key[0]}{SUFFIX}")
-        publish(lambda aside: pq.write_table(pa.concat_tables(schemas, promote_options="default"), aside), target / f"{key[0]}.parquet")
+        chosen = [(shard, rows["row_index"].to_numpy(dtype=np.int64)) for shard, rows in frame.sort_values(["shard", "row_index"]).groupby("shard", sort=True)]
+        slices = [Slice(read_tensors(root / DATA / f"{shard}{SUFFIX}"), places) for shard, places in chosen]
+        publish(lambda aside: write_slices(aside, slices), target / f"{key[0]}{SUFFIX}")
+        publish(lambda aside: _write_schema(aside, [(root / SCHEMAS / f"{shard}.parquet", places) for shard, places in chosen]), target / f"{key[0]}.parquet")
         return frame[["stored"]].head(1)
 
     plan.select("stored", "shard", "row_index").groupBy("stored").applyInPandas(write, "stored string").count()
 
 
+def _write_schema(path: Path, chosen: list[tuple[Path, np.ndarray]]) -> None:
+    """The chosen rows (ascending) of schemas, a row group at a time, at the union of their columns."""
+    whole = pa.unify_schemas([pq.read_schema(p) for p, _ in chosen], promote_options="default")
+    with pq.ParquetWriter(path, whole) as out:
+        for source, places in chosen:
+            opened, before = pq.ParquetFile(source), 0
+            for group in range(opened.num_row_groups):
+                size = opened.metadata.row_group(group).num_rows
+                own = places[np.searchsorted(places, before) : np.searchsorted(places, before + size)] - before
+                before += size
+                if len(own):
+                    rows = opened.read_row_group(group).take(own)
+                    out.write_table(pa.concat_tables([whole.empty_table(), rows], promote_options="default"))
+
+
 def build_tensorized_family(spark: SparkSession, parent: str | Path, output: str | Path, config: SubsetConfig, overwrite: bool = False) -> dict:
     """Every member in ``output``, as ``build_family`` makes them of event cohorts; the vocabulary is the parent's."""
     if config.code_metadata != "copy":
