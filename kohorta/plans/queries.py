@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import json
 from collections.abc import Callable
 from pathlib import Path
 
@@ -10,13 +10,17 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import reports
-from ..build import build_family, build_resamples
+from ..build import FAMILY, build_family, build_resamples
+from ..catalog import Catalog
 from ..config import ResampleConfig, SubsetConfig
 from ..functions.framing import digest, short_id
 from ..functions.ranks import uniform_score
 from ..operators import digests, ragged, resampling, selection, sizes
-from ..sources.dataset import EventDataset, read_shards
+from ..sources.dataset import EventDataset, read_excluded, read_shards, shard_paths
+from ..sources.tensors import TensorCohort
+from ..sources.uris import UriDataset
 from ..stage import subset_subjects
+from ..tensorized import build_tensorized_family
 from . import views
 from .views import CODES, EVENTS, LABELS, SALT, SPLITS, U64, rank_sql, score_sql
 
@@ -436,10 +440,36 @@ _MEMBERS_OF = (
 )
 
 
+def _config(spark, sf_dir, **more) -> SubsetConfig:
+    """Two members, of a twelfth and half of the train split."""
+    n = _train(spark, sf_dir).count()
+    return SubsetConfig((n // 12, n // 2), salt=SALT, n_subjects_per_shard=max(1, n // 12), **more)
+
+
 def _family(spark, sf_dir) -> dict:
-    root, n = views.folder(spark, sf_dir), _train(spark, sf_dir).count()
-    with tempfile.TemporaryDirectory(prefix="kohorta-family-") as out:
-        return build_family(spark, root, out, SubsetConfig((n // 12, n // 2), salt=SALT, n_subjects_per_shard=max(1, n // 12)), labels=root / "labels/orders")
+    """What a built family's record says; the family itself stays."""
+    root = views.folder(spark, sf_dir)
+    out = views.once(spark, sf_dir, "family", lambda to: build_family(spark, root, to, _config(spark, sf_dir), labels=root / "labels/orders"))
+    return json.loads((out / FAMILY).read_text())
+
+
+def _catalog(spark, sf_dir) -> Catalog:
+    """The same family at a URI."""
+    root = views.folder(spark, sf_dir)
+
+    def build(to: Path) -> None:
+        labels = views.labels(spark, sf_dir).select("subject_id", "prediction_time", "boolean_value")
+        Catalog(spark, f"file://{to}").build(UriDataset(spark, f"file://{root}"), _config(spark, sf_dir), labels=labels)
+
+    return Catalog(spark, f"file://{views.once(spark, sf_dir, 'catalog', build)}")
+
+
+def _of_members(spark, sf_dir, read: Callable[[int], DataFrame]) -> DataFrame:
+    out = None
+    for n in _config(spark, sf_dir).n_subjects:
+        made = read(n).withColumn("member", F.lit(n).cast("long"))
+        out = made if out is None else out.unionByName(made)
+    return out
 
 
 @query(
@@ -448,12 +478,16 @@ def _family(spark, sf_dir) -> dict:
     f"mn AS (SELECT member, split, {_COUNTS} FROM mr GROUP BY member, split) SELECT * FROM mn JOIN mc USING (member, split)"
 )
 def family_report(spark, sf_dir):
-    """What a built family's manifest says of its members' splits."""
-    rows = []
-    for m in _family(spark, sf_dir)["members"].values():
-        rows += [(m["n_subjects"], r["split"], *(r[c] for c in (*sizes.ADDITIVE, "n_codes_observed")), m["content_ids"][r["split"]]) for r in m["sizes"] if r["split"] != sizes.TOTAL]
-    names = ", ".join(f"{c} long" for c in (*sizes.ADDITIVE, "n_codes_observed"))
-    return spark.createDataFrame(rows, f"member long, split string, {names}, content_id string")
+    """Counts and content ids of a built family's members, from the files that they hold."""
+    roots = {m["n_subjects"]: m["root"] for m in _family(spark, sf_dir)["members"].values()}
+
+    def read(n: int) -> DataFrame:
+        own = EventDataset(spark, roots[n])
+        counts = reports.event_report(own).where(F.col("split") != sizes.TOTAL).drop("source", "kind", "observed_code_set_id", "n_shards", "n_bytes")
+        counts = counts.withColumnsRenamed({"n_dynamic_measurements": "n_dynamic", "n_static_measurements": "n_static"})
+        return counts.join(digests.content_ids(own.events().drop("shard"), own.splits()), "split")
+
+    return _of_members(spark, sf_dir, read)
 
 
 _LROW = f"'boolean_value=' || {_framed('CAST(boolean_value AS VARCHAR)')} || chr(31) || 'prediction_time=' || {_framed('CAST(epoch_us(prediction_time) AS VARCHAR)')} || chr(31) || 'subject_id=' || {_framed(_ID)}"
@@ -468,15 +502,143 @@ def family_labels(spark, sf_dir):
     return spark.createDataFrame([(m["n_subjects"], m["n_index_rows"], m["index_id"]) for m in _family(spark, sf_dir)["members"].values()], "member long, n_index_rows long, index_id string")
 
 
+@query(f"WITH {SPLITS}, {_MEMBERS_OF} SELECT member, subject_id, split FROM mp")
+def family_splits(spark, sf_dir):
+    """The splits files of a built family's members."""
+    roots = {m["n_subjects"]: m["root"] for m in _family(spark, sf_dir)["members"].values()}
+    return _of_members(spark, sf_dir, lambda n: EventDataset(spark, roots[n]).splits())
+
+
+_SHARDED = (
+    f"mq AS (SELECT member, subject_id, split, CASE WHEN split = 'train' THEN 'train/' || CAST(rank // greatest(n // 12, 1) AS VARCHAR) "
+    f"ELSE split || '/' || CAST(subject_id % {views.SHARDS_PER_SPLIT} AS VARCHAR) END AS shard FROM ps, mm, nt WHERE split <> 'train' OR rank < member)"
+)
+
+
+@query(
+    f"WITH {EVENTS}, {SPLITS}, {_MEMBERS_OF}, {_SHARDED} SELECT member, shard, subject_id, count(*) AS n_rows, count(time) AS n_timed, count(DISTINCT code) AS n_codes, "
+    "min(numeric_value) AS least, max(numeric_value) AS most FROM mq JOIN ev USING (subject_id) GROUP BY ALL"
+)
+def catalog_rows(spark, sf_dir):
+    """The rows of a family that was built at a URI, read by its record."""
+    rows = _of_members(spark, sf_dir, _catalog(spark, sf_dir).events)
+    return rows.groupBy("member", "shard", "subject_id").agg(
+        F.count("*").alias("n_rows"), F.count("time").alias("n_timed"), F.countDistinct("code").alias("n_codes"), F.min("numeric_value").alias("least"), F.max("numeric_value").alias("most")
+    )
+
+
+@query(
+    f"WITH {EVENTS}, {SPLITS}, {_CR}, {_SD}, {_MEMBERS_OF}, {_SHARDED}, mt AS (SELECT member, split, 'sha256:' || sha256({_framed(_ID)} || {_framed('digest')}) AS t FROM mp JOIN sd USING (subject_id)), "
+    f"mc AS (SELECT member, split, {_fold('t', 't')} AS content_id FROM mt GROUP BY member, split), mr AS (SELECT * FROM mq JOIN ev USING (subject_id)), "
+    f"mn AS (SELECT member, split, {_COUNTS}, count(DISTINCT shard) AS n_shards FROM mr GROUP BY member, split) SELECT * FROM mn JOIN mc USING (member, split)"
+)
+def catalog_report(spark, sf_dir):
+    return _catalog(spark, sf_dir).report().drop("n_bytes")
+
+
+@query(f"WITH {SPLITS}, {LABELS}, {_MEMBERS_OF}, {_SHARDED} SELECT member, shard, subject_id, prediction_time, boolean_value FROM mq JOIN lb USING (subject_id)")
+def catalog_labels(spark, sf_dir):
+    return _of_members(spark, sf_dir, _catalog(spark, sf_dir).labels)
+
+
+@query(f"WITH {EVENTS}, {SPLITS}, {CODES}, {_MEMBERS_OF} SELECT DISTINCT member, code, description FROM cd JOIN (SELECT DISTINCT member, code FROM mp JOIN ev USING (subject_id)) USING (code)")
+def catalog_codes(spark, sf_dir):
+    return _of_members(spark, sf_dir, _catalog(spark, sf_dir).codes)
+
+
+_VALUES = "count(DISTINCT time) AS n_events, count(time) AS n_measurements, CAST(sum(CASE WHEN time IS NOT NULL THEN length(code) ELSE 0 END) AS BIGINT) AS codes, max(CASE WHEN time IS NOT NULL THEN numeric_value END) AS most"
+
+
+def _values(rows: DataFrame, *names: str) -> DataFrame:
+    """What a subject's tensors hold: events, measurements, the sum of codes and the greatest value."""
+    flat = F.flatten("code")
+    return rows.select(
+        *names, F.size("time_delta_days").cast("long").alias("n_events"), F.size(flat).cast("long").alias("n_measurements"),
+        F.aggregate(flat, F.lit(0).cast("long"), lambda a, x: a + x).alias("codes"), F.array_max(F.flatten("numeric_value")).alias("most"),
+    )
+
+
+_PLACED = f"pl AS (SELECT subject_id, split || '/' || CAST(subject_id % {views.SHARDS_PER_SPLIT} AS VARCHAR) AS shard FROM sp)"
+
+
+@query(
+    f"WITH {EVENTS}, {SPLITS}, {_PLACED}, vs AS (SELECT subject_id, {_VALUES} FROM ev GROUP BY subject_id) "
+    "SELECT subject_id, shard, CAST(row_number() OVER (PARTITION BY shard ORDER BY subject_id) - 1 AS BIGINT) AS row_index, n_events, n_measurements, codes, most FROM pl JOIN vs USING (subject_id)"
+)
+def tensor_files(spark, sf_dir):
+    """Every subject's place in a cohort's files, and what its tensors hold there."""
+    cohort = TensorCohort(spark, views.tensors(spark, sf_dir))
+    return _values(cohort.locations().join(cohort.tensors(), ["shard", "row_index"]), "subject_id", "shard", "row_index")
+
+
+@query(
+    f"WITH {EVENTS}, {SPLITS}, {_PLACED}, fr AS (SELECT ev.*, split, shard FROM ev JOIN sp USING (subject_id) JOIN pl USING (subject_id)), {CODES}, "
+    f"rp AS (SELECT split, {_COUNTS.rsplit(',', 1)[0]}, count(DISTINCT shard) AS n_shards FROM fr GROUP BY split), nc AS (SELECT count(*) AS n_codes_observed FROM cd) "
+    f"SELECT * FROM rp, nc UNION ALL BY NAME SELECT '__total__' AS split, {_SUMS}, CAST(sum(n_shards) AS BIGINT) AS n_shards, (SELECT n_codes_observed FROM nc) AS n_codes_observed FROM rp"
+)
+def tensor_file_sizes(spark, sf_dir):
+    """The report of a tensor cohort, from its schemas and its tensors' headers."""
+    report = reports.size_of(spark, views.tensors(spark, sf_dir)).drop("source", "kind", "n_bytes", "observed_code_set_id")
+    return report.withColumnsRenamed({"n_dynamic_measurements": "n_dynamic", "n_static_measurements": "n_static"})
+
+
+@query(f"WITH {EVENTS}, {SPLITS}, {_MEMBERS_OF}, {_SHARDED}, vs AS (SELECT subject_id, {_VALUES} FROM ev GROUP BY subject_id) SELECT member, shard, subject_id, n_events, n_measurements, codes, most FROM mq JOIN vs USING (subject_id)")
+def tensor_family(spark, sf_dir):
+    """What the tensors of a built family's members hold, read from their files."""
+    parent, config = views.tensors(spark, sf_dir), _config(spark, sf_dir, code_metadata="copy")
+    out = views.once(spark, sf_dir, "tensor-family", lambda to: build_tensorized_family(spark, parent, to, config))
+
+    def read(n: int) -> DataFrame:
+        own = TensorCohort(spark, out / config.subset_name(n))
+        return _values(own.locations().join(own.tensors(), ["shard", "row_index"]), "subject_id", "shard")
+
+    return _of_members(spark, sf_dir, read)
+
+
+def _resamples(spark, sf_dir) -> Path:
+    root = views.folder(spark, sf_dir)
+    return views.once(spark, sf_dir, "resamples", lambda to: build_resamples(spark, root, to, ResampleConfig(2, DRAWS, salt=SALT), root / "labels/orders")) / "resamples"
+
+
 @query(f"{_SEL}, {_DRAW} SELECT replicate, count(*) AS n_draws, count(DISTINCT subject_id) AS n_distinct, {_fold(_ID, 'subject_id')} AS subject_multiset_id FROM dr WHERE replicate < 2 GROUP BY replicate")
 def resample_report(spark, sf_dir):
     """What the manifests of built resamples say."""
-    with tempfile.TemporaryDirectory(prefix="kohorta-resamples-") as out:
-        made = build_resamples(spark, views.folder(spark, sf_dir), out, ResampleConfig(2, DRAWS, salt=SALT))
-    rows = [(r["replicate"], r["n_draws"], r["n_distinct"], r["subject_multiset_id"]) for r in made["resamples"].values()]
+    made = json.loads((_resamples(spark, sf_dir) / FAMILY).read_text())["resamples"]
+    rows = [(r["replicate"], r["n_draws"], r["n_distinct"], r["subject_multiset_id"]) for r in made.values()]
     return spark.createDataFrame(rows, "replicate long, n_draws long, n_distinct long, subject_multiset_id string")
 
 
+@query(f"WITH {SPLITS}, {_TRAIN}, {LABELS}, {_DRAW} SELECT replicate, lb.subject_id, prediction_time, boolean_value FROM dr JOIN lb ON dr.subject_id = lb.subject_id WHERE replicate < 2")
+def resample_labels(spark, sf_dir):
+    """The label rows of built resamples, read from their files."""
+    root = _resamples(spark, sf_dir)
+    rows = read_shards(spark, root, [p for p in shard_paths(root) if "labels" in p.parts])
+    return rows.select(F.regexp_extract("shard", "^boot_0*([0-9]+)/", 1).cast("long").alias("replicate"), "subject_id", "prediction_time", "boolean_value")
+
+
+@query(
+    f"WITH {SPLITS}, {_TRAIN}, {LABELS}, {_DRAW}, dl AS (SELECT replicate, 'sha256:' || sha256({_framed('c')}) AS d FROM (SELECT replicate, {_LROW.replace(_ID, 'CAST(lb.subject_id AS VARCHAR)')} AS c FROM dr JOIN lb ON dr.subject_id = lb.subject_id WHERE replicate < 2)) "
+    f"SELECT replicate, {_fold('d', 'd')} AS index_id FROM dl GROUP BY replicate"
+)
+def resample_label_ids(spark, sf_dir):
+    """The ids of the label rows in the manifests of built resamples."""
+    made = json.loads((_resamples(spark, sf_dir) / FAMILY).read_text())["resamples"]
+    return spark.createDataFrame([(r["replicate"], r["index_id"]) for r in made.values()], "replicate long, index_id string")
+
+
+@query(f"WITH {SPLITS} SELECT subject_id FROM sp")
+def excluded_subjects(spark, sf_dir):
+    """All subjects of a dataset folder's splits file, as a resample leaves them out."""
+    return read_excluded(spark, views.folder(spark, sf_dir))
+
+
+@query(f"WITH {SPLITS} SELECT subject_id, split FROM sp")
+def splits_of_shard_names(spark, sf_dir):
+    """Splits of a folder without a splits file: the first part of the shards' names."""
+    root = views.folder(spark, sf_dir)
+    return EventDataset(spark, views.once(spark, sf_dir, "bare", lambda to: (to / "data").symlink_to(root / "data"))).splits()
+
+
 _FILED = f"fr AS (SELECT ev.*, split, split || '/' || CAST(subject_id % {views.SHARDS_PER_SPLIT} AS VARCHAR) AS shard FROM ev JOIN sp USING (subject_id))"
 _CODESET = "'sha256:' || sha256(string_agg(CAST(strlen(code) AS VARCHAR) || ':' || code, '' ORDER BY code))"
 

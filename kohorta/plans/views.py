@@ -3,14 +3,21 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
 from pathlib import Path
+from urllib.parse import urlparse
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ranks import uniform_score
 from ..sources.dataset import CODES_FILE, SPLITS_FILE
-from ..sources.sinks import write_one_file, write_partitioned
+from ..sources.sinks import publish, write_one_file, write_partitioned
+from ..sources.tensors import DATA, EVENT_BOUNDS, MEASUREMENT_BOUNDS, SCHEMAS, SUFFIX, write_tensors
+from ..sources.uris import shared_folder
 
 SPLIT_SALT, SALT = "split", "kohorta"
 
@@ -48,24 +55,71 @@ def codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.unionByName(extra).withColumn("description", F.concat(F.lit("about "), "code"))
 
 
-_folders: dict[str, tempfile.TemporaryDirectory] = {}
+_kept: dict[tuple[str, str], Path] = {}
+_folders: list[tempfile.TemporaryDirectory] = []
 SHARDS_PER_SPLIT = 3
 
 
+def once(spark: SparkSession, sf_dir: str, name: str, write: Callable[[Path], object]) -> Path:
+    """A folder that ``write`` has filled, in the folder that all machines share; made once a process, gone with it."""
+    if (sf_dir, name) not in _kept:
+        shared = urlparse(shared_folder(spark))
+        if shared.scheme != "file":
+            raise ValueError(f"dataset folders with links need a mounted file system; spark.checkpoint.dir is {shared.geturl()}")
+        Path(shared.path).mkdir(parents=True, exist_ok=True)
+        made = tempfile.TemporaryDirectory(prefix=f"kohorta-{name}-", dir=shared.path, ignore_cleanup_errors=True)
+        write(Path(made.name))
+        _folders.append(made)
+        _kept[sf_dir, name] = Path(made.name)
+    return _kept[sf_dir, name]
+
+
+def filed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of listed subjects with the shard that a dataset folder has them in."""
+    return events(spark, sf_dir).join(splits(spark, sf_dir), "subject_id").withColumn("shard", F.concat("split", F.lit("/"), F.pmod("subject_id", F.lit(SHARDS_PER_SPLIT)).cast("string")))
+
+
 def folder(spark: SparkSession, sf_dir: str) -> Path:
-    """The view of listed subjects as a dataset folder, and its labels under ``labels/orders``; written once a process, gone with it."""
-    if sf_dir not in _folders:
-        made = tempfile.TemporaryDirectory(prefix="kohorta-view-")
-        root = Path(made.name)
-        rows = events(spark, sf_dir).join(splits(spark, sf_dir), "subject_id").withColumn("shard", F.concat("split", F.lit("/"), F.pmod("subject_id", F.lit(SHARDS_PER_SPLIT)).cast("string")))
+    """The view of listed subjects as a dataset folder, and its labels under ``labels/orders``."""
+
+    def write(root: Path) -> None:
+        rows = filed(spark, sf_dir)
         keys = [r["shard"] for r in rows.select("shard").distinct().collect()]
         order = [F.col("subject_id"), F.col("time").asc_nulls_first()]
         write_partitioned(rows, "shard", keys, lambda k: root / "data" / f"{k}.parquet", root, ["subject_id", "time", "code", "numeric_value"], order)
         write_one_file(splits(spark, sf_dir), root / SPLITS_FILE)
         write_one_file(codes(spark, sf_dir), root / CODES_FILE)
         write_one_file(labels(spark, sf_dir).select("subject_id", "prediction_time", "boolean_value"), root / "labels/orders/0.parquet")
-        _folders[sf_dir] = made
-    return Path(_folders[sf_dir].name)
+
+    return once(spark, sf_dir, "view", write)
+
+
+def tensors(spark: SparkSession, sf_dir: str) -> Path:
+    """The view as a tensor cohort: a code's number is its length; subjects lie by id, events by time, measurements by code and value."""
+
+    def write(root: Path) -> None:
+        rows = filed(spark, sf_dir).select("shard", "subject_id", "time", F.length("code").cast("long").alias("code"), "numeric_value")
+
+        def shard(key, table: pa.Table) -> pa.Table:
+            frame = table.to_pandas().sort_values(["subject_id", "time", "code", "numeric_value"], na_position="first")
+            ids = np.unique(frame["subject_id"].to_numpy())
+            static, timed = frame[frame["time"].isna()], frame[frame["time"].notna()]
+            statics = static.groupby("subject_id")["code"].agg(list).reindex(ids)
+            each = timed.groupby(["subject_id", "time"]).size()
+            events_of = each.groupby("subject_id").size().reindex(ids, fill_value=0)
+            made = {
+                EVENT_BOUNDS: events_of.to_numpy().cumsum().astype("<i8"), "dim1/time_delta_days": np.ones(len(each), "<f4"), MEASUREMENT_BOUNDS: each.to_numpy().cumsum().astype("<i8"),
+                "dim2/code": timed["code"].to_numpy().astype("<i8"), "dim2/numeric_value": timed["numeric_value"].to_numpy().astype("<f4"),
+            }
+            schema = pa.table({"subject_id": pa.array(ids), "static_code": pa.array([x if isinstance(x, list) else None for x in statics], pa.list_(pa.uint8()))})
+            publish(lambda aside: write_tensors(aside, made), root / DATA / f"{key[0].as_py()}{SUFFIX}")
+            publish(lambda aside: pq.write_table(schema, aside, row_group_size=100), root / SCHEMAS / f"{key[0].as_py()}.parquet")
+            return table.select(["shard"]).slice(0, 1)
+
+        rows.groupBy("shard").applyInArrow(lambda k, t: shard(k, t), "shard string").count()
+        write_one_file(codes(spark, sf_dir), root / CODES_FILE)
+
+    return once(spark, sf_dir, "tensors", write)
 
 
 # The same in DuckDB's SQL.
