@@ -8,17 +8,23 @@ import sys
 from pathlib import Path
 
 from .config import CODE_POLICIES, LINKS, SPLIT_POLICIES, ResampleConfig, SubsetConfig, load_mapping
+from .sources.uris import as_uri, is_uri
 
 UNSET = argparse.SUPPRESS  # a flag that is not given leaves the file's or the default's value
 
 
+def _place(text: str) -> str | Path:
+    """A URI as it is, or a path."""
+    return text if is_uri(text) else Path(text)
+
+
 def _parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="kohorta")
     verbs = top.add_subparsers(dest="verb", required=True)
 
     subset = verbs.add_parser("subset", help="build nested subsets of an event or tensor cohort")
-    subset.add_argument("parent", type=Path)
-    subset.add_argument("output", type=Path)
+    subset.add_argument("parent", type=_place, help="a folder, or, for an output at a URI, a folder or a URI")
+    subset.add_argument("output", type=_place, help="a folder for members with links, or a URI of any file system for a family as tables")
     subset.add_argument("--kind", choices=("auto", "meds", "tensorized"), default="auto")
     subset.add_argument("-n", "--n-subjects", type=int, nargs="+", default=UNSET)
     subset.add_argument("--n-subjects-per-shard", type=int, default=UNSET)
@@ -26,7 +32,7 @@ def _parser() -> argparse.ArgumentParser:
         subset.add_argument(f"--{name}", choices=values, default=UNSET)
     for name in ("salt", "train-split", "name-template"):
         subset.add_argument(f"--{name}", default=UNSET)
-    subset.add_argument("--index-dir", type=Path, help="label files, which members get their rows of")
+    subset.add_argument("--index-dir", type=_place, help="label files, which members get their rows of")
     subset.add_argument("--task-name", help="folder of the members' labels (default: the name of --index-dir)")
     subset.add_argument("--force", "--overwrite", dest="force", action="store_true", help="discard what was built from another parent")
 
@@ -70,6 +76,10 @@ def _subset(spark, args: dict, settings: dict) -> str:
 
     parent, output, kind, force, labels, task, as_json = (args.pop(k) for k in ("parent", "output", "kind", "force", "index_dir", "task_name", "json"))
     config = SubsetConfig.from_dict(settings | args)
+    if is_uri(output):
+        return _catalog(spark, parent, output, config, kind, force, labels, task, as_json)
+    if is_uri(parent) or (labels is not None and is_uri(labels)):
+        raise ValueError(f"a parent or labels at a URI need an output at a URI; got {output}")
     if kind == "tensorized" or (kind == "auto" and is_tensorized(parent)):
         if labels is not None or task is not None:
             raise ValueError("a tensor cohort has no label files")
@@ -79,6 +89,20 @@ def _subset(spark, args: dict, settings: dict) -> str:
     return json.dumps(made, indent=2, sort_keys=True) if as_json else reports.family_text(made, output)
 
 
+def _catalog(spark, parent, output: str, config: SubsetConfig, kind: str, force: bool, labels, task: str | None, as_json: bool) -> str:
+    """A family as tables at a URI."""
+    from . import reports
+    from .catalog import Catalog
+    from .sources.uris import UriDataset, read_rows
+
+    if kind == "tensorized" or task is not None:
+        raise ValueError("a family at a URI is one of event cohorts, and its labels have no task name")
+    own = Catalog(spark, output)
+    made = own.build(UriDataset(spark, as_uri(parent)), config, force, None if labels is None else read_rows(spark, as_uri(labels)))
+    report = [r.asDict() for r in own.report().orderBy("member", "split").collect()]  # a row a member and split
+    return json.dumps(made | {"sizes": report}, indent=2, sort_keys=True) if as_json else reports.catalog_text(made, report, output)
+
+
 def _resample(spark, args: dict, settings: dict) -> str:
     from . import build, reports
     from .sources.dataset import read_excluded

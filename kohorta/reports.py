@@ -132,6 +132,13 @@ def family_text(made: dict, output: str | Path) -> str:
     return "\n".join(lines)
 
 
+def catalog_text(made: dict, report: list[dict], output: str) -> str:
+    """What a build at a URI made, in a few lines."""
+    lines = [f"Built members of {', '.join(map(str, made['config']['n_subjects']))} subjects from {made['parent']['path']} into {output}"]
+    lines += [f"  {r['member']} {r['split']}  n_subjects={r['n_subjects']}  n_measurements={r['n_measurements']}  shards={r['n_shards']}  content_id={(r['content_id'] or '').removeprefix(PREFIX)[:16]}" for r in report]
+    return "\n".join(lines)
+
+
 def resamples_text(made: dict, output: str | Path) -> str:
     lines = [f"Drew {len(made['resamples'])} resamples from {made['pool_size']} subjects of {made['parent']} ({made['n_excluded']} excluded) into {output}"]
     lines += [f"  {name}  n_draws={r['n_draws']}  n_distinct={r['n_distinct']}  multiset={r['subject_multiset_id'].removeprefix(PREFIX)[:16]}" for name, r in made["resamples"].items()]

@@ -10,6 +10,7 @@ import re
 import tempfile
 import uuid
 from functools import cached_property
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +24,15 @@ def is_uri(path: object) -> bool:
     return re.match(r"[a-zA-Z][a-zA-Z0-9+.-]*://", str(path)) is not None
 
 
+def as_uri(path: str | Path) -> str:
+    return str(path) if is_uri(path) else f"file://{Path(path).absolute()}"  # not escaped: Hadoop's paths are plain text
+
+
+def read_rows(spark: SparkSession, uri: str) -> DataFrame:
+    """The rows of all Parquet files below a URI, at the union of their columns."""
+    return spark.read.option("mergeSchema", True).option("recursiveFileLookup", True).parquet(literal(uri))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir, which all machines see; in local mode without that setting a new one of this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -107,7 +117,7 @@ class UriDataset:
     @cached_property
     def schema(self) -> T.StructType:
         try:
-            return self.spark.read.option("mergeSchema", True).option("recursiveFileLookup", True).parquet(literal(f"{self.root}/data")).schema
+            return read_rows(self.spark, f"{self.root}/data").schema
         except Exception as e:
             if "UNABLE_TO_INFER_SCHEMA" in str(e):
                 raise NotADatasetError(f"{self.root} has no shards under data/") from None

@@ -19,7 +19,7 @@ from kohorta.operators import digests, selection
 from kohorta.plans import views
 from kohorta.sources.dataset import SIZED, EventDataset, NotADatasetError, read_labels, read_shards, shard_name, shard_paths
 from kohorta.sources.sinks import ShardStore, is_placed, place, write_one_file
-from kohorta.sources.tensors import TensorCohort, read_tensors, sliced, tensor_header, tensor_length, write_tensors
+from kohorta.sources.tensors import Slice, TensorCohort, ragged_batches, read_tensors, sliced, tensor_header, tensor_length, write_slices, write_tensors
 from kohorta.stage import subset_subjects
 from kohorta.tensorized import build_tensorized_family
 
@@ -368,6 +368,34 @@ def test_tensor_families(spark, tmp_path):
     assert 21 in subject_tensors(tmp_path / "out" / build_tensorized_family(spark, root, tmp_path / "out", config, overwrite=True)["members"]["N0000002"]["name"])
 
 
+def test_slices_copy_ranges_in_bounded_steps(spark, tmp_path, monkeypatch):
+    root = tensor_cohort(tmp_path / "cohort", SHARDS)
+    sources = [(read_tensors(root / "data" / f"{s}.nrt"), np.array(rows)) for s, rows in (("train/1", [0, 1, 3]), ("train/0", [2]), ("tuning/0", []), ("held/out/0", [0]))]
+    monkeypatch.setattr(Slice, "STEP", 16)  # two values
+    sizes = [len(p) for t, rows in sources for p in Slice(t, rows).parts("dim2/code", 0)]
+    assert max(sizes) == 2 and len(sizes) > 10
+    write_slices(tmp_path / "x.nrt", [Slice(t, rows) for t, rows in sources])
+    got, whole = read_tensors(tmp_path / "x.nrt"), subject_tensors(root)
+    b1, b2 = np.r_[0, got["dim1/bounds"]], np.r_[0, got["dim2/bounds"]]
+    rows = [[(float(got["dim1/time_delta_days"][e]), got["dim2/code"][b2[e] : b2[e + 1]].tolist()) for e in range(b1[i], b1[i + 1])] for i in range(len(b1) - 1)]
+    assert rows == [whole[s] for s in (5, 2, 4, 11, 30)]
+    with pytest.raises(ValueError, match="differ in names or types"):
+        write_slices(tmp_path / "y.nrt", [Slice(t, r) for t, r in sources[:1]] + [Slice({n: v for n, v in sources[1][0].items() if n != "dim2/code"}, np.array([0]))])
+
+
+def test_tensors_are_rows_of_ragged_arrays(spark, tmp_path):
+    root = tensor_cohort(tmp_path / "cohort", SHARDS)
+    cohort, whole = TensorCohort(spark, root), subject_tensors(root)
+    rows = cohort.locations().join(cohort.tensors(), ["shard", "row_index"]).collect()
+    assert {r.subject_id: list(zip(r.time_delta_days, r.code, strict=True)) for r in rows} == whole
+    assert {r.subject_id: r.numeric_value for r in rows} == {s: [[float(x) for x in codes] for _, codes in v] for s, v in whole.items()}
+    path = root / "data" / "train/1.nrt"
+    types = {"dim1/time_delta_days": "float", "dim2/code": "bigint"}
+    small = [b.num_rows for b in ragged_batches(path, types, limit=4)]
+    assert small == [1, 1, 1, 1]
+    assert [r for b in ragged_batches(path, types, limit=4) for r in b.to_pylist()] == next(ragged_batches(path, types)).to_pylist()
+
+
 def test_damaged_tensor_cohorts_are_refused(spark, tmp_path):
     root = tensor_cohort(tmp_path / "a", {"train/0": [1, 2]})
     path = root / "tokenization/schemas/train/0.parquet"

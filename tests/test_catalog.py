@@ -148,3 +148,19 @@ def test_datasets_at_uris(spark, parent, tmp_path):
         UriDataset(spark, uri(tmp_path / "nowhere"))
     assert is_uri("hdfs://h/x") and is_uri("file:///x") and not is_uri("/x") and not is_uri("a/b")
     assert json.loads(json.dumps({"fingerprint": own.fingerprint()}))["fingerprint"] == own.fingerprint()
+
+
+def test_command_line_at_uris(spark, parent, sf_dir, tmp_path, capsys):
+    from kohorta.cli import main
+
+    out, flags = uri(tmp_path / "out"), ["-n", "20", "40", "--n-subjects-per-shard", "20"]
+    views.labels(spark, sf_dir).drop("label_id").write.parquet(f"{tmp_path}/labels")
+    assert main(["subset", str(parent), out, *flags, "--index-dir", f"{tmp_path}/labels"], spark) == 0
+    shown = capsys.readouterr().out
+    assert "members of 20, 40 subjects" in shown and "40 train  n_subjects=40" in shown
+    assert Catalog(spark, out).labels(40).count() > Catalog(spark, out).labels(20).count() > 0
+    assert main(["subset", str(parent), out, *flags, "--json"], spark) == 0
+    assert json.loads(capsys.readouterr().out)["config"]["n_subjects"] == [20, 40]
+    for bad in (["--task-name", "t"], ["--kind", "tensorized"]):
+        assert main(["subset", str(parent), out, *flags, *bad], spark) == 3
+    assert main(["subset", out, str(tmp_path / "x"), *flags], spark) == 3 and "need an output at a URI" in capsys.readouterr().err
