@@ -11,8 +11,9 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .cache import cached_subjects
 from .config import ResampleConfig, SubsetConfig
-from .functions.framing import PREFIX, combined_ids, folded, text_digest
+from .functions.framing import PREFIX, by_digest, combined_ids, folded, text_digest
 from .functions.ranks import shard_key
 from .operators import digests, resampling, selection, sizes
 from .sources.dataset import CODES_FILE, DATASET_FILE, SPLITS_FILE, EventDataset, bytes_below, literal, read_labels, read_shards, shard_paths
@@ -98,7 +99,6 @@ def check_record(output: Path, store: ShardStore, parent: dict, overwrite: bool)
     if moved:
         log.warning("%s: another parent; the stored shards are discarded", output)
         store.discard()
-        shutil.rmtree(output / CACHE, ignore_errors=True)
         record.unlink(missing_ok=True)
     store.own(parent)
 
@@ -149,18 +149,8 @@ class Family:
         return made.unionByName(passed)
 
     def subjects(self) -> DataFrame:
-        """(subject_id, digest, events, measurements, statics, codes) of every subject with rows: one pass over the parent, kept for its fingerprint."""
-        path = self.output / CACHE / f"subjects-{self.parent['fingerprint'].removeprefix(PREFIX)[:16]}"
-        if not (path / "_SUCCESS").is_file():
-            events = self.dataset.events().drop("shard")
-            rows = events.select("subject_id", *[F.col(c) for c in ("time", "code")], digests.canonical_row(events.schema).alias("canonical"))
-            timed = F.col("time").isNotNull()
-            each = rows.groupBy("subject_id").agg(
-                digests.digest(F.sort_array(F.collect_list("canonical"))).alias("digest"), F.countDistinct("time").alias("events"),
-                F.count("*").alias("measurements"), F.sum((~timed).cast("long")).alias("statics"), F.collect_set("code").alias("codes"),
-            )
-            each.write.mode("overwrite").parquet(str(path))
-        return self.spark.read.parquet(literal(path))
+        """(subject_id, digest, events, measurements, statics, codes) of every subject with rows, kept by the parent's files."""
+        return cached_subjects(self.dataset, self.output / CACHE)
 
 
 def build_family(
@@ -217,7 +207,7 @@ def _members(family: Family, plan: DataFrame, placed: list) -> dict[int, dict]:
     whole = codes.select("member", "code").distinct().groupBy("member").agg(F.count("*").alias("n"), digests.digest(F.sort_array(F.collect_list("code"))).alias("id"))
     of_member = {r["member"]: (r["n"], r["id"]) for r in whole.collect()}
     listed = each.select("member", "split").distinct().collect()  # members times splits
-    sets = {r["group"]: r["digest"] for r in folded(each.select("member", "subject_id").distinct(), F.col("member"), F.col("subject_id").cast("string"), F.col("subject_id")).collect()}
+    sets = {r["group"]: r["digest"] for r in digests.subject_set_digests(each.select("member", "subject_id").distinct(), "member").collect()}
     codes_ids: dict[str, str] = {}
     out = {}
     for n in config.n_subjects:
@@ -352,7 +342,7 @@ def build_resamples(spark: SparkSession, parent: str | Path, output: str | Path,
             write_partitioned(repeated, "target", targets, lambda t: root / f"{t}.parquet", root, columns, [F.col("draw_index"), F.col("_row")])
             index_ids = _index_ids(spark, root, [root / f"{t}.parquet" for t in targets])
         stats = {r["replicate"]: r for r in resampling.replicate_stats(draws).collect()}
-        by_name = lambda rows: {r["group"]: r["digest"] for r in folded(rows, F.col("name"), F.col("subject_id").cast("string"), F.col("subject_id")).collect()}
+        by_name = lambda rows: {r["group"]: r["digest"] for r in digests.subject_set_digests(rows, "name").collect()}
         multisets, sets = by_name(draws.select("name", "subject_id")), by_name(draws.select("name", "subject_id").distinct())
     finally:
         draws.unpersist()
@@ -374,7 +364,7 @@ def _index_ids(spark: SparkSession, root: Path, paths: list[Path]) -> dict[str,
     rows = read_shards(spark, root, paths)
     name = F.split_part("shard", F.lit("/labels/"), F.lit(1)).alias("name")
     each = rows.select(name, digests.digest(F.array(digests.canonical_row(rows.drop("shard").schema))).alias("digest"))
-    return {r["group"]: r["digest"] for r in folded(each, F.col("name"), F.col("digest")).collect()}
+    return {r["group"]: r["digest"] for r in folded(each, F.col("name"), F.col("digest"), part=by_digest(F.col("digest"))).collect()}
 
 
 def _prune_resamples(root: Path, names: list[str]) -> None:

@@ -28,7 +28,6 @@ from pyspark.sql import types as T
 
 from .build import check_splits, computed_plan, require_pool
 from .config import SubsetConfig
-from .functions.framing import digest
 from .operators import digests, selection, sizes
 from .sources.dataset import NotADatasetError, literal
 from .sources.sinks import ROW_GROUP
@@ -115,13 +114,7 @@ class Catalog:
 
     def subjects(self) -> DataFrame:
         """(stored, subject_id, digest, events, measurements, statics, codes), counted from the written rows."""
-        rows = self._rows("data")
-        own = rows.drop("stored")
-        keyed = rows.select("stored", "subject_id", "time", "code", digests.canonical_row(own.schema).alias("canonical"))
-        return keyed.groupBy("stored", "subject_id").agg(
-            digest(F.sort_array(F.collect_list("canonical"))).alias("digest"), F.countDistinct("time").alias("events"), F.count("*").alias("measurements"),
-            F.sum(F.col("time").isNull().cast("long")).alias("statics"), F.collect_set("code").alias("codes"),
-        )
+        return digests.subject_table(self._rows("data"), "stored")
 
     def report(self) -> DataFrame:
         """One row a member and split: counts, content id, files and bytes, all read from the files that count."""

@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 from hashlib import sha256
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 # Fixed values of the digest format.
 PREFIX, SEPARATOR, NULL_FRAME = "sha256:", "\x1f", "-1:"
@@ -83,41 +85,122 @@ def _frames(values: pa.Array) -> pa.Array:
     return pc.binary_join_element_wise(size, data, pa.scalar(b":", pa.large_binary()))
 
 
-def _fold(batches: Iterator[pa.RecordBatch], into: str) -> Iterator[pa.RecordBatch]:
-    """(group, digest) of rows (group, value) that come group by group in order; holds one batch."""
-    now, made = None, sha256()
-    done: list[tuple[str, str]] = []
+def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, memoryview]]:
+    """(key, frames end to end) of each stretch of rows with equal keys (the first columns) in a batch; the next column has the texts."""
     for batch in batches:
-        if not batch.num_rows:
+        n = batch.num_rows
+        if not n:
             continue
-        groups, frames = batch.column(0), _frames(batch.column(1))
-        changes = pc.indices_nonzero(pc.not_equal(groups[1:], groups[:-1])).to_pylist() if batch.num_rows > 1 else []
-        for first, end in zip([0, *(i + 1 for i in changes)], [*(i + 1 for i in changes), batch.num_rows]):
-            group = groups[first].as_py()
-            if now is not None and group != now:
-                done.append((now, PREFIX + made.hexdigest()))
-                made = sha256()
-            now = group
-            made.update(b"".join(frames[first:end].to_pylist()))
-    if now is not None:
-        done.append((now, PREFIX + made.hexdigest()))
-    yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in done], pa.string()), pa.array([d for _, d in done], pa.string())], ["group", into])
-
-
-def folded(rows: DataFrame, group: Column, value: Column, order: Column | None = None, into: str = "digest") -> DataFrame:
-    """(group, ``into``): the digest of each group's texts in the order of ``order``, or of the texts themselves.
+        new = np.zeros(n, dtype=bool)
+        new[0] = True
+        for column in batch.columns[:keys]:
+            code = column.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+            new[1:] |= code[1:] != code[:-1]
+        frames = _frames(batch.column(keys))
+        _, ends, data = frames.buffers()
+        edges = np.frombuffer(ends, dtype=np.int64)[frames.offset : frames.offset + n + 1]
+        starts = np.flatnonzero(new).tolist()
+        view = memoryview(data) if data is not None else memoryview(b"")
+        for first, end in zip(starts, [*starts[1:], n], strict=True):
+            yield tuple(c[first].as_py() for c in batch.columns[:keys]), view[edges[first] : edges[end]]
+
+
+#: Digests that a task gives back at a time; bytes of frames in a block.
+ROWS_OUT, BLOCK = 1 << 14, 1 << 20
+
+
+def _fold(batches: Iterator[pa.RecordBatch], into: str, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+    """(group, digest) of rows (group, text) that come group by group in order; holds one batch."""
+    now, made, began = None, sha256(), False
+    groups: list = []
+    done: list[str] = []
+
+    def out() -> pa.RecordBatch:
+        rows = pa.RecordBatch.from_arrays([pa.array(groups, kind), pa.array(done, pa.string())], ["group", into])
+        groups.clear()
+        done.clear()
+        return rows
+
+    for (group,), frames in _runs(batches, 1):
+        if began and group != now:
+            groups.append(now)
+            done.append(PREFIX + made.hexdigest())
+            made = sha256()
+            if len(done) >= ROWS_OUT:
+                yield out()
+        now, began = group, True
+        made.update(frames)
+    if began:
+        groups.append(now)
+        done.append(PREFIX + made.hexdigest())
+    yield out()
+
+
+def _pack(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    """(group, part, place, block) of rows (group, part, text) in order: the texts' frames in blocks of about ``limit`` bytes."""
+    now, place, size = None, 0, 0
+    held: list[bytes] = []
+
+    def block() -> pa.RecordBatch:
+        columns = [pa.array([now[0]], pa.string()), pa.array([now[1]], pa.int32()), pa.array([place], pa.int32()), pa.array([b"".join(held)], pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, ["group", "part", "place", "block"])
+
+    for key, frames in _runs(batches, 2):
+        if held and (key != now or size >= limit):
+            yield block()
+            place, size = (place + 1, 0) if key == now else (0, 0)
+            held.clear()
+        now = key
+        held.append(bytes(frames))
+        size += len(frames)
+    if held:
+        yield block()
+
+
+def _fold_blocks(batches: Iterator[pa.RecordBatch], into: str) -> Iterator[pa.RecordBatch]:
+    """(group, digest) of rows (group, block) that come group by group in order; holds one batch of blocks."""
+    digests: dict[str | None, object] = {}
+    for batch in batches:
+        for group, block in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            digests.setdefault(group, sha256()).update(block.as_buffer())
+    yield pa.RecordBatch.from_arrays([pa.array(list(digests), pa.string()), pa.array([PREFIX + d.hexdigest() for d in digests.values()], pa.string())], ["group", into])
 
-    SHA-256 reads one text after the other, so a group is one task's; that task streams rows sorted with spilling and
-    holds one batch, whatever the group's size.
-    """
-    keyed = rows.select(group.cast("string").alias("group"), value.alias("value"), (value if order is None else order).alias("order"))
-    ready = keyed.repartition("group").sortWithinPartitions("group", "order").select("group", "value")
-    return ready.mapInArrow(lambda it: _fold(it, into), f"group string, {into} string")
+
+def by_digest(value: Column) -> Column:
+    """The range, of 256, that a digest lies in: its first two digits."""
+    return F.conv(F.substring(value, len(PREFIX) + 1, 2), 16, 10).cast("int")
 
 
-def folded_whole(rows: DataFrame, value: Column, order: Column | None = None, into: str = "digest") -> DataFrame:
+def folded(rows: DataFrame, group: Column, value: Column, order: Column | None = None, into: str = "digest", part: Column | None = None) -> DataFrame:
+    """(group, ``into``): the digest of each group's texts in the order of ``order``, or of the texts themselves.
+
+    SHA-256 reads one text after the other, so a group is one task's.  ``part`` numbers ranges of ``order``, in its order:
+    each range is then sorted and framed by itself, and the group's task gets blocks of a megabyte, orders those and streams
+    them.  Without it the group's task sorts all its rows, with spilling, and holds one batch: for small groups.
+    """
+    keyed = rows.select(
+        group.cast("string").alias("group"), (F.lit(0) if part is None else part).cast("int").alias("part"), value.alias("value"), (value if order is None else order).alias("order")
+    )
+    if part is None:
+        ready = keyed.repartition("group").sortWithinPartitions("group", "order").select("group", "value")
+        return ready.mapInArrow(lambda it: _fold(it, into, pa.string()), f"group string, {into} string")
+    ranged = keyed.repartition("group", "part").sortWithinPartitions("group", "part", "order").select("group", "part", "value")
+    blocks = ranged.mapInArrow(lambda it: _pack(it, BLOCK), "group string, part int, place int, block binary")
+    ready = blocks.repartition("group").sortWithinPartitions("group", "part", "place").select("group", "block")
+    return ready.mapInArrow(lambda it: _fold_blocks(it, into), f"group string, {into} string")
+
+
+def folded_by(rows: DataFrame, group: str, value: str, into: str = "digest") -> DataFrame:
+    """(``group``, ``into``): the digest of each group's sorted texts, for many groups of any size; groups keep their type, a null is one."""
+    kind = rows.schema[group].dataType
+    ready = rows.select(F.col(group).alias("group"), F.col(value).alias("value")).repartition("group").sortWithinPartitions("group", "value")
+    made = ready.mapInArrow(lambda it: _fold(it, into, to_arrow_type(kind)), f"group {kind.simpleString()}, {into} string")
+    return made.select(F.col("group").alias(group), into)
+
+
+def folded_whole(rows: DataFrame, value: Column, order: Column | None = None, into: str = "digest", part: Column | None = None) -> DataFrame:
     """One row: the digest of all rows' texts; that of no text if there are none."""
-    made = folded(rows, F.lit(""), value, order, into).select(into)
+    made = folded(rows, F.lit(""), value, order, into, part).select(into)
     return made.agg(F.coalesce(F.max(into), F.lit(text_digest([]))).alias(into))
 
 

@@ -39,7 +39,7 @@ def write_text(path: Path, text: str) -> None:
     publish(lambda aside: aside.write_text(text, encoding="utf-8") and None, path)
 
 
-def write_json(path: Path, value: dict) -> None:
+def write_json(path: Path, value: dict | list) -> None:
     write_text(path, json.dumps(value, indent=2, sort_keys=True) + "\n")
 
 

@@ -1,24 +1,44 @@
-"""Incremental digests of appended subjects.
+"""Incremental digests of appended rows.
 
-The data model has no unbounded streams; this keeps a table of subject digests up to date while whole
-subjects are appended, so that a content id never needs the old rows again.
+The data model has no unbounded streams; this keeps subjects' digests up to date while rows are appended, a
+subject's over several micro-batches too:
+
+    _rows/batch=<n>/bucket=<b>/...   the batch's canonical rows
+    batch=<n>/...                    the digests of the batch's subjects, over their rows of this and earlier batches
+
+Only rows of a batch's own subjects are read again, from the buckets that they lie in.  A batch that is run again replaces
+what it wrote.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.digests import subject_digests
+from ..functions.framing import folded_by
+from ..operators.digests import canonical_rows
 
+BUCKETS = 64
 
-def keep_subject_digests(events: DataFrame, path: str, checkpoint: str, subject: str = "subject_id") -> StreamingQuery:
-    """A query that writes the digests of each micro-batch's subjects; a subject's rows must come in one batch.
 
-    Each batch writes its own folder, so that a batch that is run again replaces what it wrote.
-    """
+def keep_subject_digests(events: DataFrame, path: str, checkpoint: str, subject: str = "subject_id") -> StreamingQuery:
+    """A query that adds each micro-batch's rows and writes its subjects' digests; the stream's columns are the digests' columns."""
 
     def write(batch: DataFrame, number: int) -> None:
-        subject_digests(batch, subject).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        spark = batch.sparkSession
+        bucket = F.pmod(F.xxhash64(subject), F.lit(BUCKETS)).cast("int")
+        own = f"{path}/_rows/batch={number}"
+        canonical_rows(batch, subject).withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(own)
+        touched = spark.read.parquet(own).select(subject, "bucket").distinct()
+        rows = spark.read.parquet(f"{path}/_rows").where(F.col("batch") <= number)
+        used = [r["bucket"] for r in touched.select("bucket").distinct().collect()]  # ``BUCKETS`` at most
+        some = rows.where(F.col("bucket").isin(used)).join(touched, ["bucket", subject], "left_semi")
+        folded_by(some, subject, "canonical").write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def kept_digests(spark: SparkSession, path: str, subject: str = "subject_id") -> DataFrame:
+    """(subject, digest) as of the last batch that had rows of the subject."""
+    return spark.read.parquet(path).groupBy(subject).agg(F.max_by("digest", "batch").alias("digest"))

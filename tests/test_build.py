@@ -11,7 +11,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from kohorta import build, reports
+from kohorta import build, cache, reports
 from kohorta.build import build_family, build_resamples, fingerprint, label_fingerprint, salt_id
 from kohorta.cli import main
 from kohorta.config import ResampleConfig, SubsetConfig
@@ -177,6 +177,29 @@ def test_a_parent_that_changes_meanwhile_is_refused(spark, parent, tmp_path, mon
     assert made["content_ids"]["train"] == fingerprint(EventDataset(spark, out / "N0000030"))["train"]
 
 
+def test_of_many_files_only_the_changed_one_is_read_again(spark, parent, tmp_path, monkeypatch):
+    root, out = tmp_path / "parent", tmp_path / "cache"
+    rows = EventDataset(spark, parent).events().withColumn("shard", F.concat(F.split_part("shard", F.lit("/"), F.lit(1)), F.lit("/"), (F.col("subject_id") % 4).cast("string")))
+    shards = [r.shard for r in rows.select("shard").distinct().collect()]
+    for s in shards:
+        write_one_file(rows.where(F.col("shard") == s).drop("shard").repartition(1), root / "data" / f"{s}.parquet")
+    read = []
+    real = cache.read_shards
+    monkeypatch.setattr(cache, "read_shards", lambda spark, folder, paths, columns: read.append([shard_name(folder, p) for p in paths]) or real(spark, folder, paths, columns))
+    table = lambda: {r.subject_id: tuple(sorted(map(str, r))) for r in cache.cached_subjects(EventDataset(spark, root), out).withColumn("codes", F.sort_array("codes")).collect()}
+    plain = lambda: {r.subject_id: tuple(sorted(map(str, r))) for r in digests.subject_table(EventDataset(spark, root).events().drop("shard")).withColumn("codes", F.sort_array("codes")).collect()}
+    first = table()
+    assert first == plain() and sorted(read.pop()) == sorted(shards) and table() == first and not read
+    shifted(root / "data" / "train/1.parquet")
+    again = table()
+    assert again == plain() != first and read == [["train/1"]]
+    (root / "data" / "train/2.parquet").unlink()
+    assert table() == plain() and read == [["train/1"]]
+    (out / "subjects-killed").mkdir()
+    shutil.copy(root / "data" / "train/3.parquet", root / "data" / "train/again.parquet")  # subjects in two files: all rows are read
+    assert table() == plain() and not (out / "subjects-killed").exists()
+
+
 def test_policies_and_stale_shards(spark, parent, tmp_path):
     for policy, want in (("passthrough", {"train/0", "train/1", "tuning/0", "held_out/0"}), ("subset", {"train/0", "train/1", "tuning/0", "held_out/0"}), ("drop", {"train/0", "train/1"})):
         made = build_family(spark, parent, tmp_path, SubsetConfig((6,), n_subjects_per_shard=4, non_train_policy=policy))
