@@ -16,8 +16,8 @@ from .config import ResampleConfig, SubsetConfig
 from .functions.framing import PREFIX, by_digest, combined_ids, folded, text_digest
 from .functions.ranks import shard_key
 from .operators import digests, resampling, selection, sizes
-from .sources.dataset import CODES_FILE, DATASET_FILE, SPLITS_FILE, EventDataset, bytes_below, literal, read_labels, read_shards, shard_paths
-from .sources.sinks import ShardStore, place, prune, write_json, write_one_file, write_partitioned
+from .sources.dataset import CODES_FILE, DATASET_FILE, SPLITS_FILE, EventDataset, bytes_below, literal, read_labels, read_shards, shard_name, shard_paths
+from .sources.sinks import ShardStore, is_placed, place, prune, write_json, write_one_file, write_partitioned
 
 STORE, CACHE, FAMILY, MANIFEST, TASKS = ".shard_store", ".cache", "family.json", "manifest.json", "tasks"
 #: Key of a member's dataset.json that says what it is a subset of.
@@ -162,6 +162,8 @@ def build_family(
     """
     if labels is None and task is not None:
         raise ValueError(f"a task name needs labels; got {task!r}")
+    if (made := unchanged(Path(output), EventDataset(spark, parent), config, labels, task)) is not None:
+        return made
     family = Family(spark, parent, output, config)
     family.check(overwrite)
     output, dataset, store = family.output, family.dataset, family.store
@@ -184,11 +186,51 @@ def build_family(
         plan.unpersist()
     for made in report.values():
         write_json(output / made["name"] / MANIFEST, {"parent": family.parent, "config": config.to_dict(), "member": made})
-    made = {"parent": family.parent, "config": config.to_dict(), "members": {m["name"]: m for m in report.values()}, "disk": disk(output, store)}
+    made = {"parent": family.parent, "config": config.to_dict(), "labels": labels_stamp(labels), "members": {m["name"]: m for m in report.values()}, "disk": disk(output, store)}
     write_json(output / FAMILY, made)
     return made
 
 
+def labels_stamp(labels: str | Path | None) -> str | None:
+    """A digest of the label files' names, sizes and times."""
+    if labels is None:
+        return None
+    stats = [(shard_name(Path(labels), p), p.stat()) for p in shard_paths(Path(labels))]
+    return text_digest(f"{name}\x1f{stat.st_size}\x1f{stat.st_mtime_ns}" for name, stat in stats)
+
+
+def unchanged(output: Path, parent: EventDataset, config: SubsetConfig, labels: str | Path | None, task: str | None) -> dict | None:
+    """The family's record, if a build with these settings would change no file: then no job is run.
+
+    The parent's files, the settings and the labels are those of the record, and every member's tree is what the record
+    plans: its data files are the store's, and no other is there.
+    """
+    record = output / FAMILY
+    if not record.is_file():
+        return None
+    made = json.loads(record.read_text(encoding="utf-8"))
+    store = ShardStore(output / STORE)
+    same = made["parent"]["fingerprint"] == parent.fingerprint() and made["config"] == json.loads(json.dumps(config.to_dict())) and made.get("labels") == labels_stamp(labels)
+    if not same or (store.parent() or {}).get("fingerprint") != made["parent"]["fingerprint"]:
+        return None
+    name = (task or Path(labels).name) if labels is not None else None
+    for m in made["members"].values():
+        root = output / m["name"]
+        files = {shard: store.root / stored for shard, stored in m["shards"].items()}
+        if m["task"] != name or not all((root / x).is_file() for x in (SPLITS_FILE, DATASET_FILE, MANIFEST)):
+            return None
+        there = {shard_name(root / "data", p) for p in shard_paths(root / "data")}
+        if there != set(files) or not all(store.has(stored.removesuffix(".parquet")) for stored in m["shards"].values()):
+            return None
+        if not all(is_placed(stored, root / "data" / f"{shard}.parquet", config.link_mode) for shard, stored in files.items()):
+            return None
+        if (parent.root / CODES_FILE).is_file() != (root / CODES_FILE).is_file():
+            return None
+        if name is not None and {shard_name(root / TASKS / name, p) for p in shard_paths(root / TASKS / name)} != set(files):
+            return None
+    return made
+
+
 def _members(family: Family, plan: DataFrame, placed: list) -> dict[int, dict]:
     """Places every member's files; ids and sizes of all members come from the subjects' table at once."""
     config, output, store, dataset, spark = family.config, family.output, family.store, family.dataset, family.spark

@@ -22,8 +22,8 @@ from ..functions.framing import text_digest
 SPLITS_FILE, CODES_FILE, DATASET_FILE = "metadata/subject_splits.parquet", "metadata/codes.parquet", "metadata/dataset.json"
 #: Types that a size report reads its columns as, whatever width a file has them in.
 SIZED = {"subject_id": "bigint", "time": "timestamp_ntz", "code": "string"}
-#: Footers that are read at the same time.
-READERS = 32
+#: Footers that a process reads at the same time, that the driver or a task reads, and that are kept.
+READERS, DRIVER_FOOTERS, KEPT_FOOTERS = 32, 128, 1_000_000
 
 
 class NotADatasetError(ValueError):
@@ -65,18 +65,49 @@ def literal(path: Path | str) -> str:
     return re.sub(r"([\[\]{}*?\\])", r"\\\1", str(path))
 
 
-def footers(paths: list[Path]) -> list[pa.Schema]:
-    """The files' schemas without columns of the null type only, which other files type."""
+def _footer(path: str) -> tuple[pa.Schema | None, str]:
+    """The file's schema without columns of the null type only, which other files type; or what is wrong with it."""
+    found = pq.read_schema(path)
+    for f in found:
+        if pa.types.is_timestamp(f.type) and f.type.unit == "ns":
+            return None, f"{path}: column {f.name!r} has nanoseconds, which Spark can't read"
+    return pa.schema([f for f in found if not pa.types.is_null(f.type)]), ""
 
-    def one(path: Path) -> pa.Schema:
-        found = pq.read_schema(path)
-        for f in found:
-            if pa.types.is_timestamp(f.type) and f.type.unit == "ns":
-                raise ValueError(f"{path}: column {f.name!r} has nanoseconds, which Spark can't read")
-        return pa.schema([f for f in found if not pa.types.is_null(f.type)])
 
-    with ThreadPoolExecutor(READERS) as pool:
-        return list(pool.map(one, paths))
+def _footers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        paths = batch.column("path").to_pylist()
+        with ThreadPoolExecutor(READERS) as pool:
+            found = list(pool.map(_footer, paths))
+        texts = [None if s is None else s.remove_metadata().serialize().to_pybytes() for s, _ in found]
+        yield pa.RecordBatch.from_arrays([pa.array(paths), pa.array(texts, pa.binary()), pa.array([e for _, e in found])], ["path", "schema", "error"])
+
+
+_known: dict[tuple[str, int, int], pa.Schema] = {}
+
+
+def footers(paths: list[Path], spark: SparkSession | None = None) -> list[pa.Schema]:
+    """The files' schemas, read once for each path, size and time: few by the driver, many in a job."""
+    keys = [(str(p), stat.st_size, stat.st_mtime_ns) for p in paths for stat in (p.stat(),)]
+    unread = [k for k in dict.fromkeys(keys) if k not in _known]
+    if len(_known) + len(unread) > KEPT_FOOTERS:
+        _known.clear()
+        unread = list(dict.fromkeys(keys))
+    by_path = {k[0]: k for k in unread}
+    if spark is None or len(unread) <= DRIVER_FOOTERS:
+        with ThreadPoolExecutor(READERS) as pool:
+            found = zip(by_path, pool.map(_footer, by_path), strict=True)
+            made = [(path, schema, error) for path, (schema, error) in found]
+    else:
+        listed = spark.createDataFrame([(p,) for p in by_path], "path string").repartition(-(-len(by_path) // DRIVER_FOOTERS))
+        rows = listed.mapInArrow(_footers, "path string, schema binary, error string")
+        each = rows.groupBy("schema", "error").agg(F.collect_list("path").alias("paths")).collect()  # a row a schema; the driver listed the paths
+        made = [(p, pa.ipc.read_schema(pa.py_buffer(bytes(r["schema"]))) if r["schema"] is not None else None, r["error"]) for r in each for p in r["paths"]]
+    for path, schema, error in made:
+        if error:
+            raise ValueError(error)
+        _known[by_path[path]] = schema
+    return [_known[k] for k in keys]
 
 
 def pinned_schema(paths: list[Path], found: list[pa.Schema] | None = None) -> dict[str, pa.DataType]:
@@ -130,13 +161,15 @@ def read_shards(spark: SparkSession, folder: Path, paths: list[Path], columns: d
     """
     if not paths:
         raise ValueError(f"no shards in {folder}")
-    found = footers(paths)
+    found = footers(paths, spark)
     names = list(columns) if columns is not None else list(pinned_schema(paths, found))
     groups: dict[tuple, list[Path]] = {}
+    schemas: dict[tuple, pa.Schema] = {}
     for path, schema in zip(paths, found, strict=True):
         own = [f for f in schema if f.name in names]
-        groups.setdefault(tuple((f.name, str(f.type)) for f in own), []).append(path)
-    schemas = {key: pa.schema([found[paths.index(files[0])].field(n) for n, _ in key]) for key, files in groups.items()}
+        key = tuple((f.name, str(f.type)) for f in own)
+        groups.setdefault(key, []).append(path)
+        schemas.setdefault(key, pa.schema(own))
     shard = F.regexp_replace(F.regexp_replace(F.col("_path"), "^.*?" + re.escape(folder.resolve().as_posix()) + "/", ""), r"\.parquet$", "")
     if folder.resolve() != folder:
         shard = F.regexp_replace(shard, "^.*?" + re.escape(folder.as_posix()) + "/", "")

@@ -255,7 +255,7 @@ class TensorCohort:
 
     def rows(self) -> DataFrame:
         """(subject_id, static_code, shard, _row) of the schemas' rows; a row's place is the subject's place in the tensors."""
-        for path, schema in zip(self.paths, footers(self.paths), strict=True):
+        for path, schema in zip(self.paths, footers(self.paths, self.spark), strict=True):
             kind = schema.field("static_code").type if "static_code" in schema.names else None
             if kind is None or not (pa.types.is_list(kind) or pa.types.is_large_list(kind)):
                 raise ValueError(f"{path} is no schema of tensors: its static_code is {kind}, not a list")

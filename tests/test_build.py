@@ -17,6 +17,7 @@ from kohorta.cli import main
 from kohorta.config import ResampleConfig, SubsetConfig
 from kohorta.operators import digests, selection
 from kohorta.plans import views
+from kohorta.sources import dataset
 from kohorta.sources.dataset import SIZED, EventDataset, NotADatasetError, read_labels, read_shards, shard_name, shard_paths
 from kohorta.sources.sinks import ShardStore, is_placed, place, write_one_file
 from kohorta.sources.tensors import Slice, TensorCohort, ragged_batches, read_tensors, sliced, tensor_header, tensor_length, write_slices, write_tensors
@@ -200,6 +201,52 @@ def test_of_many_files_only_the_changed_one_is_read_again(spark, parent, tmp_pat
     assert table() == plain() and not (out / "subjects-killed").exists()
 
 
+def test_a_build_that_changes_nothing_runs_no_job(spark, parent, labels_dir, tmp_path, monkeypatch):
+    out, config = tmp_path / "out", SubsetConfig((20, 40), n_subjects_per_shard=20)
+    made = build_family(spark, parent, out, config, labels=labels_dir)
+    files = {p: p.lstat().st_mtime_ns for p in out.rglob("*") if not p.is_dir()}
+
+    def no_job(*_):
+        raise AssertionError("a job is run")
+
+    monkeypatch.setattr(build, "Family", no_job)
+    assert build_family(spark, parent, out, config, labels=labels_dir) == json.loads(json.dumps(made))
+    assert {p: p.lstat().st_mtime_ns for p in out.rglob("*") if not p.is_dir()} == files
+    member = out / "N0000020"
+    for other in (SubsetConfig((20,), n_subjects_per_shard=20), SubsetConfig((20, 40), n_subjects_per_shard=20, link_mode="copy")):
+        with pytest.raises(AssertionError):
+            build_family(spark, parent, out, other, labels=labels_dir)
+    with pytest.raises(AssertionError):
+        build_family(spark, parent, out, config)
+    monkeypatch.undo()
+    (member / "data/train/0.parquet").unlink()
+    (member / "data/train/stale.parquet").write_bytes(b"PAR1")
+    build_family(spark, parent, out, config, labels=labels_dir)
+    assert (member / "data/train/0.parquet").exists() and not (member / "data/train/stale.parquet").exists()
+    monkeypatch.setattr(build, "Family", no_job)
+    assert build_family(spark, parent, out, config, labels=labels_dir)["members"] == made["members"]
+
+
+def test_footers_of_many_files_are_read_in_a_job(spark, tmp_path, monkeypatch):
+    for i in range(9):
+        table = pa.table({"subject_id": pa.array([i], pa.int64()), "code": [f"c{i}"], ("x" if i % 3 else "none"): pa.array([None], pa.int32() if i % 3 else pa.null())})
+        pq.write_table(table, tmp_path / f"{i}.parquet")
+    paths = shard_paths(tmp_path)
+    monkeypatch.setattr(dataset, "DRIVER_FOOTERS", 4)
+    by_driver = [pq.read_schema(p) for p in paths]
+    monkeypatch.setattr(dataset.pq, "read_schema", None)  # the driver reads none
+    found = dataset.footers(paths, spark)
+    assert [s.names for s in found] == [[n for n in s.names if n != "none"] for s in by_driver]
+    assert dataset.footers(paths) == found  # known by now
+    monkeypatch.undo()
+    assert read_shards(spark, tmp_path, paths).count() == 9
+    for name in "yz":
+        pq.write_table(pa.table({"time": pa.array([1], pa.timestamp("ns"))}), tmp_path / f"{name}.parquet")
+    monkeypatch.setattr(dataset, "DRIVER_FOOTERS", 1)
+    with pytest.raises(ValueError, match="nanoseconds"):
+        dataset.footers(shard_paths(tmp_path), spark)
+
+
 def test_policies_and_stale_shards(spark, parent, tmp_path):
     for policy, want in (("passthrough", {"train/0", "train/1", "tuning/0", "held_out/0"}), ("subset", {"train/0", "train/1", "tuning/0", "held_out/0"}), ("drop", {"train/0", "train/1"})):
         made = build_family(spark, parent, tmp_path, SubsetConfig((6,), n_subjects_per_shard=4, non_train_policy=policy))
