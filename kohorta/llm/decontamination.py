@@ -4,11 +4,13 @@ An item is contained if at least ``containment`` of its distinct five-word shing
 item of fewer words is one shingle, which occurs where its words follow one another.  A shingle's hash is also
 its MinHash value.  Items are partitioned by their number of shingles, in powers of two; a partition fixes how
 deep its items' sketches are: the sketch of an item is its k shingles with the least hashes (its k-minimum
-values), where k is the most shingles that any item of the partition may miss, plus one.  A document's sketch
-is all its shingles' hashes up to the largest in any item's sketch.  A document that contains an item thus
-shares a sketch value with it, however long the document is, so the search misses nothing.  A document
-with fewer places than the item needs is out before the search.  Candidates are then verified with
-all the item's shingles.  Only built-in functions are used.
+values), where k is the most shingles that any item of the partition may miss, plus one.  A document that contains
+an item thus shares a sketch value with it, however long the document is, so the search misses nothing.  A table
+of bits, made from all partitions' sketch values (64 bits a value, up to ``MOST_BITS``), is looked up for every shingle of
+a document before anything is exploded: what it lets pass is the document's sketch, all values that any item's
+sketch has and one in 64 of the others for up to 16,384 sketch values (beyond that, more of them).  Those
+are looked up in the sketches themselves.  A document with fewer places than the item needs is out
+before the search.  Candidates are then verified with all the item's shingles.  Only built-in functions are used.
 
 Defined results: null and empty texts, and items without words, match nothing; words are compared in lower
 case; every row is compared by itself, also if ids repeat or are null (rows that are equal in id and text are
@@ -28,6 +30,10 @@ CONTAINMENT = 0.8
 BROADCAST_ROWS, BROADCAST_KEYS = 200_000, 1_000_000
 
 
+#: Bits of the table of sketch values: the most, and the least.
+MOST_BITS, LEAST_BITS = 1 << 20, 1 << 12
+
+
 def _words(text: Column) -> Column:
     return words_of(F.lower(text))
 
@@ -66,6 +72,24 @@ def sketches(shingles: DataFrame, containment: float = CONTAINMENT) -> DataFrame
     return placed.select("shingle", "item_row", _enough(F.col("n_item"), containment).alias("need"))
 
 
+def bit_table(sketch: DataFrame, n: int) -> list[int]:
+    """64-bit words, a power of two of them, in which the bit of each of the ``n`` sketch values is set."""
+    bits = LEAST_BITS
+    while bits < MOST_BITS and bits < 64 * n:
+        bits *= 2
+    at = F.pmod("shingle", F.lit(bits))
+    words = sketch.select(F.shiftright(at, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int")).alias("bit"))
+    found = {r["word"]: r["set"] for r in words.groupBy("word").agg(F.bit_or("bit").alias("set")).collect()}  # ``MOST_BITS`` / 64 rows at most
+    return [found.get(i, 0) for i in range(bits // 64)]
+
+
+def passing(shingles: Column, table: list[int]) -> Column:
+    """Of an array of shingles those whose bit is set."""
+    words = F.split(F.lit(",".join(map(str, table))), ",").cast("array<bigint>")  # folded into one constant
+    at = lambda x: F.pmod(x, F.lit(64 * len(table)))
+    return F.filter(shingles, lambda x: F.getbit(F.get(words, F.shiftright(at(x), 6).cast("int")), (at(x) % 64).cast("int")) == 1)
+
+
 def _joined(left: DataFrame, right: DataFrame, on: list[str], rows: int, most: int = BROADCAST_ROWS, how: str = "inner") -> DataFrame:
     """The join, by broadcast if the right side has no more than ``most`` rows."""
     return left.join(F.broadcast(right) if rows <= most else right, on, how)
@@ -78,11 +102,11 @@ def _contained(docs: DataFrame, items: DataFrame, text: str, key: str, item_text
     sketch = stored(sketches(whole, containment), "sketches")
     n_whole, n_sketch = whole.count(), sketch.count()
     sizes = sorted(r["size"] for r in whole.select("size").distinct().collect()) or [SHINGLE_WORDS]  # five numbers at most
-    largest = sketch.agg(F.max("shingle")).first()[0] or 0
+    table = bit_table(sketch, n_sketch)
 
     made = docs.select(_row(text, key).alias("row"), F.col(key).alias("doc"), whole_text(text).alias("text"))
     found = made.select("row", _shingles(F.col("text"), sizes).alias("s"))
-    sketched = found.select("row", F.size("s").alias("places"), F.explode(F.filter("s", lambda x: x <= F.lit(largest))).alias("shingle"))
+    sketched = found.select("row", F.size("s").alias("places"), F.explode(passing(F.col("s"), table)).alias("shingle"))
     pairs = _joined(sketched, sketch, ["shingle"], n_sketch).where("places >= need").select("row", "item_row").distinct()
     pairs = stored(pairs, "candidates")
 

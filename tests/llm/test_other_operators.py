@@ -203,6 +203,19 @@ def test_containment_equals_brute_force(spark):
     assert decontamination.contained_items(df, it.limit(0)).count() == 0 and decontamination.contained_items(df.limit(0), it).count() == 0
 
 
+def test_the_bit_table_passes_all_sketch_values_and_few_others(spark, sf_dir):
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    sketch = decontamination.sketches(decontamination.item_shingles(items)).cache()
+    table = decontamination.bit_table(sketch, sketch.count())
+    assert len(table) & (len(table) - 1) == 0 and 64 * len(table) >= 32 * sketch.count()
+    values = sketch.select(F.collect_set("shingle").alias("s"))
+    assert values.select(F.size(decontamination.passing(F.col("s"), table)) == F.size("s")).first()[0]
+    other = spark.range(100_000).select(F.collect_list(F.xxhash64(F.col("id") + 7)).alias("s"))
+    assert other.select(F.size(decontamination.passing(F.col("s"), table))).first()[0] < 100_000 / 25
+    sketch.unpersist()
+    assert decontamination.bit_table(sketch.limit(0), 0) == [0] * (decontamination.LEAST_BITS // 64)
+
+
 def test_rows_that_share_an_id_are_not_pooled(spark):
     item = " ".join(f"w{i}" for i in range(9))
     docs = [(1, " ".join(f"w{i}" for i in range(7)) + " x"), (1, "y " + " ".join(f"w{i}" for i in range(2, 9))), (2, item), (2, "clean text of more than five words"), (2, item), (3, item + " " + "long " * 30_000)]
