@@ -342,6 +342,16 @@ def disk(output: Path, store: ShardStore) -> dict[str, int]:
     return {"n_bytes_on_disk": on_disk, "n_bytes_independent_copies": copies, "n_bytes_saved": copies - on_disk, "n_store_files": files, "n_store_bytes": size, "n_bytes_cache": bytes_below(output / CACHE)[1]}
 
 
+def check_pool(parent: str | Path, splits: DataFrame, config: ResampleConfig, n_own: int, size: int) -> None:
+    """Refuses a split without subjects (of ``n_own``), and a pool (of ``size``) that can't give the draws."""
+    if not n_own:
+        raise ValueError(f"the split {config.source_split!r} of {parent} has no subjects; its splits are {sorted(r['split'] for r in splits.select('split').distinct().collect())}")
+    if not size:
+        raise ValueError(f"no subjects left to draw from in split {config.source_split!r}")
+    if not config.replace and config.size > size:
+        raise ValueError(f"cannot draw {config.size} distinct subjects from {size}")
+
+
 def build_resamples(spark: SparkSession, parent: str | Path, output: str | Path, config: ResampleConfig, labels: str | Path | None = None, excluded: DataFrame | Iterable[int] | None = None, task: str | None = None) -> dict:
     """``resamples/<name>``: the draws, and the labels once for each draw of their subject, in files as the labels' own.
 
@@ -355,14 +365,9 @@ def build_resamples(spark: SparkSession, parent: str | Path, output: str | Path,
     splits = dataset.splits()
     own = splits.where(F.col("split") == config.source_split).select("subject_id").distinct()
     n_own = own.count()
-    if not n_own:
-        raise ValueError(f"the split {config.source_split!r} of {parent} has no subjects; its splits are {sorted(r['split'] for r in splits.select('split').distinct().collect())}")
     pool = resampling.eligible_pool(splits, config.source_split, excluded, config.allow_overlap).cache()
     size = pool.count()
-    if not size:
-        raise ValueError(f"no subjects left to draw from in split {config.source_split!r}")
-    if not config.replace and config.size > size:
-        raise ValueError(f"cannot draw {config.size} distinct subjects from {size}")
+    check_pool(parent, splits, config, n_own, size)
     shared = {
         "parent": str(parent), "parent_subject_set_id": digests.subject_set_digest(own).first()[0], "pool_subject_set_id": digests.subject_set_digest(pool).first()[0], "pool_size": size,
         "n_excluded": n_own - size, "excluded_set_id": None if excluded is None else digests.subject_set_digest(excluded).first()[0], "task": task or (Path(labels).name if labels is not None else None),

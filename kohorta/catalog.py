@@ -1,4 +1,4 @@
-"""Families of nested subsets as tables on any file system: a record names the files that count.
+"""Families of nested subsets, and resamples, as tables on any file system: a record names the files that count.
 
 ``build_family`` links files into members' folders, which takes a file system with links and renames.  Here a family
 is a folder of
@@ -26,9 +26,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .build import check_splits, computed_plan, require_pool
-from .config import SubsetConfig
-from .operators import digests, selection, sizes
+from .build import check_pool, check_splits, computed_plan, require_pool
+from .config import ResampleConfig, SubsetConfig
+from .functions.framing import by_digest, digest, folded, text_digest
+from .operators import digests, resampling, selection, sizes
 from .sources.dataset import NotADatasetError, literal
 from .sources.sinks import ROW_GROUP
 from .sources.uris import Folder, UriDataset, decoded
@@ -38,8 +39,10 @@ PASSED = "passthrough/"
 _FILES = "kind string, stored string, path string, n_rows bigint, n_bytes bigint"
 
 
-class Catalog:
-    """A family at a URI."""
+class _Recorded:
+    """Tables at a URI, of which the newest record names those that count."""
+
+    WHAT = "table was written"
 
     def __init__(self, spark: SparkSession, uri: str, record: dict | None = None):
         """``record``: one to read by, instead of the newest."""
@@ -50,14 +53,36 @@ class Catalog:
         found = self.folder.names("records")
         return json.loads(self.folder.read(f"records/{found[-1]}")) if found else None
 
+    def _commit(self, record: dict, attempt: str) -> dict:
+        found = self.folder.names("records")
+        number = int(found[-1].split("-")[0]) + 1 if found else 0  # not how many there are: vacuum removes some
+        self.folder.put(f"records/{number:06d}-{attempt}.json", json.dumps(record, indent=2, sort_keys=True) + "\n")
+        return record
+
     def _committed(self) -> dict:
         found = self._given or self.record()
         if found is None:
-            raise NotADatasetError(f"no family was built at {self.folder.uri}")
+            raise NotADatasetError(f"no {self.WHAT} at {self.folder.uri}")
         return found
 
     def _table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(literal(f"{self.folder.uri}/{self._committed()['tables']}/{name}"))
+        return self.spark.read.parquet(self._at(f"{self._committed()['tables']}/{name}"))
+
+    def _at(self, name: str) -> str:
+        return literal(f"{self.folder.uri}/{name}")
+
+    def _drop(self, kinds: tuple[str, ...], keep: set[str]) -> list[str]:
+        gone = [f"{kind}/{x}" for kind in kinds for x in self.folder.names(kind) if f"{kind}/{x}" not in keep]
+        gone += [f"records/{x}" for x in self.folder.names("records")[:-1]]
+        for name in gone:
+            self.folder.delete(name)
+        return gone
+
+
+class Catalog(_Recorded):
+    """A family at a URI."""
+
+    WHAT = "family was built"
 
     def plan(self) -> DataFrame:
         """(member, split, shard, stored, subject_id); shard and stored are null for subjects without rows in a shard that is passed through."""
@@ -158,9 +183,8 @@ class Catalog:
         require_pool(config, split_sizes)
         attempt = uuid.uuid4().hex
         tables = f"tables/{attempt}"
-        at = lambda name: literal(f"{self.folder.uri}/{name}")
-        self._plan(parent, splits, split_sizes, config).write.parquet(at(f"{tables}/plan"))
-        plan = self.spark.read.parquet(at(f"{tables}/plan"))
+        self._plan(parent, splits, split_sizes, config).write.parquet(self._at(f"{tables}/plan"))
+        plan = self.spark.read.parquet(self._at(f"{tables}/plan"))
         wanted = plan.where("stored IS NOT NULL").select("stored").distinct()
 
         events = parent.events(places=True).withColumnRenamed("shard", "_shard")
@@ -183,7 +207,7 @@ class Catalog:
         files = made[0]
         for more in made[1:]:
             files = files.unionByName(more)
-        files.write.parquet(at(f"{tables}/files"))
+        files.write.parquet(self._at(f"{tables}/files"))
         if parent.fingerprint() != before:
             raise ValueError("the parent changed while the family was built; nothing is committed: build again")
         codes = parent.codes()
@@ -192,10 +216,8 @@ class Catalog:
             "tables": tables, "schemas": schemas, "codes": codes is not None,
         }
         if codes is not None:
-            self._codes(codes, config, plan, record).write.parquet(at(f"{tables}/codes"))
-        number = len(self.folder.names("records"))
-        self.folder.put(f"records/{number:06d}-{attempt}.json", json.dumps(record, indent=2, sort_keys=True) + "\n")
-        return record
+            self._codes(codes, config, plan, record).write.parquet(self._at(f"{tables}/codes"))
+        return self._commit(record, attempt)
 
     def _plan(self, parent: UriDataset, splits: DataFrame, split_sizes: dict[str, int], config: SubsetConfig) -> DataFrame:
         made = computed_plan(splits, split_sizes, config)
@@ -221,17 +243,14 @@ class Catalog:
         """A file a shard: its rows meet in one task, whose size is the shard's."""
         ready = rows.repartition("stored").sortWithinPartitions("stored", *order).select(*[F.col(f"`{c}`") for c in columns], "stored")
         made = ready.write.option("parquet.block.row.count.limit", ROW_GROUP).option("maxRecordsPerFile", 0)
-        made.partitionBy("stored").parquet(literal(f"{self.folder.uri}/{name}"))
+        made.partitionBy("stored").parquet(self._at(name))
 
     def _inventory(self, kind: str, name: str, wanted: DataFrame) -> DataFrame:
         """The files that a job has committed, from their footers; shards without rows have none."""
-        at = literal(f"{self.folder.uri}/{name}")
-        _, path = self.folder._at(name)
-        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not any(s.isDirectory() for s in fs.listStatus(path)):
+        if not any(x.startswith("stored=") for x in self.folder.names(name)):
             found = self.spark.createDataFrame([], "stored string, path string, n_rows bigint, n_bytes bigint")
         else:
-            rows = self.spark.read.option("recursiveFileLookup", True).parquet(at)
+            rows = self.spark.read.option("recursiveFileLookup", True).parquet(self._at(name))
             own = decoded(F.col("_metadata.file_path"))
             found = rows.groupBy(own.alias("path"), F.col("_metadata.file_size").alias("n_bytes")).agg(F.count("*").alias("n_rows"))
             name_ = F.url_decode(F.replace(F.regexp_extract("path", r"/stored=([^/]*)/[^/]*$", 1), F.lit("+"), F.lit("%2B")))
@@ -242,7 +261,7 @@ class Catalog:
     def _held(self, known: dict | None, schemas: dict) -> DataFrame | None:
         if known is None or known["schemas"]["data"] != schemas["data"]:
             return None
-        return self.spark.read.schema(_FILES).parquet(literal(f"{self.folder.uri}/{known['tables']}/files"))
+        return self.spark.read.schema(_FILES).parquet(self._at(f"{known['tables']}/files"))
 
     def _codes(self, codes: DataFrame, config: SubsetConfig, plan: DataFrame, record: dict) -> DataFrame:
         """(_member, the code table's columns): all codes, or those that the member's files hold."""
@@ -256,13 +275,70 @@ class Catalog:
 
     def vacuum(self) -> list[str]:
         """Removes what the newest record doesn't name: earlier attempts, and those of builds that were killed.  Not to be run beside a build."""
-        made = self._committed()
-        root = self.folder
-        paths = [r["path"] for r in self.files().where("path IS NOT NULL").select(F.regexp_extract("path", r"/((?:shards|labels)/[^/]*)/stored=[^/]*/[^/]*$", 1).alias("path")).distinct().collect()]
-        keep = {*paths, made["tables"]}
-        gone = [f"{kind}/{x}" for kind in ("shards", "labels", "tables") for x in root.names(kind) if f"{kind}/{x}" not in keep]
-        gone += [f"records/{x}" for x in root.names("records")[:-1]]
-        for name in gone:
-            root.delete(name)
-        return gone
+        named = F.regexp_extract("path", r"/((?:shards|labels)/[^/]*)/stored=[^/]*/[^/]*$", 1).alias("path")
+        used = {r["path"] for r in self.files().where("path IS NOT NULL").select(named).distinct().collect()}  # a row an attempt
+        return self._drop(("shards", "labels", "tables"), used | {self._committed()["tables"]})
+
+
+class Resamples(_Recorded):
+    """Resamples at a URI: the draws of all replicates, and label rows once for each draw of their subject.
+
+    tables/<attempt>/draws and tables/<attempt>/labels are partitioned by replicate; records as in a family.
+    """
+
+    WHAT = "resample was drawn"
+
+    def draws(self) -> DataFrame:
+        """(draw_index, subject_id, replicate)."""
+        return self._table("draws")
+
+    def labels(self) -> DataFrame:
+        """The label rows with draw_index and replicate."""
+        if not self._committed()["labels"]:
+            raise ValueError(f"the resamples at {self.folder.uri} were drawn without labels")
+        return self._table("labels")
+
+    def build(self, parent: UriDataset, config: ResampleConfig, labels: DataFrame | None = None, excluded: DataFrame | None = None) -> dict:
+        """Draws, writes and commits; returns the record."""
+        splits, attempt = parent.splits(), uuid.uuid4().hex
+        own = splits.where(F.col("split") == config.source_split).select("subject_id").distinct()
+        pool = resampling.eligible_pool(splits, config.source_split, excluded, config.allow_overlap).persist()
+        try:
+            n_own, size = own.count(), pool.count()
+            check_pool(parent.root, splits, config, n_own, size)
+            draw = resampling.with_replacement if config.replace else resampling.without_replacement
+            made = draw(pool, config.size, config.salt, range(config.n_resamples))
+            self._write(made.select("draw_index", "subject_id", "replicate"), f"tables/{attempt}/draws", "draw_index")
+            pool_id = digests.subject_set_digest(pool).first()[0]
+        finally:
+            pool.unpersist()
+        if labels is not None:
+            columns = [c for c in resampling.LABEL_COLUMNS if c in labels.columns]
+            repeated = resampling.repeat_labels(labels.select(*columns), self.spark.read.parquet(self._at(f"tables/{attempt}/draws")))
+            self._write(repeated.select(*columns, "draw_index", "replicate"), f"tables/{attempt}/labels", "draw_index", *columns[1:])
+        record = {
+            "tables": f"tables/{attempt}", "config": json.loads(json.dumps(config.to_dict())), "labels": labels is not None, "pool_size": size, "n_excluded": n_own - size,
+            "parent": {"path": parent.root, "fingerprint": parent.fingerprint(), "source_subject_set_id": digests.subject_set_digest(own).first()[0]}, "pool_subject_set_id": pool_id,
+        }
+        return self._commit(record, attempt)
+
+    def _write(self, rows: DataFrame, name: str, *order: str) -> None:
+        """Partitioned by replicate and by ranges of draws in it, so that no task holds a whole replicate."""
+        rows.repartitionByRange("replicate", *order[:1]).sortWithinPartitions("replicate", *order).write.partitionBy("replicate").parquet(self._at(name))
 
+    def report(self) -> DataFrame:
+        """(replicate, n_draws, n_distinct, subject_multiset_id, subject_set_id, index_id), from the written rows."""
+        draws = self.draws().select(F.col("replicate").cast("long"), "subject_id")
+        ids = lambda rows, into: digests.subject_set_digests(rows, "replicate").select(F.col("group").cast("long").alias("replicate"), F.col("digest").alias(into))
+        out = resampling.replicate_stats(draws).join(ids(draws, "subject_multiset_id"), "replicate").join(ids(draws.distinct(), "subject_set_id"), "replicate")
+        if not self._committed()["labels"]:
+            return out.withColumn("index_id", F.lit(None).cast("string"))
+        rows = self.labels()
+        bare = rows.drop("replicate", "draw_index")
+        each = rows.select("replicate", digest(F.array(digests.canonical_row(bare.schema))).alias("d"))
+        found = folded(each, F.col("replicate"), F.col("d"), into="index_id", part=by_digest(F.col("d")))
+        return out.join(found.select(F.col("group").cast("long").alias("replicate"), "index_id"), "replicate", "left").withColumn("index_id", F.coalesce("index_id", F.lit(text_digest([]))))
+
+    def vacuum(self) -> list[str]:
+        """Removes what the newest record doesn't name.  Not to be run beside a build."""
+        return self._drop(("tables",), {self._committed()["tables"]})

@@ -37,29 +37,29 @@ def _parser() -> argparse.ArgumentParser:
     subset.add_argument("--force", "--overwrite", dest="force", action="store_true", help="discard what was built from another parent")
 
     resample = verbs.add_parser("resample", help="draw bootstrap or subsample sets")
-    resample.add_argument("parent", type=Path)
-    resample.add_argument("output", type=Path)
+    resample.add_argument("parent", type=_place)
+    resample.add_argument("output", type=_place, help="a folder, or a URI of any file system for resamples as tables")
     for name in ("n-resamples", "size"):
         resample.add_argument(f"--{name}", type=int, default=UNSET)
     for name in ("salt", "source-split", "name-template"):
         resample.add_argument(f"--{name}", default=UNSET)
     resample.add_argument("--without-replacement", dest="replace", action="store_false", default=UNSET)
     resample.add_argument("--allow-overlap", action="store_true", default=UNSET)
-    resample.add_argument("--exclude", type=Path, help="a dataset or splits file whose subjects are not drawn")
-    resample.add_argument("--index-dir", "--labels", dest="index_dir", type=Path)
+    resample.add_argument("--exclude", type=_place, help="a dataset or splits file whose subjects are not drawn")
+    resample.add_argument("--index-dir", "--labels", dest="index_dir", type=_place)
     resample.add_argument("--task-name")
     for verb in (subset, resample):
         verb.add_argument("-c", "--config", type=Path, help="a YAML file; flags that are given win")
         verb.add_argument("--json", action="store_true", help="print the manifest instead of a summary")
 
     size = verbs.add_parser("size", help="exact counts by split")
-    size.add_argument("datasets", type=Path, nargs="+")
+    size.add_argument("datasets", type=_place, nargs="+")
     size.add_argument("--kind", choices=("auto", "meds", "tensorized"), default="auto")
     size.add_argument("-o", "--output", type=Path, help="a Parquet file of all reports")
     size.add_argument("--json", dest="json_output", type=Path, help="a JSON file (default: beside --output)")
 
     fingerprint = verbs.add_parser("fingerprint", help="ids of rows, whatever their order and files")
-    fingerprint.add_argument("dataset", type=Path, nargs="?")
+    fingerprint.add_argument("dataset", type=_place, nargs="?")
     fingerprint.add_argument("--index-dir", type=Path, help="label files")
     fingerprint.add_argument("--train-split", default="train")
     fingerprint.add_argument("-o", "--output", type=Path)
@@ -108,11 +108,31 @@ def _resample(spark, args: dict, settings: dict) -> str:
     from .sources.dataset import read_excluded
 
     parent, output, exclude, labels, task, as_json = (args.pop(k) for k in ("parent", "output", "exclude", "index_dir", "task_name", "json"))
+    if is_uri(output):
+        if task is not None:
+            raise ValueError("the labels of resamples at a URI have no task name")
+        return _resample_at(spark, parent, output, ResampleConfig.from_dict(settings | args), labels, exclude, as_json)
+    if any(x is not None and is_uri(x) for x in (parent, labels, exclude)):
+        raise ValueError(f"a parent, labels or exclusions at a URI need an output at a URI; got {output}")
     excluded = read_excluded(spark, exclude) if exclude is not None else None
     made = build.build_resamples(spark, parent, output, ResampleConfig.from_dict(settings | args), labels, excluded, task)
     return json.dumps(made, indent=2, sort_keys=True) if as_json else reports.resamples_text(made, output)
 
 
+def _resample_at(spark, parent, output: str, config: ResampleConfig, labels, exclude, as_json: bool) -> str:
+    """Resamples as tables at a URI."""
+    from . import reports
+    from .catalog import Resamples
+    from .sources.uris import UriDataset, read_rows
+
+    excluded = UriDataset(spark, as_uri(exclude)).splits().select("subject_id") if exclude is not None else None
+    own = Resamples(spark, output)
+    made = own.build(UriDataset(spark, as_uri(parent)), config, None if labels is None else read_rows(spark, as_uri(labels)), excluded)
+    report = {config.resample_name(r["replicate"]): r.asDict() for r in own.report().orderBy("replicate").collect()}  # a row a replicate
+    made = made | {"resamples": report}
+    return json.dumps(made, indent=2, sort_keys=True) if as_json else reports.resamples_text(made | {"parent": made["parent"]["path"]}, output)
+
+
 def _size(spark, args: dict) -> str:
     from . import reports
 
@@ -123,14 +143,14 @@ def _size(spark, args: dict) -> str:
 
 def _fingerprint(spark, args: dict) -> str:
     from . import build
-    from .sources.dataset import EventDataset
     from .sources.sinks import write_text
+    from .sources.uris import open_dataset
 
     if args["dataset"] is None and args["index_dir"] is None:
         raise ValueError("name a dataset, --index-dir or both")
     out: dict = {}
     if args["dataset"] is not None:
-        ids = build.fingerprint(EventDataset(spark, args["dataset"]))
+        ids = build.fingerprint(open_dataset(spark, args["dataset"]))
         out["dataset"] = {"path": str(args["dataset"]), "dataset_id": ids.pop("dataset"), "codes_id": ids.pop("codes"), "content_ids": ids, "train_set_id": ids.get(args["train_split"])}
     if args["index_dir"] is not None:
         out["index"] = build.label_fingerprint(spark, args["index_dir"])

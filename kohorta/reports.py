@@ -13,6 +13,7 @@ from .operators import sizes
 from .sources.dataset import EventDataset, is_tensorized, split_label
 from .sources.sinks import write_json, write_one_file
 from .sources.tensors import TensorCohort
+from .sources.uris import UriDataset, is_uri, open_dataset
 
 # The columns of a report.
 COUNTS = ("n_subjects", "n_events", "n_measurements", "n_dynamic_measurements", "n_static_measurements", "n_subjects_with_static")
@@ -21,7 +22,7 @@ SHOWN = ("split", "n_subjects", "n_events", "n_measurements", "n_shards", "n_byt
 KINDS = ("auto", "meds", "tensorized")
 
 
-def event_report(dataset: EventDataset, splits: DataFrame | Mapping[int, str] | None = None) -> DataFrame:
+def event_report(dataset: EventDataset | UriDataset, splits: DataFrame | Mapping[int, str] | None = None) -> DataFrame:
     """One row a split and the total: counts, codes and files of an event dataset; ``splits`` goes before the folder's own.
 
     A shard belongs to every split that it holds rows of; the total counts each once.
@@ -72,6 +73,10 @@ def _with_total(report: DataFrame, codes: DataFrame, files: DataFrame, source: s
 def size_of(spark, root: str | Path, kind: str = "auto") -> DataFrame:
     if kind not in KINDS:
         raise ValueError(f"the kind must be one of {', '.join(KINDS)}; got {kind!r}")
+    if is_uri(root):
+        if kind == "tensorized":
+            raise ValueError(f"a tensor cohort must be a folder; got {root}")
+        return event_report(open_dataset(spark, root))
     tensors = is_tensorized(Path(root)) if kind == "auto" else kind == "tensorized"
     return tensor_report(TensorCohort(spark, root)) if tensors else event_report(EventDataset(spark, root))
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.framing import folded_whole
-from .dataset import CODES_FILE, SPLITS_FILE, NotADatasetError, literal
+from .dataset import CODES_FILE, SIZED, SPLITS_FILE, EventDataset, NotADatasetError, literal
 
 
 def is_uri(path: object) -> bool:
@@ -131,10 +131,21 @@ class UriDataset:
         extra = [F.col("_metadata.row_index").alias("_row")] if places else []
         return rows.select(*[F.col(f"`{n}`") for n in self.schema.names], self._shard(decoded(F.col("_metadata.file_path"))).alias("shard"), *extra)
 
+    def sized_events(self) -> DataFrame:
+        """The columns that sizes depend on, of shards of any width."""
+        pinned = ", ".join(f"{n} {kind}" for n, kind in SIZED.items())
+        rows = self.spark.read.schema(pinned).option("recursiveFileLookup", True).parquet(literal(f"{self.root}/data"))
+        return rows.select(*SIZED, self._shard(decoded(F.col("_metadata.file_path"))).alias("shard"))
+
     def subject_shards(self) -> DataFrame:
-        return self.events().select(F.col("subject_id").cast("long"), "shard").distinct()
+        return self.sized_events().select(F.col("subject_id").cast("long"), "shard").distinct()
 
     def files(self) -> DataFrame:
+        """(shard, n_bytes) of every shard."""
+        shard = F.regexp_replace(F.regexp_replace("name", "^data/", ""), r"\.parquet$", "")
+        return self.listing().where(F.col("name").startswith("data/")).select(shard.alias("shard"), "n_bytes")
+
+    def listing(self) -> DataFrame:
         """(name, n_bytes, modified) of shards, splits and codes; executors list folders, no file is opened."""
         beside = [f"{self.root}/{n}" for n in (SPLITS_FILE, CODES_FILE) if self.folder.exists(n)]
         listed = lambda *paths: self.spark.read.format("binaryFile").option("recursiveFileLookup", True).load([literal(p) for p in paths])
@@ -145,7 +156,7 @@ class UriDataset:
     def fingerprint(self) -> str:
         """A digest of names, sizes and times."""
         line = F.concat_ws("\x1f", "name", F.col("n_bytes").cast("string"), F.col("modified").cast("string"))
-        return folded_whole(self.files(), line).first()[0]
+        return folded_whole(self.listing(), line).first()[0]
 
     def splits(self) -> DataFrame:
         if self.folder.exists(SPLITS_FILE):
@@ -158,3 +169,8 @@ class UriDataset:
 
     def codes(self) -> DataFrame | None:
         return self.spark.read.parquet(literal(f"{self.root}/{CODES_FILE}")) if self.folder.exists(CODES_FILE) else None
+
+
+def open_dataset(spark: SparkSession, place: str | Path) -> EventDataset | UriDataset:
+    """The event dataset of a folder, or at a URI."""
+    return UriDataset(spark, str(place)) if is_uri(place) else EventDataset(spark, place)

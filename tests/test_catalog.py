@@ -6,9 +6,9 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from kohorta.build import build_family, fingerprint
-from kohorta.catalog import Catalog
-from kohorta.config import SubsetConfig
+from kohorta.build import build_family, build_resamples, fingerprint
+from kohorta.catalog import Catalog, Resamples
+from kohorta.config import ResampleConfig, SubsetConfig
 from kohorta.plans import views
 from kohorta.sources.dataset import EventDataset, NotADatasetError
 from kohorta.sources.sinks import write_one_file
@@ -136,7 +136,8 @@ def test_datasets_at_uris(spark, parent, tmp_path):
     assert rows_of(own.events()) == rows_of(local.events().select(*own.events().columns))
     assert fingerprint(own) == fingerprint(local)
     assert rows_of(own.subject_shards()) == rows_of(local.subject_shards())
-    assert {r.name for r in own.files().collect()} == {"data/train/0.parquet", "data/tuning/0.parquet", "data/held_out/0.parquet", "metadata/codes.parquet", "metadata/subject_splits.parquet"}
+    assert rows_of(own.files()) == rows_of(local.files())
+    assert {r.name for r in own.listing().collect()} == {"data/train/0.parquet", "data/tuning/0.parquet", "data/held_out/0.parquet", "metadata/codes.parquet", "metadata/subject_splits.parquet"}
     root = tmp_path / "no splits"
     shutil.copytree(parent / "data", root / "data")
     bare = UriDataset(spark, uri(root))
@@ -164,3 +165,47 @@ def test_command_line_at_uris(spark, parent, sf_dir, tmp_path, capsys):
     for bad in (["--task-name", "t"], ["--kind", "tensorized"]):
         assert main(["subset", str(parent), out, *flags, *bad], spark) == 3
     assert main(["subset", out, str(tmp_path / "x"), *flags], spark) == 3 and "need an output at a URI" in capsys.readouterr().err
+
+
+def test_resamples_at_a_uri_are_those_of_files(spark, parent, sf_dir, tmp_path):
+    labels = views.labels(spark, sf_dir).drop("label_id")
+    write_one_file(labels.repartition(1), tmp_path / "labels" / "a.parquet")
+    source, own = UriDataset(spark, uri(parent)), Resamples(spark, uri(tmp_path / "out"))
+    for config in (ResampleConfig(3, 40), ResampleConfig(2, 15, replace=False, salt="other")):
+        want = build_resamples(spark, parent, tmp_path / "files", config, tmp_path / "labels")
+        made = own.build(source, config, labels)
+        assert made["pool_size"] == want["pool_size"] and made["pool_subject_set_id"] == want["pool_subject_set_id"] and made["n_excluded"] == 0
+        names = ("n_draws", "n_distinct", "subject_multiset_id", "subject_set_id", "index_id")
+        assert {r.replicate: tuple(r[n] for n in names) for r in own.report().collect()} == {r["replicate"]: tuple(r[n] for n in names) for r in want["resamples"].values()}
+        first = pq.read_table(tmp_path / "files/resamples/boot_000/subjects.parquet").to_pylist()
+        got = own.draws().where("replicate = 0").orderBy("draw_index").select("subject_id", "draw_index")
+        assert [r.asDict() for r in got.collect()] == first
+    gone = spark.createDataFrame([(r["subject_id"],) for r in first], "subject_id long")
+    made = own.build(source, ResampleConfig(1, 30), excluded=gone)
+    assert made["n_excluded"] == len({r["subject_id"] for r in first}) and own.draws().join(gone, "subject_id").isEmpty()
+    assert {r.index_id for r in own.report().collect()} == {None}
+    assert len(own.vacuum()) == 4 and own.draws().count() == 30
+    with pytest.raises(ValueError, match="without labels"):
+        own.labels()
+    with pytest.raises(ValueError, match="cannot draw 100000"):
+        own.build(source, ResampleConfig(1, 100000, replace=False))
+    with pytest.raises(ValueError, match="has no subjects"):
+        own.build(source, ResampleConfig(1, 3, source_split="none"))
+
+
+def test_sizes_ids_and_resamples_at_uris_on_the_command_line(spark, parent, sf_dir, tmp_path, capsys):
+    from kohorta.cli import main
+
+    at, flags = uri(parent), ["--n-resamples", "2", "--size", "20"]
+    assert main(["size", at], spark) == 0
+    by_uri = capsys.readouterr().out
+    assert main(["size", str(parent)], spark) == 0 and capsys.readouterr().out.splitlines()[1:] == by_uri.splitlines()[1:]
+    ids = []
+    for place in (at, str(parent)):
+        assert main(["fingerprint", place], spark) == 0
+        ids.append({k: v for k, v in json.loads(capsys.readouterr().out)["dataset"].items() if k != "path"})
+    assert ids[0] == ids[1]
+    assert main(["resample", str(parent), uri(tmp_path / "r"), *flags, "--exclude", at], spark) == 3  # nobody is left
+    assert "no subjects left" in capsys.readouterr().err
+    assert main(["resample", at, uri(tmp_path / "r"), *flags], spark) == 0 and "boot_001  n_draws=20" in capsys.readouterr().out
+    assert main(["resample", at, str(tmp_path / "x"), *flags], spark) == 3 and main(["size", at, "--kind", "tensorized"], spark) == 3
