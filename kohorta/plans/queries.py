@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import reports
 from ..build import FAMILY, build_family, build_resamples
-from ..catalog import Catalog
+from ..catalog import Catalog, Resamples
 from ..config import ResampleConfig, SubsetConfig
 from ..functions.framing import digest, short_id
 from ..functions.ranks import uniform_score
@@ -626,6 +626,46 @@ def resample_label_ids(spark, sf_dir):
     return spark.createDataFrame([(r["replicate"], r["index_id"]) for r in made.values()], "replicate long, index_id string")
 
 
+@query(
+    f"WITH {SPLITS}, {_TRAIN}, {LABELS}, {_DRAW} SELECT replicate, row_number() OVER (PARTITION BY replicate ORDER BY draw_index, label_id) - 1 AS place, lb.subject_id, prediction_time "
+    "FROM dr JOIN lb ON dr.subject_id = lb.subject_id WHERE replicate < 2"
+)
+def resample_label_order(spark, sf_dir):
+    """The places of the label rows in the files of built resamples."""
+    root = _resamples(spark, sf_dir)
+    rows = read_shards(spark, root, [p for p in shard_paths(root) if "labels" in p.parts], places=True)
+    return rows.select(F.regexp_extract("shard", "^boot_0*([0-9]+)/", 1).cast("long").alias("replicate"), F.col("_row").alias("place"), "subject_id", "prediction_time")
+
+
+def _resamples_at(spark, sf_dir) -> Resamples:
+    """The same draws at a URI."""
+    root, labels = views.folder(spark, sf_dir), views.labels(spark, sf_dir).drop("label_id")
+    build = lambda to: Resamples(spark, f"file://{to}").build(UriDataset(spark, f"file://{root}"), ResampleConfig(2, DRAWS, salt=SALT), labels)
+    return Resamples(spark, f"file://{views.once(spark, sf_dir, 'resamples-at', build)}")
+
+
+@query(
+    f"WITH {SPLITS}, {_TRAIN}, {LABELS}, {_DRAW}, dl AS (SELECT replicate, 'sha256:' || sha256({_framed('c')}) AS d FROM (SELECT replicate, {_LROW.replace(_ID, 'CAST(lb.subject_id AS VARCHAR)')} AS c FROM dr JOIN lb ON dr.subject_id = lb.subject_id)), "
+    f"li AS (SELECT replicate, {_fold('d', 'd')} AS index_id FROM dl GROUP BY replicate), rs AS (SELECT replicate, count(*) AS n_draws, count(DISTINCT subject_id) AS n_distinct, {_fold(_ID, 'subject_id')} AS subject_multiset_id FROM dr GROUP BY replicate) "
+    "SELECT * FROM rs JOIN li USING (replicate) WHERE replicate < 2"
+)
+def catalog_resamples(spark, sf_dir):
+    """Counts and ids of resamples that were drawn at a URI, from the written rows."""
+    return _resamples_at(spark, sf_dir).report().drop("subject_set_id")
+
+
+@query(f"WITH {SPLITS}, {_TRAIN}, {LABELS}, {_DRAW} SELECT replicate, draw_index, lb.subject_id, prediction_time, boolean_value FROM dr JOIN lb ON dr.subject_id = lb.subject_id WHERE replicate < 2")
+def catalog_resample_labels(spark, sf_dir):
+    return _resamples_at(spark, sf_dir).labels().withColumn("replicate", F.col("replicate").cast("long"))
+
+
+@query(f"WITH {EVENTS}, {SPLITS}, {CODES}, {_MEMBERS_OF} SELECT DISTINCT member, code, description FROM cd JOIN (SELECT DISTINCT member, code FROM mp JOIN ev USING (subject_id)) USING (code)")
+def family_codes(spark, sf_dir):
+    """The code tables of a built family's members."""
+    roots = {m["n_subjects"]: m["root"] for m in _family(spark, sf_dir)["members"].values()}
+    return _of_members(spark, sf_dir, lambda n: EventDataset(spark, roots[n]).codes())
+
+
 @query(f"WITH {SPLITS} SELECT subject_id FROM sp")
 def excluded_subjects(spark, sf_dir):
     """All subjects of a dataset folder's splits file, as a resample leaves them out."""
@@ -643,18 +683,28 @@ _FILED = f"fr AS (SELECT ev.*, split, split || '/' || CAST(subject_id % {views.S
 _CODESET = "'sha256:' || sha256(string_agg(CAST(strlen(code) AS VARCHAR) || ':' || code, '' ORDER BY code))"
 
 
-@query(
+_SIZES_OF_FILES = (
     f"WITH {EVENTS}, {SPLITS}, {_FILED}, cs AS (SELECT split, {_CODESET} AS observed_code_set_id FROM (SELECT DISTINCT split, code FROM fr) GROUP BY split), "
     f"rp AS (SELECT split, {_COUNTS}, count(DISTINCT shard) AS n_shards FROM fr GROUP BY split), "
     f"al AS (SELECT '__total__' AS split, {_CODESET} AS observed_code_set_id, count(*) AS n FROM (SELECT DISTINCT code FROM fr)) "
     f"SELECT rp.*, observed_code_set_id FROM rp JOIN cs USING (split) UNION ALL BY NAME SELECT '__total__' AS split, {_SUMS}, (SELECT n FROM al) AS n_codes_observed, CAST(sum(n_shards) AS BIGINT) AS n_shards, (SELECT observed_code_set_id FROM al) AS observed_code_set_id FROM rp"
 )
+
+
+@query(_SIZES_OF_FILES)
 def size_of_files(spark, sf_dir):
     """The report of a dataset folder, with its shards."""
     report = reports.size_of(spark, views.folder(spark, sf_dir))
     return report.drop("source", "kind", "n_bytes").withColumnsRenamed({"n_dynamic_measurements": "n_dynamic", "n_static_measurements": "n_static"})
 
 
+@query(_SIZES_OF_FILES)
+def size_at_uri(spark, sf_dir):
+    """The same of a dataset at a URI."""
+    report = reports.size_of(spark, f"file://{views.folder(spark, sf_dir)}")
+    return report.drop("source", "kind", "n_bytes").withColumnsRenamed({"n_dynamic_measurements": "n_dynamic", "n_static_measurements": "n_static"})
+
+
 @query(f"WITH {EVENTS}, {SPLITS}, {_TRAIN}, {_FILED} SELECT shard, subject_id, count(*) AS n_rows FROM fr WHERE subject_id NOT IN (SELECT subject_id FROM tk WHERE rank >= 50) GROUP BY shard, subject_id")
 def stage_filter(spark, sf_dir):
     """The pipeline stage over a dataset folder's shards."""

@@ -89,7 +89,7 @@ def folder(spark: SparkSession, sf_dir: str) -> Path:
         write_partitioned(rows, "shard", keys, lambda k: root / "data" / f"{k}.parquet", root, ["subject_id", "time", "code", "numeric_value"], order)
         write_one_file(splits(spark, sf_dir), root / SPLITS_FILE)
         write_one_file(codes(spark, sf_dir), root / CODES_FILE)
-        write_one_file(labels(spark, sf_dir).select("subject_id", "prediction_time", "boolean_value"), root / "labels/orders/0.parquet")
+        write_one_file(labels(spark, sf_dir).orderBy("label_id").select("subject_id", "prediction_time", "boolean_value"), root / "labels/orders/0.parquet")
 
     return once(spark, sf_dir, "view", write)
 
