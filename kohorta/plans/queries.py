@@ -502,6 +502,14 @@ def family_labels(spark, sf_dir):
     return spark.createDataFrame([(m["n_subjects"], m["n_index_rows"], m["index_id"]) for m in _family(spark, sf_dir)["members"].values()], "member long, n_index_rows long, index_id string")
 
 
+@query(f"WITH {SPLITS}, {_MEMBERS_OF} SELECT member, member AS n_subjects, {_fold(_ID, 'subject_id')} AS subject_set_id FROM (SELECT DISTINCT member, subject_id FROM mp) GROUP BY member")
+def family_blocks(spark, sf_dir):
+    """What the dataset.json files of a built family's members say of them."""
+    roots = {m["n_subjects"]: m["root"] for m in _family(spark, sf_dir)["members"].values()}
+    read = lambda n: spark.read.schema("subset_of struct<n_subjects:bigint,subject_set_id:string>").json(f"{roots[n]}/metadata/dataset.json", multiLine=True)
+    return _of_members(spark, sf_dir, read).select("member", "subset_of.n_subjects", "subset_of.subject_set_id")
+
+
 @query(f"WITH {SPLITS}, {_MEMBERS_OF} SELECT member, subject_id, split FROM mp")
 def family_splits(spark, sf_dir):
     """The splits files of a built family's members."""
@@ -666,6 +674,13 @@ def family_codes(spark, sf_dir):
     return _of_members(spark, sf_dir, lambda n: EventDataset(spark, roots[n]).codes())
 
 
+@query(f"WITH {EVENTS} SELECT subject_id, {_CANON} AS canonical FROM ev WHERE time IS NULL")
+def pinned_rows(spark, sf_dir):
+    """Rows without a column, rendered at the schema of the whole table."""
+    events = views.events(spark, sf_dir)
+    return digests.canonical_rows(events.where(F.col("time").isNull()).drop("numeric_value"), schema=events.schema)
+
+
 @query(f"WITH {SPLITS} SELECT subject_id FROM sp")
 def excluded_subjects(spark, sf_dir):
     """All subjects of a dataset folder's splits file, as a resample leaves them out."""
@@ -698,6 +713,15 @@ def size_of_files(spark, sf_dir):
     return report.drop("source", "kind", "n_bytes").withColumnsRenamed({"n_dynamic_measurements": "n_dynamic", "n_static_measurements": "n_static"})
 
 
+@query(_SIZES_OF_FILES)
+def size_report_file(spark, sf_dir):
+    """The report's own Parquet file."""
+    root = views.folder(spark, sf_dir)
+    made = views.once(spark, sf_dir, "report", lambda to: reports.write_report([reports.size_of(spark, root)], to / "sizes.parquet", None)) / "sizes.parquet"
+    report = spark.read.parquet(str(made)).drop("source", "kind", "n_bytes")
+    return report.withColumnsRenamed({"n_dynamic_measurements": "n_dynamic", "n_static_measurements": "n_static"})
+
+
 @query(_SIZES_OF_FILES)
 def size_at_uri(spark, sf_dir):
     """The same of a dataset at a URI."""
