@@ -121,3 +121,23 @@ def test_components_of_paths_and_stars(spark):
     rows = components(spark.createDataFrame(edges, "u long, v long")).collect()
     assert {r.node: r.root for r in rows} == {**{i: 0 for i in range(51)}, **{100 + i: 100 for i in range(80)}, 300: 300, 301: 300}
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_recall_by_similarity(spark):
+    """Of planted pairs at 0.8 and above at least nine in ten are found in every band of similarity, and none below."""
+    r = random.Random(11)
+    rows, pairs = [], []
+    for i in range(240):
+        words = [f"w{r.randrange(10**6)}" for _ in range(200)]
+        other = list(words)
+        for at in r.sample(range(2, 198, 6), 1 + i % 6):  # far apart, so that each changes five shingles of its own
+            other[at] = f"x{r.randrange(10**6)}"
+        a, b = ({tuple(w[j : j + 5]) for j in range(len(w) - 4)} for w in (words, other))
+        pairs.append((2 * i, 2 * i + 1, len(a & b) / len(a | b)))
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+    found = {x.doc_id: x.class_id for x in N.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for low, high in ((0.8, 0.85), (0.85, 0.9), (0.9, 1.01)):
+        own = [found[a] == found[b] for a, b, s in pairs if low <= s < high]
+        assert len(own) >= 40 and sum(own) >= 0.9 * len(own)
+    below = [found[a] == found[b] for a, b, s in pairs if s < 0.8]
+    assert below and not any(below)
