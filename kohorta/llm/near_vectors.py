@@ -172,10 +172,18 @@ def _by_pivot(batches: Iterator[pa.RecordBatch], pivots: dict[int, np.ndarray])
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pivot), pa.array(near)], [*batch.schema.names, "pivot", "near"])
 
 
-def _box(table: pa.Table) -> pa.Table:
-    u = unit(matrix(table.column("v").combine_chunks()))
-    each = [table.column("dims")[0].as_py(), table.column("tile")[0].as_py(), u.min(axis=0), u.max(axis=0)]
-    return pa.table([pa.array([x], t) for x, t in zip(each, (pa.int32(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64())), strict=True)], ["dims", "tile", "low", "high"])
+@frugal
+def _boxes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(dims, tile, low, high): the boxes around the unit vectors of each tile in a batch."""
+    for batch in batches:
+        size, tile = batch.column("dims").to_numpy(), batch.column("tile").to_numpy()
+        rows = []
+        for d, t in sorted(set(zip(size.tolist(), tile.tolist(), strict=True))):
+            u = unit(matrix(batch.column("v").take(pa.array(np.flatnonzero((size == d) & (tile == t))))))
+            rows.append((d, t, u.min(axis=0), u.max(axis=0)))
+        columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
+        types = (pa.int32(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64()))
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], ["dims", "tile", "low", "high"])
 
 
 def usable(v: Column) -> Column:
@@ -189,11 +197,19 @@ def _node(v: Column) -> Column:
     return F.unhex(F.md5(F.concat_ws(",", F.transform(v, lambda x: x.cast("string")))))
 
 
+def chained(pivots: np.ndarray) -> np.ndarray:
+    """The pivots in an order in which each is followed by the nearest of those that are left, so that tiles hold neighbours."""
+    order, left = [0], list(range(1, len(pivots)))
+    while left:
+        order.append(left.pop(int((pivots[left] @ pivots[order[-1]]).argmax())))
+    return pivots[order]
+
+
 def _tiles(nodes: DataFrame, scratch: Scratch, tile_rows: int) -> DataFrame:
     """``nodes`` with ``tile``, numbered from 0 in each length: those with near pivots lie together."""
     n = nodes.count()
     lead = nodes.orderBy("node").limit(PIVOTS).select("dims", "v").collect()
-    pivots = {d: unit(np.array([r.v for r in lead if r.dims == d], dtype=np.float64)) for d in {r.dims for r in lead}}
+    pivots = {d: chained(unit(np.array([r.v for r in lead if r.dims == d], dtype=np.float64))) for d in {r.dims for r in lead}}
     schema = T.StructType([*nodes.schema.fields, T.StructField("pivot", T.IntegerType()), T.StructField("near", T.DoubleType())])
     keyed = nodes.mapInArrow(lambda it: _by_pivot(it, pivots), schema)
     laid = keyed.repartitionByRange(max(1, -(-n // tile_rows)), "dims", "pivot", "near", "node").drop("pivot", "near")
@@ -205,7 +221,10 @@ def _tiles(nodes: DataFrame, scratch: Scratch, tile_rows: int) -> DataFrame:
 
 def _cells(tiles: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
     """(dims, a, b) of the pairs of tiles whose boxes are near enough for a link."""
-    boxes = scratch.stored(tiles.groupBy("dims", "tile").applyInArrow(_box, "dims int, tile bigint, low array<double>, high array<double>"), "boxes")
+    made = tiles.select("dims", "tile", "v").mapInArrow(_boxes, "dims int, tile bigint, low array<double>, high array<double>")  # a row a batch and tile
+    sides = made.select("dims", "tile", F.posexplode(F.arrays_zip("low", "high")).alias("at", "x")).groupBy("dims", "tile", "at").agg(F.min("x.low").alias("low"), F.max("x.high").alias("high"))
+    whole = sides.groupBy("dims", "tile").agg(F.sort_array(F.collect_list(F.struct("at", "low", "high"))).alias("s"))
+    boxes = scratch.stored(whole.select("dims", "tile", F.col("s.low").alias("low"), F.col("s.high").alias("high")), "boxes")
     last = boxes.groupBy("dims").agg(F.max("tile").alias("last"))
     pairs = boxes.join(last, "dims").select("dims", F.col("tile").alias("a"), "low", "high", F.explode(F.sequence("tile", "last")).alias("b"))
     other = boxes.select("dims", F.col("tile").alias("b"), F.col("low").alias("other_low"), F.col("high").alias("other_high"))

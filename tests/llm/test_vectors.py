@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from kohorta.llm import centroid_clusters, near_vectors, queries
+from kohorta.llm.common import Scratch
 from kohorta.llm.centroid_clusters import assigned, clusters, drops
 from kohorta.llm.near_vectors import linked, quantised, unit
 
@@ -80,6 +81,19 @@ def test_bounds_hold_and_decide_most_pairs():
     assert 0 < again < len(i)
 
 
+def test_far_tiles_are_left_out(spark):
+    r = np.random.default_rng(8)
+    corners = np.eye(8)
+    rows = [(i, (corners[i % 8] + 0.05 * r.normal(size=8)).tolist()) for i in range(1600)]
+    nodes = spark.createDataFrame([(str(i).encode(), 1, v, 8) for i, v in rows], "node binary, copies long, v array<double>, dims int")
+    scratch = Scratch(spark)
+    tiles = scratch.stored(near_vectors._tiles(nodes, scratch, 100), "tiles")
+    boxes, cells = tiles.select("tile").distinct().count(), near_vectors._cells(tiles, 0.95, scratch).collect()
+    assert boxes >= 12 and len(cells) < boxes * (boxes + 1) / 2 / 2
+    got = near_vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), tile_rows=100)
+    assert by_text(got.collect()) == by_text(plain_links(rows))
+
+
 def test_no_vectors_and_bad_thresholds(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert near_vectors.near_vectors(none).collect() == [] and clusters(none).collect() == []
