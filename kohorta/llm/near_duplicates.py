@@ -13,7 +13,8 @@ exact Jaccard similarity of their shingle sets reaches ``similarity``; classes a
 Groups are never expanded into all pairs.  Equal texts are one node from the start.  In each bucket all
 nodes are first compared with the most central one (that with the least share of shingles that no other
 candidate has), then, where several components remain, with another one; last, nodes of a bucket that are
-still in different components are compared with each other, whatever their number.  There, pairs go without a
+still in different components are compared with each other, whatever their number, a pair of blocks of them at a
+time, so that a large bucket is spread over many tasks.  There, pairs go without a
 comparison only if a bound keeps them below the similarity: outside the central node's set, two sets can
 share no shingle that only one candidate has; inside it, they differ by at least the difference of what either
 lacks.  So no candidate pair between different components goes unchecked.
@@ -37,6 +38,8 @@ from .components import components
 
 BANDS, ROWS = 25, 5
 SIMILARITY = 0.8
+#: Nodes of a bucket that are compared with as many others in one group of a shuffle.
+BLOCK = 512
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -155,7 +158,21 @@ def _similar(similarity: float) -> Column:
     return F.col("shared") >= similarity * (F.col("a") + F.col("b") - F.col("shared"))
 
 
-def _classes(docs: DataFrame, text: str, key: str, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
+def _blocks(rest: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """The two sides of the comparison of each bucket's nodes, keyed by bucket and a pair of blocks, low <= high.
+
+    A bucket has one block for every ``block`` of its nodes, so a key has about twice as many rows on a side at most, however
+    large the bucket is; a node goes to the keys that its block is the low one of on the left, and the high one on the right.
+    """
+    many = rest.groupBy("bucket").agg(F.ceil(F.count("*") / block).alias("blocks"))
+    dealt = rest.join(many, "bucket").withColumn("at", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    columns = ("node", "part", "size", "own", "lacks", "extra")
+    left = dealt.select("bucket", F.col("at").alias("low"), F.explode(F.sequence("at", F.col("blocks") - 1)).alias("high"), *columns)
+    renamed = [F.col(c).alias(f"other_{c}") for c in columns]
+    return left, dealt.select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), "at")).alias("low"), F.col("at").alias("high"), *renamed)
+
+
+def _classes(docs: DataFrame, text: str, key: str, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """(id, node) of every row, and (node, part, least) of every node."""
     shared_dir(docs.sparkSession)
     scratch = Scratch(docs.sparkSession)
@@ -210,11 +227,12 @@ def _classes(docs: DataFrame, text: str, key: str, similarity: float = SIMILARIT
     able = F.col("own") <= F.col("size") * (1 - similarity) + 1e-9
     lacks = F.when(F.col("u") == F.col("low"), F.col("a")).otherwise(F.col("b")) - F.col("shared")
     rest = scratch.stored(left.where(able).join(star, ["u", "v"]).select("bucket", "node", "part", "size", "own", lacks.alias("lacks"), (F.col("size") - F.col("shared")).alias("extra")), "rest")
-    other = rest.select("bucket", *[F.col(c).alias(f"other_{c}") for c in ("node", "part", "size", "own", "lacks", "extra")])
+    left, right = _blocks(rest, block)
     common = F.least(F.col("extra") - F.col("own"), F.col("other_extra") - F.col("other_own"))
     differ = F.col("extra") + F.col("other_extra") - common * 2 + F.abs(F.col("lacks") - F.col("other_lacks"))
     near_enough = differ <= (F.col("size") + F.col("other_size")) * ((1 - similarity) / (1 + similarity)) + 1e-9
-    cross = rest.join(other, "bucket").where((F.col("node") < F.col("other_node")) & (F.col("part") != F.col("other_part")) & near_enough)
+    once = (F.col("low") != F.col("high")) | (F.col("node") < F.col("other_node"))
+    cross = left.join(right, ["bucket", "low", "high"]).where(once & (F.col("part") != F.col("other_part")) & near_enough)
     links = links.unionByName(_linked(pair("node", "other_node", cross), sets, similarity))
     part = settled(links)
 
@@ -225,7 +243,7 @@ def _classes(docs: DataFrame, text: str, key: str, similarity: float = SIMILARIT
 
 
 def near_duplicate_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
-    """(``key``, class_id) of every row; options: similarity, bands, rows."""
+    """(``key``, class_id) of every row; options: similarity, bands, rows, block."""
     rows, named = _classes(docs, text, key, **options)
     classes = named.join(named.groupBy("part").agg(F.min("least").alias("class_id")), "part").select("node", "class_id")
     return rows.select(F.col("id").alias(key), "node").join(classes, "node").select(key, "class_id")

@@ -141,3 +141,31 @@ def test_recall_by_similarity(spark):
         assert len(own) >= 40 and sum(own) >= 0.9 * len(own)
     below = [found[a] == found[b] for a, b, s in pairs if s < 0.8]
     assert below and not any(below)
+
+
+def test_blocks_pair_all_nodes_of_a_bucket_once(spark):
+    """Of any bucket, larger than a block or not, each pair of nodes is compared once, and no key holds many of them."""
+    rows = [(b, f"{b}-{i}", f"{i}", 9, 0, 0, 0) for b, n in ((1, 60), (2, 7), (3, 1)) for i in range(n)]
+    rest = spark.createDataFrame(rows, "bucket long, node string, part string, size int, own int, lacks int, extra int")
+    left, right = N._blocks(rest, 7)
+    met = left.join(right, ["bucket", "low", "high"]).where("low != high OR node < other_node").select("node", "other_node").collect()
+    pairs = [tuple(sorted(p)) for p in met]
+    assert len(pairs) == len(set(pairs)) == 60 * 59 // 2 + 7 * 6 // 2
+    most = left.groupBy("bucket", "low", "high").count().agg({"count": "max"}).first()[0]
+    assert most < 3 * 7
+
+
+def test_chains_of_neighbours_in_small_blocks(spark):
+    """Texts that slide over a word list are near their neighbours only, so that a bucket's nodes stay undecided to the end."""
+    r = random.Random(3)
+    docs = []
+    for _ in range(6):
+        words = [f"w{r.randrange(10**6)}" for _ in range(600)]
+        docs += [" ".join(words[i : i + 120]) for i in range(0, 480, 8)]
+    docs = list(enumerate(docs))
+    r.shuffle(docs)
+    want = brute(docs)
+    assert len(set(want.values())) == 6
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for block in (2, N.BLOCK):
+        assert {x.doc_id: x.class_id for x in N.near_duplicate_classes(df, block=block).collect()} == want
