@@ -16,10 +16,11 @@ from ..config import ResampleConfig, SubsetConfig
 from ..functions.framing import digest, short_id
 from ..functions.ranks import uniform_score
 from ..operators import digests, ragged, resampling, selection, sizes
-from ..sources.dataset import EventDataset, read_excluded, read_shards, shard_paths
+from ..sources.dataset import EventDataset, read_excluded, read_labels, read_shards, shard_paths
 from ..sources.tensors import TensorCohort
 from ..sources.uris import UriDataset
 from ..stage import subset_subjects
+from ..streaming import keep_subject_digests, kept_digests
 from ..tensorized import build_tensorized_family
 from . import views
 from .views import CODES, EVENTS, LABELS, SALT, SPLITS, U64, rank_sql, score_sql
@@ -250,6 +251,24 @@ def subject_digests(spark, sf_dir):
     return digests.subject_digests(views.events(spark, sf_dir))
 
 
+#: Micro-batches that the appended files come in.
+BATCHES = 4
+
+
+@query(f"WITH {EVENTS}, {_CR}, {_SD} SELECT * FROM sd")
+def streamed_digests(spark, sf_dir):
+    """The same, kept up to date while the rows come in micro-batches, a subject's over several of them."""
+    source = views.appended(spark, sf_dir)
+    rows = f"file://{source}"
+    each = -(-len(list(source.glob("*.parquet"))) // BATCHES)
+
+    def follow(to: Path) -> None:
+        stream = spark.readStream.schema(spark.read.parquet(rows).schema).option("maxFilesPerTrigger", each).parquet(rows)
+        keep_subject_digests(stream, f"file://{to}/digests", f"file://{to}/checkpoint").awaitTermination()
+
+    return kept_digests(spark, f"file://{views.once(spark, sf_dir, 'streamed', follow)}/digests")
+
+
 @query(f"WITH {EVENTS}, {SPLITS}, {_CR}, {_SD}, {_TAG}, {_CID} SELECT * FROM ci")
 def content_ids(spark, sf_dir):
     return digests.content_ids(views.events(spark, sf_dir), views.splits(spark, sf_dir))
@@ -438,6 +457,10 @@ _MEMBERS_OF = (
     f"{_PS}, nt AS (SELECT count(*) AS n FROM sp WHERE split = 'train'), mm AS (SELECT CAST(unnest([n // 12, n // 2]) AS BIGINT) AS member FROM nt), "
     "mp AS (SELECT member, subject_id, split FROM ps, mm WHERE split <> 'train' OR rank < member)"
 )
+_SHARDED = (
+    f"mq AS (SELECT member, subject_id, split, CASE WHEN split = 'train' THEN 'train/' || CAST(rank // greatest(n // 12, 1) AS VARCHAR) "
+    f"ELSE split || '/' || CAST(subject_id % {views.SHARDS_PER_SPLIT} AS VARCHAR) END AS shard FROM ps, mm, nt WHERE split <> 'train' OR rank < member)"
+)
 
 
 def _config(spark, sf_dir, **more) -> SubsetConfig:
@@ -502,6 +525,13 @@ def family_labels(spark, sf_dir):
     return spark.createDataFrame([(m["n_subjects"], m["n_index_rows"], m["index_id"]) for m in _family(spark, sf_dir)["members"].values()], "member long, n_index_rows long, index_id string")
 
 
+@query(f"WITH {SPLITS}, {LABELS}, {_MEMBERS_OF}, {_SHARDED} SELECT member, shard, subject_id, prediction_time, boolean_value FROM mq JOIN lb USING (subject_id)")
+def family_label_rows(spark, sf_dir):
+    """The members' label rows with their shards, from the files themselves."""
+    roots = {m["n_subjects"]: Path(m["root"]) / "tasks" / m["task"] for m in _family(spark, sf_dir)["members"].values()}
+    return _of_members(spark, sf_dir, lambda n: read_labels(spark, roots[n])).select("member", "shard", "subject_id", "prediction_time", "boolean_value")
+
+
 @query(f"WITH {SPLITS}, {_MEMBERS_OF} SELECT member, member AS n_subjects, {_fold(_ID, 'subject_id')} AS subject_set_id FROM (SELECT DISTINCT member, subject_id FROM mp) GROUP BY member")
 def family_blocks(spark, sf_dir):
     """What the dataset.json files of a built family's members say of them."""
@@ -517,12 +547,6 @@ def family_splits(spark, sf_dir):
     return _of_members(spark, sf_dir, lambda n: EventDataset(spark, roots[n]).splits())
 
 
-_SHARDED = (
-    f"mq AS (SELECT member, subject_id, split, CASE WHEN split = 'train' THEN 'train/' || CAST(rank // greatest(n // 12, 1) AS VARCHAR) "
-    f"ELSE split || '/' || CAST(subject_id % {views.SHARDS_PER_SPLIT} AS VARCHAR) END AS shard FROM ps, mm, nt WHERE split <> 'train' OR rank < member)"
-)
-
-
 @query(
     f"WITH {EVENTS}, {SPLITS}, {_MEMBERS_OF}, {_SHARDED} SELECT member, shard, subject_id, count(*) AS n_rows, count(time) AS n_timed, count(DISTINCT code) AS n_codes, "
     "min(numeric_value) AS least, max(numeric_value) AS most FROM mq JOIN ev USING (subject_id) GROUP BY ALL"

@@ -94,6 +94,13 @@ def folder(spark: SparkSession, sf_dir: str) -> Path:
     return once(spark, sf_dir, "view", write)
 
 
+def appended(spark: SparkSession, sf_dir: str) -> Path:
+    """The view's rows in files by ranges of time, rows without one first: a subject's rows lie in many of them."""
+    n = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    write = lambda root: events(spark, sf_dir).repartitionByRange(n, F.col("time").asc_nulls_first(), "subject_id").write.parquet(f"file://{root}/rows")
+    return once(spark, sf_dir, "appended", write) / "rows"
+
+
 def tensors(spark: SparkSession, sf_dir: str) -> Path:
     """The view as a tensor cohort: a code's number is its length; subjects lie by id, events by time, measurements by code and value."""
 
