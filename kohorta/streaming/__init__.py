@@ -6,8 +6,9 @@ subject's over several micro-batches too:
     _rows/batch=<n>/bucket=<b>/...   the batch's canonical rows
     batch=<n>/...                    the digests of the batch's subjects, over their rows of this and earlier batches
 
-Only rows of a batch's own subjects are read again, from the buckets that they lie in.  A batch that is run again replaces
-what it wrote.
+Only rows of a batch's own subjects are read again, from the buckets that they lie in.  A batch's rows are laid out by ranges
+of bucket, subject and row, so that it writes about as many files as it has tasks and buckets, and a subject with most of the rows
+is several tasks'.  A batch that is run again replaces what it wrote.
 """
 
 from __future__ import annotations
@@ -29,7 +30,8 @@ def keep_subject_digests(events: DataFrame, path: str, checkpoint: str, subject:
         spark = batch.sparkSession
         bucket = F.pmod(F.xxhash64(subject), F.lit(BUCKETS)).cast("int")
         own = f"{path}/_rows/batch={number}"
-        canonical_rows(batch, subject).withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(own)
+        rows = canonical_rows(batch, subject).withColumn("bucket", bucket)
+        rows.repartitionByRange("bucket", subject, "canonical").write.mode("overwrite").partitionBy("bucket").parquet(own)
         touched = spark.read.parquet(own).select(subject, "bucket").distinct()
         rows = spark.read.parquet(f"{path}/_rows").where(F.col("batch") <= number)
         used = [r["bucket"] for r in touched.select("bucket").distinct().collect()]  # ``BUCKETS`` at most

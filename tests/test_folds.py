@@ -23,6 +23,19 @@ def test_a_subject_over_several_batches_has_one_digest(spark, tmp_path):
     assert len(got) == 7
 
 
+def test_a_batch_writes_a_bounded_number_of_files(spark, tmp_path):
+    from kohorta.streaming import BUCKETS, keep_subject_digests, kept_digests
+
+    # half of the rows are one subject's, and all tasks have rows of all buckets
+    rows = spark.range(6000, numPartitions=8).selectExpr("if(id % 2 = 0, -1, id) AS subject_id", "concat('c', id % 100) AS code")
+    rows.write.parquet(str(tmp_path / "in"))
+    out = tmp_path / "out"
+    keep_subject_digests(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), str(out), str(tmp_path / "checkpoint")).awaitTermination(120)
+    assert len(list(out.glob("_rows/batch=0/*/*.parquet"))) <= BUCKETS + int(spark.conf.get("spark.sql.shuffle.partitions"))
+    got = {r.subject_id: r.digest for r in kept_digests(spark, str(out)).collect()}
+    assert got == {r.subject_id: r.digest for r in digests.subject_digests(rows).collect()} and len(got) == 3001
+
+
 def test_folds_by_ranges_give_the_same_ids(spark):
     import random
 
