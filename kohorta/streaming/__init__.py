@@ -8,7 +8,8 @@ subject's over several micro-batches too:
 
 Only rows of a batch's own subjects are read again, from the buckets that they lie in.  A batch's rows are laid out by ranges
 of bucket, subject and row, so that it writes about as many files as it has tasks and buckets, and a subject with most of the rows
-is several tasks'.  A batch that is run again replaces what it wrote.
+is several tasks' in that write, if they differ; the digest itself is one task's.  To choose the ranges the batch is read once more.
+A batch that is run again replaces what it wrote.
 """
 
 from __future__ import annotations
