@@ -21,6 +21,7 @@ from __future__ import annotations
 import json
 import logging
 import uuid
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -101,10 +102,15 @@ class Catalog(_Recorded):
         if stored is not None:
             files = files.join(stored, "stored", "left_semi")
         paths = [literal(r["path"]) for r in files.select("path").collect()]
-        name = F.regexp_extract(decoded(F.col("_metadata.file_path")), r"/stored=([^/]*)/[^/]*$", 1)
         if not paths:
             return self.spark.createDataFrame([], T.StructType([*schema.fields, T.StructField("stored", T.StringType())]))
-        return self.spark.read.schema(schema).parquet(*paths).select("*", F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))).alias("stored"))
+        rows = self.spark.read.schema(schema).parquet(*paths)
+        listed = [(p, unquote(unquote(p.rsplit("/", 2)[1].partition("=")[2]))) for p in rows.inputFiles()]  # escaped by Spark as a name, and as a path
+        names = self.spark.createDataFrame(listed, "_path string, _name string")
+        slow = F.regexp_extract(decoded(F.col("_path")), r"/stored=([^/]*)/[^/]*$", 1)
+        slow = F.url_decode(F.replace(slow, F.lit("+"), F.lit("%2B")))
+        found = rows.select("*", F.col("_metadata.file_path").alias("_path")).join(F.broadcast(names), "_path", "left")  # a row a file
+        return found.select(*[F.col(f"`{c}`") for c in schema.names], F.coalesce("_name", slow).alias("stored"))
 
     def _member(self, n: int) -> DataFrame:
         """(shard, stored) of a member's shards."""
@@ -116,7 +122,7 @@ class Catalog(_Recorded):
     def _of_member(self, kind: str, n: int) -> DataFrame:
         shards = self._member(n)
         rows = self._rows(kind, shards)
-        return rows.join(F.broadcast(shards), "stored").drop("stored")  # a row a file
+        return rows.join(F.broadcast(shards), "stored").drop("stored")  # a row a shard
 
     def events(self, n: int) -> DataFrame:
         """The rows of the member of ``n`` subjects, with their shard."""
@@ -240,8 +246,8 @@ class Catalog(_Recorded):
         return by_subject.unionByName(by_file)
 
     def _write(self, rows: DataFrame, columns: list[str], order: list, name: str) -> None:
-        """A file a shard: its rows meet in one task, whose size is the shard's."""
-        ready = rows.repartition("stored").sortWithinPartitions("stored", *order).select(*[F.col(f"`{c}`") for c in columns], "stored")
+        """Files of ranges of a shard's rows in its order, one where the shard is small: no task sorts a large shard's rows."""
+        ready = rows.repartitionByRange(F.col("stored"), *order).sortWithinPartitions("stored", *order).select(*[F.col(f"`{c}`") for c in columns], "stored")
         made = ready.write.option("parquet.block.row.count.limit", ROW_GROUP).option("maxRecordsPerFile", 0)
         made.partitionBy("stored").parquet(self._at(name))
 

@@ -10,7 +10,7 @@ from urllib.parse import urlparse
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ranks import uniform_score
@@ -76,7 +76,11 @@ def once(spark: SparkSession, sf_dir: str, name: str, write: Callable[[Path], ob
 
 def filed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of listed subjects with the shard that a dataset folder has them in."""
-    return events(spark, sf_dir).join(splits(spark, sf_dir), "subject_id").withColumn("shard", F.concat("split", F.lit("/"), F.pmod("subject_id", F.lit(SHARDS_PER_SPLIT)).cast("string")))
+    return events(spark, sf_dir).join(splits(spark, sf_dir), "subject_id").withColumn("shard", _shard())
+
+
+def _shard() -> Column:
+    return F.concat("split", F.lit("/"), F.pmod("subject_id", F.lit(SHARDS_PER_SPLIT)).cast("string"))
 
 
 def folder(spark: SparkSession, sf_dir: str) -> Path:
@@ -84,7 +88,7 @@ def folder(spark: SparkSession, sf_dir: str) -> Path:
 
     def write(root: Path) -> None:
         rows = filed(spark, sf_dir)
-        keys = [r["shard"] for r in rows.select("shard").distinct().collect()]
+        keys = [r["shard"] for r in splits(spark, sf_dir).select(_shard().alias("shard")).distinct().collect()]  # every listed subject has a row
         order = [F.col("subject_id"), F.col("time").asc_nulls_first()]
         write_partitioned(rows, "shard", keys, lambda k: root / "data" / f"{k}.parquet", root, ["subject_id", "time", "code", "numeric_value"], order)
         write_one_file(splits(spark, sf_dir), root / SPLITS_FILE)

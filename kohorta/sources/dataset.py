@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
 
@@ -136,18 +136,29 @@ def _shown(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.
                 place += n
 
 
-def _scan(spark: SparkSession, paths: list[Path], schema: pa.Schema) -> DataFrame:
-    """The rows of files of one schema, and the columns _path and _row: the file and the place in it."""
+def below(path: Column, prefix: str, slow: Column) -> Column:
+    """The shard's name from a file's escaped path: what follows ``prefix``, without its suffix; ``slow`` where that needs more than a cut.
+
+    A row's path is a string to work on for every row, so that decoding and patterns are kept for paths that need them.
+    """
+    rest = F.substring(path, F.lit(len(prefix) + 1), F.length(path) - F.lit(len(prefix) + len(".parquet")))
+    return F.when(path.startswith(prefix) & path.endswith(".parquet") & ~path.contains("%"), rest).otherwise(slow)
+
+
+def _scan(spark: SparkSession, paths: list[Path], schema: pa.Schema, prefix: str, shard: Callable[[Column], Column]) -> DataFrame:
+    """The rows of files of one schema, and the columns shard and _row: the file's name and the place in it."""
     seen = [p for p in paths if not p.name.startswith("_")]
     out = None
     if seen:
-        path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))  # a plus is a plus in paths
-        out = spark.read.parquet(*map(literal, seen)).select(*[F.col(f"`{n}`") for n in schema.names], path.alias("_path"), F.col("_metadata.row_index").alias("_row"))
+        raw = F.col("_metadata.file_path")
+        path = F.url_decode(F.replace(raw, F.lit("+"), F.lit("%2B")))  # a plus is a plus in paths
+        out = spark.read.parquet(*map(literal, seen)).select(*[F.col(f"`{n}`") for n in schema.names], below(raw, prefix, shard(path)).alias("shard"), F.col("_metadata.row_index").alias("_row"))
     if rest := [p for p in paths if p.name.startswith("_")]:  # Spark doesn't read them, so Arrow does
         plain = lambda t: t.value_type if pa.types.is_dictionary(t) else t
         full = pa.schema([pa.field(f.name, plain(f.type)) for f in schema] + [pa.field("_path", pa.string()), pa.field("_row", pa.int64())])
         named = spark.createDataFrame([(str(p),) for p in rest], "path string").repartition(len(rest))
         made = named.mapInArrow(lambda it: _shown(it, full), from_arrow_schema(full, prefer_timestamp_ntz=True))
+        made = made.select(*[F.col(f"`{n}`") for n in schema.names], shard(F.col("_path")).alias("shard"), "_row")
         out = made if out is None else out.unionByName(made)
     return out
 
@@ -170,14 +181,16 @@ def read_shards(spark: SparkSession, folder: Path, paths: list[Path], columns: d
         key = tuple((f.name, str(f.type)) for f in own)
         groups.setdefault(key, []).append(path)
         schemas.setdefault(key, pa.schema(own))
-    shard = F.regexp_replace(F.regexp_replace(F.col("_path"), "^.*?" + re.escape(folder.resolve().as_posix()) + "/", ""), r"\.parquet$", "")
-    if folder.resolve() != folder:
-        shard = F.regexp_replace(shard, "^.*?" + re.escape(folder.as_posix()) + "/", "")
+
+    def shard(path: Column) -> Column:
+        found = F.regexp_replace(F.regexp_replace(path, "^.*?" + re.escape(folder.resolve().as_posix()) + "/", ""), r"\.parquet$", "")
+        return found if folder.resolve() == folder else F.regexp_replace(found, "^.*?" + re.escape(folder.as_posix()) + "/", "")
+
     out = None
     for key, files in groups.items():
-        made = _scan(spark, files, schemas[key])
+        made = _scan(spark, files, schemas[key], folder.absolute().as_uri() + "/", shard)
         kept = [F.col(f"`{n}`").cast(columns[n]).alias(n) if columns else F.col(f"`{n}`") for n, _ in key]
-        made = made.select(*kept, shard.alias("shard"), "_row")
+        made = made.select(*kept, "shard", "_row")
         out = made if out is None else out.unionByName(made, allowMissingColumns=True)
     for n in names:
         if n not in out.columns:

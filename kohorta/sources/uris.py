@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.framing import folded_whole
-from .dataset import CODES_FILE, SIZED, SPLITS_FILE, EventDataset, NotADatasetError, literal
+from .dataset import CODES_FILE, SIZED, SPLITS_FILE, EventDataset, NotADatasetError, below, literal
 
 
 def is_uri(path: object) -> bool:
@@ -88,6 +88,12 @@ class Folder:
         fs, path = self._at(name)
         fs.delete(path, True)
 
+    def prefix(self, name: str = "") -> str:
+        """What the paths of files in this folder (or in ``name``), as Spark gives them, begin with."""
+        fs, own = self._at(name)
+        found = fs.makeQualified(own).toUri()
+        return f"{found.getScheme()}://{found.getAuthority() or ''}{found.getRawPath()}".rstrip("/") + "/"
+
     def below(self, path: Column, name: str = "") -> Column:
         """The part of a file's path, as Spark gives it, after this folder's (and ``name``'s)."""
         fs, own = self._at(name)
@@ -123,19 +129,20 @@ class UriDataset:
                 raise NotADatasetError(f"{self.root} has no shards under data/") from None
             raise
 
-    def _shard(self, path: Column) -> Column:
-        return F.regexp_replace(self.folder.below(path, "data"), r"\.parquet$", "")
+    def _shard(self) -> Column:
+        raw = F.col("_metadata.file_path")
+        return below(raw, self.folder.prefix("data"), F.regexp_replace(self.folder.below(decoded(raw), "data"), r"\.parquet$", ""))
 
     def events(self, places: bool = False) -> DataFrame:
         rows = self.spark.read.schema(self.schema).option("recursiveFileLookup", True).parquet(literal(f"{self.root}/data"))
         extra = [F.col("_metadata.row_index").alias("_row")] if places else []
-        return rows.select(*[F.col(f"`{n}`") for n in self.schema.names], self._shard(decoded(F.col("_metadata.file_path"))).alias("shard"), *extra)
+        return rows.select(*[F.col(f"`{n}`") for n in self.schema.names], self._shard().alias("shard"), *extra)
 
     def sized_events(self) -> DataFrame:
         """The columns that sizes depend on, of shards of any width."""
         pinned = ", ".join(f"{n} {kind}" for n, kind in SIZED.items())
         rows = self.spark.read.schema(pinned).option("recursiveFileLookup", True).parquet(literal(f"{self.root}/data"))
-        return rows.select(*SIZED, self._shard(decoded(F.col("_metadata.file_path"))).alias("shard"))
+        return rows.select(*SIZED, self._shard().alias("shard"))
 
     def subject_shards(self) -> DataFrame:
         return self.sized_events().select(F.col("subject_id").cast("long"), "shard").distinct()
