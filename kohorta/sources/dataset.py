@@ -139,10 +139,14 @@ def _shown(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.
 def below(path: Column, prefix: str, slow: Column) -> Column:
     """The shard's name from a file's escaped path: what follows ``prefix``, without its suffix; ``slow`` where that needs more than a cut.
 
-    A row's path is a string to work on for every row, so that decoding and patterns are kept for paths that need them.
+    Every row has its file's path, so decoding and patterns are kept for paths that need them.  An empty authority is
+    written as ``//`` or left out.
     """
-    rest = F.substring(path, F.lit(len(prefix) + 1), F.length(path) - F.lit(len(prefix) + len(".parquet")))
-    return F.when(path.startswith(prefix) & path.endswith(".parquet") & ~path.contains("%"), rest).otherwise(slow)
+    made = slow
+    for start in {prefix, prefix.replace(":///", ":/", 1)}:
+        rest = F.substring(path, F.lit(len(start) + 1), F.length(path) - F.lit(len(start) + len(".parquet")))
+        made = F.when(path.startswith(start) & path.endswith(".parquet") & ~path.contains("%"), rest).otherwise(made)
+    return made
 
 
 def _scan(spark: SparkSession, paths: list[Path], schema: pa.Schema, prefix: str, shard: Callable[[Column], Column]) -> DataFrame:
