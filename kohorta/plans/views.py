@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
 from pathlib import Path
 from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ranks import uniform_score
 from ..sources.dataset import CODES_FILE, SPLITS_FILE
-from ..sources.sinks import publish, write_one_file, write_partitioned
-from ..sources.tensors import DATA, EVENT_BOUNDS, MEASUREMENT_BOUNDS, SCHEMAS, SUFFIX, write_tensors
+from ..sources.sinks import ROW_GROUP, concatenated, publish, write_one_file, write_partitioned
+from ..sources.tensors import DATA, EVENT_BOUNDS, MEASUREMENT_BOUNDS, SCHEMAS, SUFFIX, Slice, open_tensors, write_slices, write_tensors
 from ..sources.uris import shared_folder
 
 SPLIT_SALT, SALT = "split", "kohorta"
@@ -105,29 +108,85 @@ def appended(spark: SparkSession, sf_dir: str) -> Path:
     return once(spark, sf_dir, "appended", write) / "rows"
 
 
+#: Rows that a piece of a tensor file is made of, about.
+PIECE = 1 << 18
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple[str, pa.Table]]:
+    """(shard, rows) of whole subjects, about ``PIECE`` rows at a time, of rows that come in the order of shard and subject."""
+    held: list[pa.RecordBatch] = []
+
+    def cut(rows: pa.Table) -> Iterator[tuple[str, pa.Table]]:
+        shards = rows.column("shard").combine_chunks().dictionary_encode()
+        codes = shards.indices.to_numpy()
+        edges = [0, *(np.flatnonzero(codes[1:] != codes[:-1]) + 1).tolist(), len(codes)]
+        for first, end in zip(edges, edges[1:], strict=False):
+            if end > first:
+                yield rows.column("shard")[first].as_py(), rows.slice(first, end - first)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch.select(columns))
+        if sum(b.num_rows for b in held) < PIECE:
+            continue
+        rows = pa.Table.from_batches(held)
+        last = rows.num_rows - 1
+        ids, shards = rows.column("subject_id").to_numpy(), rows.column("shard")
+        other = np.flatnonzero((ids != ids[last]) | pc.not_equal(shards, shards[last]).to_numpy(zero_copy_only=False))
+        whole = int(other[-1]) + 1 if len(other) else 0
+        yield from cut(rows.slice(0, whole))
+        held = rows.slice(whole).to_batches()  # the last subject may go on
+    if held:
+        yield from cut(pa.Table.from_batches(held))
+
+
+def _piece(table: pa.Table, path: Path) -> None:
+    """Writes the tensors of some subjects' rows, and their schema beside them."""
+    frame = table.to_pandas().sort_values(["subject_id", "time", "code", "numeric_value"], na_position="first")
+    ids = np.unique(frame["subject_id"].to_numpy())
+    static, timed = frame[frame["time"].isna()], frame[frame["time"].notna()]
+    statics = static.groupby("subject_id")["code"].agg(list).reindex(ids)
+    each = timed.groupby(["subject_id", "time"]).size()
+    events_of = each.groupby("subject_id").size().reindex(ids, fill_value=0)
+    made = {
+        EVENT_BOUNDS: events_of.to_numpy().cumsum().astype("<i8"), "dim1/time_delta_days": np.ones(len(each), "<f4"), MEASUREMENT_BOUNDS: each.to_numpy().cumsum().astype("<i8"),
+        "dim2/code": timed["code"].to_numpy().astype("<i8"), "dim2/numeric_value": timed["numeric_value"].to_numpy().astype("<f4"),
+    }
+    schema = pa.table({"subject_id": pa.array(ids), "static_code": pa.array([x if isinstance(x, list) else None for x in statics], pa.list_(pa.uint8()))})
+    publish(lambda aside: write_tensors(aside, made), Path(f"{path}{SUFFIX}"))
+    publish(lambda aside: pq.write_table(schema, aside, row_group_size=ROW_GROUP), Path(f"{path}.parquet"))
+
+
 def tensors(spark: SparkSession, sf_dir: str) -> Path:
-    """The view as a tensor cohort: a code's number is its length; subjects lie by id, events by time, measurements by code and value."""
+    """The view as a tensor cohort: a code's number is its length; subjects lie by id, events by time, measurements by code and value.
+
+    Tasks write pieces of bounded numbers of rows; a task a shard then copies its pieces into one file, a few megabytes at a time.
+    """
 
     def write(root: Path) -> None:
+        columns = ["shard", "subject_id", "time", "code", "numeric_value"]
         rows = filed(spark, sf_dir).select("shard", "subject_id", "time", F.length("code").cast("long").alias("code"), "numeric_value")
-
-        def shard(key, table: pa.Table) -> pa.Table:
-            frame = table.to_pandas().sort_values(["subject_id", "time", "code", "numeric_value"], na_position="first")
-            ids = np.unique(frame["subject_id"].to_numpy())
-            static, timed = frame[frame["time"].isna()], frame[frame["time"].notna()]
-            statics = static.groupby("subject_id")["code"].agg(list).reindex(ids)
-            each = timed.groupby(["subject_id", "time"]).size()
-            events_of = each.groupby("subject_id").size().reindex(ids, fill_value=0)
-            made = {
-                EVENT_BOUNDS: events_of.to_numpy().cumsum().astype("<i8"), "dim1/time_delta_days": np.ones(len(each), "<f4"), MEASUREMENT_BOUNDS: each.to_numpy().cumsum().astype("<i8"),
-                "dim2/code": timed["code"].to_numpy().astype("<i8"), "dim2/numeric_value": timed["numeric_value"].to_numpy().astype("<f4"),
-            }
-            schema = pa.table({"subject_id": pa.array(ids), "static_code": pa.array([x if isinstance(x, list) else None for x in statics], pa.list_(pa.uint8()))})
-            publish(lambda aside: write_tensors(aside, made), root / DATA / f"{key[0].as_py()}{SUFFIX}")
-            publish(lambda aside: pq.write_table(schema, aside, row_group_size=100), root / SCHEMAS / f"{key[0].as_py()}.parquet")
-            return table.select(["shard"]).slice(0, 1)
-
-        rows.groupBy("shard").applyInArrow(lambda k, t: shard(k, t), "shard string").count()
+        aside = root / ".pieces"
+
+        def cut(batches):
+            for shard, table in _pieces(batches, columns):
+                first, name = table.column("subject_id")[0].as_py(), uuid.uuid4().hex
+                _piece(table.select(columns[1:]), aside / name)
+                yield pa.RecordBatch.from_pylist([{"shard": shard, "first": first, "name": name}])
+
+        def join(key, frame):
+            own = [aside / x for x in frame.sort_values("first")["name"]]
+            slices = [Slice(found, np.arange(len(found[EVENT_BOUNDS]))) for found in (open_tensors(f"{p}{SUFFIX}") for p in own)]
+            publish(lambda to: write_slices(to, slices), root / DATA / f"{key[0]}{SUFFIX}")
+            publish(lambda to: concatenated([f"{p}.parquet" for p in own], to), root / SCHEMAS / f"{key[0]}.parquet")
+            return frame[["shard"]].head(1)
+
+        ranged = rows.repartitionByRange("shard", "subject_id").sortWithinPartitions("shard", "subject_id")
+        made = ranged.mapInArrow(cut, "shard string, first bigint, name string").collect()  # a row a piece
+        listed = spark.createDataFrame(made, "shard string, first bigint, name string")
+        listed.groupBy("shard").applyInPandas(join, "shard string").count()
+        shutil.rmtree(aside, ignore_errors=True)
         write_one_file(codes(spark, sf_dir), root / CODES_FILE)
 
     return once(spark, sf_dir, "tensors", write)

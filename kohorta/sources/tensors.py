@@ -8,6 +8,7 @@ is subject i of the tensors.  A tensor ``dim1/<name>`` has one value an event an
 from __future__ import annotations
 
 import json
+import os
 import struct
 from collections.abc import Callable, Iterator, Mapping
 from pathlib import Path
@@ -73,6 +74,44 @@ def read_tensors(path: str | Path) -> dict[str, np.ndarray]:
     return out
 
 
+class Stored:
+    """A tensor in a file: slices and places of its first dimension are read when they are asked for, and nothing is mapped or kept."""
+
+    #: Bytes of a window that places are taken from.
+    STEP = 8 << 20
+
+    def __init__(self, file, begin: int, dtype: str, shape: list[int]):
+        self.file, self.begin, self.dtype, self.shape = file, begin, np.dtype(dtype), tuple(shape)
+        self.itemsize = self.dtype.itemsize
+        self._row = self.itemsize * int(np.prod(self.shape[1:], dtype=np.int64))
+
+    def __len__(self) -> int:
+        return self.shape[0] if self.shape else 0
+
+    def __getitem__(self, which: slice | np.ndarray) -> np.ndarray:
+        if isinstance(which, slice):
+            first, end, _ = which.indices(len(self))
+            data = os.pread(self.file.fileno(), max(0, end - first) * self._row, self.begin + first * self._row)
+            return np.frombuffer(data, self.dtype).reshape(max(0, end - first), *self.shape[1:])
+        order = np.argsort(which, kind="stable")
+        ascending, out = which[order], np.empty((len(which), *self.shape[1:]), self.dtype)
+        at, step = 0, max(1, self.STEP // max(1, self._row))
+        while at < len(ascending):
+            first = int(ascending[at])
+            end = int(np.searchsorted(ascending, first + step))
+            out[order[at:end]] = self[first : int(ascending[end - 1]) + 1][ascending[at:end] - first]
+            at = end
+        return out
+
+
+def open_tensors(path: str | Path) -> dict[str, Stored]:
+    """The tensors of a file, to be read in pieces."""
+    path = Path(path)
+    described, begin = _header(path)
+    file = path.open("rb", buffering=0)  # closed with the last tensor
+    return {name: Stored(file, begin + about["data_offsets"][0], TYPES[about["dtype"]], about["shape"]) for name, about in described.items()}
+
+
 def write_tensors(path: str | Path, tensors: Mapping[str, np.ndarray]) -> None:
     about = {name: (values.dtype, list(values.shape)) for name, values in tensors.items()}
     stream_tensors(path, about, lambda name: iter([tensors[name]]))
@@ -106,7 +145,7 @@ def _edges(ends: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Slice:
-    """The chosen subjects of one file: ranges of its tensors' bytes.  Holds four numbers a subject; values are read from the mapped file."""
+    """The chosen subjects of one file: ranges of its tensors' bytes.  Holds four numbers a subject; values are read when they are written."""
 
     #: Bytes of a tensor that are copied at a time.
     STEP = 8 << 20
@@ -136,16 +175,23 @@ class Slice:
         if name == MEASUREMENT_BOUNDS:  # each subject's ends go on from those of the subject before
             low, high = self.edges["dim2"]
             shift = before + np.r_[0, np.cumsum(high - low)[:-1]] - low
-            for i in np.flatnonzero(end > first).tolist():
-                for at in range(first[i], end[i], self._step(values)):
-                    yield np.asarray(values[at : min(end[i], at + self._step(values))], dtype=np.int64) + shift[i]
+            for at, to, i in self._stretches(first, end, self._step(values)):
+                yield np.asarray(values[at:to], dtype=np.int64) + shift[i]
             return
+        for at, to, _ in self._stretches(first, end, self._step(values)):
+            yield values[at:to]
+
+    @staticmethod
+    def _stretches(first: np.ndarray, end: np.ndarray, step: int) -> Iterator[tuple[int, int, int]]:
+        """(first, end, a subject) of what is read at a time; neighbours are one range."""
         some = np.flatnonzero(end > first)
+        if not len(some):
+            return
         first, end = first[some], end[some]
-        new = np.r_[True, first[1:] != end[:-1]] if len(some) else np.zeros(0, dtype=bool)  # neighbours are one range
-        for low, high in zip(first[new].tolist(), end[np.r_[np.flatnonzero(new)[1:] - 1, len(end) - 1]].tolist() if len(some) else [], strict=True):
-            for at in range(low, high, self._step(values)):
-                yield values[at : min(high, at + self._step(values))]
+        new = np.flatnonzero(np.r_[True, first[1:] != end[:-1]])
+        for low, high, i in zip(first[new].tolist(), end[np.r_[new[1:] - 1, len(end) - 1]].tolist(), some[new].tolist(), strict=True):
+            for at in range(low, high, step):
+                yield at, min(high, at + step), i
 
     def _step(self, values: np.ndarray) -> int:
         return max(1, self.STEP // max(1, values.itemsize * int(np.prod(values.shape[1:], dtype=np.int64))))
@@ -184,27 +230,29 @@ SPARK_TYPES = {
 ARROW_TYPES = {
     "double": pa.float64(), "float": pa.float32(), "bigint": pa.int64(), "int": pa.int32(), "smallint": pa.int16(), "tinyint": pa.int8(), "boolean": pa.bool_(),
 }
-#: Values of a subject batch, about.
-BATCH_VALUES = 1 << 18
+#: Values of a subject batch, about; subjects that a task reads.
+BATCH_VALUES, TASK_SUBJECTS = 1 << 18, 1 << 15
 
 
-def ragged_batches(path: str | Path, types: Mapping[str, str], limit: int = BATCH_VALUES) -> Iterator[pa.RecordBatch]:
-    """(row_index, values of each tensor) of the subjects of a file, a batch of about ``limit`` values at a time.
+def ragged_batches(path: str | Path, types: Mapping[str, str], limit: int = BATCH_VALUES, subjects: tuple[int, int] | None = None) -> Iterator[pa.RecordBatch]:
+    """(row_index, values of each tensor) of the subjects of a file, or of a range of them, a batch of about ``limit`` values at a time.
 
     ``types``: the tensors' names and Spark types; a dim1 tensor is a list a subject, a dim2 tensor a list of lists.
     """
-    tensors = read_tensors(path)
+    tensors = open_tensors(path)
     ends = tensors.get(EVENT_BOUNDS, np.zeros(0, np.int64))
     inner = tensors.get(MEASUREMENT_BOUNDS)
-    n, first = len(ends), 0
+    first, n = subjects or (0, len(ends))
+    n = min(n, len(ends))
+    event = int(ends[first - 1 : first][0]) if first else 0
+    own, base = np.asarray(ends[first:n], dtype=np.int64), first
     while first < n:
-        event = int(ends[first - 1]) if first else 0
-        last = max(first + 1, int(np.searchsorted(ends, event + max(1, limit // 4), side="right")))  # a few values an event
-        bounds = np.r_[event, np.asarray(ends[first:last], dtype=np.int64)]
+        last = max(first + 1, base + int(np.searchsorted(own, event + max(1, limit // 4), side="right")))  # a few values an event
+        bounds = np.r_[event, own[first - base : last - base]]
         columns = [pa.array(np.arange(first, last))]
         offsets = pa.array((bounds - event).astype(np.int32))
         if inner is not None:
-            low = int(inner[event - 1]) if event else 0
+            low = int(inner[event - 1 : event][0]) if event else 0
             cuts = np.r_[low, np.asarray(inner[event : bounds[-1]], dtype=np.int64)]
         for name, kind in types.items():
             level = name.split("/")[0]
@@ -214,7 +262,7 @@ def ragged_batches(path: str | Path, types: Mapping[str, str], limit: int = BATC
                 values = pa.ListArray.from_arrays(pa.array((cuts - cuts[0]).astype(np.int32)), values)
             columns.append(pa.ListArray.from_arrays(offsets, values))
         yield pa.RecordBatch.from_arrays(columns, ["row_index", *(x.split("/", 1)[1] for x in types)])
-        first = last
+        event, first = int(bounds[-1]), last
 
 
 class TensorCohort:
@@ -264,7 +312,7 @@ class TensorCohort:
     def tensors(self) -> DataFrame:
         """(shard, row_index, and a column for each tensor but the bounds) of every subject: lists of its events' values, or of lists of their measurements'.
 
-        Values are read by the subjects that they belong to, a bounded number at a time; all shards have the first one's tensors.
+        A task reads a range of a shard's subjects, a bounded number at a time; all shards have the first one's tensors.
         """
         header = tensor_header(self.tensor_path(self.shards[0]))
         wanted = {n: a["dtype"] for n, a in header.items() if n not in (EVENT_BOUNDS, MEASUREMENT_BOUNDS)}
@@ -272,15 +320,17 @@ class TensorCohort:
             raise ValueError(f"tensors that Spark has no type for: {unknown}")
         types = {n: SPARK_TYPES[t] for n, t in wanted.items()}
         ddl = ", ".join(f"`{n.split('/', 1)[1]}` " + ("array<%s>" if n.startswith("dim1") else "array<array<%s>>") % t for n, t in types.items())
-        listed = self.spark.createDataFrame([(s, str(self.tensor_path(s))) for s in self.shards], "shard string, path string")
+        firsts = F.sequence(F.lit(0).cast("long"), F.col("n_tensors") - 1, F.lit(TASK_SUBJECTS).cast("long"))
+        listed = self.headers().where("n_tensors > 0").select("shard", F.explode(firsts).alias("first"))
+        data = self.root / DATA
 
         def read(batches):
             for batch in batches:
-                for shard, path in zip(batch.column("shard").to_pylist(), batch.column("path").to_pylist(), strict=True):
-                    for rows in ragged_batches(path, types):
+                for shard, first in zip(batch.column("shard").to_pylist(), batch.column("first").to_pylist(), strict=True):
+                    for rows in ragged_batches(data / f"{shard}{SUFFIX}", types, subjects=(first, first + TASK_SUBJECTS)):
                         yield pa.RecordBatch.from_arrays([pa.array([shard] * rows.num_rows, pa.string()), *rows.columns], ["shard", *rows.schema.names])
 
-        return listed.repartition("shard").mapInArrow(read, f"shard string, row_index bigint, {ddl}")
+        return listed.repartition(max(1, listed.count())).mapInArrow(read, f"shard string, row_index bigint, {ddl}")  # a task a range
 
     def codes(self) -> DataFrame:
         path = self.root / "metadata/codes.parquet"

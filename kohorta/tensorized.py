@@ -18,7 +18,7 @@ from .operators import digests, selection
 from .reports import tensor_report
 from .sources.dataset import CODES_FILE, NotADatasetError
 from .sources.sinks import ShardStore, place, prune, publish, write_json, write_text
-from .sources.tensors import DATA, SCHEMAS, SUFFIX, Slice, TensorCohort, read_tensors, write_slices
+from .sources.tensors import DATA, SCHEMAS, SUFFIX, Slice, TensorCohort, open_tensors, write_slices
 
 
 def _fingerprint(cohort: TensorCohort) -> str:
@@ -31,14 +31,14 @@ def slice_shards(plan: DataFrame, cohort: TensorCohort, store: ShardStore) -> No
     """Writes schema and tensors of every ``stored`` of rows (stored, shard, row_index): a task an output shard, in the order of (shard, row).
 
     A task holds the places of its shard's subjects, one row group of a source's schema, and a few megabytes of a tensor: the
-    ranges of bytes that belong to subjects are copied from the sources' mapped files one tensor after the other.  Schema
+    ranges of bytes that belong to subjects are copied from the sources' files one tensor after the other.  Schema
     rows are taken as Arrow holds them, so that the schemas keep their types, unsigned ones too.
     """
     root, target = cohort.root, store.root
 
     def write(key, frame):
         chosen = [(shard, rows["row_index"].to_numpy(dtype=np.int64)) for shard, rows in frame.sort_values(["shard", "row_index"]).groupby("shard", sort=True)]
-        slices = [Slice(read_tensors(root / DATA / f"{shard}{SUFFIX}"), places) for shard, places in chosen]
+        slices = [Slice(open_tensors(root / DATA / f"{shard}{SUFFIX}"), places) for shard, places in chosen]
         publish(lambda aside: write_slices(aside, slices), target / f"{key[0]}{SUFFIX}")
         publish(lambda aside: _write_schema(aside, [(root / SCHEMAS / f"{shard}.parquet", places) for shard, places in chosen]), target / f"{key[0]}.parquet")
         return frame[["stored"]].head(1)
