@@ -190,10 +190,14 @@ def folded(rows: DataFrame, group: Column, value: Column, order: Column | None =
     return ready.mapInArrow(lambda it: _fold_blocks(it, into), f"group string, {into} string")
 
 
-def folded_by(rows: DataFrame, group: str, value: str, into: str = "digest") -> DataFrame:
-    """(``group``, ``into``): the digest of each group's sorted texts, for many groups of any size; groups keep their type, a null is one."""
+def folded_by(rows: DataFrame, group: str, value: str, into: str = "digest", dealt: bool = False) -> DataFrame:
+    """(``group``, ``into``): the digest of each group's sorted texts, for many groups of any size; groups keep their type, a null is one.
+
+    ``dealt``: every group's rows lie in one partition already.
+    """
     kind = rows.schema[group].dataType
-    ready = rows.select(F.col(group).alias("group"), F.col(value).alias("value")).repartition("group").sortWithinPartitions("group", "value")
+    keyed = rows.select(F.col(group).alias("group"), F.col(value).alias("value"))
+    ready = (keyed if dealt else keyed.repartition("group")).sortWithinPartitions("group", "value")
     made = ready.mapInArrow(lambda it: _fold(it, into, to_arrow_type(kind)), f"group {kind.simpleString()}, {into} string")
     return made.select(F.col("group").alias(group), into)
 
