@@ -105,8 +105,9 @@ class Catalog(_Recorded):
         if not paths:
             return self.spark.createDataFrame([], T.StructType([*schema.fields, T.StructField("stored", T.StringType())]))
         rows = self.spark.read.schema(schema).parquet(*paths)
-        listed = [(p, unquote(unquote(p.rsplit("/", 2)[1].partition("=")[2]))) for p in rows.inputFiles()]  # escaped by Spark as a name, and as a path
-        names = self.spark.createDataFrame(listed, "_path string, _name string")
+        listed = {p: unquote(unquote(p.rsplit("/", 2)[1].partition("=")[2])) for p in rows.inputFiles()}  # escaped by Spark as a name, and as a path
+        listed |= {p.replace(":///", ":/", 1): name for p, name in listed.items()}  # an empty authority is written or left out
+        names = self.spark.createDataFrame(list(listed.items()), "_path string, _name string")
         slow = F.regexp_extract(decoded(F.col("_path")), r"/stored=([^/]*)/[^/]*$", 1)
         slow = F.url_decode(F.replace(slow, F.lit("+"), F.lit("%2B")))
         found = rows.select("*", F.col("_metadata.file_path").alias("_path")).join(F.broadcast(names), "_path", "left")  # a row a file

@@ -8,6 +8,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from kohorta import catalog
 from kohorta.catalog import Catalog
 from kohorta.config import SubsetConfig
 from kohorta.plans import views
@@ -43,7 +44,7 @@ def test_a_large_shard_is_sorted_by_several_tasks(spark, tmp_path, monkeypatch,
     assert sorted(p.name for p in tmp_path.iterdir()) == ["a.parquet", "b", "none.parquet", "one.parquet"]
 
 
-def test_a_large_shard_at_a_uri_is_several_files(spark, tmp_path, uncoalesced):
+def test_a_large_shard_at_a_uri_is_several_files(spark, tmp_path, monkeypatch, uncoalesced):
     root = tmp_path / "parent"
     rows = spark.range(6000).selectExpr("id % 300 AS subject_id", "timestamp_ntz '2020-01-01' + make_dt_interval(0, 0, id) AS time", "concat('c', id % 9) AS code", "cast(id AS float) AS numeric_value")
     write_one_file(rows, root / "data/train/0.parquet")
@@ -55,6 +56,8 @@ def test_a_large_shard_at_a_uri_is_several_files(spark, tmp_path, uncoalesced):
     assert own.labels(300).count() == 6000 and own.labels(100).count() == 2000
     report = {r.member: r for r in own.report().collect()}
     assert (report[300].n_shards, report[300].n_measurements, report[100].n_measurements) == (1, 6000, 2000)
+    monkeypatch.setattr(catalog, "decoded", lambda path: F.raise_error(F.lit("decoded")).cast("string"))  # names are known by file, not read from each row's path
+    assert {r.shard for r in own.events(300).select("shard").collect()} == {"train/0"}
 
 
 def test_names_of_shards_are_cut_from_plain_paths(spark, tmp_path):
