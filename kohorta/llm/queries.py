@@ -63,7 +63,7 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.removal_report(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return repeats.removal_report(_table(spark, sf_dir, "documents").select("doc_id", "text"), words=repeats.WORDS)
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,6 +22,9 @@ Hashes have 64 bits; runs are compared below an anchor hash of 64 more.
 Defined results: null and empty texts have no symbols and lose none; repeated rows are documents of their own, so
 that their symbols repeat (rows that are equal in id and text share their spans); the kept bytes are decoded
 without what is left of characters that were cut; other columns pass through; ids may be of any type.
+
+A report can also count the words that repeated strings of words cover, beside what it removes: a passage of 50 words
+often has fewer bytes than a string counted in bytes must have.
 """
 
 from __future__ import annotations
@@ -34,12 +37,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import frugal, joined_bytes, shared_dir, slices, small_batches, stored, whole_text
+from .common import Scratch, frugal, joined_bytes, shared_dir, shuffles_dropped, slices, small_batches, whole_text
 
 #: Lengths of strings and of anchors: in bytes, and in words.
 LENGTH, GRAM = 400, 220
 WORDS, WORD_GRAM = 50, 20
 BYTE_UNIT, WORD_UNIT = "byte", "word"
+#: Columns of a report that counts repeated words too.
+PASSAGES = ("n_repeat_words", "n_passages")
 #: Bytes of text handled at once; also the most symbols of one document.
 PIECE = 1 << 18
 #: Longer words are hashed one by one.
@@ -253,20 +258,25 @@ def merged(first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first[new], reach[last]
 
 
+def _covered(spans: pa.Scalar, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first, end) of the maximal runs of symbols that a row's spans of strings cover."""
+    if not spans.is_valid:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    first, count = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in spans.values.flatten())
+    return merged(first, first + count + length - 1)
+
+
 @frugal
-def _cut(batches: Iterator[pa.RecordBatch], length: int, unit: str, with_text: bool) -> Iterator[pa.RecordBatch]:
+def _cut(batches: Iterator[pa.RecordBatch], length: int, unit: str, with_text: bool, words: int | None = None) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "text", PIECE):
-        n_bytes, removed, n_spans, digests, texts = [], [], [], [], []
+        n_bytes, removed, n_spans, digests, texts, n_words, n_passages = [], [], [], [], [], [], []
         spans = batch.column("spans")
         for row, text in enumerate(batch.column("text").to_pylist()):
             data = (text or "").encode()
             gone = 0
             kept = data
-            first = end = np.zeros(0, dtype=np.int64)
-            if spans[row].is_valid:
-                values = spans[row].values.flatten()
-                first, count = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in values)
-                first, end = merged(first, first + count + length - 1)
+            first, end = _covered(spans[row], length)
+            if len(first):
                 if unit == WORD_UNIT:
                     starts, *_ = word_places(np.frombuffer(data, dtype=np.uint8), np.array([0, len(data)]))
                     places = np.r_[starts, len(data)]
@@ -280,11 +290,16 @@ def _cut(batches: Iterator[pa.RecordBatch], length: int, unit: str, with_text: b
                 texts.append(kept.decode("utf-8", "ignore"))
             else:
                 digests.append(sha256(kept).hexdigest())
+            if words:
+                first, end = _covered(batch.column("passages")[row], words)
+                n_words.append(int((end - first).sum()))
+                n_passages.append(len(first))
         counts = [pa.array(x, pa.int64()) for x in (n_bytes, removed, n_spans)]
-        rest = [i for i, name in enumerate(batch.schema.names) if name not in ("text", "spans")]
+        more = [pa.array(x, pa.int64()) for x in (n_words, n_passages)] if words else []
+        rest = [i for i, name in enumerate(batch.schema.names) if name not in ("text", "spans", "passages")]
         yield pa.RecordBatch.from_arrays(
-            [*(batch.column(i) for i in rest), *counts, pa.array(texts if with_text else digests, pa.string())],
-            [*(batch.schema.names[i] for i in rest), "n_bytes", "n_removed", "n_spans", "kept_text" if with_text else "kept_sha256"],
+            [*(batch.column(i) for i in rest), *counts, pa.array(texts if with_text else digests, pa.string()), *more],
+            [*(batch.schema.names[i] for i in rest), "n_bytes", "n_removed", "n_spans", "kept_text" if with_text else "kept_sha256", *PASSAGES[: len(more)]],
         )
 
 
@@ -292,16 +307,21 @@ def repeated_spans(made: DataFrame, length: int = LENGTH, gram: int = GRAM, unit
     """(k, spans) of rows (k, doc), ``doc`` being a struct with the field text: for each document with repeated windows, runs (start, count) of their starts.
 
     Anchors and spans are counted before anything is joined by them, so that a common passage is one row a task
-    then; the joins that follow give back single runs, and adaptive execution can split their hot keys.
+    then; the joins that follow give back single runs, and adaptive execution can split their hot keys.  All runs go, with
+    what was shuffled for them, once the busy ones are stored.
     """
+    spark = made.sparkSession
+    scratch = Scratch(spark)
     least = length if unit == BYTE_UNIT else 2 * length - 1  # bytes of the shortest text that holds a window
     texts = made.select("k", F.col("doc.text").alias("text")).where(F.octet_length("text") >= least)
-    found = stored(
+    found = scratch.stored(
         texts.mapInArrow(lambda it: _runs(it, length, gram, unit), "k bigint, start bigint, count bigint, anchor bigint, span bigint, more array<bigint>"), "runs"
     )
     times = F.when(F.col("more").isNull(), 1).otherwise(F.size("more") + 1)
     anchors = found.groupBy("anchor").agg(F.sum(times).alias("n"), (F.min("span") < F.max("span")).alias("mixed")).where("n > 1").select("anchor", "mixed")
-    busy = stored(found.join(anchors, "anchor"), "busy")
+    with shuffles_dropped(spark):
+        busy = scratch.stored(found.join(anchors, "anchor"), "busy")
+    scratch.release("busy")
     groups = busy.groupBy("anchor", "span", "mixed").agg(F.sum(times).alias("n"), F.min(F.struct("k", "start", "count")).alias("one"))
 
     wanted = groups.where("mixed").select("one.*", (F.col("n") > 1).cast("int").alias("whole"))
@@ -327,8 +347,8 @@ def _key(text: str, key: str):
     return F.xxhash64(F.col(key), whole_text(text))
 
 
-def _spanned(docs: DataFrame, head, text: str, key: str, length: int, gram: int, unit: str) -> tuple[DataFrame, str]:
-    """(doc, spans) of every row, ``doc`` being a struct of ``head`` and the text, and the type of ``head``."""
+def _spanned(docs: DataFrame, head, text: str, key: str, length: int, gram: int, unit: str, words: int | None = None) -> tuple[DataFrame, str]:
+    """(doc, spans) of every row, ``doc`` being a struct of ``head`` and the text, and the type of ``head``; with ``words`` also passages, the spans in words."""
     if unit not in (BYTE_UNIT, WORD_UNIT):
         raise ValueError(f"unknown unit {unit!r}")
     if not 0 < gram <= length:
@@ -336,14 +356,26 @@ def _spanned(docs: DataFrame, head, text: str, key: str, length: int, gram: int,
     shared_dir(docs.sparkSession)
     small_batches(docs.sparkSession)
     made = docs.select(_key(text, key).alias("k"), F.struct(head.alias("head"), whole_text(text).alias("text")).alias("doc"))
-    return made.join(repeated_spans(made, length, gram, unit), "k", "left").select("doc", "spans"), made.schema["doc"].dataType["head"].dataType.simpleString()
+    joined = made.join(repeated_spans(made, length, gram, unit), "k", "left")
+    if words:
+        passages = repeated_spans(made, words, max(1, words * WORD_GRAM // WORDS), WORD_UNIT).withColumnRenamed("spans", "passages")
+        joined = joined.join(passages, "k", "left")
+    return joined.drop("k"), made.schema["doc"].dataType["head"].dataType.simpleString()
 
 
-def removal_report(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int = LENGTH, gram: int = GRAM, unit: str = BYTE_UNIT) -> DataFrame:
-    """(``key``, n_bytes, n_removed, n_spans, kept_sha256) of every row."""
-    joined, kind = _spanned(docs, F.col(key), text, key, length, gram, unit)
-    cut = joined.mapInArrow(lambda it: _cut(_flat(it), length, unit, False), f"head {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
-    return cut.select(F.col("head").alias(key), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+def removal_report(
+    docs: DataFrame, text: str = "text", key: str = "doc_id", length: int = LENGTH, gram: int = GRAM, unit: str = BYTE_UNIT, words: int | None = None
+) -> DataFrame:
+    """(``key``, n_bytes, n_removed, n_spans, kept_sha256) of every row.
+
+    With ``words`` also n_repeat_words and n_passages: the words that are covered by strings of so many words which also
+    start anywhere else, and the maximal runs of such words.  They remove nothing.
+    """
+    joined, kind = _spanned(docs, F.col(key), text, key, length, gram, unit, words)
+    more = PASSAGES if words else ()
+    schema = ", ".join([f"head {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string", *(f"{c} bigint" for c in more)])
+    cut = joined.mapInArrow(lambda it: _cut(_flat(it), length, unit, False, words), schema)
+    return cut.select(F.col("head").alias(key), "n_bytes", "n_removed", "n_spans", "kept_sha256", *more)
 
 
 def without_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int = LENGTH, gram: int = GRAM, unit: str = BYTE_UNIT) -> DataFrame:

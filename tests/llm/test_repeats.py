@@ -157,3 +157,54 @@ def test_many_equal_rows_take_linear_time(spark):
     rows = repeats.removal_report(docs).groupBy("doc_id", "n_removed", "n_spans").count().collect()
     assert {tuple(r) for r in rows} == {(7, len(text), 1, 16_000), (8, 0, 0, 1)}
     assert time.time() - began < 60
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_report_counts_repeated_words_beside_removed_bytes(spark, seed):
+    r = random.Random(seed)
+    make = lambda n: "".join("".join(r.choice("abé") for _ in range(r.randrange(1, 4))) + r.choice([" ", "\n", "  "]) for _ in range(n))
+    shared = [make(r.randrange(8, 40)) for _ in range(4)]
+    texts = [make(r.randrange(0, 30)) + r.choice(shared) + make(r.randrange(0, 20)) + (r.choice(shared) if r.random() < 0.4 else "") for _ in range(40)]
+    texts += [texts[3], None, "", "a b " * 60, "x" * 90, "x" * 90, texts[5].replace(" ", "\n")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    n = lambda t: len(WORD.findall((t or "").encode()))
+    want = {
+        i: (*of_bytes, n(t) - n(left), passages)
+        for i, (t, of_bytes, (left, passages)) in enumerate(zip(texts, brute(texts, 40), brute_words(texts, 8), strict=True))
+    }
+    assert {x.doc_id: tuple(x)[1:] for x in repeats.removal_report(docs, length=40, gram=12, words=8).collect()} == want
+
+
+def test_query_reports_planted_passages_of_over_50_words(spark, tmp_path):
+    """51 to 53 words that two documents share: fewer than 400 bytes, so that none is removed, and reported all the same."""
+    from kohorta.llm.queries import op9_repeated_passages
+
+    r = random.Random(11)
+    words = lambda n: ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randrange(2, 9))) for _ in range(n)]
+    clean = {i: " ".join(words(120)) for i in range(30)}
+    passages = [words(51 + i % 3) for i in range(10)]
+    planted = {100 + 2 * i + k: " ".join(words(70) + p + words(70)) for i, p in enumerate(passages) for k in (0, 1)}
+    rows = list((clean | planted).items())
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    made = op9_repeated_passages(spark, str(tmp_path))
+    assert made.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_repeat_words", "n_passages"]
+    got = {x.doc_id: tuple(x)[1:] for x in made.collect()}
+    assert {d: x[:4] for d, x in got.items()} == dict(zip([d for d, _ in rows], brute([t for _, t in rows], repeats.LENGTH), strict=True))
+    assert all(max(map(len, map(" ".join, passages))) < repeats.LENGTH and got[d][1] == 0 for d in got)
+    assert {d: x[4:] for d, x in got.items()} == {d: (0, 0) for d in clean} | {100 + 2 * i + k: (len(p), 1) for i, p in enumerate(passages) for k in (0, 1)}
+
+
+def test_report_leaves_busy_runs_and_settings_only(spark):
+    """All runs go once those with a common anchor are stored, and the session's setting is as it was."""
+    from pathlib import Path
+
+    from kohorta.llm.common import shared_dir
+
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, there = spark.conf.get(name), set(Path(shared_dir(spark).removeprefix("file://"), "kohorta").glob("*"))
+    text = " ".join(f"word{i}" for i in range(200))
+    docs = spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string")
+    made = repeats.removal_report(docs, words=repeats.WORDS)
+    new = set(Path(shared_dir(spark).removeprefix("file://"), "kohorta").glob("*")) - there
+    assert sorted(x.name.rsplit("-", 1)[0] for x in new) == ["busy", "busy"] and spark.conf.get(name) == before
+    assert {tuple(x)[2:4] + tuple(x)[5:] for x in made.collect()} == {(len(text), 1, 200, 1)}
